@@ -1,8 +1,9 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tracelake.llm import bpe, line_dedup
+from tracelake.llm import bpe, line_dedup, media
 
 QUERIES = {
+    "op2_media_gif": media.query,
     "op7_bpe": bpe.query,
     "op10_line_dedup": line_dedup.query,
 }
