@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tracelake.llm import bpe, line_dedup, media
+from tracelake.llm import bpe, line_dedup, media, substring_dedup
 
 QUERIES = {
     "op2_media_gif": media.query,
     "op7_bpe": bpe.query,
+    "op9_substring_dedup": substring_dedup.query,
     "op10_line_dedup": line_dedup.query,
 }
 
