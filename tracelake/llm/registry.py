@@ -1,9 +1,10 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tracelake.llm import bpe, jaccard_join, line_dedup, media, substring_dedup
+from tracelake.llm import bpe, jaccard_join, katz, line_dedup, media, substring_dedup
 
 QUERIES = {
     "op2_media_gif": media.query,
+    "op4_katz_scoring": katz.query,
     "op5_jaccard_join": jaccard_join.query,
     "op7_bpe": bpe.query,
     "op9_substring_dedup": substring_dedup.query,
