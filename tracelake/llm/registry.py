@@ -1,8 +1,9 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tracelake.llm import bpe, jaccard_join, katz, line_dedup, media, substring_dedup
+from tracelake.llm import bpe, decontaminate, jaccard_join, katz, line_dedup, media, substring_dedup
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op2_media_gif": media.query,
     "op4_katz_scoring": katz.query,
     "op5_jaccard_join": jaccard_join.query,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
