@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tracelake.llm import bpe, decontaminate, jaccard_join, katz, line_dedup, media, substring_dedup
+from tracelake.llm import bpe, decontaminate, jaccard_join, katz, kneser_ney, line_dedup, media, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_media_gif": media.query,
+    "op3_quality_classifier": kneser_ney.query,
     "op4_katz_scoring": katz.query,
     "op5_jaccard_join": jaccard_join.query,
     "op7_bpe": bpe.query,
