@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tracelake.llm import bpe, decontaminate, jaccard_join, katz, kneser_ney, line_dedup, media, substring_dedup
+from tracelake.llm import bpe, decontaminate, jaccard_join, katz, kneser_ney, language_id, line_dedup, media, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_katz_scoring": katz.query,
     "op5_jaccard_join": jaccard_join.query,
     "op7_bpe": bpe.query,
+    "op8_language_id": language_id.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_line_dedup": line_dedup.query,
 }
