@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tracelake.llm import bpe, decontaminate, jaccard_join, katz, kneser_ney, language_id, line_dedup, media, substring_dedup
+from tracelake.llm import bpe, decontaminate, jaccard_join, katz, kneser_ney, language_id, line_dedup, media, pii, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality_classifier": kneser_ney.query,
     "op4_katz_scoring": katz.query,
     "op5_jaccard_join": jaccard_join.query,
+    "op6_personal_data": pii.query,
     "op7_bpe": bpe.query,
     "op8_language_id": language_id.query,
     "op9_substring_dedup": substring_dedup.query,
