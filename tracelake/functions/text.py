@@ -44,13 +44,12 @@ def error_template(text: Column, limit: int = 180) -> Column:
     return F.substring(text, 1, limit)
 
 
-def failure_signature(tool: Column, text: Column, marker: Column) -> Column:
-    """`tool: template` of the first line; of tracebacks, of the last line that names an error."""
+def failure_message(text: Column, marker: Column) -> Column:
+    """The line that stands for a failure: the first, or of tracebacks the last that names an error."""
     lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), one_line), lambda x: x != "")
     errors = F.filter(lines, lambda x: x.rlike(r"(?:Error|Exception|Failed)\b"))
-    plain = F.when(F.size(lines) > 0, F.get(lines, F.lit(0))).otherwise(marker)
-    traced = F.when(F.size(errors) > 0, F.element_at(errors, -1)).otherwise(F.lit("Python traceback"))
-    return F.concat(tool, F.lit(": "), error_template(F.when(marker == "python_traceback", traced).otherwise(plain)))
+    traced = F.coalesce(F.try_element_at(errors, F.lit(-1)), F.lit("Python traceback"))
+    return F.when(marker == "python_traceback", traced).otherwise(F.coalesce(F.get(lines, F.lit(0)), marker))
 
 
 def message_signature(signature: Column) -> Column:

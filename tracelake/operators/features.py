@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.failures import CODE_TOOLS, feature_marker, result_text
 from tracelake.functions.json_values import as_object, is_flag
-from tracelake.functions.text import error_template, failure_signature, head_tail, message_signature, one_line
+from tracelake.functions.text import error_template, failure_message, head_tail, message_signature, one_line
 
 #: Features and their names in reasons (fixed values).
 LABELS = {
@@ -90,13 +90,15 @@ def robust_reasons(features: DataFrame, names: list[str] = FEATURES) -> DataFram
 
 def failure_events(calls: DataFrame) -> DataFrame:
     """(trace_id, call_id, call_index, tool, marker, signature, message_signature, excerpt) of decoded calls that failed."""
-    # A span error without a result tells its own text.
+    # A span error without a result tells its own text. Each step is a column, so that none is worked out twice.
     text = F.when((F.col("marker") == "span_error") & (F.col("text") == ""), F.col("error")).otherwise(F.col("text"))
-    rows = calls.where(F.col("marker").isNotNull()).withColumn("signature", failure_signature(F.col("tool"), text, F.col("marker")))
-    line = one_line(text)
+    rows = calls.where(F.col("marker").isNotNull()).withColumn("text", text)
+    rows = rows.withColumn("message", failure_message(F.col("text"), F.col("marker")))
+    rows = rows.withColumn("template", error_template(F.col("message"))).withColumn("signature", F.concat_ws(": ", "tool", "template"))
+    line = one_line(F.col("text"))
     return rows.select(
         "trace_id", "call_id", "call_index", "tool", "marker", "signature", message_signature(F.col("signature")).alias("message_signature"),
-        F.when(F.length(text) > 300, head_tail(line, 300)).otherwise(line).alias("excerpt"),
+        F.when(F.length("text") > 300, head_tail(line, 300)).otherwise(line).alias("excerpt"),
     )
 
 
