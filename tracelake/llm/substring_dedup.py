@@ -7,13 +7,12 @@
 3. Automata: passages are dealt to shards. Of each passage, every half-window-long block goes into the shard's
    automaton; any window contains such a block.
 4. Streaming: each document goes through the automata of the shards that have a passage with one of its anchors (no
-   other can match). Hits are extended word by word; what matches for a window or more, of a smaller document, goes.
+   other can match). Around hits, the windows that are a passage's of a smaller document are found and go.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import ahocorasick
 import numpy as np
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WordHashes, mixed, slices, stored, word_hashes
+from tracelake.llm.common import WordHashes, mixed, slices, small, stored, word_hashes
 
 #: Words of a window.
 WINDOW = 50
@@ -121,33 +120,40 @@ def _passages(owned: DataFrame, window: int) -> DataFrame:
 
 
 def automaton(passages: list[np.ndarray], block: int) -> ahocorasick.Automaton:
-    """Finds the blocks of all passages in sequences of 32-bit word hashes; values are lists of (passage, place)."""
-    places: dict[tuple, list] = defaultdict(list)
-    for i, words in enumerate(passages):
+    """Finds the blocks of all passages in sequences of 32-bit word hashes."""
+    blocks = set()
+    for words in passages:
         short = (words.view(np.uint64) & np.uint64(0xFFFFFFFF)).tolist()
-        for at in range(0, len(short) - block + 1, block):
-            places[tuple(short[at : at + block])].append((i, at))
-    out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, value in places.items():
-        out.add_word(key, value)
+        blocks.update(tuple(short[at : at + block]) for at in range(0, len(short) - block + 1, block))
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    for key in blocks:
+        out.add_word(key)
     out.make_automaton()
     return out
 
 
-def occurrences(words: np.ndarray, doc: int, found: ahocorasick.Automaton, passages: list[np.ndarray], owners: list[int], window: int) -> list[tuple[int, int]]:
-    """Spans of words that equal a window or more of a passage of a smaller document."""
-    spans, seen, block = [], set(), window // 2
-    for end, hits in found.iter(tuple((words.view(np.uint64) & np.uint64(0xFFFFFFFF)).tolist())):
-        for i, at in hits:
-            shift = end - block + 1 - at
-            if owners[i] >= doc or (i, shift) in seen:
-                continue
-            seen.add((i, shift))
-            low, high = max(0, shift), min(len(words), shift + len(passages[i]))
-            same = np.concatenate([[False], words[low:high] == passages[i][low - shift : high - shift], [False]])
-            edges = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
-            spans += [(int(a) + low, int(b) + low) for a, b in edges if b - a >= window]
-    return spans
+def owned_windows(passages: list[np.ndarray], owners: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, owner) of all windows of the passages, sorted by hash; a window has one owner."""
+    hashes = np.concatenate([np.empty(0, np.uint64), *(grams(p, window) for p in passages)])
+    of = np.repeat(np.asarray(owners, np.int64), [len(p) - window + 1 for p in passages])
+    order = np.argsort(hashes)
+    return hashes[order], of[order]
+
+
+def occurrences(words: np.ndarray, doc: int, found: ahocorasick.Automaton, hashes: np.ndarray, owners: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """Spans of words that are windows of passages of smaller documents. Only windows around hits are looked at."""
+    near, block = np.zeros(max(0, len(words) - window + 1), bool), window // 2
+    for end, _ in found.iter(tuple((words.view(np.uint64) & np.uint64(0xFFFFFFFF)).tolist())):
+        start = end - block + 1
+        near[max(0, start - (window - block)) : start + 1] = True
+    starts = np.flatnonzero(near)
+    if not len(starts):
+        return []
+    own = grams(words, window)[starts]
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    starts = starts[(hashes[at] == own) & (owners[at] < doc)]
+    runs = np.split(starts, np.flatnonzero(np.diff(starts) > window) + 1) if len(starts) else []
+    return [(int(r[0]), int(r[-1]) + window) for r in runs]
 
 
 def _streamed(routes: DataFrame, passages: DataFrame, window: int) -> DataFrame:
@@ -158,10 +164,10 @@ def _streamed(routes: DataFrame, passages: DataFrame, window: int) -> DataFrame:
         if len(docs) and len(shard):
             memo = WordHashes()
             words = [np.frombuffer(w, np.int64) for w in shard["words"]]
-            owners = shard["owner"].tolist()
             found = automaton(words, window // 2)
+            windows = owned_windows(words, shard["owner"].tolist(), window)
             for doc, sha, text in zip(docs["id"], docs["words_sha256"], docs["text"]):
-                spans = occurrences(word_hashes(text, memo, lower=False), doc, found, words, owners, window)
+                spans = occurrences(word_hashes(text, memo, lower=False), doc, found, *windows, window)
                 if spans:
                     rows.append((doc, sha, [x for s in spans for x in s]))
         return pd.DataFrame(rows, columns=["id", "words_sha256", "spans"])
@@ -210,18 +216,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = profiles.select("id", "n_words", "words_sha256").join(firsts, "words_sha256", "left")
     unique = profiles.join(firsts, (profiles["words_sha256"] == firsts["words_sha256"]) & (F.col("id") == F.col("first")), "left_semi")
     anchors = unique.select("id", "words_sha256", "n_words", F.explode("anchors").alias("anchor"))
-    recurring = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
+    recurring = anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor", "low")
+    recurring = stored(recurring, "repeat-recurring")
     shared = stored(
         anchors.join(recurring, "anchor").groupBy("id", "words_sha256", "n_words").agg(F.collect_set("anchor").alias("shared")), "repeat-anchors"
     )
-    touched = texts.join(shared, "id").select("id", "words_sha256", "n_words", "text", "shared")
-    touched = stored(touched.dropDuplicates(["id", "words_sha256"]), "repeat-texts")
+    touched = texts.join(small(shared.select("id")), "id", "left_semi").join(shared, "id").select("id", "words_sha256", "n_words", "text", "shared")
+    if profiles.groupBy("id", "words_sha256").count().where("count > 1").head(1):
+        touched = touched.dropDuplicates(["id", "words_sha256"])
+    touched = stored(touched, "repeat-texts")
     windows = _candidates(touched, window).groupBy("hash").agg(F.min("id").alias("id"), F.max("id").alias("high")).where("id < high")
     owned = windows.groupBy("id").agg(F.collect_list("hash").alias("hashes"))
     passages = stored(_passages(touched.select("id", "text").join(owned, "id"), window), "repeat-passages")
     total = passages.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int"))
+    # Passages of one family of documents go to one shard, or to a few if there are many; so a document needs few shards.
+    of_owner = passages.select("owner", F.explode("anchors").alias("anchor")).join(recurring, "anchor").groupBy("owner").agg(F.min("low").alias("family"))
+    sizes = passages.groupBy("owner").agg(F.sum("n_words").alias("n")).join(of_owner, "owner")
+    parts = sizes.groupBy("family").agg(F.ceil(F.sum("n") / SHARD_WORDS).alias("parts"))
+    shard_of = sizes.join(parts, "family").select(
+        "owner", F.pmod(F.xxhash64("family", F.pmod(F.xxhash64("owner"), F.col("parts"))), F.lit(shards)).cast("int").alias("shard")
+    )
+    passages = stored(passages.join(shard_of, "owner"), "repeat-shards")
     of_anchor = passages.select("shard", F.explode("anchors").alias("anchor")).distinct()
     routes = touched.select("id", "words_sha256", "n_words", F.explode("shared").alias("anchor")).join(of_anchor, "anchor")
     routes = stored(routes.select("id", "words_sha256", "n_words", "shard").distinct(), "repeat-routes")
