@@ -13,10 +13,10 @@ AGENT_STEPS = ["agent", "agent_step", "planning"]
 
 def detach_orphans(spans: DataFrame) -> DataFrame:
     """Spans whose parent isn't in their trace become roots; unresolved_parent keeps the lost id."""
-    ids = spans.select("trace_id", F.col("span_id").alias("_id")).distinct()
-    out = spans.join(ids, (spans["trace_id"] == ids["trace_id"]) & (F.col("parent_id") == F.col("_id")), "left").drop(ids["trace_id"])
+    ids = spans.select(F.col("trace_id").alias("_trace"), F.col("span_id").alias("_id")).distinct()
+    out = spans.join(ids, (F.col("trace_id") == F.col("_trace")) & (F.col("parent_id") == F.col("_id")), "left")
     lost = F.col("parent_id").isNotNull() & F.col("_id").isNull()
-    return out.withColumns({"unresolved_parent": F.when(lost, F.col("parent_id")), "parent_id": F.when(~lost, F.col("parent_id"))}).drop("_id")
+    return out.withColumns({"unresolved_parent": F.when(lost, F.col("parent_id")), "parent_id": F.when(~lost, F.col("parent_id"))}).drop("_trace", "_id")
 
 
 def preorder(spans: DataFrame) -> DataFrame:
