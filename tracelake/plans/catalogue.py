@@ -195,7 +195,7 @@ def orphan_results(spark, d):
 
 
 def _event_findings(spark, d) -> DataFrame:
-    rows = _audited(spark, d)
+    rows = _audited(spark, d).persist()  # used by both kinds of rules
     return R.per_call(rows).unionByName(R.retries(rows))
 
 
