@@ -3,8 +3,8 @@
 Documents with the same set form a class; one document stands for it. The Jaccard distance is a metric, but sets of
 unrelated texts are all about 1 apart, so regions around freely chosen pivots would hold everything. Pivots are
 therefore found by signatures: the universe of shingles is dealt into more parts than two linked sets can differ in
-elements, so linked sets agree on a whole part. Per part and content, the smallest document is the pivot of a region,
-and the documents with that part are its members (a document can be in several regions). Two linked documents have a
+elements, so linked sets agree on a whole part. Per part and content, the document that agrees with most others is the
+pivot of a region, and the documents with that part are its members (a document can be in several regions). Two linked documents have a
 common signature, so they share its pivot's region: no link is lost.
 
 In a region p the distance of each member x to the pivot is computed, and what x has added to p and dropped from it.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import WordHashes, mixed, shingles, slices, small, stored, word_hashes
 
 #: Words of texts and members of a region that a single task joins by itself; larger regions are split further first.
-REGION_MEMBERS = 200
+REGION_MEMBERS = 300
 ROWS = 500
 _LAST = (1 << 63) - 1
 
@@ -167,17 +167,30 @@ def _closed(groups: DataFrame, k: int, percent: int) -> DataFrame:
     return groups.groupBy("key").applyInPandas(work, "a long, b long")
 
 
-def _regions_of(keys: DataFrame) -> DataFrame:
-    """(pivot, id): the smallest id of each key is the pivot of the others."""
-    pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("high"), F.max("open").alias("open"))
-    pivots = pivots.where((F.col("pivot") < F.col("high")) & F.col("open")).select("key", "pivot")
-    return keys.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct()
+def _recurring(keys: DataFrame) -> DataFrame:
+    """keys (key, id, open) whose key has several ids, an open one among them, with n, the number of its rows."""
+    groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("open").alias("any_open"))
+    return keys.join(groups.where("low < high AND any_open").select("key", "n"), "key")
+
+
+def _regions_of(recurring: DataFrame, central: DataFrame) -> DataFrame:
+    """(pivot, id): the most central member of each key is the pivot of the others.
+
+    central: (id, rank), the same in all rounds; small ranks are central. So a region's members all come after its
+    pivot, and the pivots that a pair of members meets one after the other do, too: rounds come to an end.
+    """
+    ranked = recurring.select("key", "id").join(central, "id")
+    pivots = ranked.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("p")).select("key", F.col("p.id").alias("pivot"))
+    return ranked.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct()
 
 
 def _links(keys: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): enough links to join up everything that is linked, from keys (key, id, open) as above."""
     found: list[DataFrame] = []
-    regions = stored(_regions_of(keys), "join-regions")
+    recurring = stored(_recurring(keys), "join-signatures")
+    # A document that agrees with many others is near the middle of its group, and what others add to it is their own.
+    central = stored(recurring.groupBy("id").agg((-F.sum("n")).alias("rank")), "join-central")
+    regions = stored(_regions_of(recurring, central), "join-regions")
     members = None
     while regions.head(1):
         if members is None:
@@ -209,7 +222,7 @@ def _links(keys: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
         near = near.select(F.struct("pivot", low.alias("low"), high.alias("high")).alias("key"), (F.col("block") > low).cast("int").alias("side"), "id", "open")
         found.append(stored(_closed(near.join(members, "id"), k, percent), "join-closed"))
         added = left.where(F.col("members") > REGION_MEMBERS).select("pivot", "id", "open", F.explode("added").alias("shingle"))
-        regions = stored(_regions_of(added.select(F.struct("pivot", "shingle").alias("key"), "id", "open")), "join-regions")
+        regions = stored(_regions_of(_recurring(added.select(F.struct("pivot", "shingle").alias("key"), "id", "open")), central), "join-regions")
     links = keys.sparkSession.createDataFrame([], "a long, b long")
     for part in found:
         links = links.unionByName(part)
