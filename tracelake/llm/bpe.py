@@ -29,8 +29,8 @@ from tracelake.llm.common import slices
 
 #: Most frequent words that the lexicon holds. Only speed depends on it; other words are merged.
 LEXICON_WORDS = 50_000
-#: Words whose ids a Python worker remembers at a time.
-MEMO_WORDS = 200_000
+#: Words whose ids a Python worker remembers at a time: about 100 MB. Corpora have long tails of words, each met a few times.
+MEMO_WORDS = 500_000
 #: Rows that a worker handles at a time.
 ROWS = 500
 #: Larger than the value of any pair that merges.
@@ -245,6 +245,17 @@ class Encoder(dict):
         return b"".join(out)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer: str, path: str) -> Encoder:
+    """The encoder of a lexicon file. A process keeps the last one, and what it remembers, for its next tasks."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(vocabulary(tokenizer), Lexicon(path))
+    return _encoders[path]
+
+
 def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(word, n) over all texts."""
 
@@ -285,7 +296,7 @@ def encode(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -> DataFr
     name = ship_lexicon(docs, tokenizer, size)
 
     def work(frames):
-        encoder = Encoder(vocabulary(tokenizer), Lexicon(SparkFiles.get(name)))
+        encoder = encoder_of(tokenizer, SparkFiles.get(name))
         for frame in slices(frames, ROWS):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [encoder.encode(t) for t in frame["text"]]})
 
