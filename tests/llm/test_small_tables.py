@@ -246,6 +246,46 @@ def test_katz(docs, texts, nothing, monkeypatch):
     assert katz.score_documents(nothing).count() == 0
 
 
+@pytest.mark.parametrize("share", [1e-6, 0.003, 0.5])
+def test_katz_whole(spark, docs, texts, nothing, monkeypatch, tmp_path, share):
+    """Plain Katz without classes and with single pairs; what is broadcast makes no difference."""
+    monkeypatch.setattr(katz, "SHARE", share)
+    monkeypatch.setattr(katz, "SHARD_TOKENS", 500)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = by_id(katz.query(spark, str(tmp_path)), len(texts) + 1)
+    of = {i: [*lowered(t).encode().split(), None] for i, t in texts.items()}
+    out = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    train = [w for i, w in of.items() if not out(i)] + [of[3]] * (not out(3))
+    c = Counter(x for w in train for x in w)
+    n = sum(c.values())
+    p1 = lambda w: (c[w] + 0.1) / (n + 0.1 * (len(c) + 1))
+    pairs = Counter(x for w in train for x in zip(["start", *w], w))
+    d = katz.discounts(Counter(pairs.values()))
+    kept, listed, size = Counter(), Counter(), Counter()
+    for (u, v), k in pairs.items():
+        kept[u] += k * (d[k - 1] if k <= 5 else 1)
+        listed[u] += p1(v)
+        size[u] += k
+    for u in size:
+        size[u] += size[u] - kept[u] < 1e-9
+
+    def p(u, v):
+        k = pairs[u, v]
+        if k:
+            return k * (d[k - 1] if k <= 5 else 1) / size[u]
+        return ((1 - kept[u] / size[u]) / max(1 - listed[u], 1e-12) if u in kept else 1) * p1(v)
+
+    assert any(out(i) and any(pairs[x] == 1 for x in zip(w, w[1:])) for i, w in of.items())
+    for u in kept:
+        assert math.isclose(sum(p(u, v) for v in [*c, "unknown"]), 1, rel_tol=1e-9)
+    for i, w in of.items():
+        r = rows[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out(i), len(w), sum(x in c for x in w), n)
+        assert math.isclose(r["base_score"], sum(math.log10(p1(x)) for x in w), rel_tol=1e-7)
+        assert math.isclose(r["score"], sum(math.log10(p(*x)) for x in zip(["start", *w], w)), rel_tol=1e-7)
+    assert katz.score_documents(nothing, whole=True).count() == 0
+
+
 # op5
 
 

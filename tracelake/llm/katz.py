@@ -1,16 +1,19 @@
 """LM scoring: a Katz backoff model of word pairs, learned from and applied to whole tables.
 
-Words that make up a millionth of the tokens or more (a million words at most, however large the corpus) have an id of
-their own; all others share a class, within which a word has its share of the base distribution. Counts of word pairs
-cover all training tokens. Pairs seen twice or more get Good-Turing discounted probabilities; all other mass of a
-context goes to the base distribution, over what isn't listed, by a backoff weight that makes the sum exactly one:
+Counts of words and of word pairs cover all training tokens; every word and every pair that occurs is in the model.
+Pairs get Good-Turing discounted probabilities; all other mass of a context goes to the base distribution, over what
+isn't listed, by a backoff weight that makes the sum exactly one:
 
-    P(v | u) = d(c) c(u, v) / c(u)    if c(u, v) >= 2,    alpha(u) P1(v)    otherwise.
+    P(v | u) = d(c) c(u, v) / c(u)    if c(u, v) >= 1,    alpha(u) P1(v)    otherwise.
 
 The recursion has two steps, so the logarithm of a text is its base score, plus log alpha(u) of each context, plus a
-gain log P(v | u) - log alpha(u) - log P1(v) of each listed pair. Gains and base scores are tables, partitioned by
-order. Frequent ones are broadcast (their number is bounded by their share), tokens that need others go to the shard
-that has them.
+gain log P(v | u) - log alpha(u) - log P1(v) of each listed pair. Words that make up a millionth of the tokens or more
+(a million words at most) have a number; what is known of them, and frequent pairs, are broadcast. All other words go by
+their 64-bit hash, what is known of them and of their pairs lies in tables, and tokens that need it go to the shard that
+has it. Rare contexts and all their pairs share a shard.
+
+A smaller model (whole=False) has one class for all words without a number, within which a word has its share of the
+base distribution, and lists pairs from LEAST occurrences on. The query doesn't use it.
 """
 
 from __future__ import annotations
@@ -28,13 +31,17 @@ from tracelake.llm.common import WordHashes, stored
 SHARE = 1e-6
 #: Added to each count of the base distribution (a fixed value of the task).
 ADDED = 0.1
-#: Counts up to this are discounted, from LEAST on pairs are listed.
+#: Counts up to this are discounted; the smaller model lists pairs from LEAST on.
 DISCOUNTED, LEAST = 5, 2
 #: Tokens per shard when texts are scored.
 SHARD_TOKENS = 3_000_000
-ROWS = 2000
+ROWS = 1000
+#: Distinct keys that a task counts before it passes them on.
+TALLY = 1_500_000
 BITS = 21
 MASK = (1 << BITS) - 1
+#: Set in the codes of words without a number, so that they are none.
+RARE = 1 << 40
 #: What stands for the end of a text among words: the hash of the empty word.
 END = WordHashes()[b""]
 
@@ -51,6 +58,28 @@ def shard_of(key, shards: int):
     return (key ^ (key >> BITS)) & 0x7FFFFFFF if shards == 1 << 31 else ((key ^ (key >> BITS)) & 0x7FFFFFFF) % shards
 
 
+def numbered(code):
+    """Whether a code (column or array) is the number of a word, of the start or of the class of rare words."""
+    return (code >= 0) & (code <= MASK)
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def hashed_pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64(u, v) gives for arrays of int64."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.full(len(u), 42, np.uint64)
+    for part in (u, v):
+        h = h + p5 + np.uint64(8) ^ _turned(part.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        h = _turned(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
 def _tokens(texts, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each with its end, and the number of tokens of each text."""
     parts, sizes = [], []
@@ -70,49 +99,54 @@ def _blocks(frames):
 
 
 class _Tally:
-    """Counts of int64 keys, merged when they get many."""
+    """Counts of int64 keys, merged when they get many; other arrays have one value per key."""
 
     def __init__(self):
-        self.keys, self.counts, self.size = [], [], 0
+        self.parts, self.size = [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        found, n = np.unique(keys, return_counts=True)
-        self.keys.append(found)
-        self.counts.append(n)
+    def add(self, keys: np.ndarray, **others: np.ndarray) -> None:
+        found, first, n = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append({"key": found, **{k: x[first] for k, x in others.items()}, "n": n})
         self.size += len(found)
 
-    def take(self) -> pd.DataFrame:
-        if not self.keys:
-            return pd.DataFrame({"key": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
-        keys, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate(self.counts)).astype(np.int64)
+    def take(self, names: list[str]) -> pd.DataFrame:
+        if not self.parts:
+            return pd.DataFrame({k: np.empty(0, np.int64) for k in [*names, "n"]})
+        columns = {k: np.concatenate([p[k] for p in self.parts]) for k in ("key", *names, "n")}
         self.__init__()
-        return pd.DataFrame({"key": keys, "n": counts})
+        _, first, inverse = np.unique(columns["key"], return_index=True, return_inverse=True)
+        counts = np.bincount(inverse, columns["n"]).astype(np.int64)
+        return pd.DataFrame({**{k: columns[k][first] for k in names}, "n": counts})
 
 
-def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, n): how often each key that keys_of(tokens, sizes) gives occurs over all texts."""
+def _counted(texts: DataFrame, keys_of, names: list[str]) -> DataFrame:
+    """(names..., n): how often each key that keys_of(tokens, sizes) gives occurs over all texts; names are among its arrays."""
 
     def work(frames):
         memo, tally = WordHashes(), _Tally()
         for frame in _blocks(frames):
-            tally.add(keys_of(*_tokens(frame["text"], memo)))
-            if tally.size > 3_000_000:
-                yield tally.take()
-        yield tally.take()
+            tally.add(**keys_of(*_tokens(frame["text"], memo)))
+            if tally.size > TALLY:
+                yield tally.take(names)
+        yield tally.take(names)
 
-    return texts.select("text").mapInPandas(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    schema = ", ".join(f"{k} long" for k in [*names, "n"])
+    return texts.select("text").mapInPandas(work, schema).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Vocabulary:
-    """Frequent words by hash (sorted) with their counts; class 0 is all others, first is the start of a text."""
+    """Frequent words by hash (sorted) with their counts; first is the start of a text.
+
+    Other words have codes of their own, or, if lumped, share code 0.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
     tokens: int
     distinct: int
     texts: int
+    lumped: bool
 
     @property
     def first(self) -> int:
@@ -122,30 +156,32 @@ class Vocabulary:
     def total(self) -> float:
         return self.tokens + ADDED * (self.distinct + 1)
 
-    def classes(self, tokens: np.ndarray) -> np.ndarray:
+    def codes(self, tokens: np.ndarray) -> np.ndarray:
+        others = np.zeros(len(tokens), np.int64) if self.lumped else tokens | RARE
         if not len(self.hashes):
-            return np.zeros(len(tokens), np.int64)
+            return others
         at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == tokens, at + 1, 0)
+        return np.where(self.hashes[at] == tokens, at + 1, others)
 
-    def pairs(self, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Key of each token's class after that of the token before it."""
-        before = np.empty_like(classes)
-        before[1:] = classes[:-1]
+    def before(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Code of what is before each token."""
+        before = np.empty_like(codes)
+        before[1:] = codes[:-1]
         before[np.cumsum(sizes) - sizes] = self.first
-        return before << BITS | classes
+        return before
 
     def base(self) -> np.ndarray:
-        """P1 of each class; class 0 has what the frequent words leave, unknown words included."""
+        """P1 of each number; 0 has what the frequent words leave, unknown words included."""
         frequent = (self.counts + ADDED) / self.total
         rest = (self.tokens - self.counts.sum() + ADDED * (self.distinct - len(self.counts) + 1)) / self.total
         return np.concatenate([[rest], frequent])
 
     def contexts(self) -> np.ndarray:
-        """How often each class, and the start of a text, is a context. The end of a text is none."""
-        at = self.classes(np.asarray([END]))[0]
+        """How often each number, and the start of a text, is a context. The end of a text is none."""
+        at = self.codes(np.asarray([END]))[0]
         out = np.concatenate([[self.tokens - self.counts.sum()], self.counts, [self.texts]]).astype(np.float64)
-        out[at] -= self.texts
+        if numbered(at):
+            out[at] -= self.texts
         return out
 
 
@@ -166,56 +202,79 @@ def discounts(n: dict[int, int]) -> list[float]:
 @dataclass
 class Model:
     vocabulary: Vocabulary
-    #: (order, key, value): log10 P1 by word hash for order 1, gains by pair for order 2.
-    table: DataFrame
-    #: log10 alpha of each context class.
+    #: (key, n): words by hash.
+    words: DataFrame
+    #: (u, v, n): listed pairs by code.
+    pairs: DataFrame
+    #: (u, v, value): gains of listed pairs with a word that has no number; alpha counts as 1 if u has none.
+    gains: DataFrame
+    #: (u, value): log10 alpha of contexts that have no number.
+    contexts: DataFrame
+    #: log10 size and log10 alpha of each number as a context, log10 P1 of each.
+    sizes: np.ndarray
     backoff: np.ndarray
-    #: Keys and gains of frequent pairs.
-    hot: tuple[np.ndarray, np.ndarray]
+    log_base: np.ndarray
+    #: Discount ratios.
+    discounts: list[float]
+
+    def gain(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Gains of pairs of numbers that occur n times."""
+        kept = n * np.asarray([*self.discounts, 1.0])[np.minimum(n, DISCOUNTED + 1).astype(np.int64) - 1]
+        u = keys >> BITS
+        return np.log10(kept) - self.sizes[u] - self.backoff[u] - self.log_base[keys & MASK]
 
 
-def fit(texts: DataFrame) -> Model:
+def fit(texts: DataFrame, whole: bool = False) -> Model:
     """Learn from all rows of texts (column text, no nulls)."""
-    spark = texts.sparkSession
-    words = stored(_counted(texts, lambda tokens, sizes: tokens), "lm-words")
+    spark, least = texts.sparkSession, 1 if whole else LEAST
+    words = stored(_counted(texts, lambda tokens, sizes: {"keys": tokens}, ["key"]), "lm-words")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_texts = words.where(F.col("key") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = words.where(F.col("n") >= max(1.0, SHARE * tokens)).orderBy("key").toPandas()
-    vocabulary = Vocabulary(hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64), tokens, distinct, n_texts)
+    frequent = F.col("n") >= max(1.0, SHARE * tokens)
+    hot = words.where(frequent).orderBy("key").toPandas()
+    vocabulary = Vocabulary(hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64), tokens, distinct, n_texts, not whole)
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    def pairs(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        own = shared.value
-        return own.pairs(own.classes(tokens), sizes)
-
-    once = Observation()
-    counted = _counted(texts, pairs).observe(once, F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("n"))
-    listed = stored(counted.where(F.col("n") >= LEAST), "lm-pairs")
-    how_many = {r["n"]: r["count"] for r in listed.where(F.col("n") <= DISCOUNTED + 1).groupBy("n").count().collect()}
-    how_many[1] = once.get["n"] or 0
-    ratio = F.element_at(F.array(*map(F.lit, [*discounts(how_many), 1.0])), F.least(F.col("n"), F.lit(DISCOUNTED + 1)).cast("int"))
+    def pairs_of(tokens: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+        v = shared.value.codes(tokens)
+        u = shared.value.before(v, sizes)
+        return {"keys": hashed_pairs(u, v), "u": u, "v": v}
+
+    seen = Observation()
+    counted = _counted(texts, pairs_of, ["u", "v"])
+    counted = counted.observe(seen, *(F.sum(F.when(F.col("n") == r, 1).otherwise(0)).alias(str(r)) for r in range(1, DISCOUNTED + 2)))
+    listed = stored(counted.where(F.col("n") >= least), "lm-pairs")
+    d = discounts({r: seen.get[str(r)] or 0 for r in range(1, DISCOUNTED + 2)})
+    ratio = F.element_at(F.array(*map(F.lit, [*d, 1.0])), F.least(F.col("n"), F.lit(DISCOUNTED + 1)).cast("int"))
     base, contexts = vocabulary.base(), vocabulary.contexts()
-    # One row per class, a million at most: safe to broadcast.
-    classes = spark.createDataFrame(pd.DataFrame({"class": np.arange(len(base)), "p": base}))
-    listed = listed.select(
-        "key", "n", F.shiftright("key", BITS).alias("u"), F.col("key").bitwiseAND(F.lit(MASK)).alias("class"), (ratio * F.col("n")).alias("kept")
-    )
-    with_base = listed.join(F.broadcast(classes), "class")
-    sums = with_base.groupBy("u").agg(F.sum("kept").alias("kept"), F.sum("p").alias("p"), F.sum("n").alias("n")).toPandas()
-    u = sums["u"].to_numpy(np.int64)
+    # One row per number, a million at most: safe to broadcast.
+    of_number = F.broadcast(spark.createDataFrame(pd.DataFrame({"v": np.arange(len(base)), "m": np.concatenate([[0], vocabulary.counts])}), "v long, m long"))
+    of_hash = words.where(~frequent).select(F.col("key").bitwiseOR(F.lit(RARE)).alias("v"), F.col("n").alias("m"))
+    u_known, v_known = numbered(F.col("u")), numbered(F.col("v"))
+    p = F.when(F.col("v") == 0, float(base[0])).otherwise((F.col("m") + ADDED) / vocabulary.total)
+    full = lambda rows: rows.select("u", "v", "n", (ratio * F.col("n")).alias("kept"), p.alias("p"))
+    common = full(listed.where(u_known & v_known).join(of_number, "v"))
+    other = listed.where(~u_known & v_known).join(of_number, "v").unionByName(listed.where(~v_known).join(of_hash, "v"))
+    # With the words' counts: probabilities would take more room.
+    other = full(stored(other.select("u", "v", "n", "m"), "lm-rare-pairs"))
+    sums = [F.sum("kept").alias("kept"), F.sum("p").alias("p"), F.sum("n").alias("n")]
+    known = common.select("u", "kept", "p", "n").unionByName(other.where(u_known).select("u", "kept", "p", "n")).groupBy("u").agg(*sums).toPandas()
+    u = known["u"].to_numpy(np.int64)
     # A context all of whose mass is listed gives up as much as one more occurrence would have.
-    kept = sums["kept"].to_numpy(np.float64)
+    kept = known["kept"].to_numpy(np.float64)
     size = contexts[u] + (contexts[u] - kept < 1e-9)
-    left, free = 1 - kept / size, 1 - sums["p"].to_numpy(np.float64)
-    backoff = np.zeros(vocabulary.first + 1)
-    backoff[u] = np.log10(left / np.maximum(free, 1e-12))
-    per_context = spark.createDataFrame(pd.DataFrame({"u": u, "size": size, "alpha": backoff[u]}), "u long, size double, alpha double")
-    gain = F.log10(F.col("kept") / F.col("size")) - F.col("alpha") - F.log10("p")
-    gains = with_base.join(F.broadcast(per_context), "u").select(F.lit(2).alias("order"), "key", "n", gain.alias("value"))
-    singles = words.select(F.lit(1).alias("order"), "key", "n", F.log10((F.col("n") + ADDED) / vocabulary.total).alias("value"))
-    table = stored(singles.unionByName(gains), "lm-model", partition_by="order")
-    frequent = table.where((F.col("order") == 2) & (F.col("n") >= max(1.0, SHARE * tokens))).select("key", "value").orderBy("key").toPandas()
-    return Model(vocabulary, table, backoff, (frequent["key"].to_numpy(np.int64), frequent["value"].to_numpy(np.float64)))
+    left, free = 1 - kept / size, 1 - known["p"].to_numpy(np.float64)
+    backoff, sizes = np.zeros(vocabulary.first + 1), np.zeros(vocabulary.first + 1)
+    backoff[u], sizes[u] = np.log10(left / np.maximum(free, 1e-12)), np.log10(size)
+    # The others by the same rules: as all their pairs are listed, these add up to the context.
+    rare = other.where(~u_known).groupBy("u").agg(*sums)
+    rare = rare.withColumn("size", F.col("n") + F.when(F.col("n") - F.col("kept") < 1e-9, 1).otherwise(0))
+    rare = stored(rare.select("u", "size", F.log10((1 - F.col("kept") / F.col("size")) / F.greatest(1 - F.col("p"), F.lit(1e-12))).alias("value")), "lm-contexts")
+    per_number = F.broadcast(spark.createDataFrame(pd.DataFrame({"u": u, "known": sizes[u] + backoff[u]}), "u long, known double"))
+    per_hash = rare.select("u", F.log10("size").alias("known"))
+    gain = (F.log10("kept") - F.col("known") - F.log10("p")).alias("value")
+    gains = other.where(u_known).join(per_number, "u").unionByName(other.where(~u_known).join(per_hash, "u")).select("u", "v", gain)
+    return Model(vocabulary, words, listed, gains, rare.select("u", "value"), sizes, backoff, np.log10(base), d)
 
 
 def _lookup(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,65 +286,127 @@ def _lookup(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np
     return found, np.where(found, values[at], 0.0)
 
 
+def _packed(order: int, keys: np.ndarray, shard: np.ndarray, others: list[np.ndarray], shards: int):
+    """(shard, keys, others...) as bytes for each shard that has keys, sorted by key."""
+    place = np.lexsort((keys, shard))
+    keys, shard, others = keys[place], shard[place], [x[place] for x in others]
+    bounds = np.searchsorted(shard, np.arange(shards + 1))
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        if a < b:
+            # Halves of sorted keys, apart from each other, compress well.
+            halves = [(keys[a:b] >> BITS).astype(np.uint32), (keys[a:b] & MASK).astype(np.uint32)] if order == 2 else [keys[a:b]]
+            yield int(shard[a]), b"".join(x.tobytes() for x in halves), *(x[a:b].tobytes() for x in others)
+
+
+def _unpacked(order: int, keys: bytes) -> np.ndarray:
+    if order != 2:
+        return np.frombuffer(keys, np.int64)
+    high, low = np.frombuffer(keys, np.uint32).astype(np.int64).reshape(2, -1)
+    return high << BITS | low
+
+
+def _tables(rows: DataFrame, order: int, shards: int) -> DataFrame:
+    """Rows (place, key, value) of a table, packed by the shard of place."""
+
+    def work(frames):
+        held, size = [], 0
+
+        def out():
+            place, keys, values = (np.concatenate([f[k].to_numpy() for f in held]) for k in ("place", "key", "value"))
+            packed = [(s, order, k, v) for s, k, v in _packed(order, keys, shard_of(place, shards), [values], shards)]
+            return pd.DataFrame(packed, columns=["shard", "order", "keys", "values"])
+
+        for frame in frames:
+            held.append(frame)
+            size += len(frame)
+            if size > TALLY:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return rows.mapInPandas(work, "shard int, order int, keys binary, values binary")
+
+
 def score(texts: DataFrame, model: Model) -> DataFrame:
-    """(row, n_tokens, n_known, base_score, score) of each row of texts (row, text; no nulls)."""
+    """(row, n_tokens, n_known, base_score, score) of each row of texts (row, held_out, text; no nulls).
+
+    Rows are numbered without gaps in each partition. All pairs of a row that isn't held out were learned from.
+    """
     spark, vocabulary = texts.sparkSession, model.vocabulary
     shards = max(1, -(-vocabulary.tokens // SHARD_TOKENS))
-    shared = spark.sparkContext.broadcast((vocabulary, model.backoff, *model.hot))
+    bound = max(1.0, SHARE * vocabulary.tokens)
+    by_number = numbered(F.col("u")) & numbered(F.col("v"))
+    pairs = model.pairs.where(by_number).select(F.shiftleft("u", BITS).bitwiseOR(F.col("v")).alias("key"), "n")
+    # A frequent pair is one of frequent words; there are 1 / SHARE at most.
+    hot = pairs.where(F.col("n") >= bound).orderBy("key").toPandas()
+    hot_keys = hot["key"].to_numpy(np.int64)
+    arrays = Model(vocabulary, None, None, None, None, model.sizes, model.backoff, model.log_base, model.discounts)
+    shared = spark.sparkContext.broadcast((arrays, hot_keys, arrays.gain(hot_keys, hot["n"].to_numpy(np.int64))))
     unknown = float(np.log10(ADDED / vocabulary.total))
 
     def local(frames):
         memo = WordHashes()
-        own, backoff, hot_keys, hot_gains = shared.value
-        log_base = np.log10(own.base())
-        for number, frame in enumerate(_blocks(frames)):
+        own, hot_keys, hot_gains = shared.value
+        for frame in _blocks(frames):
             rows = frame["row"].to_numpy(np.int64)
             tokens, sizes = _tokens(frame["text"], memo)
             of = np.repeat(np.arange(len(rows)), sizes)
-            classes = own.classes(tokens)
-            pairs = own.pairs(classes, sizes)
-            rare = classes == 0
-            hot, gains = _lookup(pairs, hot_keys, hot_gains)
-            add = lambda weights: np.bincount(of, weights, len(rows))
-            base = add(np.where(rare, 0.0, log_base[classes]))
-            rest = add(backoff[pairs >> BITS] + gains)
-            ready = np.concatenate([sizes.astype(float), add(~rare), base, rest]).tobytes()
-            out = [(int(rows[0] % shards), 0, rows.tobytes(), b"", b"", ready)]
-            for order, keys, docs in ((1, tokens[rare], of[rare]), (2, pairs[~hot], of[~hot])):
-                shard = shard_of(keys, shards)
-                place = np.lexsort((keys, shard))
-                keys, docs, shard = keys[place], docs[place].astype(np.uint16), shard[place]
-                for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(shard, np.arange(shards + 1)))):
-                    if a < b:
-                        # Halves of sorted keys, apart from each other, compress well.
-                        halves = (keys[a:b] >> BITS).astype(np.uint32).tobytes() + (keys[a:b] & MASK).astype(np.uint32).tobytes() if order == 2 else keys[a:b].tobytes()
-                        out.append((int(shard[a]), order, rows.tobytes(), halves, docs[a:b].tobytes(), b""))
-            yield pd.DataFrame(out, columns=["shard", "order", "rows", "keys", "docs", "ready"])
+            v = own.vocabulary.codes(tokens)
+            u = own.vocabulary.before(v, sizes)
+            rare = (v == 0) | ~numbered(v)
+            u_known = numbered(u)
+            both = u_known & numbered(v)
+            add = lambda of, weights=None: np.bincount(of, weights, len(rows)).astype(np.float64)  # noqa: E731, B023
+            base = add(of[~rare], own.log_base[v[~rare]])
+            keys, docs = u[both] << BITS | v[both], of[both]
+            found, gains = _lookup(keys, hot_keys, hot_gains)
+            rest = add(of[u_known], own.backoff[u[u_known]]) + add(docs, gains)
+            ready = np.concatenate([sizes.astype(float), add(of[~rare]), base, rest]).tobytes()
+            out = [(int(rows[0] % shards), 0, int(rows[0]), b"", b"", ready)]
+            hashed = hashed_pairs(u[~both], v[~both])
+            u, u_known, of_hashed = u[~both], u_known[~both], of[~both]
+            # Where a rare context may lack the pair, the context is asked for, too.
+            asks = ~u_known & frame["held_out"].to_numpy(bool)[of_hashed]
+            at = shard_of(np.where(u_known, hashed, u), shards)
+            for order, keys, docs, shard, more in (
+                (1, tokens[rare], of[rare], shard_of(tokens[rare], shards), None), (2, keys[~found], docs[~found], shard_of(keys[~found], shards), None),
+                (3, hashed[~asks], of_hashed[~asks], at[~asks], None), (4, hashed[asks], of_hashed[asks], at[asks], u[asks]),
+            ):
+                others = [docs.astype(np.uint16), *([] if more is None else [more])]
+                for of_shard, packed, *extra in _packed(order, keys, shard, others, shards):
+                    out.append((of_shard, order, int(rows[0]), b"".join([packed, *extra[1:]]), extra[0], b""))
+            yield pd.DataFrame(out, columns=["shard", "order", "first", "keys", "docs", "ready"])
 
     def look_up(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        tables = {}
-        for order in (1, 2):
-            part = known[known["order"] == order].sort_values("key")
-            tables[order] = part["key"].to_numpy(np.int64), part["value"].to_numpy(np.float64)
+        own, tables = shared.value[0], {}
+        for order in (1, 2, 3, 5):
+            parts = known[known["order"] == order]
+            keys = np.concatenate([np.empty(0, np.int64), *(_unpacked(order, k) for k in parts["keys"])])
+            values = np.concatenate([np.empty(0), *(np.frombuffer(v, np.float64) for v in parts["values"])])
+            place = np.argsort(keys)
+            tables[order] = keys[place], values[place]
+        tables[2] = tables[2][0], own.gain(*tables[2])
+        tables[4] = tables[3]
         out = []
-        for order, rows, keys, docs, ready in asked[["order", "rows", "keys", "docs", "ready"]].itertuples(index=False):
-            rows = np.frombuffer(rows, np.int64)
+        for order, first, keys, docs, ready in asked[["order", "first", "keys", "docs", "ready"]].itertuples(index=False):
             if order == 0:
                 n_tokens, n_known, base, rest = np.frombuffer(ready, np.float64).reshape(4, -1)
+                rows = first + np.arange(len(n_tokens))
             else:
                 docs = np.frombuffer(docs, np.uint16)
-                if order == 2:
-                    high, low = np.frombuffer(keys, np.uint32).astype(np.int64).reshape(2, -1)
-                    keys = high << BITS | low
-                else:
-                    keys = np.frombuffer(keys, np.int64)
+                keys = _unpacked(order, keys)
+                if order == 4:
+                    keys, contexts = keys.reshape(2, -1)
                 found, values = _lookup(keys, *tables[order])
                 if order == 1:
                     values = np.where(found, values, unknown)
-                touched = np.unique(docs)
-                add = lambda weights: np.bincount(docs, weights, len(rows))[touched]  # noqa: E731, B023
+                if order == 4:
+                    values = np.where(found, values, _lookup(contexts, *tables[5])[1])
+                touched, at = np.unique(docs, return_inverse=True)
+                add = lambda weights: np.bincount(at, weights, len(touched))  # noqa: E731, B023
                 nothing = np.zeros(len(touched))
-                rows, n_tokens = rows[touched], nothing
+                rows, n_tokens = first + touched.astype(np.int64), nothing
                 n_known, base, rest = (add(found), add(values), nothing) if order == 1 else (nothing, nothing, add(values))
             out.append(pd.DataFrame({"row": rows, "n_tokens": n_tokens, "n_known": n_known, "base": base, "rest": rest}))
         names = ["row", "n_tokens", "n_known", "base", "rest"]
@@ -293,9 +414,13 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
             return pd.DataFrame(columns=names)
         return pd.concat(out).groupby("row", as_index=False).sum()[names]
 
-    asked = texts.select("row", "text").mapInPandas(local, "shard int, order int, rows binary, keys binary, docs binary, ready binary")
-    rare = F.col("n") < max(1.0, SHARE * vocabulary.tokens)
-    known = model.table.where(rare).select(shard_of(F.col("key"), shards).alias("shard"), "order", "key", "value")
+    asked = texts.select("row", "held_out", "text").mapInPandas(local, "shard int, order int, first long, keys binary, docs binary, ready binary")
+    table = lambda rows, order, place, key, value: _tables(rows.select(place.alias("place"), key.alias("key"), value.cast("double").alias("value")), order, shards)
+    word, u, hashed = F.col("key"), F.col("u"), F.xxhash64("u", "v")
+    known = table(model.words.where(F.col("n") < bound), 1, word, word, F.log10((F.col("n") + ADDED) / vocabulary.total))
+    known = known.unionByName(table(pairs.where(F.col("n") < bound), 2, word, word, F.col("n")))
+    known = known.unionByName(table(model.gains, 3, F.when(numbered(u), hashed).otherwise(u), hashed, F.col("value")))
+    known = known.unionByName(table(model.contexts, 5, u, u, F.col("value")))
     parts = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(look_up, "row long, n_tokens double, n_known double, base double, rest double")
     sums = parts.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "rest")))
     return sums.select(
@@ -304,17 +429,18 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
 
-    Learns from the rows that held_out() doesn't keep back, and scores all rows. A null text counts as empty, and an
+    Learns from the rows that held_out() doesn't keep back, and scores all rows; with whole=False by the smaller model
+    that lumps rare words and leaves out rare pairs. A null text counts as empty, and an
     empty one has just its end. Repeated rows count as often as they occur and get equal scores; rows with a null
     doc_id are learned from. An empty table gives an empty table; other columns are not read, whatever their names.
     """
     own = F.col("doc_id").cast("long")
     texts = docs.select(own.alias("doc_id"), held_out(own).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("row", F.monotonically_increasing_id())
-    model = fit(texts.where(~F.col("held_out")))
+    model = fit(texts.where(~F.col("held_out")), whole)
     scores = score(texts, model)
     # Rows are numbered by the scan alone, so both branches number them alike.
     out = texts.select("row", "doc_id", "held_out").join(scores, "row")
@@ -322,4 +448,4 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=True)
