@@ -286,6 +286,13 @@ def test_katz_whole(spark, docs, texts, nothing, monkeypatch, tmp_path, share):
     assert katz.score_documents(nothing, whole=True).count() == 0
 
 
+def test_katz_single_pairs(spark, tmp_path):
+    """A pair seen once has its discounted count: half an occurrence where counts of counts say nothing."""
+    spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    scores = {r.doc_id: r.score for r in katz.query(spark, str(tmp_path)).collect()}
+    assert all(math.isclose(scores[i], math.log10(0.5 / 2 * 0.5 * 0.5)) for i in (1, 2))
+
+
 # op5
 
 
