@@ -382,6 +382,18 @@ def test_personal_data(docs, texts, nothing):
     assert pii.find_personal_data(nothing).count() == 0
 
 
+def test_skip_edge_adds_span(spark):
+    """A part of a phone number that is repeated on its own: only the edge to the equal token tells it from other numbers."""
+    phone, other = "+1 (913) 555-3797", ["730", "884", "917", "662"]
+    texts = {i: f"call {phone} and then {phone} end" for i in range(12)}
+    texts |= {i: f"about {other[i % 4]} {other[(i + 1) % 4]} of {other[i % 4]}" for i in range(20, 40)}
+    texts[90] = f"call {phone} but again 913 here and 459 there"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    added = {r.doc_id: [(s.kind, s.start, s.end) for s in r.added] for r in pii.find_personal_data(docs).collect()}
+    start = texts[90].rindex("913")
+    assert added == {**{i: [] for i in texts}, 90: [("phone", start, start + 3)]}
+
+
 # op7
 
 

@@ -117,12 +117,12 @@ def shape_of(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{size}|{signs}|{parts}|{letters}|{check}".encode(), digest_size=4).digest(), "little") % SHAPES
 
 
-def key_of(token: str) -> str | None:
-    """Tokens with the same key are related: last seven digits, or letters and signs of one with @."""
-    digits = "".join(c for c in token if c in "0123456789")
+def keys_of(token: str) -> list[str]:
+    """Tokens that share a key are related: the token itself (one with @ in lower case), and the last seven digits of others."""
     if "@" in token:
-        return token.lower()
-    return digits[-7:] if len(digits) >= 7 else None
+        return [token.lower()]
+    digits = "".join(c for c in token if c in "0123456789")
+    return [token, f"*{digits[-7:]}"] if len(digits) >= 7 else [token]
 
 
 def tokens_of(text: str, base: list[list[Span]]) -> Tokens:
@@ -153,10 +153,10 @@ def tokens_of(text: str, base: list[list[Span]]) -> Tokens:
         out.labels.append(label)
         if i and text[previous_end:start].isspace():
             out.edges.append((i - 1, i, 0))
-        if key := key_of(token):
-            if key in last:
-                out.edges.append((last[key], i, 1))
-            last[key] = i
+        keys = keys_of(token)
+        # The token before may share both keys; that is one edge.
+        out.edges.extend((j, i, 1) for j in sorted({last[k] for k in keys if k in last}))
+        last.update((k, i) for k in keys)
         previous_end = end
     return out
 
