@@ -201,55 +201,12 @@ def test_kneser_ney(docs, texts, nothing):
 # op4
 
 
-def test_katz(docs, texts, nothing, monkeypatch):
-    monkeypatch.setattr(katz, "SHARE", 0.003)
-    monkeypatch.setattr(katz, "SHARD_TOKENS", 500)
-    rows = by_id(katz.score_documents(docs), len(texts) + 1)
-    of = {i: [*lowered(t).encode().split(), None] for i, t in texts.items()}
-    out = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
-    train = [w for i, w in of.items() if not out(i)] + [of[3]] * (not out(3))
-    c = Counter(x for w in train for x in w)
-    n = sum(c.values())
-    z = n + 0.1 * (len(c) + 1)
-    hot = {w for w in c if c[w] >= 0.003 * n}
-    p1 = lambda w: (c[w] + 0.1) / z
-    rest = 1 - sum(map(p1, hot))
-    cls = lambda w: w if w in hot else "rare"
-    base = lambda k: rest if k == "rare" else p1(k)
-    pairs, contexts = Counter(), Counter()
-    for w in train:
-        for u, v in zip(["start", *map(cls, w)], map(cls, w)):
-            pairs[u, v] += 1
-            contexts[u] += 1
-    d = katz.discounts(Counter(pairs.values()))
-    kept, listed = Counter(), Counter()
-    for (u, v), k in pairs.items():
-        if k >= 2:
-            kept[u] += k * (d[k - 1] if k <= 5 else 1)
-            listed[u] += base(v)
-    size = {u: contexts[u] + (contexts[u] - kept[u] < 1e-9) for u in kept}
-
-    def p(u, v):
-        k = pairs[u, v]
-        if k >= 2:
-            return k * (d[k - 1] if k <= 5 else 1) / size[u]
-        return ((1 - kept[u] / size[u]) / max(1 - listed[u], 1e-12) if u in kept else 1) * base(v)
-
-    for u in kept:
-        assert math.isclose(sum(p(u, v) for v in [*hot, "rare"]), 1, rel_tol=1e-9)
-    for i, w in of.items():
-        r = rows[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out(i), len(w), sum(x in c for x in w), n)
-        assert math.isclose(r["base_score"], sum(math.log10(p1(x)) for x in w), rel_tol=1e-7)
-        score = sum(math.log10(p(u, cls(v)) * (p1(v) / rest if cls(v) == "rare" else 1)) for u, v in zip(["start", *map(cls, w)], w))
-        assert math.isclose(r["score"], score, rel_tol=1e-7)
-    assert katz.score_documents(nothing).count() == 0
-
-
-@pytest.mark.parametrize("share", [1e-6, 0.003, 0.5])
-def test_katz_whole(spark, docs, texts, nothing, monkeypatch, tmp_path, share):
-    """Plain Katz without classes and with single pairs; what is broadcast makes no difference."""
+@pytest.mark.parametrize(("share", "hot"), [(1e-6, 100_000), (0.003, 3), (0.003, 100_000), (0.5, 1)])
+def test_katz(spark, docs, texts, nothing, monkeypatch, tmp_path, share, hot):
+    """Plain Katz; which words have numbers, which pairs are hot and how blocks are cut makes no difference."""
     monkeypatch.setattr(katz, "SHARE", share)
+    monkeypatch.setattr(katz, "HOT_TOKENS", hot)
+    monkeypatch.setattr(katz, "BLOCK_CHARS", 3000)
     monkeypatch.setattr(katz, "SHARD_TOKENS", 500)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows = by_id(katz.query(spark, str(tmp_path)), len(texts) + 1)
@@ -283,7 +240,7 @@ def test_katz_whole(spark, docs, texts, nothing, monkeypatch, tmp_path, share):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out(i), len(w), sum(x in c for x in w), n)
         assert math.isclose(r["base_score"], sum(math.log10(p1(x)) for x in w), rel_tol=1e-7)
         assert math.isclose(r["score"], sum(math.log10(p(*x)) for x in zip(["start", *w], w)), rel_tol=1e-7)
-    assert katz.score_documents(nothing, whole=True).count() == 0
+    assert katz.score_documents(nothing).count() == 0
 
 
 def test_katz_single_pairs(spark, tmp_path):

@@ -1,19 +1,20 @@
 """LM scoring: a Katz backoff model of word pairs, learned from and applied to whole tables.
 
-Counts of words and of word pairs cover all training tokens; every word and every pair that occurs is in the model.
-Pairs get Good-Turing discounted probabilities; all other mass of a context goes to the base distribution, over what
-isn't listed, by a backoff weight that makes the sum exactly one:
+Counts of words and of word pairs cover all training tokens; every word and every pair that occurs is in the model, the
+ones that occur once included. Pairs get Good-Turing discounted probabilities; all other mass of a context goes to the
+base distribution, over what isn't listed, by a backoff weight that makes the sum exactly one:
 
     P(v | u) = d(c) c(u, v) / c(u)    if c(u, v) >= 1,    alpha(u) P1(v)    otherwise.
 
-The recursion has two steps, so the logarithm of a text is its base score, plus log alpha(u) of each context, plus a
-gain log P(v | u) - log alpha(u) - log P1(v) of each listed pair. Words that make up a millionth of the tokens or more
-(a million words at most) have a number; what is known of them, and frequent pairs, are broadcast. All other words go by
-their 64-bit hash, what is known of them and of their pairs lies in tables, and tokens that need it go to the shard that
-has it. Rare contexts and all their pairs share a shard.
+Words that make up SHARE of the tokens or more (1 / SHARE words at most) have a number, and their counts are broadcast.
+All other words go by a hash. Tokens travel once, packed by blocks of documents, to the shard that has all tokens that
+their counts need:
 
-A smaller model (whole=False) has one class for all words without a number, within which a word has its share of the
-base distribution, and lists pairs from LEAST occurrences on. The query doesn't use it.
+    both words numbered: the shard of the pair;  v without a number: that of v;  else: that of u.
+
+A shard counts its pairs from the training tokens and evaluates all its tokens. What a shard can't know alone is left to
+ordinary joins by context: backoff weights (for unseen pairs), and sizes of contexts whose pairs lie elsewhere. Pairs
+that make up a large part of all tokens (HOT_PAIRS at most) don't travel as tokens but as counts.
 """
 
 from __future__ import annotations
@@ -22,69 +23,85 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WordHashes, stored
+from tracelake.llm.common import WordHashes, mixed, stored
 
-#: Share of all tokens from which on words and pairs are frequent; there can be 1 / SHARE of each at most.
+#: Share of all tokens from which on words have numbers; there can be 1 / SHARE of them at most.
 SHARE = 1e-6
 #: Added to each count of the base distribution (a fixed value of the task).
 ADDED = 0.1
-#: Counts up to this are discounted; the smaller model lists pairs from LEAST on.
-DISCOUNTED, LEAST = 5, 2
-#: Tokens per shard when texts are scored.
+#: Counts up to this are discounted.
+DISCOUNTED = 5
+#: Tokens per shard.
 SHARD_TOKENS = 3_000_000
-ROWS = 1000
-#: Distinct keys that a task counts before it passes them on.
+#: Documents and characters per block; a block has one text at least. Numbers of documents fit into DOC_BITS.
+BLOCK_ROWS, BLOCK_CHARS, DOC_BITS = 4000, 6_000_000, 12
+#: Distinct words that a task counts before it passes them on.
 TALLY = 1_500_000
+#: Pairs with this share of a block's tokens, and of all tokens, are hot; there can be so many at most.
+HOT_SHARE, HOT_PAIRS, HOT_TOKENS = 0.004, 1000, 100_000
 BITS = 21
 MASK = (1 << BITS) - 1
 #: Set in the codes of words without a number, so that they are none.
 RARE = 1 << 40
+#: Marks documents that aren't learned from.
+OUT = 1 << 15
 #: What stands for the end of a text among words: the hash of the empty word.
 END = WordHashes()[b""]
 
+#: Kinds of rows: tokens by what counts them; sums of documents, statistics of contexts, tokens that depend on those of
+#: another shard, what a block knows of its documents, counts of counts, hot pairs, and hot pairs of documents.
+PAIR, BY_V, BY_U, SUMS, CONTEXTS, ASKS, BLOCK, COUNTS, HOT, HOT_DOCS = range(10)
+#: Arrays of packed rows.
+ARRAYS = {
+    PAIR: ["i8", "u2"], BY_V: ["i8", "u2", "i8"], BY_U: ["i8", "u2", "i8"], HOT: ["i8", "i8"], HOT_DOCS: ["i8", "i8", "i8"],
+    BLOCK: ["i8", "i8", "i8", "i8", "u1", "f8"], SUMS: ["i8", "f8", "f8", *["u4"] * (DISCOUNTED + 1)],
+}
+X = [f"x{i}" for i in range(1, DISCOUNTED + 2)]
+
 
 def held_out(doc_id: Column) -> Column:
     """Whether a document isn't learned from: crc32 of its id as text is a multiple of 10 (a null id's isn't)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def shard_of(key, shards: int):
-    """Shard of a key; the same for columns and arrays."""
-    if isinstance(key, Column):
-        return (key.bitwiseXOR(F.shiftright(key, BITS)).bitwiseAND(F.lit(0x7FFFFFFF)) % shards).cast("int")
-    return (key ^ (key >> BITS)) & 0x7FFFFFFF if shards == 1 << 31 else ((key ^ (key >> BITS)) & 0x7FFFFFFF) % shards
-
-
 def numbered(code):
-    """Whether a code (column or array) is the number of a word, of the start or of the class of rare words."""
+    """Whether a code (column or array) is the number of a word or of the start of a text."""
     return (code >= 0) & (code <= MASK)
 
 
-def _turned(x: np.ndarray, by: int) -> np.ndarray:
-    return x << np.uint64(by) | x >> np.uint64(64 - by)
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(keys.astype(np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal length as bytes; the first is ascending and kept as differences. Bytes of equal weight lie together."""
+    first = np.diff(arrays[0].astype(np.int64), prepend=0)
+    planes = [x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (first, *arrays[1:]) if len(x)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
-def hashed_pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """What Spark's xxhash64(u, v) gives for arrays of int64."""
-    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    h = np.full(len(u), 42, np.uint64)
-    for part in (u, v):
-        h = h + p5 + np.uint64(8) ^ _turned(part.astype(np.int64).view(np.uint64) * p2, 31) * p1
-        h = _turned(h, 27) * p1 + p4
-        h = (h ^ h >> np.uint64(33)) * p2
-        h = (h ^ h >> np.uint64(29)) * p3
-        h ^= h >> np.uint64(32)
-    return h.view(np.int64)
+
+def unpacked(data: bytes, types: list[str]) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, at, out = len(raw) // sum(np.dtype(t).itemsize for t in types), 0, []
+    for t in types:
+        wide = np.dtype(t).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(t) if n else np.empty(0, t))
+        at += n * wide
+    out[0] = np.cumsum(out[0])
+    return out
 
 
 def _tokens(texts, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each with its end, and the number of tokens of each text."""
     parts, sizes = [], []
     for text in texts:
-        words = text.encode().lower().split()
+        words = text.encode("utf-8", "surrogatepass").lower().split()
         parts.append(np.fromiter(map(memo.__getitem__, words), np.int64, len(words)))
         parts.append(np.asarray([END]))
         sizes.append(len(words) + 1)
@@ -92,61 +109,67 @@ def _tokens(texts, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(frames):
-    """Frames of up to ROWS rows; one frame's token arrays are held at a time."""
+    """Frames of up to BLOCK_ROWS rows and BLOCK_CHARS characters, one row at least."""
     for frame in frames:
-        for start in range(0, len(frame), ROWS):
-            yield frame.iloc[start : start + ROWS]
-
-
-class _Tally:
-    """Counts of int64 keys, merged when they get many; other arrays have one value per key."""
+        ends = frame["text"].str.len().to_numpy(np.int64).cumsum()
+        start = 0
+        while start < len(frame):
+            before = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, before + BLOCK_CHARS, side="right"))
+            stop = min(max(stop, start + 1), start + BLOCK_ROWS)
+            yield frame.iloc[start:stop]
+            start = stop
 
-    def __init__(self):
-        self.parts, self.size = [], 0
 
-    def add(self, keys: np.ndarray, **others: np.ndarray) -> None:
-        found, first, n = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append({"key": found, **{k: x[first] for k, x in others.items()}, "n": n})
-        self.size += len(found)
-
-    def take(self, names: list[str]) -> pd.DataFrame:
-        if not self.parts:
-            return pd.DataFrame({k: np.empty(0, np.int64) for k in [*names, "n"]})
-        columns = {k: np.concatenate([p[k] for p in self.parts]) for k in ("key", *names, "n")}
-        self.__init__()
-        _, first, inverse = np.unique(columns["key"], return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, columns["n"]).astype(np.int64)
-        return pd.DataFrame({**{k: columns[k][first] for k in names}, "n": counts})
+def _count_words(texts: DataFrame) -> DataFrame:
+    """(kind, a, b, n): words a (kind 0), and pairs a, b of words that are hot in a block (kind 1), with their numbers."""
 
+    def work(frames):
+        memo, held, size = WordHashes(), [], 0
 
-def _counted(texts: DataFrame, keys_of, names: list[str]) -> DataFrame:
-    """(names..., n): how often each key that keys_of(tokens, sizes) gives occurs over all texts; names are among its arrays."""
+        def out():
+            keys, n = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
+            found, inverse = np.unique(keys, return_inverse=True)
+            return pd.DataFrame({"kind": 0, "a": found, "b": 0, "n": np.bincount(inverse, n).astype(np.int64)})
 
-    def work(frames):
-        memo, tally = WordHashes(), _Tally()
         for frame in _blocks(frames):
-            tally.add(**keys_of(*_tokens(frame["text"], memo)))
-            if tally.size > TALLY:
-                yield tally.take(names)
-        yield tally.take(names)
+            tokens, sizes = _tokens(frame["text"], memo)
+            found, inverse, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            held.append((found, n))
+            size += len(found)
+            least = max(2, HOT_SHARE * len(tokens))
+            often = np.flatnonzero(n >= least)
+            if len(often):
+                place = np.full(len(found), -1)
+                place[often] = np.arange(len(often))
+                at = place[inverse]
+                inside = np.ones(len(tokens), bool)
+                inside[np.cumsum(sizes) - sizes] = False
+                both = np.flatnonzero((at[1:] >= 0) & (at[:-1] >= 0) & inside[1:])
+                pair, count = np.unique(at[both] * len(often) + at[both + 1], return_counts=True)
+                pair, count = pair[count >= least], count[count >= least]
+                if len(pair):
+                    yield pd.DataFrame({"kind": 1, "a": found[often[pair // len(often)]], "b": found[often[pair % len(often)]], "n": count})
+            if size > TALLY:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
 
-    schema = ", ".join(f"{k} long" for k in [*names, "n"])
-    return texts.select("text").mapInPandas(work, schema).groupBy(*names).agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInPandas(work, "kind int, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Vocabulary:
-    """Frequent words by hash (sorted) with their counts; first is the start of a text.
-
-    Other words have codes of their own, or, if lumped, share code 0.
-    """
+    """Words with a number, by hash (sorted), with their counts, and hot pairs; first is the start of a text."""
 
     hashes: np.ndarray
     counts: np.ndarray
     tokens: int
     distinct: int
     texts: int
-    lumped: bool
+    #: Hot pairs by key, sorted.
+    hot: np.ndarray
 
     @property
     def first(self) -> int:
@@ -157,11 +180,10 @@ class Vocabulary:
         return self.tokens + ADDED * (self.distinct + 1)
 
     def codes(self, tokens: np.ndarray) -> np.ndarray:
-        others = np.zeros(len(tokens), np.int64) if self.lumped else tokens | RARE
         if not len(self.hashes):
-            return others
+            return tokens | RARE
         at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == tokens, at + 1, others)
+        return np.where(self.hashes[at] == tokens, at + 1, tokens | RARE)
 
     def before(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Code of what is before each token."""
@@ -170,16 +192,18 @@ class Vocabulary:
         before[np.cumsum(sizes) - sizes] = self.first
         return before
 
-    def base(self) -> np.ndarray:
-        """P1 of each number; 0 has what the frequent words leave, unknown words included."""
-        frequent = (self.counts + ADDED) / self.total
-        rest = (self.tokens - self.counts.sum() + ADDED * (self.distinct - len(self.counts) + 1)) / self.total
-        return np.concatenate([[rest], frequent])
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        """P1 of words that occur so often."""
+        return (counts + ADDED) / self.total
+
+    def of_numbers(self) -> np.ndarray:
+        """P1 of each number (0 and the start have none)."""
+        return np.concatenate([[1.0], self.base(self.counts), [1.0]])
 
     def contexts(self) -> np.ndarray:
         """How often each number, and the start of a text, is a context. The end of a text is none."""
         at = self.codes(np.asarray([END]))[0]
-        out = np.concatenate([[self.tokens - self.counts.sum()], self.counts, [self.texts]]).astype(np.float64)
+        out = np.concatenate([[0], self.counts, [self.texts]]).astype(np.float64)
         if numbered(at):
             out[at] -= self.texts
         return out
@@ -199,253 +223,258 @@ def discounts(n: dict[int, int]) -> list[float]:
     return out
 
 
-@dataclass
-class Model:
-    vocabulary: Vocabulary
-    #: (key, n): words by hash.
-    words: DataFrame
-    #: (u, v, n): listed pairs by code.
-    pairs: DataFrame
-    #: (u, v, value): gains of listed pairs with a word that has no number; alpha counts as 1 if u has none.
-    gains: DataFrame
-    #: (u, value): log10 alpha of contexts that have no number.
-    contexts: DataFrame
-    #: log10 size and log10 alpha of each number as a context, log10 P1 of each.
-    sizes: np.ndarray
-    backoff: np.ndarray
-    log_base: np.ndarray
-    #: Discount ratios.
-    discounts: list[float]
-
-    def gain(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Gains of pairs of numbers that occur n times."""
-        kept = n * np.asarray([*self.discounts, 1.0])[np.minimum(n, DISCOUNTED + 1).astype(np.int64) - 1]
-        u = keys >> BITS
-        return np.log10(kept) - self.sizes[u] - self.backoff[u] - self.log_base[keys & MASK]
-
-
-def fit(texts: DataFrame, whole: bool = False) -> Model:
-    """Learn from all rows of texts (column text, no nulls)."""
-    spark, least = texts.sparkSession, 1 if whole else LEAST
-    words = stored(_counted(texts, lambda tokens, sizes: {"keys": tokens}, ["key"]), "lm-words")
+def vocabulary_of(texts: DataFrame) -> Vocabulary:
+    """Counts over all rows of texts (column text, no nulls)."""
+    counted = stored(_count_words(texts), "lm-words")
+    words = counted.where("kind = 0")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_texts = words.where(F.col("key") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = F.col("n") >= max(1.0, SHARE * tokens)
-    hot = words.where(frequent).orderBy("key").toPandas()
-    vocabulary = Vocabulary(hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64), tokens, distinct, n_texts, not whole)
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def pairs_of(tokens: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
-        v = shared.value.codes(tokens)
-        u = shared.value.before(v, sizes)
-        return {"keys": hashed_pairs(u, v), "u": u, "v": v}
-
-    seen = Observation()
-    counted = _counted(texts, pairs_of, ["u", "v"])
-    counted = counted.observe(seen, *(F.sum(F.when(F.col("n") == r, 1).otherwise(0)).alias(str(r)) for r in range(1, DISCOUNTED + 2)))
-    listed = stored(counted.where(F.col("n") >= least), "lm-pairs")
-    d = discounts({r: seen.get[str(r)] or 0 for r in range(1, DISCOUNTED + 2)})
-    ratio = F.element_at(F.array(*map(F.lit, [*d, 1.0])), F.least(F.col("n"), F.lit(DISCOUNTED + 1)).cast("int"))
-    base, contexts = vocabulary.base(), vocabulary.contexts()
-    # One row per number, a million at most: safe to broadcast.
-    of_number = F.broadcast(spark.createDataFrame(pd.DataFrame({"v": np.arange(len(base)), "m": np.concatenate([[0], vocabulary.counts])}), "v long, m long"))
-    of_hash = words.where(~frequent).select(F.col("key").bitwiseOR(F.lit(RARE)).alias("v"), F.col("n").alias("m"))
-    u_known, v_known = numbered(F.col("u")), numbered(F.col("v"))
-    p = F.when(F.col("v") == 0, float(base[0])).otherwise((F.col("m") + ADDED) / vocabulary.total)
-    full = lambda rows: rows.select("u", "v", "n", (ratio * F.col("n")).alias("kept"), p.alias("p"))
-    common = full(listed.where(u_known & v_known).join(of_number, "v"))
-    other = listed.where(~u_known & v_known).join(of_number, "v").unionByName(listed.where(~v_known).join(of_hash, "v"))
-    # With the words' counts: probabilities would take more room.
-    other = full(stored(other.select("u", "v", "n", "m"), "lm-rare-pairs"))
-    sums = [F.sum("kept").alias("kept"), F.sum("p").alias("p"), F.sum("n").alias("n")]
-    known = common.select("u", "kept", "p", "n").unionByName(other.where(u_known).select("u", "kept", "p", "n")).groupBy("u").agg(*sums).toPandas()
-    u = known["u"].to_numpy(np.int64)
-    # A context all of whose mass is listed gives up as much as one more occurrence would have.
-    kept = known["kept"].to_numpy(np.float64)
-    size = contexts[u] + (contexts[u] - kept < 1e-9)
-    left, free = 1 - kept / size, 1 - known["p"].to_numpy(np.float64)
-    backoff, sizes = np.zeros(vocabulary.first + 1), np.zeros(vocabulary.first + 1)
-    backoff[u], sizes[u] = np.log10(left / np.maximum(free, 1e-12)), np.log10(size)
-    # The others by the same rules: as all their pairs are listed, these add up to the context.
-    rare = other.where(~u_known).groupBy("u").agg(*sums)
-    rare = rare.withColumn("size", F.col("n") + F.when(F.col("n") - F.col("kept") < 1e-9, 1).otherwise(0))
-    rare = stored(rare.select("u", "size", F.log10((1 - F.col("kept") / F.col("size")) / F.greatest(1 - F.col("p"), F.lit(1e-12))).alias("value")), "lm-contexts")
-    per_number = F.broadcast(spark.createDataFrame(pd.DataFrame({"u": u, "known": sizes[u] + backoff[u]}), "u long, known double"))
-    per_hash = rare.select("u", F.log10("size").alias("known"))
-    gain = (F.log10("kept") - F.col("known") - F.log10("p")).alias("value")
-    gains = other.where(u_known).join(per_number, "u").unionByName(other.where(~u_known).join(per_hash, "u")).select("u", "v", gain)
-    return Model(vocabulary, words, listed, gains, rare.select("u", "value"), sizes, backoff, np.log10(base), d)
-
-
-def _lookup(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether each key is known, its value or 0)."""
-    if not len(known):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    found = known[at] == keys
-    return found, np.where(found, values[at], 0.0)
-
-
-def _packed(order: int, keys: np.ndarray, shard: np.ndarray, others: list[np.ndarray], shards: int):
-    """(shard, keys, others...) as bytes for each shard that has keys, sorted by key."""
-    place = np.lexsort((keys, shard))
-    keys, shard, others = keys[place], shard[place], [x[place] for x in others]
-    bounds = np.searchsorted(shard, np.arange(shards + 1))
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        if a < b:
-            # Halves of sorted keys, apart from each other, compress well.
-            halves = [(keys[a:b] >> BITS).astype(np.uint32), (keys[a:b] & MASK).astype(np.uint32)] if order == 2 else [keys[a:b]]
-            yield int(shard[a]), b"".join(x.tobytes() for x in halves), *(x[a:b].tobytes() for x in others)
-
-
-def _unpacked(order: int, keys: bytes) -> np.ndarray:
-    if order != 2:
-        return np.frombuffer(keys, np.int64)
-    high, low = np.frombuffer(keys, np.uint32).astype(np.int64).reshape(2, -1)
-    return high << BITS | low
-
-
-def _tables(rows: DataFrame, order: int, shards: int) -> DataFrame:
-    """Rows (place, key, value) of a table, packed by the shard of place."""
+    n_texts = words.where(F.col("a") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # 1 / SHARE rows at most.
+    often = words.where(F.col("n") >= max(1.0, SHARE * tokens)).select("a", "n").toPandas().sort_values("a")
+    found = Vocabulary(often["a"].to_numpy(np.int64), often["n"].to_numpy(np.int64), tokens, distinct, n_texts, np.empty(0, np.int64))
+    # Blocks in which a pair is hot have at most 1 / HOT_SHARE hot pairs each, so this share of all tokens bounds the pairs.
+    hot = counted.where((F.col("kind") == 1) & (F.col("n") >= max(HOT_TOKENS, tokens / HOT_PAIRS))).select("a", "b").toPandas()
+    u, v = found.codes(hot["a"].to_numpy(np.int64)), found.codes(hot["b"].to_numpy(np.int64))
+    found.hot = np.sort((u << BITS | v)[numbered(u) & numbered(v)])
+    return found
+
+
+def _shipped(texts: DataFrame, shared, shards: int) -> DataFrame:
+    """(shard, kind, block, packed): all tokens of texts, to the shards that have their counts."""
+
+    def messages(kind, block, keys, docs, other=None):
+        """One message for each shard that gets tokens, sorted by key."""
+        shard = shard_of(keys, shards)
+        order = np.lexsort((keys, shard) if other is None else (other, keys, shard))
+        arrays = [x[order] for x in (keys, docs, other) if x is not None]
+        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        return [(s, kind, block, packed(*(x[a:b] for x in arrays))) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if a < b]
 
     def work(frames):
-        held, size = [], 0
-
-        def out():
-            place, keys, values = (np.concatenate([f[k].to_numpy() for f in held]) for k in ("place", "key", "value"))
-            packed = [(s, order, k, v) for s, k, v in _packed(order, keys, shard_of(place, shards), [values], shards)]
-            return pd.DataFrame(packed, columns=["shard", "order", "keys", "values"])
-
-        for frame in frames:
-            held.append(frame)
-            size += len(frame)
-            if size > TALLY:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
-
-    return rows.mapInPandas(work, "shard int, order int, keys binary, values binary")
-
-
-def score(texts: DataFrame, model: Model) -> DataFrame:
-    """(row, n_tokens, n_known, base_score, score) of each row of texts (row, held_out, text; no nulls).
-
-    Rows are numbered without gaps in each partition. All pairs of a row that isn't held out were learned from.
-    """
-    spark, vocabulary = texts.sparkSession, model.vocabulary
-    shards = max(1, -(-vocabulary.tokens // SHARD_TOKENS))
-    bound = max(1.0, SHARE * vocabulary.tokens)
-    by_number = numbered(F.col("u")) & numbered(F.col("v"))
-    pairs = model.pairs.where(by_number).select(F.shiftleft("u", BITS).bitwiseOR(F.col("v")).alias("key"), "n")
-    # A frequent pair is one of frequent words; there are 1 / SHARE at most.
-    hot = pairs.where(F.col("n") >= bound).orderBy("key").toPandas()
-    hot_keys = hot["key"].to_numpy(np.int64)
-    arrays = Model(vocabulary, None, None, None, None, model.sizes, model.backoff, model.log_base, model.discounts)
-    shared = spark.sparkContext.broadcast((arrays, hot_keys, arrays.gain(hot_keys, hot["n"].to_numpy(np.int64))))
-    unknown = float(np.log10(ADDED / vocabulary.total))
-
-    def local(frames):
-        memo = WordHashes()
-        own, hot_keys, hot_gains = shared.value
-        for frame in _blocks(frames):
-            rows = frame["row"].to_numpy(np.int64)
+        memo, vocabulary = WordHashes(), shared.value
+        log_base = np.log10(vocabulary.of_numbers())
+        partition = TaskContext.get().partitionId() << 33
+        for i, frame in enumerate(_blocks(frames)):
+            block, n = partition + i, len(frame)
+            out_of = frame["held_out"].to_numpy(bool)
             tokens, sizes = _tokens(frame["text"], memo)
-            of = np.repeat(np.arange(len(rows)), sizes)
-            v = own.vocabulary.codes(tokens)
-            u = own.vocabulary.before(v, sizes)
-            rare = (v == 0) | ~numbered(v)
-            u_known = numbered(u)
-            both = u_known & numbered(v)
-            add = lambda of, weights=None: np.bincount(of, weights, len(rows)).astype(np.float64)  # noqa: E731, B023
-            base = add(of[~rare], own.log_base[v[~rare]])
-            keys, docs = u[both] << BITS | v[both], of[both]
-            found, gains = _lookup(keys, hot_keys, hot_gains)
-            rest = add(of[u_known], own.backoff[u[u_known]]) + add(docs, gains)
-            ready = np.concatenate([sizes.astype(float), add(of[~rare]), base, rest]).tobytes()
-            out = [(int(rows[0] % shards), 0, int(rows[0]), b"", b"", ready)]
-            hashed = hashed_pairs(u[~both], v[~both])
-            u, u_known, of_hashed = u[~both], u_known[~both], of[~both]
-            # Where a rare context may lack the pair, the context is asked for, too.
-            asks = ~u_known & frame["held_out"].to_numpy(bool)[of_hashed]
-            at = shard_of(np.where(u_known, hashed, u), shards)
-            for order, keys, docs, shard, more in (
-                (1, tokens[rare], of[rare], shard_of(tokens[rare], shards), None), (2, keys[~found], docs[~found], shard_of(keys[~found], shards), None),
-                (3, hashed[~asks], of_hashed[~asks], at[~asks], None), (4, hashed[asks], of_hashed[asks], at[asks], u[asks]),
-            ):
-                others = [docs.astype(np.uint16), *([] if more is None else [more])]
-                for of_shard, packed, *extra in _packed(order, keys, shard, others, shards):
-                    out.append((of_shard, order, int(rows[0]), b"".join([packed, *extra[1:]]), extra[0], b""))
-            yield pd.DataFrame(out, columns=["shard", "order", "first", "keys", "docs", "ready"])
-
-    def look_up(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        own, tables = shared.value[0], {}
-        for order in (1, 2, 3, 5):
-            parts = known[known["order"] == order]
-            keys = np.concatenate([np.empty(0, np.int64), *(_unpacked(order, k) for k in parts["keys"])])
-            values = np.concatenate([np.empty(0), *(np.frombuffer(v, np.float64) for v in parts["values"])])
-            place = np.argsort(keys)
-            tables[order] = keys[place], values[place]
-        tables[2] = tables[2][0], own.gain(*tables[2])
-        tables[4] = tables[3]
-        out = []
-        for order, first, keys, docs, ready in asked[["order", "first", "keys", "docs", "ready"]].itertuples(index=False):
-            if order == 0:
-                n_tokens, n_known, base, rest = np.frombuffer(ready, np.float64).reshape(4, -1)
-                rows = first + np.arange(len(n_tokens))
-            else:
-                docs = np.frombuffer(docs, np.uint16)
-                keys = _unpacked(order, keys)
-                if order == 4:
-                    keys, contexts = keys.reshape(2, -1)
-                found, values = _lookup(keys, *tables[order])
-                if order == 1:
-                    values = np.where(found, values, unknown)
-                if order == 4:
-                    values = np.where(found, values, _lookup(contexts, *tables[5])[1])
-                touched, at = np.unique(docs, return_inverse=True)
-                add = lambda weights: np.bincount(at, weights, len(touched))  # noqa: E731, B023
-                nothing = np.zeros(len(touched))
-                rows, n_tokens = first + touched.astype(np.int64), nothing
-                n_known, base, rest = (add(found), add(values), nothing) if order == 1 else (nothing, nothing, add(values))
-            out.append(pd.DataFrame({"row": rows, "n_tokens": n_tokens, "n_known": n_known, "base": base, "rest": rest}))
-        names = ["row", "n_tokens", "n_known", "base", "rest"]
-        if not out:
-            return pd.DataFrame(columns=names)
-        return pd.concat(out).groupby("row", as_index=False).sum()[names]
-
-    asked = texts.select("row", "held_out", "text").mapInPandas(local, "shard int, order int, first long, keys binary, docs binary, ready binary")
-    table = lambda rows, order, place, key, value: _tables(rows.select(place.alias("place"), key.alias("key"), value.cast("double").alias("value")), order, shards)
-    word, u, hashed = F.col("key"), F.col("u"), F.xxhash64("u", "v")
-    known = table(model.words.where(F.col("n") < bound), 1, word, word, F.log10((F.col("n") + ADDED) / vocabulary.total))
-    known = known.unionByName(table(pairs.where(F.col("n") < bound), 2, word, word, F.col("n")))
-    known = known.unionByName(table(model.gains, 3, F.when(numbered(u), hashed).otherwise(u), hashed, F.col("value")))
-    known = known.unionByName(table(model.contexts, 5, u, u, F.col("value")))
-    parts = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(look_up, "row long, n_tokens double, n_known double, base double, rest double")
-    sums = parts.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "rest")))
-    return sums.select(
-        "row", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
-        F.col("base").alias("base_score"), (F.col("base") + F.col("rest")).alias("score"),
-    )
-
-
-def score_documents(docs: DataFrame, whole: bool = False) -> DataFrame:
+            doc = np.repeat(np.arange(n), sizes)
+            v = vocabulary.codes(tokens)
+            u = vocabulary.before(v, sizes)
+            u_known, v_known = numbered(u), numbered(v)
+            marked = (doc | np.where(out_of, OUT, 0)[doc]).astype(np.uint16)
+            both = u_known & v_known
+            keys = u << BITS | v
+            rows = []
+            if len(vocabulary.hot):
+                at = np.minimum(np.searchsorted(vocabulary.hot, keys), len(vocabulary.hot) - 1)
+                hot = both & (vocabulary.hot[at] == keys)
+                both &= ~hot
+                found, count = np.unique(keys[hot & ~out_of[doc]], return_counts=True)
+                for s in np.unique(shard_of(found, shards)):
+                    own = shard_of(found, shards) == s
+                    rows.append((int(s), HOT, block, packed(found[own], count[own])))
+                found, count = np.unique(at[hot] * n + doc[hot], return_counts=True)
+                rows.append((block % shards, HOT_DOCS, block, packed(found // n, found % n, count)))
+            rows += messages(PAIR, block, keys[both], marked[both])
+            rows += messages(BY_V, block, v[~v_known], marked[~v_known], u[~v_known])
+            by_u = v_known & ~u_known
+            rows += messages(BY_U, block, u[by_u], marked[by_u], v[by_u])
+            ids = frame["doc_id"]
+            local = [
+                np.arange(n), ids.fillna(0).to_numpy(np.int64), sizes, np.bincount(doc[v_known], minlength=n),
+                (ids.isna().to_numpy() + 2 * out_of).astype(np.uint8), np.bincount(doc[v_known], log_base[v[v_known]], n),
+            ]
+            rows.append((block % shards, BLOCK, block, packed(*local)))
+            yield pd.DataFrame(rows, columns=["shard", "kind", "block", "packed"])
+
+    return texts.mapInPandas(work, "shard int, kind int, block long, packed binary")
+
+
+def _gathered(rows: pd.DataFrame, kind: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Arrays of all messages of a kind, and the number of each element's message."""
+    parts = [unpacked(x, ARRAYS[kind]) for x in rows.loc[rows["kind"] == kind, "packed"]]
+    if not parts:
+        return [np.empty(0, t) for t in ARRAYS[kind]], np.empty(0, np.int64)
+    return [np.concatenate(x) for x in zip(*parts)], np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+
+
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one element of each distinct row of keys, number of each element's row)."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0) if len(order) > 1 else True
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
+class _Shard:
+    """Counts and evaluates the tokens of a shard, a kind at a time."""
+
+    def __init__(self, vocabulary: Vocabulary, rows: pd.DataFrame):
+        self.vocabulary, self.rows, self.out = vocabulary, rows, []
+        self.base, self.contexts = vocabulary.of_numbers(), vocabulary.contexts()
+        self.counts = np.zeros(DISCOUNTED + 1, np.int64)
+
+    def emit(self, kind: int, **columns) -> None:
+        self.out.append(pd.DataFrame({"kind": kind, **columns}))
+
+    def evaluate(self, kind, blocks, message, docs, pair, u, p1, size, listed, known=None) -> None:
+        """Tokens by the number of their pair; of each pair u, P1 of v, how often u occurs (0: not known), counts from elsewhere.
+
+        known: for words that only this shard knows, the base distribution and how often the word of each token occurs.
+        """
+        train = docs < OUT
+        n = np.bincount(pair[train], minlength=len(u)) + listed
+        self.counts += np.bincount(n[n > 0], minlength=DISCOUNTED + 2)[1 : DISCOUNTED + 2]
+        context, of = np.unique(u, return_inverse=True)
+        add = lambda rows, weights=None: np.bincount(of[rows], None if weights is None else weights[rows], len(context))
+        few = [add(n == r) for r in range(1, DISCOUNTED + 1)]
+        many, mass = add(n > DISCOUNTED, n.astype(float)).astype(np.int64), add(n > 0, p1)
+        some = sum(few) + many > 0
+        self.emit(CONTEXTS, u=context[some], **{x: c[some] for x, c in zip(X, [*few, many])}, p=mass[some])
+        # A context with a discounted pair has its count as size; for others all pairs must be known.
+        decided = ((sum(few) > 0)[of] & (size > 0))[pair]
+        n, seen = n[pair], n[pair] > 0
+        with np.errstate(divide="ignore"):
+            value = np.log10(n) - np.log10(p1)[pair] - np.where(decided, np.log10(size)[pair], 0)
+        at = message << DOC_BITS | docs.astype(np.int64) & (OUT - 1)
+        touched, row = np.unique(at, return_inverse=True)
+        total = lambda rows, weights=None: np.bincount(row[rows], None if weights is None else weights[rows], len(touched))
+        every = np.ones(len(row), bool)
+        base, found = (total(every, known[0]), total(known[1] > 0)) if known else (np.zeros(len(touched)), np.zeros(len(touched)))
+        sums = [total(seen, value), base, found.astype(np.uint32), *(total(n == r).astype(np.uint32) for r in range(1, DISCOUNTED + 1))]
+        bounds = np.searchsorted(touched, np.arange(len(blocks) + 1) << DOC_BITS)
+        for block, a, b in zip(blocks, bounds[:-1], bounds[1:]):
+            if a < b:
+                self.emit(SUMS, block=[block], packed=[packed(touched[a:b] & ((1 << DOC_BITS) - 1), *(x[a:b] for x in sums))])
+        ask = ~seen | ~decided
+        key, place = np.unique(of[pair[ask]] << 40 | at[ask], return_inverse=True)
+        at = key & ((1 << 40) - 1)
+        self.emit(
+            ASKS, u=context[key >> 40], block=np.asarray(blocks, np.int64)[at >> DOC_BITS], x1=at & ((1 << DOC_BITS) - 1),
+            x2=np.bincount(place, seen[ask], len(key)).astype(np.int64), x3=np.bincount(place, ~seen[ask], len(key)).astype(np.int64),
+        )
+
+    def messages(self, kind: int):
+        return self.rows.loc[self.rows["kind"] == kind, "block"].tolist(), *reversed(_gathered(self.rows, kind))
+
+    def work(self) -> pd.DataFrame:
+        blocks, message, (keys, docs) = self.messages(PAIR)
+        (hot, times), _ = _gathered(self.rows, HOT)
+        hot, place = np.unique(hot, return_inverse=True)
+        times = np.bincount(place, times, len(hot)).astype(np.int64)
+        self.emit(HOT, u=hot, x1=times)
+        pairs, pair = np.unique(np.concatenate([keys, hot]), return_inverse=True)
+        listed = np.zeros(len(pairs), np.int64)
+        listed[pair[len(keys) :]] = times
+        u, v = pairs >> BITS, pairs & MASK
+        self.evaluate(PAIR, blocks, message, docs, pair[: len(keys)], u, self.base[v], self.contexts[u], listed)
+
+        blocks, message, (x, docs, u) = self.messages(BY_V)
+        words, word = np.unique(x, return_inverse=True)
+        counts = np.bincount(word[docs < OUT], minlength=len(words))
+        first, pair = _distinct(x, u)
+        base = self.vocabulary.base(counts)
+        own = numbered(u[first])
+        size = np.where(own, self.contexts[np.where(own, u[first], 0)], 0)
+        self.evaluate(BY_V, blocks, message, docs, pair, u[first], base[word[first]], size, 0, (np.log10(base)[word], counts[word]))
+
+        blocks, message, (x, docs, v) = self.messages(BY_U)
+        first, pair = _distinct(x, v)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, x[first]), len(words) - 1)
+            size = np.where(words[at] == x[first], counts[at], 0)
+        else:
+            size = np.zeros(len(first))
+        self.evaluate(BY_U, blocks, message, docs, pair, x[first], self.base[v[first]], size, 0)
+
+        self.emit(COUNTS, **{x: [n] for x, n in zip(X, self.counts)})
+        for kind in (BLOCK, HOT_DOCS):
+            through = self.rows[self.rows["kind"] == kind]
+            self.emit(kind, block=through["block"].to_numpy(), packed=through["packed"].to_numpy())
+        out = pd.concat([f for f in self.out if len(f)]).reindex(columns=["kind", "block", "u", *X, "p", "packed"])
+        whole = ["kind", "block", "u", *X]
+        return out.astype({c: "Int64" for c in whole})
+
+
+def score(texts: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row (doc_id, held_out, text; no null texts)."""
+    spark = texts.sparkSession
+    vocabulary = vocabulary_of(texts.where(~F.col("held_out")))
+    shards = max(1, -(-vocabulary.tokens // SHARD_TOKENS))
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def resolve(rows: pd.DataFrame) -> pd.DataFrame:
+        return _Shard(shared.value, rows).work()
+
+    schema = "kind int, block long, u long, " + "".join(f"{x} long, " for x in X) + "p double, packed binary"
+    resolved = stored(_shipped(texts, shared, shards).groupBy("shard").applyInPandas(resolve, schema), "lm-resolved", "kind")
+    of_kind = lambda kind: resolved.where(F.col("kind") == kind)
+    n = of_kind(COUNTS).agg(*(F.sum(x).alias(x) for x in X)).first()
+    d = discounts({r: n[x] or 0 for r, x in enumerate(X, 1)})
+
+    # Contexts: kept counts, sizes and backoff weights. A context all of whose mass is listed gives up as much as one more
+    # occurrence would have.
+    sums = of_kind(CONTEXTS).groupBy("u").agg(*(F.sum(x).alias(x) for x in X), F.sum("p").alias("p"))
+    low = sum((r * F.col(x) for r, x in enumerate(X[:-1], 1)), F.lit(0))
+    kept = sum((r * d[r - 1] * F.col(x) for r, x in enumerate(X[:-1], 1)), F.lit(0.0)) + F.col(X[-1])
+    size = low + F.col(X[-1]) + F.when(low == 0, 1).otherwise(0)
+    contexts = sums.select("u", size.alias("size"), kept.alias("kept"), "p")
+    contexts = contexts.select("u", F.log10("size").alias("size"), F.log10((1 - F.col("kept") / F.col("size")) / F.greatest(1 - F.col("p"), F.lit(1e-12))).alias("backoff"))
+    asks = of_kind(ASKS).select("u", "block", F.col("x1").alias("doc"), F.col("x2").alias("seen"), F.col("x3").alias("unseen"))
+    own = numbered(F.col("u"))
+    # Contexts with a number are 1 / SHARE at most; each of the others has few tokens.
+    answers = asks.where(own).join(F.broadcast(contexts.where(own)), "u", "left").unionByName(asks.where(~own).join(contexts.where(~own), "u", "left"))
+    value = F.col("unseen") * F.coalesce("backoff", F.lit(0.0)) - F.col("seen") * F.coalesce("size", F.lit(0.0))
+    answers = answers.groupBy("block", "doc").agg(F.sum(value).alias("p"))
+    answers = answers.select(F.lit(ASKS).alias("kind"), "block", F.col("doc").alias("u"), "p", F.lit(None).cast("binary").alias("packed"))
+
+    gains = np.zeros(len(vocabulary.hot))
+    if len(gains):
+        # HOT_PAIRS rows at most.
+        counts = {r["u"]: r["x1"] for r in of_kind(HOT).groupBy("u").agg(F.sum("x1").alias("x1")).collect()}
+        u = vocabulary.hot >> BITS
+        sizes = {r["u"]: r["size"] for r in contexts.where(F.col("u").isin(np.unique(u).tolist())).collect()}
+        log_base = np.log10(vocabulary.of_numbers())
+        for i, (key, context) in enumerate(zip(vocabulary.hot.tolist(), u.tolist())):
+            c = counts.get(key, 0)
+            gains[i] = np.log10(c * (d[c - 1] if c <= DISCOUNTED else 1)) - sizes[context] - log_base[key & MASK]
+
+    log_d = np.log10(d)
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        _, ids, sizes, known, flags, base = unpacked(rows.loc[rows["kind"] == BLOCK, "packed"].iloc[0], ARRAYS[BLOCK])
+        known, base, rest = known.copy(), base.copy(), np.zeros(len(ids))
+        for data in rows.loc[rows["kind"] == SUMS, "packed"]:
+            docs, value, own_base, found, *few = unpacked(data, ARRAYS[SUMS])
+            rest[docs] += value + sum(k * x for k, x in zip(few, log_d))
+            base[docs] += own_base
+            known[docs] += found
+        for data in rows.loc[rows["kind"] == HOT_DOCS, "packed"]:
+            which, docs, count = unpacked(data, ARRAYS[HOT_DOCS])
+            np.add.at(rest, docs, gains[which] * count)
+        asked = rows[rows["kind"] == ASKS]
+        rest[asked["u"].to_numpy(np.int64)] += asked["p"].to_numpy(np.float64)
+        ids = pd.Series(ids, dtype="Int64").mask(flags & 1 == 1)
+        return pd.DataFrame({"doc_id": ids, "held_out": flags & 2 == 2, "n_tokens": sizes, "n_known": known, "base_score": base, "score": base + rest})
+
+    parts = resolved.where(F.col("kind").isin(BLOCK, SUMS, HOT_DOCS)).select("kind", "block", "u", "p", "packed").unionByName(answers)
+    out = parts.groupBy("block").applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
 
-    Learns from the rows that held_out() doesn't keep back, and scores all rows; with whole=False by the smaller model
-    that lumps rare words and leaves out rare pairs. A null text counts as empty, and an
+    Learns from the rows that held_out() doesn't keep back, and scores all rows. A null text counts as empty, and an
     empty one has just its end. Repeated rows count as often as they occur and get equal scores; rows with a null
     doc_id are learned from. An empty table gives an empty table; other columns are not read, whatever their names.
     """
     own = F.col("doc_id").cast("long")
-    texts = docs.select(own.alias("doc_id"), held_out(own).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("row", F.monotonically_increasing_id())
-    model = fit(texts.where(~F.col("held_out")), whole)
-    scores = score(texts, model)
-    # Rows are numbered by the scan alone, so both branches number them alike.
-    out = texts.select("row", "doc_id", "held_out").join(scores, "row")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return score(docs.select(own.alias("doc_id"), held_out(own).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), whole=True)
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
