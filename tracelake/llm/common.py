@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ MEMO_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own where the session names none (local tests)."""
+    """The folder that driver and executors share; one of our own where the session names none (local tests only)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -102,3 +105,22 @@ def slices(frames: Iterator, rows: int) -> Iterator:
     for frame in frames:
         for start in range(0, len(frame), rows):
             yield frame.iloc[start : start + rows]
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of equal length as bytes; the first is ascending and kept as differences. Bytes of equal weight lie together."""
+    first = np.diff(arrays[0].astype(np.int64), prepend=0)
+    planes = [x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (first, *arrays[1:]) if len(x)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpacked(data: bytes, types: list[str]) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, at, out = len(raw) // sum(np.dtype(t).itemsize for t in types), 0, []
+    for t in types:
+        wide = np.dtype(t).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(t) if n else np.empty(0, t))
+        at += n * wide
+    out[0] = np.cumsum(out[0])
+    return out

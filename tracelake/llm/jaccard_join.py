@@ -1,11 +1,12 @@
 """N-gram Jaccard join in the metric space of shingle sets: pivots, regions, triangle-inequality windows.
 
-Documents with the same set form a class; one document stands for it. The Jaccard distance is a metric, but sets of
+Documents with the same set form a class, and classes are joined. The Jaccard distance is a metric, but sets of
 unrelated texts are all about 1 apart, so regions around freely chosen pivots would hold everything. Pivots are
 therefore found by signatures: the universe of shingles is dealt into more parts than two linked sets can differ in
-elements, so linked sets agree on a whole part. Per part and content, the document that agrees with most others is the
-pivot of a region, and the documents with that part are its members (a document can be in several regions). Two linked documents have a
-common signature, so they share its pivot's region: no link is lost.
+elements, so linked sets agree on a whole part. Per part and content, the class that agrees with most others is the
+pivot of a region, and the classes with that part are its members (a class can be in several regions). Two linked
+classes have a common signature, so they share its pivot's region: no link is lost. Signatures travel once, packed, to
+shards that tell which of them recur; most don't.
 
 In a region p the distance of each member x to the pivot is computed, and what x has added to p and dropped from it.
 Members within the radius are linked. By the triangle inequality for symmetric differences, two other members x, y
@@ -21,14 +22,19 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WordHashes, mixed, shingles, slices, small, stored, word_hashes
+from tracelake.llm.common import WordHashes, mixed, packed, shingles, slices, small, stored, unpacked, word_hashes
 
 #: Words of texts and members of a region that a single task joins by itself; larger regions are split further first.
 REGION_MEMBERS = 300
 ROWS = 500
+#: Texts whose signatures are packed together, and shingles of all texts per shard.
+BLOCK_ROWS, SHARD_SHINGLES = 2000, 2_500_000
+#: Marks signatures that recur in their own block.
+MARK = 1 << 15
 _LAST = (1 << 63) - 1
 
 
@@ -87,36 +93,113 @@ def signatures(values: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _profiles(texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def _profiles(texts: DataFrame, k: int) -> DataFrame:
+    """(id, hash, n_shingles, digest, label) of each row (id, hash, text); label is a part of the digest."""
+
     def work(frames):
         memo = WordHashes()
         for frame in slices(frames, ROWS):
             rows = []
-            for doc, text in zip(frame["id"], frame["text"]):
+            for doc, key, text in zip(frame["id"], frame["hash"], frame["text"]):
                 values = shingle_set(text, k, memo)
-                rows.append((doc, len(values), hashlib.blake2b(values.tobytes(), digest_size=16).digest(), signatures(values, percent).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "n_shingles", "digest", "signatures"])
+                digest = _digest(values)
+                rows.append((doc, key, len(values), digest, int.from_bytes(digest[:8], "little", signed=True)))
+            yield pd.DataFrame(rows, columns=["id", "hash", "n_shingles", "digest", "label"])
 
-    return texts.mapInPandas(work, "id long, n_shingles long, digest binary, signatures array<long>")
+    return texts.mapInPandas(work, "id long, hash long, n_shingles long, digest binary, label long")
 
 
-def _distances(pairs: DataFrame, k: int) -> DataFrame:
-    """(pivot, id, shared, n, n_pivot, added) of rows (pivot, id, pivot_text, text): set sizes and shingles that the pivot lacks."""
+def _recurring_signatures(texts: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
+    """(key, label): signatures that several classes have."""
+
+    def ship(frames):
+        memo, block = WordHashes(), TaskContext.get().partitionId()
+        for frame in slices(frames, BLOCK_ROWS):
+            sets = {}
+            for text in frame["text"]:
+                values = shingle_set(text, k, memo)
+                if len(values):
+                    sets.setdefault(int.from_bytes(_digest(values)[:8], "little", signed=True), signatures(values, percent).view(np.int64))
+            labels = np.fromiter(sets, np.int64, len(sets))
+            keys = np.concatenate([np.empty(0, np.int64), *sets.values()])
+            place = np.repeat(np.arange(len(sets)), [len(x) for x in sets.values()])
+            order = np.argsort(keys, kind="stable")
+            keys, place = keys[order], place[order]
+            # Of a key that recurs here one is shipped, marked; the others need no comparison.
+            again = np.concatenate([[False], keys[1:] == keys[:-1]])[: len(keys)]
+            known = np.concatenate([again[1:], [False]])[: len(keys)]
+            rows = [(block % shards, 1, packed(keys[again]), labels[place[again]].tobytes())] if again.any() else []
+            block += 7919
+            keys, place = keys[~again], place[~again] | np.where(known[~again], MARK, 0)
+            shard = (mixed(keys.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                if a < b:
+                    at = place[order[a:b]]
+                    own, at_own = np.unique(at & ~MARK, return_inverse=True)
+                    rows.append((s, 0, packed(keys[order[a:b]], (at_own | at & MARK).astype(np.uint16)), labels[own].tobytes()))
+            yield pd.DataFrame(rows, columns=["shard", "ready", "keys", "labels"])
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, labels, known, out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)], []
+        for ready, data, own in zip(rows["ready"], rows["keys"], rows["labels"]):
+            own = np.frombuffer(own, np.int64)
+            if ready:
+                out.append(pd.DataFrame({"key": unpacked(data, ["i8"])[0], "label": own}))
+                continue
+            found, at = unpacked(data, ["i8", "u2"])
+            keys.append(found)
+            labels.append(own[at & (MARK - 1)])
+            known.append(at >= MARK)
+        keys, labels, known = np.concatenate(keys), np.concatenate(labels), np.concatenate(known)
+        order = np.lexsort((labels, keys))
+        keys, labels, known = keys[order], labels[order], known[order]
+        # A class comes from several blocks if its text is repeated: equal rows once, marked if any is.
+        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (labels[1:] != labels[:-1])])[: len(keys)])
+        if len(new):
+            keys, labels, known = keys[new], labels[new], np.logical_or.reduceat(known, new)
+            same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+            often = same[1:] | same[:-1] | known
+            out.append(pd.DataFrame({"key": keys[often], "label": labels[often]}))
+        return pd.concat(out) if out else pd.DataFrame({"key": keys, "label": labels})
+
+    shipped = texts.select("text").mapInPandas(ship, "shard int, ready int, keys binary, labels binary")
+    return shipped.groupBy("shard").applyInPandas(compare, "key long, label long").distinct()
+
+
+def _distances(regions: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(pivot, id, shared, n, n_pivot, added) of regions (pivot, id): set sizes and shingles that the pivot lacks.
+
+    Regions are dealt into parts of REGION_MEMBERS or so; the pivot's text goes to each part, ahead of the members'.
+    """
+    sizes = regions.groupBy("pivot").count().where(F.col("count") > REGION_MEMBERS)
+    sizes = small(stored(sizes.select("pivot", F.ceil(F.col("count") / REGION_MEMBERS).cast("int").alias("parts")), "join-sizes"))
+    dealt = lambda rows: rows.join(sizes, "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = dealt(regions).select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    own = dealt(regions.select("pivot").distinct())
+    rows = rows.unionByName(own.select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    rows = rows.join(members, "id").withColumn("member", F.col("id") != F.col("pivot"))
 
     def work(frames):
-        memo, last, pivot_set = WordHashes(), None, None
+        memo, pivot_set = WordHashes(), None
         for frame in slices(frames, ROWS):
-            rows = []
-            for pivot, doc, pivot_text, text in zip(frame["pivot"], frame["id"], frame["pivot_text"], frame["text"]):
-                if pivot != last:
-                    last, pivot_set = pivot, shingle_set(pivot_text, k, memo)
+            out = []
+            for pivot, doc, member, text in zip(frame["pivot"], frame["id"], frame["member"], frame["text"]):
                 own = shingle_set(text, k, memo)
+                if not member:
+                    pivot_set = own
+                    continue
                 added = np.setdiff1d(own, pivot_set, assume_unique=True)
-                rows.append((pivot, doc, len(own) - len(added), len(own), len(pivot_set), added.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["pivot", "id", "shared", "n", "n_pivot", "added"])
+                out.append((pivot, doc, len(own) - len(added), len(own), len(pivot_set), added.view(np.int64)))
+            yield pd.DataFrame(out, columns=["pivot", "id", "shared", "n", "n_pivot", "added"])
 
     schema = "pivot long, id long, shared long, n long, n_pivot long, added array<long>"
-    return pairs.select("pivot", "id", "pivot_text", "text").mapInPandas(work, schema)
+    return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member").select("pivot", "id", "member", "text").mapInPandas(work, schema)
 
 
 def shared_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -184,20 +267,15 @@ def _regions_of(recurring: DataFrame, central: DataFrame) -> DataFrame:
     return ranked.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct()
 
 
-def _links(keys: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): enough links to join up everything that is linked, from keys (key, id, open) as above."""
+def _links(recurring: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): enough links to join up everything that is linked, from recurring keys (key, id) and members (id, text)."""
     found: list[DataFrame] = []
-    recurring = stored(_recurring(keys), "join-signatures")
-    # A document that agrees with many others is near the middle of its group, and what others add to it is their own.
-    central = stored(recurring.groupBy("id").agg((-F.sum("n")).alias("rank")), "join-central")
+    # A class that agrees with many others is near the middle of its group, and what others add to it is their own.
+    sizes = recurring.groupBy("key").agg(F.count("*").alias("n"))
+    central = stored(recurring.join(sizes, "key").groupBy("id").agg((-F.sum("n")).alias("rank")), "join-central")
     regions = stored(_regions_of(recurring, central), "join-regions")
-    members = None
     while regions.head(1):
-        if members is None:
-            ids = small(stored(regions.select("id").union(regions.select("pivot")).distinct(), "join-members"))
-            members = stored(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), "join-texts")
-        pivots = members.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text"))
-        distances = stored(_distances(regions.join(members, "id").join(pivots, "pivot"), k), "join-distances")
+        distances = stored(_distances(regions, members, k), "join-distances")
         distances = distances.withColumn("open", ~linked(F.col("shared"), F.col("n") + F.col("n_pivot"), percent))
         found.append(distances.where(~F.col("open")).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         sizes = distances.groupBy("pivot").agg(F.count("*").alias("members"), F.max("open").alias("any_open"), F.sum(F.col("open").cast("int")).alias("n_open"))
@@ -223,7 +301,7 @@ def _links(keys: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
         found.append(stored(_closed(near.join(members, "id"), k, percent), "join-closed"))
         added = left.where(F.col("members") > REGION_MEMBERS).select("pivot", "id", "open", F.explode("added").alias("shingle"))
         regions = stored(_regions_of(_recurring(added.select(F.struct("pivot", "shingle").alias("key"), "id", "open")), central), "join-regions")
-    links = keys.sparkSession.createDataFrame([], "a long, b long")
+    links = recurring.sparkSession.createDataFrame([], "a long, b long")
     for part in found:
         links = links.unionByName(part)
     return links
@@ -244,26 +322,57 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "c")
 
 
-def link_documents(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, more: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs.
 
     A document's set holds the distinct runs of k words (runs of anything but ASCII white space, A-Z in lower case) of
     its whole text; with fewer words the whole sequence as one. Two documents are linked if 100 * intersection >=
     percent * union; component_id is the smallest doc_id that can be reached by links, the document's own included.
 
-    A null or blank text has an empty set and is linked with nothing. Repeated rows get equal results. A null doc_id
-    counts as larger than all others and stays null. An empty table gives an empty table; other columns are not read,
-    whatever their names.
+    A null or blank text has an empty set and is linked with nothing. Repeated rows get equal results; rows with one
+    doc_id and different texts are judged each by its own text. A null doc_id counts as larger than all others and stays
+    null. An empty table gives an empty table; other columns are not read, whatever their names.
+
+    With more=True also text_hash (xxhash64 of the text, null texts counting as empty) and group, a number of its own for
+    all that are connected; null for empty sets.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    profiles = stored(_profiles(texts, k, percent), "join-profiles")
-    classes = stored(profiles.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("first")), "join-classes")
-    firsts = profiles.join(classes, (profiles["digest"] == classes["digest"]) & (F.col("id") == F.col("first")), "left_semi")
-    keys = firsts.select(F.explode("signatures").alias("key"), "id", F.lit(True).alias("open"))
-    reached = components(_links(keys, texts, k, percent)).withColumnRenamed("id", "first")
-    out = profiles.select("id", "n_shingles", "digest").join(classes, "digest", "left").join(reached, "first", "left")
+    out = link_sets(texts, k, percent)
     known = lambda c: F.when(c < _LAST, c)
-    return out.select(known(F.col("id")).alias("doc_id"), "n_shingles", known(F.coalesce("component", "first", "id")).alias("component_id"))
+    columns = [known(F.col("id")).alias("doc_id"), "n_shingles", known(F.col("component")).alias("component_id")]
+    return out.select(*columns, *([F.col("hash").alias("text_hash"), "group"] if more else []))
+
+
+def link_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, hash, n_shingles, component, group) of each row (id, text).
+
+    hash is that of the text, component the smallest id that is reached, group a number of its own for all that are
+    connected; null for empty sets.
+    """
+    texts = texts.select("id", "text", F.xxhash64("text").alias("hash"))
+    profiles = stored(_profiles(texts, k), "join-profiles")
+    classes = profiles.where("n_shingles > 0").groupBy("digest", "label").agg(F.min("id").alias("first"), F.min_by("hash", "id").alias("hash"), F.count("*").alias("n"))
+    classes = stored(classes, "join-classes")
+    total = profiles.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    shards = max(1, -(-total // SHARD_SHINGLES))
+    recurring = stored(_recurring_signatures(texts, k, percent, shards).withColumnRenamed("label", "id"), "join-signatures")
+    # One text of each class that shares a signature with another.
+    chosen = classes.join(recurring.select(F.col("id").alias("label")).distinct(), "label", "left_semi")
+    chosen = chosen.groupBy("label").agg(F.min("first").alias("_id"), F.min_by("hash", "first").alias("_hash"))
+    chosen = small(stored(chosen, "join-members"))
+    members = texts.join(chosen, (F.col("id") == F.col("_id")) & (F.col("hash") == F.col("_hash"))).select(F.col("label").alias("id"), "text")
+    members = stored(members.dropDuplicates(["id"]), "join-texts")
+    reached = stored(components(_links(recurring, members, k, percent)), "join-reached")
+    # Labels aren't ids: a component goes by the smallest id of its classes.
+    firsts = classes.join(reached, classes["label"] == reached["id"]).select("component", "label", "digest", "first")
+    lowest = firsts.groupBy("component").agg(F.min("first").alias("low"))
+    joined = firsts.join(lowest, "component").select("digest", "low", F.col("component").alias("group"))
+    # Rows that are alone need no entry.
+    several = classes.where("n > 1").join(joined, "digest", "left_anti").select("digest", F.col("first").alias("low"), F.col("label").alias("group"))
+    groups = small(stored(joined.unionByName(several), "join-groups"))
+    out = profiles.join(groups, "digest", "left")
+    group = F.when(F.col("n_shingles") > 0, F.coalesce("group", "label"))
+    return out.select("id", "hash", "n_shingles", F.coalesce("low", "id").alias("component"), group.alias("group"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

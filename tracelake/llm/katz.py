@@ -23,12 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WordHashes, mixed, stored
+from tracelake.llm.common import WordHashes, mixed, packed, stored, unpacked
 
 #: Share of all tokens from which on words have numbers; there can be 1 / SHARE of them at most.
 SHARE = 1e-6
@@ -78,25 +77,6 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(keys.astype(np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length as bytes; the first is ascending and kept as differences. Bytes of equal weight lie together."""
-    first = np.diff(arrays[0].astype(np.int64), prepend=0)
-    planes = [x.view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (first, *arrays[1:]) if len(x)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def unpacked(data: bytes, types: list[str]) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n, at, out = len(raw) // sum(np.dtype(t).itemsize for t in types), 0, []
-    for t in types:
-        wide = np.dtype(t).itemsize
-        planes = np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(t) if n else np.empty(0, t))
-        at += n * wide
-    out[0] = np.cumsum(out[0])
-    return out
-
-
 def _tokens(texts, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each with its end, and the number of tokens of each text."""
     parts, sizes = [], []
