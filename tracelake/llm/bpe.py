@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import slices
+from tracelake.llm.common import slices, stored
 
 #: Most frequent words that the lexicon holds. Only speed depends on it; other words are merged.
 LEXICON_WORDS = 50_000
@@ -275,10 +275,26 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, size: int) -> DataFrame:
+    """(word) of the most frequent words of counts (word, n): as many whole steps of the counts' histogram as fit into size.
+
+    The histogram has eight steps for each power of two, so what reaches the driver, here and by collecting the words,
+    doesn't grow with the counts.
+    """
+    counts = stored(counts.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "bpe-words")
+    steps = sorted(counts.groupBy("step").count().collect(), reverse=True)
+    least, taken = None, 0
+    for step, n in steps:
+        if taken + n > size:
+            break
+        least, taken = step, taken + n
+    return counts.where(F.col("step") >= F.lit(least)).select("word")
+
+
 def ship_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -> str:
     """Compile the lexicon of the most frequent words and give it to all executors; returns the file's name there."""
     vocab = vocabulary(tokenizer)
-    words = [r.word.encode() for r in word_counts(docs, tokenizer).orderBy(F.desc("n"), "word").limit(size).collect()]
+    words = [r.word.encode() for r in frequent_words(word_counts(docs, tokenizer), size).collect()]
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = os.path.join(os.path.realpath(tempfile.mkdtemp()), name)
     with open(path, "wb") as file:
