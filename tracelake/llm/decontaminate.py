@@ -6,7 +6,8 @@
    windows to look at start where a feature of an item starts.
 2. Each such window gets a 64-bit SimHash of its weighted features, as does each item. The 64 bits are cut into eight
    blocks. Two fingerprints within RADIUS differ in some block by RADIUS // 8 bits at most, so an index of all such
-   variants of the items' blocks gives every item within the radius.
+   variants of the items' blocks gives every item within the radius. A window probes the index for the items whose
+   features it has enough of; at this similarity fingerprints alone would let too many others through.
 3. The weighted Jaccard similarity of what is found is computed exactly.
 
 Everything runs as DataFrame expressions. Hot passages add windows in proportion to their occurrences, no pairs of
@@ -28,8 +29,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: of about 3; beyond this radius are fewer than one in 100,000 of them.
 RADIUS = 23
 BLOCKS, BLOCK_BITS = 8, 8
-LANES = 16  # bits per counter when the bits of many features are counted at a time
-LANE_MASK = 0x0001000100010001
+LANES = 32  # bits per counter when the bits of many features are counted at a time
+LANE_MASK = 0x0000000100000001
 
 
 def words_of(text: Column) -> Column:
@@ -52,14 +53,14 @@ def _features(table: DataFrame, keep: list[str], k: int, words: str = "words") -
 def simhash_blocks(features: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
     """(keys..., blocks): array of eight 8-bit blocks of the SimHash of each group's weighted features.
 
-    A bit is set if the features that have it weigh more than those that don't. Four bits' weights are summed at a time,
-    in the 16-bit lanes of a long (groups weigh less than 65,536).
+    A bit is set if the features that have it weigh more than those that don't. Two bits' weights are summed at a time,
+    in the halves of a long (groups weigh less than 2 ** 32).
     """
     lanes = [F.sum(F.shiftrightunsigned("feature", j).bitwiseAND(F.lit(LANE_MASK)) * F.col(weight)).alias(f"s{j}") for j in range(LANES)]
     sums = features.groupBy(*keys).agg(F.sum(weight).alias("total"), *lanes)
 
     def bit(i: int) -> Column:
-        votes = F.shiftrightunsigned(F.col(f"s{i % LANES}"), i - i % LANES).bitwiseAND(F.lit(0xFFFF))
+        votes = F.shiftrightunsigned(F.col(f"s{i % LANES}"), i - i % LANES).bitwiseAND(F.lit(0xFFFFFFFF))
         return (2 * votes > F.col("total")).cast("int")
 
     blocks = [reduce(lambda a, b: a + b, (bit(BLOCK_BITS * i + j) * (1 << j) for j in range(BLOCK_BITS))) for i in range(BLOCKS)]
@@ -76,12 +77,13 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def find_copies(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, item_id, start, n_words, similarity): the best window of each document that copies an item.
+    """(doc_id, item_id, start, n_words, similarity, text_hash): the best window of each document that copies an item.
 
     start counts words from 0; of equally similar windows the first is given. An item with fewer words than a feature is
     one feature as a whole. A document shorter than an item is one window. Null or blank texts and items copy nothing,
-    and neither do rows without an id. Repeated rows are one document or item. Empty tables give an empty result; other
-    columns are not read, whatever their names.
+    and neither do items without an id. Rows with one doc_id, or none, and different texts are documents of their own;
+    text_hash is xxhash64 of the text and tells them apart. Repeated rows are one document or item. Empty tables give an
+    empty result; other columns are not read, whatever their names.
     """
     items = benchmark.where("item_id IS NOT NULL").select("item_id", words_of(F.col("text")).alias("words"))
     items = items.where(F.size("words") > 0).dropDuplicates().select("item_id", "words", F.size("words").alias("w"))
@@ -92,17 +94,20 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMIL
     parts = [_features(items.where(F.col("k") == k), ["item_id", "w", "k"], k) for k in sizes]
     item_features = reduce(DataFrame.unionByName, parts).groupBy("item_id", "w", "k", "feature").agg(F.count("*").alias("weight"))
     item_features = stored(item_features, "decon-item-features")
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words_of(F.col("text")).alias("words"))
-    texts = texts.withColumn("size", F.size("words"))
+    # A document goes by two hashes, which are there whether it has an id or not.
+    doc = ["h1", "h2"]
+    texts = docs.where("text IS NOT NULL").select(
+        "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("doc"), F.col("doc_id"), F.col("text")).alias("h2"), words_of(F.col("text")).alias("words")
+    ).withColumn("size", F.size("words"))
 
     # Where features of items start in documents.
     wanted = small(stored(item_features.select("k", "feature").distinct(), "decon-features"))
     hits = [
-        _features(texts, ["doc_id", "size"], k).join(wanted.where(F.col("k") == k).drop("k"), "feature").withColumn("k", F.lit(k)) for k in sizes
+        _features(texts, ["doc_id", *doc, "size"], k).join(wanted.where(F.col("k") == k).drop("k"), "feature").withColumn("k", F.lit(k)) for k in sizes
     ]
     per_doc = reduce(DataFrame.unionByName, hits).distinct().join(small(item_features.drop("weight")), ["k", "feature"])
     share = similarity / (1 + similarity)
-    per_doc = per_doc.groupBy("doc_id", "size", "item_id", "w", "k").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    per_doc = per_doc.groupBy("doc_id", *doc, "size", "item_id", "w", "k").agg(F.sort_array(F.collect_set("pos")).alias("places"))
     in_window = F.least("w", "size") - F.col("k") + 1
     need = F.greatest(F.ceil(share * (in_window + F.col("w") - F.col("k") + 1) - 1e-9), F.lit(1)).cast("int")
     dense = F.filter(
@@ -110,14 +115,13 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMIL
         lambda x: x["last"] - F.least(x["at"], F.greatest(F.col("size") - F.col("w"), F.lit(0))) <= F.col("w") - F.col("k"),
     )
     starts = F.array_distinct(F.transform(dense, lambda x: F.least(x["at"], F.greatest(F.col("size") - F.col("w"), F.lit(0)))))
-    windows = per_doc.withColumn("need", need).select("doc_id", "size", "w", "k", F.explode(starts).alias("start")).distinct()
-    # No more than one row per hit and item length.
-    windows = stored(windows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "w", "k")).alias("windows")), "decon-windows")
-
-    # Their weighted features and fingerprints.
-    cut = texts.drop("size").join(small(windows), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "words", F.explode("windows").alias("x"))
-    cut = cut.select("doc_id", "x.*", F.slice("words", F.col("x.start") + 1, F.col("x.w")).alias("words"))
-    window_keys = ["doc_id", "start", "w", "k"]
+    # One row per window and item that it may copy.
+    window_keys = [*doc, "start", "w", "k"]
+    asked = stored(per_doc.withColumn("need", need).select("doc_id", *doc, "w", "k", "item_id", F.explode(starts).alias("start")), "decon-windows")
+
+    # Weighted features and fingerprints of windows.
+    windows = small(stored(asked.select(*window_keys).distinct(), "decon-window-keys"))
+    cut = texts.drop("doc_id", "size").join(windows, doc).select(*window_keys, F.slice("words", F.col("start") + 1, F.col("w")).alias("words")).dropDuplicates(window_keys)
     features = reduce(DataFrame.unionByName, [_features(cut.where(F.col("k") == k), window_keys, k) for k in sizes])
     features = stored(features.groupBy(*window_keys, "feature").agg(F.count("*").alias("weight")), "decon-window-features")
     item_prints = simhash_blocks(item_features, ["item_id", "w", "k"])
@@ -125,8 +129,8 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMIL
     variants = F.array(*map(F.lit, _variants()))
     index = item_prints.select("item_id", "w", "blocks", F.posexplode("blocks").alias("block", "value"), variants.alias("flips"))
     index = index.select("item_id", "w", F.col("blocks").alias("item_blocks"), "block", F.explode(F.transform("flips", lambda f: f.bitwiseXOR(F.col("value")))).alias("value"))
-    probes = window_prints.select("*", F.posexplode("blocks").alias("block", "value"))
-    near = probes.join(small(stored(index, "decon-index")), ["w", "block", "value"])
+    probes = window_prints.join(asked.select(*window_keys, "item_id"), window_keys).select(*window_keys, "item_id", "blocks", F.posexplode("blocks").alias("block", "value"))
+    near = probes.join(small(stored(index.drop("w"), "decon-index")), ["item_id", "block", "value"])
     near = near.where(_distance(F.col("blocks"), F.col("item_blocks")) <= RADIUS).select(*window_keys, "item_id").distinct()
 
     # Exact similarity of the candidates.
@@ -138,8 +142,10 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMIL
     ratio = F.col("shared") / (F.col("n") + F.col("w") - F.col("k") + 1 - F.col("shared"))
     found = shared.withColumn("similarity", ratio).where(F.col("similarity") >= similarity - 1e-12)
     best = F.max_by(F.struct("start", (F.col("n") + F.col("k") - 1).cast("long").alias("n_words"), "similarity"), F.struct("similarity", -F.col("start")))
-    found = found.groupBy("doc_id", "item_id").agg(best.alias("best"))
-    return found.select("doc_id", "item_id", F.col("best.start").cast("long").alias("start"), "best.n_words", F.round("best.similarity", 6).alias("similarity"))
+    found = found.groupBy(*doc, "item_id").agg(best.alias("best")).join(asked.select("doc_id", *doc).distinct(), doc)
+    return found.select(
+        "doc_id", "item_id", F.col("best.start").cast("long").alias("start"), "best.n_words", F.round("best.similarity", 6).alias("similarity"), F.col("h1").alias("text_hash")
+    )
 
 
 ORACLE = f"""
@@ -162,4 +168,4 @@ FROM sim WHERE s >= {SIMILARITY} - 1e-12 GROUP BY doc_id, item_id
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return find_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
