@@ -27,7 +27,7 @@ PENALTY = 12.0
 SCRIPT_SHARE = 0.01
 ROWS = 1000
 UNKNOWN = "und"
-WORDS = regex.compile(r"[\p{L}\p{M}]+")
+WORDS = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
 #: First code points of ranges and their scripts (fixed values, coarse blocks of Unicode).
 SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),

@@ -57,34 +57,31 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     from the corpus. Lines count as equal if they are equal without outer spaces; blank lines always stay.
 
     Nulls: a null text stays null (n_lines and n_removed 0); a null site is no site; null doc_ids count as one
-    document. An empty text has one (blank) line. Repeated rows stay repeated. An empty table gives an empty table.
-    Other columns pass through; names of their own that begin with `_ld_` are reserved.
+    document. An empty text has one (blank) line. Repeated rows stay repeated; of rows with one doc_id and different texts
+    each keeps its own first occurrence. An empty table gives an empty table. Other columns pass through; columns of docs
+    named n_lines or n_removed are replaced, and names that begin with `_ld_` are reserved.
     """
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs = docs.select(*columns, F.xxhash64("text").alias("_ld_hash"))
     found = small(stored(boilerplate_lines(docs, site, min_sites), "line-boilerplate"))
-    hits = (
-        docs.select(F.col("doc_id").alias("_ld_doc"), F.explode(_lines(F.col("text"))).alias("line"))
-        .select("_ld_doc", _key(F.col("line")).alias("key"))
-        .join(found, "key")
-    )
+    hits = docs.select(F.col("doc_id").alias("_ld_doc"), F.col("_ld_hash").alias("_ld_of"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    hits = hits.select("_ld_doc", "_ld_of", "pos", _key(F.col("line")).alias("key")).join(found, "key")
+    # Places of boilerplate lines in their text; of a document's own lines all but the first.
+    per_line = hits.groupBy("_ld_doc", "_ld_of", "key", "owner").agg(F.collect_set("pos").alias("places"))
     own = same_row(F.col("_ld_doc"), F.col("owner"))
-    per_doc = hits.groupBy("_ld_doc").agg(
-        F.collect_set(F.when(~own, F.col("key"))).alias("_ld_drop"), F.collect_set(F.when(own, F.col("key"))).alias("_ld_own")
-    )
-    joined = docs.join(per_doc, same_row(docs["doc_id"], per_doc["_ld_doc"]), "left")
-    keys = F.transform(F.col("_ld_lines"), _key)
-    kept = F.filter(
-        F.arrays_zip(F.col("_ld_lines").alias("line"), F.col("_ld_keys").alias("key"), F.sequence(F.lit(1), F.size("_ld_lines")).alias("at")),
-        lambda x: ~F.array_contains(F.col("_ld_drop"), x["key"])
-        & ~(F.array_contains(F.col("_ld_own"), x["key"]) & (F.array_position(F.col("_ld_keys"), x["key"]) < x["at"])),
-    )
-    hit = F.col("_ld_drop").isNotNull()
-    out = joined.withColumn("_ld_lines", _lines(F.col("text")))
-    out = out.withColumn("_ld_keys", F.when(hit, keys)).withColumn("_ld_kept", F.when(hit, F.transform(kept, lambda x: x["line"])))
-    n = F.coalesce(F.size("_ld_lines"), F.lit(0)).cast("long")
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(n).cast("long"))
-    out = out.withColumn("n_removed", F.when(hit & F.col("text").isNotNull(), F.col("n_lines") - F.size("_ld_kept")).otherwise(F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join("_ld_kept", "\n")).otherwise(F.col("text")))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    drop = F.when(own, F.array_except("places", F.array(F.array_min("places")))).otherwise(F.col("places"))
+    per_doc = per_line.groupBy("_ld_doc", "_ld_of").agg(F.flatten(F.collect_list(drop)).alias("_ld_drop"))
+    out = docs.join(per_doc, same_row(F.col("doc_id"), F.col("_ld_doc")) & (F.col("_ld_hash") == F.col("_ld_of")), "left")
+    out = out.withColumn("_ld_lines", _lines(F.col("text")))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_ld_lines")).cast("long")
+    gone = F.coalesce(F.size("_ld_drop"), F.lit(0))
+    # Both array functions hash, so a text of many lines takes time in proportion to them.
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), "_ld_drop"), lambda p: F.get(F.col("_ld_lines"), p))
+    out = out.withColumns({
+        "n_lines": n, "n_removed": F.when(F.col("text").isNull() | (gone < 0), 0).otherwise(gone).cast("long"),
+        "text": F.when(gone > 0, F.array_join(kept, "\n")).otherwise(F.col("text")),
+    })
+    return out.select(*columns, "n_lines", "n_removed")
 
 
 ORACLE = f"""

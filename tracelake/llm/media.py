@@ -208,7 +208,10 @@ def read_frames(data: bytes) -> Iterator[Frame]:
             own, at = _palette(data, at + 10, packed)
             palette = own if own is not None else shared
             stream, end = _chain(data, at + 1)
-            samples = np.frombuffer(lzw_decode(stream, data[at])[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+            decoded = lzw_decode(stream, data[at])
+            if len(decoded) < w * h:
+                raise ValueError("the code stream is too short")
+            samples = np.frombuffer(decoded[: w * h], np.uint8).reshape(h, w)
             at = end
             if packed & 0x40:
                 order = [y for start, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(start, h, step)]
@@ -272,20 +275,21 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def frames_of(media: DataFrame) -> DataFrame:
     """(doc_id, frame, at_ms, delay_ms, width, height, histogram) of each frame of the files in column media.
 
-    Files that can't be read (null included) have no frames.
+    Files that can't be read (null included) have no frames; other files with the same doc_id keep theirs.
     """
 
     def work(frames):
         for frame in slices(frames, BATCH):
             rows = []
             for doc_id, data in zip(frame["doc_id"], frame["media"]):
-                at = 0
+                at, own = 0, []
                 try:
                     for i, f in enumerate(read_frames(data or b"")):
-                        rows.append((doc_id, i, at, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], histogram(f).tolist()))
+                        own.append((doc_id, i, at, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], histogram(f).tolist()))
                         at += f.delay_ms
                 except ValueError:
-                    rows = [r for r in rows if r[0] != doc_id]
+                    continue
+                rows += own
             yield pd.DataFrame(rows, columns=["doc_id", "frame", "at_ms", "delay_ms", "width", "height", "histogram"])
 
     schema = "doc_id long, frame int, at_ms long, delay_ms int, width int, height int, histogram array<long>"
