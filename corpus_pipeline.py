@@ -13,9 +13,10 @@ SHINGLE, PERCENT = 5, 80
 
 
 def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """docs but for the doc_ids of dropped."""
-    gone = small(stored(dropped.select(F.col("doc_id").alias("_gone")).distinct(), name))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs but for the rows whose doc_id and text are those of dropped (doc_id, text_hash). Names beginning with `_cp_` are reserved."""
+    gone = small(stored(dropped.select(F.col("doc_id").alias("_cp_id"), F.col("text_hash").alias("_cp_hash")).distinct(), name))
+    same = F.col("doc_id").eqNullSafe(F.col("_cp_id")) & (F.xxhash64("text") == F.col("_cp_hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +34,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; of repeated rows one."""
-    groups = jaccard_join.link_documents(docs, SHINGLE, PERCENT)
-    kept = _without(docs, groups.where(F.col("doc_id") != F.col("component_id")), "pipeline-duplicates")
-    if kept.groupBy("doc_id").count().where("count > 1").head(1):
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """The document with the smallest doc_id of each group of near duplicates; of equal ids the text with the smallest hash.
+
+    Rows go by doc_id and text, so different texts under one doc_id, or under none, are judged each by itself. Of repeated
+    rows one stays. A null doc_id is larger than all others.
+    """
+    rows = stored(jaccard_join.link_documents(docs, SHINGLE, PERCENT, more=True).select("doc_id", "text_hash", "group"), "pipeline-groups")
+    again = rows.groupBy("doc_id", "text_hash").count().where("count > 1").head(1)
+    grouped = rows.where(F.col("group").isNotNull())
+    # Nulls last: the smallest number of its kind stands for a null doc_id, behind a flag.
+    row = F.struct(F.col("doc_id").isNull().alias("_cp_null"), "doc_id", "text_hash")
+    winners = grouped.groupBy("group").agg(F.min(row).alias("w"), F.count_distinct(row).alias("n")).where("n > 1")
+    losers = grouped.join(winners, "group").where(row != F.col("w"))
+    kept = _without(docs, losers, "pipeline-duplicates")
+    return kept.withColumn("_cp_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_cp_hash"]).drop("_cp_hash") if again else kept
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no copy of a benchmark item."""
+    """Documents that hold no copy of a benchmark item; those without a doc_id included."""
     copies = decontaminate.find_copies(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, copies, "pipeline-contaminated")
 
