@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
-from tracelake.functions.contracts import contract_issues, string_leaves, violations
-from tracelake.functions.failures import feature_marker, strict_marker
+from tracelake.functions.contracts import UNEVALUABLE, Unevaluable, contract_issues, string_leaves, violations
+from tracelake.functions.failures import strictly_decoded, widely_decoded
 
 
 def values(spark, column, texts):
@@ -45,12 +45,12 @@ STRICT = [
 
 def test_strict_decoder(spark):
     df = spark.createDataFrame([(i, j) for i, (j, _) in enumerate(STRICT)], "i int, j string").withColumn("v", F.parse_json("j"))
-    none = F.lit(None)
-    marker = strict_marker(none.cast("boolean"), none.cast("string"), F.col("v"), F.lit("t"))
-    assert [r[0] for r in df.orderBy("i").select(marker).collect()] == [m for _, m in STRICT]
-    suppressed = strict_marker(F.lit(False), none.cast("string"), F.col("v"), F.lit("t"))
-    assert {r[0] for r in df.select(suppressed).collect()} == {None}
-    assert {r[0] for r in df.select(strict_marker(F.lit(True), F.lit("m"), F.col("v"), F.lit("t"))).collect()} == {"m"}
+    def markers(error, outcome=None):
+        rows = df.select("i", F.col("v").alias("output"), F.lit("t").alias("tool"), F.lit(error).cast("boolean").alias("explicit_error"), F.lit(outcome).cast("string").alias("outcome_marker"))
+        return [r.marker for r in strictly_decoded(rows).orderBy("i").select("marker").collect()]
+
+    assert markers(None) == [m for _, m in STRICT]
+    assert set(markers(False)) == {None} and set(markers(True, "m")) == {"m"} and set(markers(True)) == {"explicit_error_field"}
 
 
 FEATURE = [
@@ -62,8 +62,11 @@ FEATURE = [
 
 def test_feature_decoder(spark):
     df = spark.createDataFrame([(i, j) for i, (j, _) in enumerate(FEATURE)], "i int, j string").withColumn("v", F.parse_json("j"))
-    assert [r[0] for r in df.orderBy("i").select(feature_marker(F.col("v"), F.lit("t"), F.lit(None).cast("string"))).collect()] == [m for _, m in FEATURE]
-    assert {r[0] for r in df.select(feature_marker(F.col("v"), F.lit("t"), F.lit("e"))).collect()} == {"span_error"}
+    def markers(error):
+        rows = df.select("i", F.col("v").alias("output"), F.lit("t").alias("tool"), F.lit(error).cast("string").alias("error"))
+        return [r.marker for r in widely_decoded(rows).orderBy("i").select("marker").collect()]
+
+    assert markers(None) == [m for _, m in FEATURE] and set(markers("e")) == {"span_error"}
 
 
 def test_contracts(spark):
@@ -72,9 +75,18 @@ def test_contracts(spark):
     assert violations({"a": 1}, schema) == [("minimum", "$.a")]
     assert violations({"a": True}, schema) == [("type", "$.a")]
     assert violations({"a": 2.0}, schema) == []
-    with pytest.raises(ValueError):
-        violations({}, {"$ref": "#/x"})
-    df = spark.createDataFrame([('{"a": "x"}', json.dumps(schema)), (None, "{}")], "a string, s string")
-    assert [r[0] for r in df.select(contract_issues("a", "s")).collect()] == [["argument_type_mismatch"], []]
+    for rule, good, bad in (
+        ({"$defs": {"n": {"type": "integer"}}, "properties": {"a": {"$ref": "#/$defs/n"}}}, {"a": 1}, {"a": "x"}), ({"not": {"required": ["a"]}}, {}, {"a": 1}),
+        ({"patternProperties": {"^x": {"type": "string"}}, "additionalProperties": False}, {"x1": "s"}, {"y": 1}), ({"if": {"required": ["a"]}, "then": {"required": ["b"]}}, {"c": 1}, {"a": 1}),
+        ({"properties": {"a": {"prefixItems": [{"type": "integer"}], "items": {"type": "string"}}}}, {"a": [1, "x"]}, {"a": [1, 2]}), ({"propertyNames": {"maxLength": 1}}, {"a": 1}, {"ab": 1}),
+        ({"properties": {"a": {"uniqueItems": True, "contains": {"const": 1}}}}, {"a": [1, 2]}, {"a": [2, 2]}), ({"dependentRequired": {"a": ["b"]}}, {"b": 1}, {"a": 1}),
+        ({"properties": {"a": {"multipleOf": 0.5}}}, {"a": 1.5}, {"a": 1.2}), ({"oneOf": [{"required": ["a"]}, {"required": ["b"]}]}, {"a": 1}, {"a": 1, "b": 2}),
+    ):
+        assert violations(good, rule) == [] and violations(bad, rule), rule
+    for unknown in ({"$ref": "#/x"}, {"$ref": "http://x"}, {"unevaluatedProperties": False}, {"$ref": "#"}):
+        with pytest.raises(Unevaluable):
+            violations({}, unknown)
+    df = spark.createDataFrame([('{"a": "x"}', json.dumps(schema)), (None, "{}"), ("{}", "null"), ("{}", '{"$ref": "#/x"}'), ("{}", "3")], "a string, s string")
+    assert [r[0] for r in df.select(contract_issues("a", "s")).collect()] == [["argument_type_mismatch"], [], [], [UNEVALUABLE], [UNEVALUABLE]]
     leaves = df.limit(1).select(string_leaves(F.lit('{"a": {"b": ["x", 1, {"c": "y"}]}}'))).first()[0]
     assert [tuple(x) for x in leaves] == [("$.a.b[0]", "b", "x"), ("$.a.b[2].c", "c", "y")]

@@ -36,15 +36,17 @@ def updated_insights(merged: DataFrame, today: str) -> DataFrame:
 
 
 def resolve_links(evidence: DataFrame, traces: DataFrame, spans: DataFrame) -> DataFrame:
-    """evidence (trace_id, url, span_ids) with links: of present traces their own URL and known spans, else what was saved."""
+    """evidence (insight_id, trace_id, url, span_ids) with links: of present traces their own URL and known spans, else what was saved."""
+    keys = ["insight_id", "trace_id"]
     present = traces.select("trace_id", F.col("source_url").alias("found_url"), F.lit(True).alias("present"))
-    kept = evidence.select("trace_id", F.posexplode("span_ids").alias("pos", "span_id")).join(spans.select("trace_id", "span_id").distinct(), ["trace_id", "span_id"])
-    kept = kept.groupBy("trace_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "span_id"))), lambda x: x["span_id"])).alias("known_spans"))
-    out = evidence.join(present, "trace_id", "left").join(kept, "trace_id", "left")
+    cited = evidence.select(*keys, F.posexplode("span_ids").alias("pos", "span_id"))
+    found = cited.join(spans.select("trace_id", "span_id").distinct(), ["trace_id", "span_id"])
+    found = found.groupBy(*keys).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "span_id"))), lambda x: x["span_id"])).alias("known_spans"))
+    out = evidence.join(present, "trace_id", "left").join(found, keys, "left")
     here = F.coalesce("present", F.lit(False))
     known = F.coalesce("known_spans", F.array().cast(evidence.schema["span_ids"].dataType))
     return out.select(
-        "trace_id", F.when(here, F.coalesce("found_url", "url")).otherwise(F.col("url")).alias("url"),
+        *keys, F.when(here, F.coalesce("found_url", "url")).otherwise(F.col("url")).alias("url"),
         F.when(here, known).otherwise(F.array_distinct("span_ids")).alias("span_ids"), here.alias("present"),
     )
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.functions.failures import CODE_TOOLS, feature_marker, result_text
+from tracelake.functions.failures import CODE_TOOLS, widely_decoded
 from tracelake.functions.json_values import as_object, is_flag
+from tracelake.functions.tables import exact_medians
 from tracelake.functions.text import error_template, failure_message, head_tail, message_signature, one_line
 
 #: Features and their names in reasons (fixed values).
@@ -24,7 +25,7 @@ RECURRENCE = 3
 
 def decoded_calls(calls: DataFrame) -> DataFrame:
     """calls (trace_id, call_id, call_index, tool, arguments, output, error, duration_ms) with text and failure marker."""
-    return calls.withColumns({"text": result_text(F.col("output")), "marker": feature_marker(F.col("output"), F.col("tool"), F.col("error"))})
+    return widely_decoded(calls)
 
 
 def trace_features(calls: DataFrame, traces: DataFrame, steps: DataFrame | None = None) -> DataFrame:
@@ -66,13 +67,12 @@ def _unpivoted(features: DataFrame, names: list[str]) -> DataFrame:
 def robust_z(features: DataFrame, names: list[str] = FEATURES) -> DataFrame:
     """(trace_id, feature, value, center, mad, z): deviation from the corpus median in units of 1.4826 median deviations.
 
-    Medians are exact and computed per feature; their table has one row per feature.
+    Medians are exact; their table has one row per feature.
     """
     rows = _unpivoted(features, names)
-    centers = rows.groupBy("feature").agg(F.median("value").alias("center"))
-    rows = rows.join(F.broadcast(centers), "feature")
-    mads = rows.groupBy("feature").agg(F.median(F.abs(F.col("value") - F.col("center"))).alias("mad"))
-    rows = rows.join(F.broadcast(mads), "feature").withColumn("mad", F.when(F.col("mad") == 0, 1e-9).otherwise(F.col("mad")))
+    rows = rows.join(F.broadcast(exact_medians(rows, "feature", "value", "center")), "feature")
+    off = rows.select("feature", F.abs(F.col("value") - F.col("center")).alias("off"))
+    rows = rows.join(F.broadcast(exact_medians(off, "feature", "off", "mad")), "feature").withColumn("mad", F.when(F.col("mad") == 0, 1e-9).otherwise(F.col("mad")))
     return rows.withColumn("z", (F.col("value") - F.col("center")) / (1.4826 * F.col("mad")))
 
 
@@ -102,26 +102,31 @@ def failure_events(calls: DataFrame) -> DataFrame:
     )
 
 
-def recurring(events: DataFrame, key: str = "signature", least: int = RECURRENCE) -> DataFrame:
+def recurring(events: DataFrame, key: str = "signature", least: int = RECURRENCE, most_tools: int | None = 5) -> DataFrame:
     """(key, event_count, independent_trace_count, first_trace, tools, representatives) of failures in several traces.
 
-    Ranked by traces, then events, then first seen. Events combine per trace first, so a hot signature is one row per
-    trace when it meets; the ids of its traces are a join away and not gathered into a row.
+    tools are the most frequent ones, or all with most_tools=None. Ranked by traces, then events, then first seen. Events combine per trace first, so a hot signature is one row per
+    trace when it meets; recurring_traces() has the ids of its traces, which aren't gathered into a row.
     """
     at = F.struct("call_index", "call_id")
     per_tool = events.groupBy(key, "trace_id", "tool").agg(F.count("*").alias("n"), F.min(at).alias("at"))
     tools = per_tool.groupBy(key, "tool").agg(F.sum("n").alias("n")).groupBy(key).agg(
-        F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "tool"))), 1, 5), lambda x: x["tool"]).alias("tools")
+        F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "tool"))), 1, most_tools or (1 << 31) - 1), lambda x: x["tool"]).alias("tools")
     )
     per_trace = per_tool.groupBy(key, "trace_id").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
     # The filter on the rank right behind the window keeps five rows per key and task, so hot keys don't meet whole.
     first = per_trace.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("trace_id"))).where(F.col("rank") <= 5)
     first = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("trace_id", "at.call_id"))).alias("representatives"))
     out = per_trace.groupBy(key).agg(
-        F.sum("n").alias("event_count"), F.count("*").alias("independent_trace_count"), F.min("trace_id").alias("first_trace")
+        F.sum("n").alias("event_count"), F.count("*").alias("independent_trace_count"), F.min("trace_id").alias("first_trace"), F.min(F.struct("trace_id", "at")).alias("first_at")
     ).join(first, key)
     out = out.where(F.col("independent_trace_count") >= least).join(tools, key)
-    return out.orderBy(F.desc("independent_trace_count"), F.desc("event_count"), "first_trace", key)
+    return out.orderBy(F.desc("independent_trace_count"), F.desc("event_count"), "first_at", key).drop("first_at")
+
+
+def recurring_traces(events: DataFrame, groups: DataFrame, key: str = "signature") -> DataFrame:
+    """(key, trace_id): all traces of each group that recurring() gave."""
+    return events.select(key, "trace_id").distinct().join(groups.select(key), key, "left_semi")
 
 
 def verdict_groups(traces: DataFrame, least: int = 1) -> DataFrame:

@@ -2,8 +2,9 @@
 
 calls: one row per tool call with trace_id, case_id, call_id, call_index, tool, arguments and output (variants, NULL
 where nothing was recorded), result_count, result_id, alias_of, explicit_error, outcome_marker, prior_user_text,
-complete_provenance (of the trace), has_catalog (of the trace) and schema (JSON text of the tool's parameters in the
-trace's catalog, NULL if the tool isn't in it). Everything partitions by trace; no rule needs another trace.
+complete_provenance (of the trace), has_catalog (of the trace), in_catalog (whether the tool is in it; without this
+column, whether there is a schema) and schema (JSON text of the tool's parameters; NULL or JSON null where the catalog has
+none, so arguments aren't checked). Everything partitions by trace; no rule needs another trace.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.functions.contracts import contract_issues, string_leaves
-from tracelake.functions.failures import audit_text, strict_marker
+from tracelake.functions.contracts import UNEVALUABLE, contract_issues, string_leaves
+from tracelake.functions.failures import strictly_decoded
 from tracelake.functions.json_values import kind
+from tracelake.functions.tables import kept, settled
 from tracelake.functions.text import compact, digest
 
 RETRIES = 3
@@ -33,6 +35,13 @@ FAMILY = {
     "unresolved_placeholder_argument": "argument_provenance", "explicitly_rejected_ungrounded_identifier": "argument_provenance",
     "explicit_prerequisite_or_state_failure": "explicit_prerequisite_or_state",
 }
+#: Who is at fault (fixed values); what isn't listed is the agent's call.
+ATTRIBUTION = {t: "agent_call" for t in FAMILY} | {
+    "duplicate_call_id": "instrumentation", "missing_tool_result": "instrumentation", "duplicate_tool_result": "instrumentation",
+    "call_result_id_mismatch": "instrumentation", "mapped_instrumentation_alias": "instrumentation", "orphan_tool_result": "instrumentation",
+    "explicit_tool_failure": "tool_or_environment", "explicit_prerequisite_or_state_failure": "tool_or_environment",
+    "repeated_identical_failed_call": "agent_recovery", "modified_retry_same_failure": "agent_recovery",
+}
 #: Fixed patterns: rejections, placeholders, identifier fields and values, states.
 REJECTION = r"(?i)(?:invalid|unknown|not found|does not exist|is not existing|missing input|not a valid)"
 PLACEHOLDER = (
@@ -47,10 +56,6 @@ STATES = {
     "required_type_or_target": r"(?i)(?:must be (?:a|an|the) [a-z][a-z0-9 _-]{1,50}|cannot be created without (?:a|an|the) [a-z][a-z0-9 _-]{1,50})",
     "required_first_step": r"(?i)(?:must|need(?:s)? to|require(?:s|d)?) .{0,100}\bfirst\b",
 }
-MESSAGES = {
-    "unknown_tool": "The tool is not in the trace's catalog.", "malformed_tool_call": "Arguments are not an object.",
-    "explicit_tool_failure": "The tool reported an explicit failure.",
-}
 
 
 def state_class(text: Column) -> Column:
@@ -59,44 +64,38 @@ def state_class(text: Column) -> Column:
 
 
 def audited(calls: DataFrame) -> DataFrame:
-    """calls with what the rules look at: result text, failure marker, contract issues, leaves, prior text."""
-    is_object = F.coalesce(kind(F.col("arguments")) == "OBJECT", F.lit(False))
-    rows = calls.withColumns({
-        "missing": F.col("output").isNull() | (F.coalesce("result_count", F.lit(1)) == 0),
-        "text": F.coalesce(audit_text(F.col("output")), F.lit("")),
-        "marker": strict_marker(F.col("explicit_error"), F.col("outcome_marker"), F.col("output"), F.col("tool")),
-        "argument_text": F.when(is_object, F.to_json("arguments")).otherwise(F.lit("{}")),
-    }).withColumn("rejected", F.col("text").rlike(REJECTION))
-    # Only rejected or failed calls need their arguments' strings.
-    rows = rows.withColumn("leaves", string_leaves(F.when(is_object & (F.col("rejected") | F.col("marker").isNotNull()), F.to_json("arguments"))))
+    """calls with what the rules look at: result text, failure marker, contract issues, string leaves, repeats.
+
+    unevaluable tells calls whose tool has a schema that can't be checked; such a call has no contract issue.
+    """
+    c = F.col
+    if "in_catalog" not in calls.columns:
+        calls = calls.withColumn("in_catalog", c("schema").isNotNull())
+    rows = strictly_decoded(calls)
+    rows = settled(rows, {
+        "missing": c("output").isNull() | (F.coalesce("result_count", F.lit(1)) == 0), "rejected": c("text").rlike(REJECTION), "state": state_class(c("text")),
+        "is_object": F.coalesce(kind(c("arguments")) == "OBJECT", F.lit(False)), "argument_text": F.coalesce(F.when(kind(c("arguments")) == "OBJECT", F.to_json("arguments")), F.lit("{}")),
+    })
     catalog = F.coalesce("has_catalog", F.lit(False))
-    rows = rows.withColumn("broken", F.when(catalog & is_object & F.col("schema").isNotNull(), contract_issues(F.to_json("arguments"), F.col("schema"))))
-    malformed = F.col("arguments").isNotNull() & ~is_object
+    checked = F.when(catalog & c("in_catalog") & c("is_object"), c("schema"))
+    # Only rejected or failed calls need their arguments' strings.
+    told = F.when(c("is_object") & (c("rejected") | c("marker").isNotNull()), c("argument_text"))
+    rows = rows.withColumns({"leaves": string_leaves(told), "broken": F.coalesce(contract_issues(c("argument_text"), checked), F.array().cast("array<string>"))})
     contract = (
-        F.when(catalog & F.col("schema").isNull(), F.array(F.lit("unknown_tool")))
-        .when(malformed, F.array(F.lit("malformed_tool_call")))
-        .otherwise(F.coalesce("broken", F.array().cast("array<string>")))
+        F.when(catalog & ~c("in_catalog"), F.array(F.lit("unknown_tool")))
+        .when(c("arguments").isNotNull() & ~c("is_object"), F.array(F.lit("malformed_tool_call")))
+        .otherwise(F.array_remove("broken", F.lit(UNEVALUABLE)))
     )
-    order = W.partitionBy("trace_id").orderBy("call_index", "call_id")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    earlier = F.when(F.col("complete_provenance") & ~F.col("missing"), F.col("text"))
     return rows.withColumns({
-        "contract": contract,
-        "prior": F.concat_ws("\n", F.coalesce("prior_user_text", F.lit("")), F.array_join(F.collect_list(earlier).over(before), "\n")),
+        "contract": contract, "unevaluable": F.array_contains("broken", F.lit(UNEVALUABLE)),
         "repeat": F.row_number().over(W.partitionBy("trace_id", "call_id").orderBy("call_index", "call_id")),
-    })
+    }).drop("broken")
 
 
 def per_call(rows: DataFrame) -> DataFrame:
-    """Findings that a single call shows, in one pass: (trace_id, case_id, call_id, call_index, tool, issue_type, mechanism_key)."""
+    """Findings that a single call shows by itself, in one pass: (trace_id, case_id, call_id, call_index, tool, issue_type, mechanism_key)."""
     failed = F.col("marker").isNotNull()
     placeholders = F.exists("leaves", lambda x: F.btrim(x["value"]).rlike(PLACEHOLDER))
-    ungrounded = F.exists(
-        "leaves",
-        lambda x: x["name"].rlike(ID_FIELD) & x["value"].rlike(ID_VALUE) & F.contains(F.col("text"), x["value"]) & ~F.contains(F.col("prior"), x["value"]),
-    )
-    state = state_class(F.col("text"))
-
     def finding(issue: str, condition: Column, mechanism: Column | None = None) -> Column:
         return F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(issue).alias("issue_type"), (F.lit(issue) if mechanism is None else mechanism).alias("mechanism_key")))
 
@@ -108,14 +107,33 @@ def per_call(rows: DataFrame) -> DataFrame:
         finding("mapped_instrumentation_alias", F.coalesce("alias_of", F.lit("")) != ""),
         finding("explicit_tool_failure", failed & (F.size("contract") == 0), F.col("marker")),
         finding("unresolved_placeholder_argument", placeholders & (failed | F.col("rejected"))),
-        finding("explicitly_rejected_ungrounded_identifier", F.col("complete_provenance") & F.col("rejected") & ungrounded),
-        finding("explicit_prerequisite_or_state_failure", state.isNotNull(), state),
+        finding("explicit_prerequisite_or_state_failure", F.col("state").isNotNull(), F.col("state")),
     )
     contract = F.transform("contract", lambda x: F.struct(x.alias("issue_type"), x.alias("mechanism_key")))
     found = rows.select("trace_id", "case_id", "call_id", "call_index", "tool", F.explode(F.array_compact(F.concat(single, contract))).alias("f"))
     return found.select("trace_id", "case_id", "call_id", "call_index", "tool", "f.*")
 
 
+def ungrounded(rows: DataFrame) -> DataFrame:
+    """Findings of identifiers that a result rejects and that neither the user nor an earlier result had mentioned.
+
+    Only the identifiers of rejected calls meet the earlier results of their trace.
+    """
+    suspect = rows.where(F.col("complete_provenance") & F.col("rejected")).select("trace_id", "case_id", "call_id", "call_index", "tool", "text", "prior_user_text", F.explode("leaves").alias("x"))
+    value = F.col("value")
+    suspect = suspect.withColumn("value", F.col("x.value")).where(
+        F.col("x.name").rlike(ID_FIELD) & value.rlike(ID_VALUE) & F.contains("text", value) & ~F.coalesce(F.contains("prior_user_text", value), F.lit(False))
+    )
+    keys = ["trace_id", "call_index", "call_id", "value"]
+    before = rows.where(F.col("complete_provenance") & ~F.col("missing")).select(
+        F.col("trace_id").alias("_t"), F.struct("call_index", "call_id").alias("_at"), F.col("text").alias("_text")
+    )
+    known = suspect.select(*keys).join(before, (F.col("trace_id") == F.col("_t")) & (F.col("_at") < F.struct("call_index", "call_id")) & F.contains("_text", value), "left_semi").distinct()
+    lost = suspect.join(known, keys, "left_anti")
+    issue = F.lit("explicitly_rejected_ungrounded_identifier")
+    return lost.select("trace_id", "case_id", "call_id", "call_index", "tool", issue.alias("issue_type"), issue.alias("mechanism_key")).distinct()
+
+
 def retries(rows: DataFrame, threshold: int = RETRIES) -> DataFrame:
     """Findings about repeated failures, anchored at the first call of each group."""
     bad = rows.where(F.col("marker").isNotNull() | (F.size("contract") > 0) | F.col("missing") | (F.coalesce("result_count", F.lit(1)) > 1))
@@ -140,12 +158,13 @@ def orphans(results: DataFrame) -> DataFrame:
 
 
 def findings(calls: DataFrame, orphan_results: DataFrame | None = None) -> DataFrame:
-    """All findings, with family and a content hash as issue_id."""
-    rows = audited(calls)
-    parts = [per_call(rows), retries(rows)] + ([orphans(orphan_results)] if orphan_results is not None else [])
+    """All findings with family and a content hash as issue_id, by trace, call index, issue type and id."""
+    rows = kept(audited(calls))
+    parts = [per_call(rows), ungrounded(rows), retries(rows)] + ([orphans(orphan_results)] if orphan_results is not None else [])
     found = reduce(DataFrame.unionByName, parts)
     family = F.create_map(*(F.lit(x) for pair in FAMILY.items() for x in pair))
     return found.withColumns({
         "issue_family": family[F.col("issue_type")],
+        "attribution": F.create_map(*(F.lit(x) for pair in ATTRIBUTION.items() for x in pair))[F.col("issue_type")],
         "issue_id": digest(F.to_json(F.struct("trace_id", "call_id", "call_index", "tool", "issue_type", "mechanism_key")), 24),
-    })
+    }).orderBy("trace_id", "call_index", "issue_type", "issue_id")

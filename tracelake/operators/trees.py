@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.functions.tables import kept
 from tracelake.functions.text import ELLIPSIS, one_line
 
 AGENT_STEPS = ["agent", "agent_step", "planning"]
@@ -20,37 +21,37 @@ def detach_orphans(spans: DataFrame) -> DataFrame:
 
 
 def preorder(spans: DataFrame) -> DataFrame:
-    """spans with path (child numbers from the root, by start and id), depth and dfs_index in depth-first order.
+    """spans with path (child numbers from the root, by place among siblings where that is known, start and id), depth and dfs_index in depth-first order.
 
     Ancestors are found by doubling: a round joins each span's known chain with that of its top, so a tree of depth d
-    takes log2(d) joins that shuffle by trace and span. Spans in or below a cycle have no path and are left out;
-    cyclic() lists them.
+    takes log2(d) joins that shuffle by trace and span. A round that finishes no chain ends them: spans in or below a
+    cycle have no path and are left out; cyclic() lists them.
     """
-    sibling = W.partitionBy("trace_id", "parent_id").orderBy("start", "span_id")
+    order = ["sibling"] if "sibling" in spans.columns else []
+    sibling = W.partitionBy("trace_id", "parent_id").orderBy(*order, "start", "span_id")
     chains = spans.withColumn("path", F.array(F.row_number().over(sibling) - 1)).withColumn("top", F.col("parent_id"))
-    rounds = 0
-    while rounds < 32 and chains.where(F.col("top").isNotNull()).head(1):
+    chains = kept(chains)
+    before, left = None, chains.where(F.col("top").isNotNull()).count()
+    while left and left != before:
         above = chains.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("path").alias("_p"), F.col("top").alias("_top"))
         chains = chains.join(above, (F.col("trace_id") == F.col("_t")) & (F.col("top") == F.col("_s")), "left")
         chains = chains.withColumns({"path": F.when(F.col("_p").isNull(), F.col("path")).otherwise(F.concat("_p", "path")), "top": F.col("_top")}).drop("_t", "_s", "_p", "_top")
-        rounds += 1
+        chains = kept(chains)
+        before, left = left, chains.where(F.col("top").isNotNull()).count()
     ordered = W.partitionBy("trace_id").orderBy("path")
     return chains.where(F.col("top").isNull()).drop("top").withColumns({"depth": F.size("path") - 1, "dfs_index": F.row_number().over(ordered) - 1})
 
 
-def cyclic(spans: DataFrame, depth: int = 32) -> DataFrame:
-    """(trace_id, span_id) of spans from which no root can be reached within 2 ** depth steps; parents must exist."""
-    above = spans.select("trace_id", "span_id", F.col("parent_id").alias("top"))
-    for _ in range(depth):
-        if not above.where(F.col("top").isNotNull()).head(1):
-            break
+def cyclic(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id) of spans from which no root can be reached; parents must exist."""
+    above = kept(spans.select("trace_id", "span_id", F.col("parent_id").alias("top")).where(F.col("top").isNotNull()))
+    before, left = None, above.count()
+    while left and left != before:
         up = above.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("top").alias("_top"))
-        new = above.join(up, (F.col("trace_id") == F.col("_t")) & (F.col("top") == F.col("_s")), "left").select("trace_id", "span_id", F.col("_top").alias("top"))
-        stuck = new.where(F.col("top").isNotNull()).select("trace_id", "span_id")
-        if above.where(F.col("top").isNotNull()).count() == stuck.count():
-            return stuck
-        above = new
-    return above.where(F.col("top").isNotNull()).select("trace_id", "span_id")
+        # Spans whose top is a root aren't listed any more.
+        above = kept(above.join(up, (F.col("trace_id") == F.col("_t")) & (F.col("top") == F.col("_s"))).select("trace_id", "span_id", F.col("_top").alias("top")))
+        before, left = left, above.count()
+    return above.select("trace_id", "span_id")
 
 
 def in_order(*columns: str):

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as T
+from tracelake.functions.tables import kept
 from tracelake.operators import cards as C
 from tracelake.operators import evidence as E
 from tracelake.operators import features as A
@@ -123,7 +124,7 @@ def recurring_failures(spark, d):
 
 
 def cross_tool_failures(spark, d):
-    out = A.recurring(A.failure_events(_events(spark, d)), "message_signature")
+    out = A.recurring(A.failure_events(_events(spark, d)), "message_signature", most_tools=None)
     return out.select("message_signature", "event_count", "independent_trace_count", F.array_join(F.sort_array("tools"), ",").alias("tool_names"))
 
 
@@ -168,7 +169,7 @@ def rule_ungrounded_identifier(spark, d):
     ident = F.concat(F.lit("ref"), F.col("k"))
     output = F.when(F.col("failed"), F.concat(F.lit("invalid reference "), ident)).otherwise(F.concat(F.lit("saw "), ident))
     args = F.to_variant_object(F.struct(ident.alias("user_id"), F.col("tool").alias("name")))
-    return _short(R.per_call(_audited(spark, d, complete_provenance=F.lit(True), arguments=args, output=output.cast("variant"))), "explicitly_rejected_ungrounded_identifier")
+    return _short(R.ungrounded(_audited(spark, d, complete_provenance=F.lit(True), arguments=args, output=output.cast("variant"))), "explicitly_rejected_ungrounded_identifier")
 
 
 def rule_state_failure(spark, d):
@@ -195,8 +196,8 @@ def orphan_results(spark, d):
 
 
 def _event_findings(spark, d) -> DataFrame:
-    rows = _audited(spark, d).persist()  # used by both kinds of rules
-    return R.per_call(rows).unionByName(R.retries(rows))
+    rows = kept(_audited(spark, d))  # used by all kinds of rules
+    return R.per_call(rows).unionByName(R.ungrounded(rows)).unionByName(R.retries(rows))
 
 
 def issue_cards(spark, d):
@@ -288,12 +289,14 @@ def insight_evidence_merge(spark, d):
 
 
 def link_resolution(spark, d):
-    saved = _halves(spark, d)[0].select("trace_id", "url", F.col("spans").alias("span_ids"))
+    first, second = _halves(spark, d)
+    saved = first.unionByName(second.withColumn("insight_id", F.col("insight_id") + 100))  # two insights may cite one trace
+    saved = saved.select("insight_id", "trace_id", "url", F.col("spans").alias("span_ids"))
     present = event_calls(spark, d).where(F.col("trace_id") % 3 != 0)
     traces = present.select("trace_id", F.concat(F.lit("https://now.example/"), "trace_id").alias("source_url")).distinct()
     spans = present.where(F.col("call_id") % 4 != 0).select("trace_id", F.col("call_id").alias("span_id"))
     out = E.resolve_links(saved, traces, spans)
-    return out.select("trace_id", "url", F.array_join("span_ids", ",").alias("span_ids"), "present")
+    return out.select("insight_id", "trace_id", "url", F.array_join("span_ids", ",").alias("span_ids"), "present")
 
 
 def tri_state_scan(spark, d):

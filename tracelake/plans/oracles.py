@@ -156,9 +156,10 @@ ORACLES = {
     "citation_guard": f"""WITH {EV} SELECT DISTINCT trace_id + 1000000 AS trace_id FROM ev WHERE call_id % 97 = 0 AND trace_id + 1000000 NOT IN (SELECT trace_id FROM ev)""",
     "insight_evidence_merge": f"""WITH {HALVES} SELECT coalesce(h0.insight_id, h1.insight_id) AS insight_id, coalesce(h0.trace_id, h1.trace_id) AS trace_id, coalesce(h0.url, h1.url) AS url,
       array_to_string(list_concat(coalesce(h0.spans, []), coalesce(h1.spans, [])), ',') AS spans, h0.trace_id IS NULL AS added FROM h0 FULL OUTER JOIN h1 ON h0.trace_id = h1.trace_id""",
-    "link_resolution": f"""WITH {HALVES}, x AS (SELECT trace_id, url, unnest(spans) AS s, generate_subscripts(spans, 1) AS pos FROM h0)
-      SELECT trace_id, CASE WHEN trace_id % 3 <> 0 THEN 'https://now.example/' || trace_id ELSE url END AS url,
-      coalesce(string_agg(s::VARCHAR, ',' ORDER BY pos) FILTER (WHERE trace_id % 3 = 0 OR s % 4 <> 0), '') AS span_ids, trace_id % 3 <> 0 AS present FROM x GROUP BY trace_id, url""",
+    "link_resolution": f"""WITH {HALVES}, hh AS (SELECT insight_id, trace_id, url, spans FROM h0 UNION ALL SELECT insight_id + 100, trace_id, url, spans FROM h1),
+      x AS (SELECT insight_id, trace_id, url, unnest(spans) AS s, generate_subscripts(spans, 1) AS pos FROM hh)
+      SELECT insight_id, trace_id, CASE WHEN trace_id % 3 <> 0 THEN 'https://now.example/' || trace_id ELSE url END AS url,
+      coalesce(string_agg(s::VARCHAR, ',' ORDER BY pos) FILTER (WHERE trace_id % 3 = 0 OR s % 4 <> 0), '') AS span_ids, trace_id % 3 <> 0 AS present FROM x GROUP BY insight_id, trace_id, url""",
     "tri_state_scan": f"""WITH {EV} SELECT trace_id, CASE WHEN count(*) < 60 THEN 'unknown' WHEN count(*) FILTER (WHERE failed) * 4 > count(*) THEN 'match' ELSE 'no_match' END AS state FROM ev GROUP BY 1""",
     "tri_state_totals": f"""WITH {EV}, s AS (SELECT trace_id, CASE WHEN count(*) < 60 THEN 'unknown' WHEN count(*) FILTER (WHERE failed) * 4 > count(*) THEN 'match' ELSE 'no_match' END AS state FROM ev GROUP BY 1)
       SELECT count(*) AS traces, count(*) FILTER (WHERE state = 'match') AS matches, count(*) FILTER (WHERE state = 'unknown') AS unknown FROM s""",

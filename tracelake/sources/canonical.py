@@ -6,49 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.json_values import at, kind, text_at
+from tracelake.functions.tables import kept
 from tracelake.functions.text import duration_ms
-from tracelake.sources.common import KINDS, SPAN_COLUMNS, Snapshot, TraceLoadError, checked, lines_of, require, zoned_time
+from tracelake.functions.urls import file_page
+from tracelake.sources.common import KINDS, TOKENS, Snapshot, TraceLoadError, checked, lines_of, require_all, zoned_time
 
 
 def _level(parents: DataFrame, children: str) -> DataFrame:
-    """(trace_id, parent_id, span) of the spans in an array of each row's value."""
-    return parents.select("trace_id", "parent_id", F.explode(F.try_variant_get("value", children, "array<variant>")).alias("span"))
+    """(trace_id, parent_id, sibling, span) of the spans in an array of each row's value."""
+    return parents.select("trace_id", "parent_id", F.posexplode(F.try_variant_get("value", children, "array<variant>")).alias("sibling", "span"))
 
 
 def read(spark: SparkSession, path: str) -> Snapshot:
     """Traces of a file or folder. Raises TraceLoadError with file and line for lines that aren't valid traces."""
-    lines = lines_of(spark, path).withColumn("value", F.try_parse_json("text")).persist()
+    lines = kept(lines_of(spark, path).withColumn("value", F.try_parse_json("text")).drop("text"))
     if not lines.head(1):
         raise TraceLoadError(f"no traces in {path}")
-    place = F.concat_ws(":", "file", "line")
-    require(lines, F.concat(place, F.lit(": malformed JSON")), F.col("value").isNull())
-    valid = (F.coalesce(text_at(F.col("value"), "$.id"), F.lit("")) != "") & (kind(at(F.col("value"), "$.root_spans")) == "ARRAY") & (kind(at(F.col("value"), "$.aggregate")) == "OBJECT")
-    require(lines, F.concat(place, F.lit(": invalid trace")), ~F.coalesce(valid, F.lit(False)))
-    rows = lines.withColumn("trace_id", text_at(F.col("value"), "$.id"))
+    value = F.col("value")
+    valid = (F.coalesce(text_at(value, "$.id"), F.lit("")) != "") & (kind(at(value, "$.root_spans")) == "ARRAY") & (kind(at(value, "$.aggregate")) == "OBJECT")
+    require_all(lines, F.concat_ws(":", "file", "line"), {"malformed JSON": value.isNull(), "invalid trace": ~F.coalesce(valid, F.lit(False))})
+    rows = lines.withColumn("trace_id", text_at(value, "$.id"))
     traces = rows.select(
-        "trace_id", text_at(F.col("value"), "$.attributes.logical_case_id").alias("case_id"), F.concat("file", F.lit("#L"), "line").alias("source_url"),
-        F.try_variant_get("value", "$.aggregate.cost_usd", "double").alias("cost_usd"), F.try_variant_get("value", "$.aggregate.latency_ms", "double").alias("latency_ms"),
-        at(F.col("value"), "$.evaluator_results").alias("results"), at(F.col("value"), "$.attributes").alias("attributes"),
+        "trace_id", text_at(value, "$.attributes.logical_case_id").alias("case_id"), file_page(F.col("file"), F.col("line")).alias("source_url"),
+        F.try_variant_get(value, "$.aggregate.cost_usd", "double").alias("cost_usd"), F.try_variant_get(value, "$.aggregate.latency_ms", "double").alias("latency_ms"),
+        F.try_variant_get(value, "$.aggregate.token_counts", TOKENS).alias("tokens"), at(value, "$.evaluator_results").alias("results"), at(value, "$.attributes").alias("attributes"),
+        F.col("line").alias("position"),
     )
-    # A level of all trees at a time: as many steps as the deepest tree has levels.
-    level, levels = _level(rows.withColumn("parent_id", F.lit(None).cast("string")), "$.root_spans"), []
+    # A level of all trees at a time: as many steps as the deepest tree has levels, each written once.
+    level, levels = kept(_level(rows.withColumn("parent_id", F.lit(None).cast("string")), "$.root_spans")), []
     while level.head(1):
         levels.append(level)
-        level = _level(level.select("trace_id", text_at(F.col("span"), "$.id").alias("parent_id"), F.col("span").alias("value")), "$.children")
+        level = kept(_level(level.select("trace_id", text_at(F.col("span"), "$.id").alias("parent_id"), F.col("span").alias("value")), "$.children"))
     flat = levels[0] if levels else level
     for more in levels[1:]:
         flat = flat.unionByName(more)
     s = F.col("span")
     spans = flat.select(
-        "trace_id", "parent_id", text_at(s, "$.id").alias("span_id"), text_at(s, "$.kind").alias("kind"), text_at(s, "$.attributes.subtype").alias("subtype"),
-        text_at(s, "$.attributes.name").alias("name"), text_at(s, "$.tool_name").alias("tool"), text_at(s, "$.start_time").alias("_start"), text_at(s, "$.end_time").alias("_end"),
-        at(s, "$.input").alias("input"), at(s, "$.output").alias("output"), text_at(s, "$.error").alias("error"), F.try_variant_get(s, "$.cost_usd", "double").alias("cost_usd"),
-        F.try_variant_get(s, "$.attributes.duration_ms", "double").alias("_ms"), at(s, "$.attributes").alias("attributes"), at(s, "$.tool_call").alias("tool_call"),
+        "trace_id", "parent_id", F.col("sibling").cast("long").alias("sibling"), text_at(s, "$.id").alias("span_id"), text_at(s, "$.kind").alias("kind"),
+        text_at(s, "$.attributes.subtype").alias("subtype"), text_at(s, "$.attributes.name").alias("name"), text_at(s, "$.tool_name").alias("tool"),
+        text_at(s, "$.start_time").alias("_start"), text_at(s, "$.end_time").alias("_end"), at(s, "$.input").alias("input"), at(s, "$.output").alias("output"),
+        text_at(s, "$.error").alias("error"), F.try_variant_get(s, "$.cost_usd", "double").alias("cost_usd"), text_at(s, "$.model").alias("model"),
+        F.try_variant_get(s, "$.token_counts", TOKENS).alias("tokens"), F.try_variant_get(s, "$.attributes.duration_ms", "double").alias("_ms"),
+        at(s, "$.attributes").alias("attributes"), at(s, "$.tool_call").alias("tool_call"),
     ).withColumns({"start": zoned_time(F.col("_start")), "end": zoned_time(F.col("_end"))})
-    who = F.concat(F.lit("trace "), "trace_id", F.lit(", span "), F.coalesce("span_id", F.lit("?")))
-    require(spans, F.concat(who, F.lit(": invalid id or kind")), (F.coalesce("span_id", F.lit("")) == "") | ~F.coalesce(F.col("kind").isin(KINDS), F.lit(False)))
-    require(spans, F.concat(who, F.lit(": time without an offset")), (F.col("_start").isNotNull() & F.col("start").isNull()) | (F.col("_end").isNotNull() & F.col("end").isNull()))
-    require(spans, F.concat(who, F.lit(": tool_call on a span that is no tool")), (kind(F.col("tool_call")) == "OBJECT") & (F.col("kind") != "TOOL"))
-    require(spans, F.concat(who, F.lit(": negative cost")), (F.col("cost_usd") < 0) | F.isnan("cost_usd"))
-    spans = spans.withColumn("duration_ms", duration_ms(F.col("_ms"), F.col("start"), F.col("end")))
-    return checked(traces, spans.select(*SPAN_COLUMNS), detach=False)
+    lost = lambda text, time: F.col(text).isNotNull() & F.col(time).isNull()
+    require_all(spans, F.concat(F.lit("trace "), "trace_id", F.lit(", span "), F.coalesce("span_id", F.lit("?"))), {
+        "invalid id or kind": (F.coalesce("span_id", F.lit("")) == "") | ~F.coalesce(F.col("kind").isin(KINDS), F.lit(False)),
+        "time without an offset": lost("_start", "start") | lost("_end", "end"),
+    })
+    return checked(traces, spans.withColumn("duration_ms", duration_ms(F.col("_ms"), F.col("start"), F.col("end"))), detach=False)

@@ -1,25 +1,45 @@
 """What the readers of trace exports share: the flat target tables, files by line, checks of trees.
 
-A reader gives a Snapshot of two DataFrames. traces: trace_id, case_id, source_url, cost_usd, latency_ms, results and
-attributes (variants). spans: trace_id, span_id, parent_id, kind, subtype, name, tool, start, end, input, output
-(variants; NULL is `not recorded`, JSON null is a recorded null), error, cost_usd, duration_ms, attributes (variant).
+A reader gives a Snapshot of two DataFrames. traces: trace_id, case_id, source_url, cost_usd, latency_ms, tokens, results
+and attributes (variants). spans: trace_id, span_id, parent_id, kind, subtype, name, tool, start, end, input, output
+(variants; NULL is `not recorded`, JSON null is a recorded null), error, cost_usd, duration_ms, model, tokens, tool_call and
+attributes (variants), sibling (place among its siblings where the source has an order, else NULL: by start and id).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.functions.json_values import kind
+from tracelake.functions.tables import kept
 from tracelake.operators.evidence import corpus_description
 from tracelake.operators.trees import cyclic, detach_orphans
 
 KINDS = ["LLM", "TOOL", "AGENT", "CHAIN", "RETRIEVER", "EMBEDDING", "RERANKER", "EVALUATOR", "GUARDRAIL", "UNKNOWN"]
 #: A time with an offset; times without one are refused.
 ZONED = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:?\d{2})$"
-SPAN_COLUMNS = ["trace_id", "span_id", "parent_id", "kind", "subtype", "name", "tool", "start", "end", "input", "output", "error", "cost_usd", "duration_ms", "attributes"]
-TRACE_COLUMNS = ["trace_id", "case_id", "source_url", "cost_usd", "latency_ms", "results", "attributes"]
+TOKENS = "struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint>"
+#: Columns of the two tables with their types; readers fill what they lack with nulls.
+SPANS = {
+    "trace_id": "string", "span_id": "string", "parent_id": "string", "kind": "string", "subtype": "string", "name": "string", "tool": "string", "start": "timestamp",
+    "end": "timestamp", "input": "variant", "output": "variant", "error": "string", "cost_usd": "double", "duration_ms": "double", "model": "string", "tokens": TOKENS,
+    "tool_call": "variant", "sibling": "long", "attributes": "variant",
+}
+TRACES = {
+    "trace_id": "string", "case_id": "string", "source_url": "string", "cost_usd": "double", "latency_ms": "double", "tokens": TOKENS, "results": "variant",
+    "attributes": "variant", "position": "long",
+}
+
+
+def completed(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows with exactly these columns; missing ones are null."""
+    return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
 
 
 class TraceLoadError(ValueError):
@@ -35,30 +55,70 @@ class Snapshot:
         return corpus_description(self.spans, self.traces)
 
     def save(self, path: str) -> None:
-        """Both tables as Parquet; a later session reads them without parsing anything."""
-        self.traces.write.mode("errorifexists").parquet(f"{path}/traces")
-        self.spans.write.mode("errorifexists").parquet(f"{path}/spans")
+        """Both tables as Parquet; a later session reads them without parsing anything. A failed write leaves nothing behind."""
+        spark = self.traces.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(folder):
+            raise FileExistsError(path)
+        try:
+            self.traces.write.parquet(f"{path}/traces")
+            self.spans.write.parquet(f"{path}/spans")
+        except BaseException:
+            files.delete(folder, True)
+            raise
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Snapshot:
         return cls(spark.read.parquet(f"{path}/traces"), spark.read.parquet(f"{path}/spans"))
 
+    def ordered(self) -> DataFrame:
+        """Traces in the order of their source."""
+        return self.traces.orderBy("position", "trace_id")
+
+    def sorted_by(self, *keys: Column | str) -> Snapshot:
+        """The same snapshot with positions by the keys."""
+        place = F.row_number().over(W.orderBy(*keys, "trace_id")).cast("long")  # over ids and keys alone, a narrow sort
+        at = self.traces.select("trace_id", *keys).select("trace_id", place.alias("position"))
+        return Snapshot(self.traces.drop("position").join(at, "trace_id").select(*TRACES), self.spans)
+
+    def lookup(self, *trace_ids: str) -> Snapshot:
+        """Only these traces; KeyError for ids that aren't there."""
+        found = self.traces.where(F.col("trace_id").isin(*trace_ids))
+        lost = set(trace_ids) - {r.trace_id for r in found.select("trace_id").collect()}
+        if lost:
+            raise KeyError(", ".join(sorted(lost)))
+        return Snapshot(found, self.spans.where(F.col("trace_id").isin(*trace_ids)))
 
-def lines_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text) of the non-blank lines of text files; lines count from 1. A file is read as one row."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    return files.where(F.btrim("text") != "").withColumn("line", F.col("line") + 1)
+
+def lines_of(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(file, line, text) of the non-blank lines of text files; lines count from 1.
+
+    Files are read in splits. A first pass counts the lines of each split, a second adds what lies before it in its file.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    rows = spark.read.options(**options).text(path).select(F.col("value").alias("text"), place.alias("split"), F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy("split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(W.partitionBy("split.file").orderBy("split.at").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select(F.col("split").alias("_split"), "first", F.coalesce(before, F.lit(0)).alias("before"))
+    out = rows.where(F.btrim("text") != "").join(splits, F.col("split") == F.col("_split"))
+    return out.select("split.file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "text")
 
 
 def documents_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of JSON Lines files, and of JSON files that hold one value or a list of them."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    """(file, line, text, value) of JSON Lines files (.jsonl), and of other files that hold one JSON value, a list or lines.
+
+    Only files that aren't lines by name are read as one row each.
+    """
+    lines = lines_of(spark, path, pathGlobFilter="*.jsonl").withColumn("value", F.try_parse_json("text"))
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).where(~F.endswith("file", F.lit(".jsonl")))
     whole = whole.withColumn("value", F.try_parse_json("text"))
     is_list = F.schema_of_variant("value").startswith("ARRAY")
     single = whole.where("value IS NOT NULL").select("file", F.posexplode(F.when(is_list, F.col("value").cast("array<variant>")).otherwise(F.array("value"))).alias("line", "value"))
-    lines = whole.where("value IS NULL").select("file", F.posexplode(F.split("text", "\r?\n")).alias("line", "text")).where(F.btrim("text") != "")
-    lines = lines.select("file", F.col("line"), F.try_parse_json("text").alias("value"))
-    return single.unionByName(lines).withColumn("line", F.col("line") + 1)
+    single = single.select("file", (F.col("line") + 1).cast("long").alias("line"), F.to_json("value").alias("text"), "value")
+    split = whole.where("value IS NULL").select("file", F.posexplode(F.split("text", "\r?\n")).alias("line", "text")).where(F.btrim("text") != "")
+    split = split.select("file", (F.col("line") + 1).cast("long").alias("line"), "text", F.try_parse_json("text").alias("value"))
+    return lines.select("file", F.col("line").cast("long").alias("line"), "text", "value").unionByName(single).unionByName(split)
 
 
 def require(rows: DataFrame, message: Column, problem: Column) -> None:
@@ -68,12 +128,40 @@ def require(rows: DataFrame, message: Column, problem: Column) -> None:
         raise TraceLoadError("; ".join(r.m for r in bad))
 
 
+def require_all(rows: DataFrame, who: Column, problems: dict[str, Column]) -> None:
+    """Raise with up to five messages if rows have any of the problems; the rows are looked at once."""
+    first = F.coalesce(*(F.when(F.coalesce(c, F.lit(False)), F.lit(what)) for what, c in problems.items()))
+    require(rows.withColumn("_problem", first), F.concat(who, F.lit(": "), "_problem"), F.col("_problem").isNotNull())
+
+
 def unique(rows: DataFrame, keys: list[str], what: str) -> None:
     """Raise if two rows have equal keys."""
     again = rows.groupBy(*keys).count().where("count > 1")
     require(again, F.concat(F.lit(f"duplicate {what} "), F.concat_ws(" in ", *keys[::-1])), F.lit(True))
 
 
+def prompt_tokens(prompt: Column, cached: Column, output: Column) -> Column:
+    """Counts with cached tokens taken out of the prompt's; NULL unless all three are there and cached isn't more than the prompt."""
+    whole = prompt.isNotNull() & cached.isNotNull() & output.isNotNull() & (cached <= prompt) & (cached >= 0) & (output >= 0)
+    return F.when(whole, F.struct((prompt - cached).alias("input_tokens"), cached.alias("cached_input_tokens"), output.alias("output_tokens"))).cast(TOKENS)
+
+
+def within(time: Column, since: str | None, until: str | None, closed: bool = False) -> Column:
+    """Whether a time lies from since up to until (itself only if closed); both need an offset and have to be in order."""
+    for bound in (since, until):
+        if bound is not None and not re.match(ZONED, bound):
+            raise ValueError(f"{bound} has no offset")
+    moment = lambda t: datetime.fromisoformat(t.replace("Z", "+00:00"))
+    if since and until and not (moment(since) <= moment(until) if closed else moment(since) < moment(until)):
+        raise ValueError(f"{since} isn't before {until}")
+    out = F.lit(True)
+    if since:
+        out &= time >= F.to_timestamp(F.lit(since))
+    if until:
+        out &= (time <= F.to_timestamp(F.lit(until))) if closed else (time < F.to_timestamp(F.lit(until)))
+    return out
+
+
 def zoned_time(text: Column) -> Column:
     """A timestamp, NULL for text without an offset."""
     return F.when(text.rlike(ZONED), F.try_to_timestamp(text))
@@ -95,11 +183,17 @@ def text_payload(text: Column) -> Column:
 
 def checked(traces: DataFrame, spans: DataFrame, detach: bool) -> Snapshot:
     """Unique ids, existing parents (or detached ones, if allowed), no cycles, no span that ends before it starts."""
+    traces, spans = completed(traces, TRACES), kept(completed(spans, SPANS))
     unique(traces, ["trace_id"], "trace")
     unique(spans, ["trace_id", "span_id"], "span")
     attached = detach_orphans(spans)
+    who = F.concat(F.lit("trace "), "trace_id", F.lit(", span "), "span_id")
+    problems = {
+        "it ends before it starts": F.col("end") < F.col("start"), "negative or infinite cost": (F.col("cost_usd") < 0) | F.isnan("cost_usd") | (F.col("cost_usd") == float("inf")),
+        "tool_call on a span that is no tool": (kind(F.col("tool_call")) == "OBJECT") & (F.col("kind") != "TOOL"),
+    }
     if not detach:
-        require(attached, F.concat(F.lit("parent not found: "), "unresolved_parent"), F.col("unresolved_parent").isNotNull())
-    require(attached, F.concat(F.lit("span ends before it starts: "), "span_id"), F.col("end") < F.col("start"))
+        problems["parent not found"] = F.col("unresolved_parent").isNotNull()
+    require_all(attached, who, problems)
     require(cyclic(attached), F.concat(F.lit("parent cycle at "), "span_id"), F.lit(True))
-    return Snapshot(traces.select(*TRACE_COLUMNS), attached.select(*SPAN_COLUMNS, "unresolved_parent"))
+    return Snapshot(traces, attached.select(*SPANS, "unresolved_parent"))

@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.json_values import at, kind, text_at
 from tracelake.functions.text import duration_ms
 from tracelake.operators.evidence import newest
-from tracelake.sources.common import SPAN_COLUMNS, Snapshot, checked, documents_of, kind_of, require, text_payload, zoned_time
+from tracelake.sources.common import Snapshot, checked, documents_of, kind_of, require, text_payload, within, zoned_time
 
 ALIASES = {"GENERATION": "LLM"}
 
 
-def read(spark: SparkSession, path: str, limit: int = 100) -> Snapshot:
-    """The newest traces of the files, oldest first. Trees must be complete and observations belong to their trace."""
+def catalogs(spans: DataFrame) -> DataFrame:
+    """(trace_id, catalog): tools by name that all model calls of a trace agree on; none where they differ.
+
+    A tool is what `tools` of a model call's input lists, by name with its parameters' schema.
+    """
+    tool = F.col("tool")
+    given = F.coalesce(F.try_variant_get("input", "$.tools", "array<variant>"), F.try_variant_get("attributes", "$.modelParameters.tools", "array<variant>"))
+    calls = spans.where((F.col("kind") == "LLM") & (F.size(given) > 0)).select("trace_id", "span_id", F.explode(given).alias("tool"))
+    name = F.coalesce(text_at(tool, "$.function.name"), text_at(tool, "$.name"))
+    schema = F.coalesce(at(tool, "$.function.parameters"), at(tool, "$.parameters"), at(tool, "$.input_schema"), F.parse_json(F.lit("null")))
+    listed = calls.select("trace_id", "span_id", F.struct(name.alias("name"), F.to_json(schema).alias("schema")).alias("t")).where(name.isNotNull())
+    per_call = listed.groupBy("trace_id", "span_id").agg(F.to_json(F.array_sort(F.collect_set("t"))).alias("all"))
+    agreed = per_call.groupBy("trace_id").agg(F.min("all").alias("all"), F.max("all").alias("other")).where(F.col("all") == F.col("other"))
+    entries = F.from_json("all", "array<struct<name:string,schema:string>>")
+    text = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["name"], F.lit('":'), e["schema"])), ","), F.lit("}"))
+    return agreed.select("trace_id", F.try_parse_json(text).alias("catalog"))
+
+
+def read(spark: SparkSession, path: str, limit: int = 100, since: str | None = None, until: str | None = None) -> Snapshot:
+    """The newest traces of the files from since up to until, oldest first. Trees must be complete and observations belong to their trace."""
     found = documents_of(spark, path)
     v = F.col("value")
     require(found, F.concat_ws(":", "file", "line", F.lit("malformed JSON")), v.isNull())
@@ -25,6 +43,7 @@ def read(spark: SparkSession, path: str, limit: int = 100) -> Snapshot:
     rows = found.select("file", "line", F.when(wrapped, at(v, "$.body")).otherwise(v).alias("t"))
     rows = rows.select("file", "line", "t", text_at(t, "$.id").alias("trace_id"), zoned_time(text_at(t, "$.timestamp")).alias("ts"))
     require(rows, F.concat_ws(":", "file", "line", F.lit("invalid id or timestamp")), (F.coalesce("trace_id", F.lit("")) == "") | F.col("ts").isNull())
+    rows = rows.where(within(F.col("ts"), since, until))
     rows = rows.join(F.broadcast(newest(rows.select("trace_id", "ts"), limit).select("trace_id")), "trace_id")  # limit rows
     o = F.col("o")
     seen = rows.select("trace_id", F.explode(F.try_variant_get(t, "$.observations", "array<variant>")).alias("o"))
@@ -48,6 +67,6 @@ def read(spark: SparkSession, path: str, limit: int = 100) -> Snapshot:
     given = F.try_variant_get(t, "$.totalCost", "double")
     heads = rows.join(totals, "trace_id", "left").join(results, "trace_id", "left").select(
         "trace_id", F.nullif(text_at(t, "$.sessionId"), F.lit("")).alias("case_id"), F.concat("file", F.lit("#L"), "line").alias("source_url"),
-        F.coalesce(F.when(given >= 0, given), "spent").alias("cost_usd"), F.coalesce(F.try_variant_get(t, "$.latency", "double") * 1000, "span_ms").alias("latency_ms"), "results", t.alias("attributes"),
+        F.coalesce(F.when(given >= 0, given), "spent").alias("cost_usd"), F.coalesce(F.try_variant_get(t, "$.latency", "double") * 1000, "span_ms").alias("latency_ms"), "results", t.alias("attributes"), F.unix_micros("ts").alias("position"),
     )
-    return checked(heads, spans.select(*SPAN_COLUMNS), detach=False)
+    return checked(heads, spans, detach=False)

@@ -6,9 +6,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.json_values import at, kind, text_at
+from tracelake.functions.tables import kept
 from tracelake.functions.text import duration_ms
 from tracelake.operators.evidence import newest
-from tracelake.sources.common import SPAN_COLUMNS, Snapshot, checked, kind_of, lines_of, require, zoned_time
+from tracelake.sources.common import Snapshot, checked, kind_of, lines_of, require, require_all, zoned_time
 
 #: Keys that each line has to have (fixed by the format).
 REQUIRED = [
@@ -18,11 +19,25 @@ REQUIRED = [
 
 
 def read(spark: SparkSession, path: str, limit: int = 100) -> Snapshot:
-    """The newest traces of a file or folder, oldest first. A trace has exactly one root, whose run id is the trace's."""
-    lines = lines_of(spark, path).withColumn("v", F.try_parse_json("text"))
+    """The newest traces of a file or folder, oldest first. A trace has exactly one root, whose run id is the trace's.
+
+    Of a folder only the .jsonl files right in it are read, and each holds one trace; a single file may hold several.
+    """
+    lines = kept(lines_of(spark, path, **({} if path.endswith(".jsonl") else {"pathGlobFilter": "*.jsonl"})).withColumn("v", F.try_parse_json("text")))
     place, v = F.concat_ws(":", "file", "line"), F.col("v")
-    require(lines, F.concat(place, F.lit(": malformed JSON")), v.isNull())
-    require(lines, F.concat(place, F.lit(": missing keys")), F.lit(len(REQUIRED)) != sum((at(v, f"$.{k}").isNotNull().cast("int") for k in REQUIRED), F.lit(0)))
+    optional = lambda p, of: ~F.coalesce(kind(at(v, p)), F.lit("VOID")).isin("VOID", *of)
+    empty = lambda k: F.coalesce(text_at(v, f"$.{k}"), F.lit("")) == ""
+    tags = F.try_variant_get(v, "$.tags", "array<variant>")
+    require_all(lines, place, {
+        "malformed JSON": v.isNull(), "not an object": kind(v) != "OBJECT",
+        **{f"{k} is missing": at(v, f"$.{k}").isNull() for k in REQUIRED}, **{f"{k} is no text": empty(k) for k in ("run_id", "trace_id", "status")},
+        **{f"{k} is no text": optional(f"$.{k}", ["STRING"]) for k in ("parent_run_id", "name", "run_type", "error")},
+        **{f"{k} is no object": optional(f"$.{k}", ["OBJECT"]) for k in ("custom_metadata", "costs", "feedback_stats")},
+        "tags aren't texts": optional("$.tags", ["ARRAY"]) | F.exists(tags, lambda x: kind(x) != "STRING"),
+        "start_time has no offset": zoned_time(text_at(v, "$.start_time")).isNull(), "end_time has no offset": text_at(v, "$.end_time").isNotNull() & zoned_time(text_at(v, "$.end_time")).isNull(),
+    })
+    if not path.endswith(".jsonl"):
+        require(lines.groupBy("file").agg(F.count_distinct(text_at(v, "$.trace_id")).alias("n")), F.concat("file", F.lit(": several traces")), F.col("n") > 1)
     kinds, subtype = kind_of(text_at(v, "$.run_type"))
     status, error = F.lower(text_at(v, "$.status")), F.nullif(text_at(v, "$.error"), F.lit(""))
     recorded = lambda p: F.when(kind(at(v, p)) != "VOID", at(v, p))
@@ -34,7 +49,6 @@ def read(spark: SparkSession, path: str, limit: int = 100) -> Snapshot:
         F.coalesce(*(F.nullif(text_at(v, f"$.custom_metadata.{k}"), F.lit("")) for k in ("thread_id", "session_id", "conversation_id"))).alias("case_id"),
         at(v, "$.feedback_stats").alias("feedback"), v.alias("attributes"),
     ).withColumn("tool", F.when(F.col("kind") == "TOOL", F.col("name"))).withColumn("duration_ms", duration_ms(F.lit(None).cast("double"), F.col("start"), F.col("end")))
-    require(runs, F.concat(place, F.lit(": invalid id or time")), (F.coalesce("trace_id", F.lit("")) == "") | (F.coalesce("span_id", F.lit("")) == "") | F.col("start").isNull())
     require(runs, F.concat(place, F.lit(": invalid cost")), (F.col("cost_usd") < 0) | F.isnan("cost_usd"))
     roots = runs.where("parent_id IS NULL")
     bad = runs.groupBy("trace_id").agg(F.count_if(F.col("parent_id").isNull()).alias("n"), F.count_if(F.col("parent_id").isNull() & (F.col("span_id") == F.col("trace_id"))).alias("own"))
@@ -47,4 +61,4 @@ def read(spark: SparkSession, path: str, limit: int = 100) -> Snapshot:
     )
     place = F.concat("file", F.lit("#L"), "line")
     traces = roots.select("trace_id", "case_id", place.alias("source_url"), "attributes").join(totals, "trace_id")
-    return checked(traces, runs.select(*SPAN_COLUMNS), detach=False)
+    return checked(traces, runs, detach=False)
