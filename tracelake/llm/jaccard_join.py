@@ -6,7 +6,9 @@ therefore found by signatures: the universe of shingles is dealt into more parts
 elements, so linked sets agree on a whole part. Per part and content, the class that agrees with most others is the
 pivot of a region, and the classes with that part are its members (a class can be in several regions). Two linked
 classes have a common signature, so they share its pivot's region: no link is lost. Signatures travel once, packed, to
-shards that tell which of them recur; most don't.
+shards that tell which of them recur; most don't. There are more parts than need be, so linked sets agree on several, and
+a set can do without as many of its signatures: those that most classes have are left out (a passage that many texts
+share gives all of them some common signatures).
 
 In a region p the distance of each member x to the pivot is computed, and what x has added to p and dropped from it.
 Members within the radius are linked. By the triangle inequality for symmetric differences, two other members x, y
@@ -24,23 +26,44 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import WordHashes, mixed, packed, shingles, slices, small, stored, unpacked, word_hashes
 
 #: Words of texts and members of a region that a single task joins by itself; larger regions are split further first.
 REGION_MEMBERS = 300
+#: Classes with a signature from which on it is left out where that is allowed.
+LARGE = 50
 ROWS = 500
 #: Texts whose signatures are packed together, and shingles of all texts per shard.
 BLOCK_ROWS, SHARD_SHINGLES = 2000, 2_500_000
 #: Marks signatures that recur in their own block.
 MARK = 1 << 15
+#: Signatures that a set can do without, as a share of those it needs; the seed of families that can do without none.
+SLACK, LAST_SEED = 0.4, 255
 _LAST = (1 << 63) - 1
 
 
-def shingle_set(text: str | None, k: int, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of k words, A-Z in lower case; of fewer words, one of all."""
-    return np.unique(shingles(word_hashes(text, memo, lower=True), k))
+def shingle_sets(texts, k: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of the runs of k words of each text, A-Z in lower case, one after the other; of fewer
+    words, one of all. Second, where each text's set starts, and the end of the last.
+    """
+    words = [word_hashes(t, memo, lower=True) for t in texts]
+    sizes = np.asarray([len(w) for w in words], np.int64)
+    every = np.concatenate([np.empty(0, np.int64), *words])
+    doc = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(every))  # words up to the end of the text
+    whole = np.flatnonzero(left >= k)
+    hashed = shingles(every, k)[whole] if len(whole) else np.empty(0, np.uint64)
+    few = np.flatnonzero((sizes > 0) & (sizes < k))
+    values = np.concatenate([hashed, *(shingles(words[i], k) for i in few)])
+    doc = np.concatenate([doc[whole], few])
+    order = np.lexsort((values, doc))
+    values, doc = values[order], doc[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
+    return values[new], np.searchsorted(doc[new], np.arange(len(words) + 1))
 
 
 def linked(shared: int | np.ndarray, total: int | np.ndarray, percent: int):
@@ -58,39 +81,54 @@ def bands(percent: int, limit: int = 1 << 40) -> np.ndarray:
 
 
 @lru_cache
-def parts_of(band: int, percent: int) -> tuple[int, int]:
-    """For pairs whose smaller set is in the band: the number of parts, and how many of them a set may leave empty."""
+def parts_of(band: int, percent: int) -> tuple[int, int, int]:
+    """For pairs whose smaller set is in the band: the number of parts, how many of them a set may leave empty, and slack.
+
+    Linked sets that leave no more than that empty agree on slack + 1 parts with something in them at least.
+    """
     low, high = bands(percent)[band : band + 2]
     differ = int(high - 1) * (100 - percent) // percent
     if not differ:
-        return 0, 0
-    spare = int(np.ceil(1.5 * (differ + 1) * np.exp(-low / (differ + 1))))
-    return differ + 1 + spare, spare
-
-
-def signatures(values: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set: linked sets that aren't equal have one in common."""
-    out = [np.empty(0, np.uint64)]
-    if len(values):
-        own = int(np.searchsorted(bands(percent), len(values), side="right")) - 1
-        for band in {own, max(0, own - 1)}:
-            parts, spare = parts_of(band, percent)
-            for seed in range(64 if parts else 0):
-                # A pair can only miss if the same parts, more than spare of them, are empty in both; then both go on.
-                tag = np.uint64(band << 8 | seed)
-                scrambled = mixed(values ^ mixed(np.asarray([tag]))[0])
-                part = (scrambled >> np.uint64(32)) % np.uint64(parts)
-                order = np.argsort(part)
-                part = part[order]
-                starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                sums = np.add.reduceat(mixed(scrambled[order]), starts)
-                out.append(mixed(sums + mixed(part[starts] + (tag << np.uint64(32)))))
-                if parts - len(starts) <= spare:
-                    break
-            else:
-                if parts:
-                    out.append(mixed(np.asarray([band], np.uint64)))
-    return np.unique(np.concatenate(out))
+        return 0, 0, 0
+    slack = int(np.ceil(SLACK * (differ + 1)))
+    spare = int(np.ceil(1.5 * (differ + 1 + slack) * np.exp(-low / (differ + 1 + slack))))
+    return differ + 1 + slack + spare, spare, slack
+
+
+def signatures(values: np.ndarray, starts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets as shingle_sets() gives them, the family of each, and the number of its set.
+
+    Linked sets that aren't equal have slack + 1 signatures of some family in common. A family's number is its band times
+    256 plus a seed; LAST_SEED stands for families without slack.
+    """
+    sizes = np.diff(starts)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    own = np.searchsorted(bands(percent), sizes, side="right") - 1
+    out = [(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))]
+    for below in (0, 1):
+        band = own - below
+        rules = {b: parts_of(int(b), percent) for b in np.unique(band[band >= 0])}
+        parts, spare = (np.asarray([rules[b][i] if b in rules else 0 for b in band], np.int64) for i in (0, 1))
+        left = parts > 0
+        for seed in range(64):
+            if not left.any():
+                break
+            # A pair can only miss if the same parts, more than spare of them, are empty in both; then both go on.
+            inside = left[doc]
+            of, tag = doc[inside], (np.maximum(band, 0) << 8 | seed).astype(np.uint64)
+            scrambled = mixed(values[inside] ^ mixed(tag)[of])
+            part = (scrambled >> np.uint64(32)) % parts[of].astype(np.uint64)
+            place = of << 40 | part.astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            place = place[order]
+            firsts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            sums = np.add.reduceat(mixed(scrambled[order]), firsts)
+            of, part = of[order][firsts], part[order][firsts]
+            out.append((mixed(sums + mixed(part + (tag[of] << np.uint64(32)))), tag[of].astype(np.uint32), of))
+            left &= parts - np.bincount(of, minlength=len(sizes)) > spare
+        lost = np.flatnonzero(left)
+        out.append((mixed(band[lost].astype(np.uint64)), (band[lost] << 8 | LAST_SEED).astype(np.uint32), lost))
+    return tuple(map(np.concatenate, zip(*out)))
 
 
 def _digest(values: np.ndarray) -> bytes:
@@ -103,38 +141,40 @@ def _profiles(texts: DataFrame, k: int) -> DataFrame:
     def work(frames):
         memo = WordHashes()
         for frame in slices(frames, ROWS):
-            rows = []
-            for doc, key, text in zip(frame["id"], frame["hash"], frame["text"]):
-                values = shingle_set(text, k, memo)
-                digest = _digest(values)
-                rows.append((doc, key, len(values), digest, int.from_bytes(digest[:8], "little", signed=True)))
-            yield pd.DataFrame(rows, columns=["id", "hash", "n_shingles", "digest", "label"])
+            values, starts = shingle_sets(frame["text"], k, memo)
+            digests = [_digest(values[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+            labels = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
+            yield frame[["id", "hash"]].assign(n_shingles=np.diff(starts), digest=digests, label=labels)
 
     return texts.mapInPandas(work, "id long, hash long, n_shingles long, digest binary, label long")
 
 
 def _recurring_signatures(texts: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
-    """(key, label): signatures that several classes have."""
+    """(key, label, family): signatures that several classes have."""
 
     def ship(frames):
         memo, block = WordHashes(), TaskContext.get().partitionId()
         for frame in slices(frames, BLOCK_ROWS):
-            sets = {}
-            for text in frame["text"]:
-                values = shingle_set(text, k, memo)
-                if len(values):
-                    sets.setdefault(int.from_bytes(_digest(values)[:8], "little", signed=True), signatures(values, percent).view(np.int64))
-            labels = np.fromiter(sets, np.int64, len(sets))
-            keys = np.concatenate([np.empty(0, np.int64), *sets.values()])
-            place = np.repeat(np.arange(len(sets)), [len(x) for x in sets.values()])
+            values, starts = shingle_sets(frame["text"], k, memo)
+            names = np.asarray([int.from_bytes(_digest(values[a:b])[:8], "little", signed=True) for a, b in zip(starts[:-1], starts[1:])], np.int64)
+            # Equal sets once, and no empty ones.
+            labels, first = np.unique(names, return_index=True)
+            use = np.diff(starts)[first] > 0
+            labels, first = labels[use], first[use]
+            number = np.full(len(names), -1)
+            number[first] = np.arange(len(first))
+            inside = np.repeat(number >= 0, np.diff(starts))
+            order = np.sort(first)
+            keys, family, place = signatures(values[inside], np.concatenate([[0], np.cumsum(np.diff(starts)[order])]), percent)
+            keys, place = keys.view(np.int64), number[order][place]
             order = np.argsort(keys, kind="stable")
-            keys, place = keys[order], place[order]
+            keys, place, family = keys[order], place[order], family[order]
             # Of a key that recurs here one is shipped, marked; the others need no comparison.
             again = np.concatenate([[False], keys[1:] == keys[:-1]])[: len(keys)]
             known = np.concatenate([again[1:], [False]])[: len(keys)]
-            rows = [(block % shards, 1, packed(keys[again]), labels[place[again]].tobytes())] if again.any() else []
+            rows = [(block % shards, 1, packed(keys[again], family[again]), labels[place[again]].tobytes())] if again.any() else []
             block += 7919
-            keys, place = keys[~again], place[~again] | np.where(known[~again], MARK, 0)
+            keys, place, family = keys[~again], place[~again] | np.where(known[~again], MARK, 0), family[~again]
             shard = (mixed(keys.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -142,78 +182,143 @@ def _recurring_signatures(texts: DataFrame, k: int, percent: int, shards: int) -
                 if a < b:
                     at = place[order[a:b]]
                     own, at_own = np.unique(at & ~MARK, return_inverse=True)
-                    rows.append((s, 0, packed(keys[order[a:b]], (at_own | at & MARK).astype(np.uint16)), labels[own].tobytes()))
+                    rows.append((s, 0, packed(keys[order[a:b]], (at_own | at & MARK).astype(np.uint16), family[order[a:b]]), labels[own].tobytes()))
             yield pd.DataFrame(rows, columns=["shard", "ready", "keys", "labels"])
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, labels, known, out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)], []
+        parts, out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, bool))], []
         for ready, data, own in zip(rows["ready"], rows["keys"], rows["labels"]):
             own = np.frombuffer(own, np.int64)
             if ready:
-                out.append(pd.DataFrame({"key": unpacked(data, ["i8"])[0], "label": own}))
+                found, family = unpacked(data, ["i8", "u4"])
+                out.append(pd.DataFrame({"key": found, "label": own, "family": family.astype(np.int32)}))
                 continue
-            found, at = unpacked(data, ["i8", "u2"])
-            keys.append(found)
-            labels.append(own[at & (MARK - 1)])
-            known.append(at >= MARK)
-        keys, labels, known = np.concatenate(keys), np.concatenate(labels), np.concatenate(known)
+            found, at, family = unpacked(data, ["i8", "u2", "u4"])
+            parts.append((found, own[at & (MARK - 1)], family, at >= MARK))
+        keys, labels, family, known = map(np.concatenate, zip(*parts))
         order = np.lexsort((labels, keys))
-        keys, labels, known = keys[order], labels[order], known[order]
+        keys, labels, family, known = keys[order], labels[order], family[order], known[order]
         # A class comes from several blocks if its text is repeated: equal rows once, marked if any is.
         new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (labels[1:] != labels[:-1])])[: len(keys)])
         if len(new):
-            keys, labels, known = keys[new], labels[new], np.logical_or.reduceat(known, new)
+            keys, labels, family, known = keys[new], labels[new], family[new], np.logical_or.reduceat(known, new)
             same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
             often = same[1:] | same[:-1] | known
-            out.append(pd.DataFrame({"key": keys[often], "label": labels[often]}))
-        return pd.concat(out) if out else pd.DataFrame({"key": keys, "label": labels})
+            out.append(pd.DataFrame({"key": keys[often], "label": labels[often], "family": family[often].astype(np.int32)}))
+        return pd.concat(out) if out else pd.DataFrame({"key": keys, "label": labels, "family": family.astype(np.int32)})
 
     shipped = texts.select("text").mapInPandas(ship, "shard int, ready int, keys binary, labels binary")
-    return shipped.groupBy("shard").applyInPandas(compare, "key long, label long").distinct()
+    return shipped.groupBy("shard").applyInPandas(compare, "key long, label long, family int").distinct()
 
 
-def _distances(regions: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """(pivot, id, shared, n, n_pivot, added) of regions (pivot, id): set sizes and shingles that the pivot lacks.
+def _needed(recurring: DataFrame, percent: int) -> DataFrame:
+    """recurring (key, id, family) without signatures that a class can do without: of each family as many as its slack, those that most classes have.
 
-    Regions are dealt into parts of REGION_MEMBERS or so; the pivot's text goes to each part, ahead of the members'.
+    Two linked classes share slack + 1 signatures of a family. The rarest of them is left out in neither, as the others
+    are more frequent in both. Only signatures of large regions are left out.
+    """
+    often = small(stored(recurring.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE), "join-frequent"))
+    rank = F.row_number().over(W.partitionBy("id", "family").orderBy(F.desc("n"), F.desc("key")))
+    band = F.shiftright("family", 8)
+    slacks = F.array(*(F.lit(parts_of(i, percent)[2]) for i in range(len(bands(percent)) - 1)))
+    slack = F.when(F.col("family").bitwiseAND(F.lit(255)) == LAST_SEED, 0).otherwise(F.get(slacks, band))
+    spared = recurring.join(often, "key").withColumn("rank", rank).where(F.col("rank") <= slack).select("key", "id")
+    return recurring.join(spared, ["key", "id"], "left_anti").select("key", "id")
+
+
+def _distances(regions: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(pivot, id, shared, n, n_pivot, added) of regions (pivot, id): what large regions' members share with the pivot and add to it.
+
+    A region with up to REGION_MEMBERS members is joined at once: its rows (shared is NULL) are links that join up what is
+    linked in it. Larger ones are dealt into parts of about that size; the pivot's text goes to each part, ahead of the
+    members'.
     """
     sizes = regions.groupBy("pivot").count().where(F.col("count") > REGION_MEMBERS)
     sizes = small(stored(sizes.select("pivot", F.ceil(F.col("count") / REGION_MEMBERS).cast("int").alias("parts")), "join-sizes"))
     dealt = lambda rows: rows.join(sizes, "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = dealt(regions).select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    rows = dealt(regions).select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "parts")
     own = dealt(regions.select("pivot").distinct())
-    rows = rows.unionByName(own.select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    rows = rows.unionByName(own.select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts"))
     rows = rows.join(members, "id").withColumn("member", F.col("id") != F.col("pivot"))
 
     def work(frames):
-        memo, pivot_set = WordHashes(), None
+        memo, region, ids, sets = WordHashes(), None, [], []
+
+        def joined() -> list[tuple]:
+            return [(a, b, None, None, None, None) for a, b in _linked_up(ids, sets, percent)]
+
         for frame in slices(frames, ROWS):
+            values, starts = shingle_sets(frame["text"], k, memo)
             out = []
-            for pivot, doc, member, text in zip(frame["pivot"], frame["id"], frame["member"], frame["text"]):
-                own = shingle_set(text, k, memo)
-                if not member:
+            for i, (pivot, doc, part, parts, member) in enumerate(zip(frame["pivot"], frame["id"], frame["part"], frame["parts"], frame["member"])):
+                own = values[starts[i] : starts[i + 1]]
+                if (pivot, part) != region:
+                    out += joined()
+                    region, ids, sets = (pivot, part), [], []
+                if parts == 1:
+                    ids.append(doc)
+                    sets.append(own)
+                elif not member:
                     pivot_set = own
-                    continue
-                added = np.setdiff1d(own, pivot_set, assume_unique=True)
-                out.append((pivot, doc, len(own) - len(added), len(own), len(pivot_set), added.view(np.int64)))
+                else:
+                    added = np.setdiff1d(own, pivot_set, assume_unique=True)
+                    out.append((pivot, doc, len(own) - len(added), len(own), len(pivot_set), added.view(np.int64)))
             yield pd.DataFrame(out, columns=["pivot", "id", "shared", "n", "n_pivot", "added"])
+        yield pd.DataFrame(joined(), columns=["pivot", "id", "shared", "n", "n_pivot", "added"])
 
     schema = "pivot long, id long, shared long, n long, n_pivot long, added array<long>"
-    return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member").select("pivot", "id", "member", "text").mapInPandas(work, schema)
+    order = ["pivot", "part", "member"]
+    return rows.repartition("pivot", "part").sortWithinPartitions(*order).select(*order, "parts", "id", "text").mapInPandas(work, schema)
+
+
+def _linked_up(ids: list[int], sets: list[np.ndarray], percent: int, others: int = 0, open_ones: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join up what is linked among sets. The last others of them are a side of their own: only pairs across the sides
+    are looked at. Of open_ones, pairs with none are skipped.
+    """
+    if len(ids) < 2:
+        return []
+    n = len(ids) - others
+    first = sets[:n]
+    shared = shared_counts(first, sets[n:] if others else first)
+    size = np.asarray([len(x) for x in sets])
+    wanted = linked(shared, size[:n, None] + (size[n:] if others else size)[None, :], percent)
+    if open_ones is not None:
+        wanted &= open_ones[:n, None] | (open_ones[n:] if others else open_ones)[None, :]
+    root, rows = {}, []
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
+        return x
+
+    for i, j in zip(*np.nonzero(wanted)):
+        a, b = find(ids[i]), find(ids[n + j] if others else ids[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            rows.append((ids[i], ids[n + j] if others else ids[j]))
+    return rows
 
 
 def shared_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of two lists of sorted sets, by products of 0/1 matrices a slice of columns at a time."""
-    values, column = np.unique(np.concatenate([np.empty(0, np.uint64), *sets, *others]), return_inverse=True)
-    row = np.repeat(np.arange(len(sets) + len(others)), [len(x) for x in (*sets, *others)])
+    same = others is sets
+    every = sets if same else [*sets, *others]
+    values, column, n = np.unique(np.concatenate([np.empty(0, np.uint64), *every]), return_inverse=True, return_counts=True)
+    # What only one set has is shared by none but itself.
+    often = n > 1
+    place = np.cumsum(often) - 1
+    row = np.repeat(np.arange(len(every)), [len(x) for x in every])
+    use = often[column]
+    column, row = place[column[use]], row[use]
     out = np.zeros((len(sets), len(others)), np.int64)
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    for start in range(0, len(values), 8192):
-        a, b = np.searchsorted(column, [start, start + 8192])
-        ones = np.zeros((len(sets) + len(others), 8192), np.float32)
+    width = 4096
+    for start in range(0, int(often.sum()), width):
+        a, b = np.searchsorted(column, [start, start + width])
+        ones = np.zeros((len(every), min(width, int(often.sum()) - start)), np.float32)
         ones[row[a:b], column[a:b] - start] = 1
-        out += (ones[: len(sets)] @ ones[len(sets) :].T).astype(np.int64)
+        out += (ones[: len(sets)] @ (ones if same else ones[len(sets) :]).T).astype(np.int64)
     return out
 
 
@@ -225,26 +330,10 @@ def _closed(groups: DataFrame, k: int, percent: int) -> DataFrame:
     """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        memo = WordHashes()
-        frame = frame.sort_values("id")
-        sides = [frame[frame["side"] == i] for i in (0, 1)]
-        first, second = ([shingle_set(t, k, memo) for t in x["text"]] for x in sides)
-        others, both = (second, sides[1]) if second else (first, sides[0])
-        shared = shared_counts(first, others)
-        total = np.asarray([len(x) for x in first])[:, None] + np.asarray([len(x) for x in others])[None, :]
-        wanted = linked(shared, total, percent) & (sides[0]["open"].to_numpy()[:, None] | both["open"].to_numpy()[None, :])
-        ids, other_ids, root, rows = sides[0]["id"].tolist(), both["id"].tolist(), {}, []
-
-        def find(x: int) -> int:
-            while (y := root.get(x, x)) != x:
-                root[x] = x = root.get(y, y)
-            return x
-
-        for i, j in zip(*np.nonzero(wanted)):
-            a, b = find(ids[i]), find(other_ids[j])
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                rows.append((ids[i], other_ids[j]))
+        frame = frame.sort_values(["side", "id"])
+        values, starts = shingle_sets(frame["text"], k, WordHashes())
+        sets = [values[a:b] for a, b in zip(starts[:-1], starts[1:])]
+        rows = _linked_up(frame["id"].tolist(), sets, percent, int(frame["side"].sum()), frame["open"].to_numpy())
         return pd.DataFrame(rows, columns=["a", "b"])
 
     return groups.groupBy("key").applyInPandas(work, "a long, b long")
@@ -275,7 +364,9 @@ def _links(recurring: DataFrame, members: DataFrame, k: int, percent: int) -> Da
     central = stored(recurring.join(sizes, "key").groupBy("id").agg((-F.sum("n")).alias("rank")), "join-central")
     regions = stored(_regions_of(recurring, central), "join-regions")
     while regions.head(1):
-        distances = stored(_distances(regions, members, k), "join-distances")
+        distances = stored(_distances(regions, members, k, percent), "join-distances")
+        found.append(distances.where("shared IS NULL").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        distances = distances.where("shared IS NOT NULL")
         distances = distances.withColumn("open", ~linked(F.col("shared"), F.col("n") + F.col("n_pivot"), percent))
         found.append(distances.where(~F.col("open")).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         sizes = distances.groupBy("pivot").agg(F.count("*").alias("members"), F.max("open").alias("any_open"), F.sum(F.col("open").cast("int")).alias("n_open"))
@@ -356,6 +447,7 @@ def link_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
     total = profiles.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_SHINGLES))
     recurring = stored(_recurring_signatures(texts, k, percent, shards).withColumnRenamed("label", "id"), "join-signatures")
+    recurring = stored(_needed(recurring, percent), "join-needed")
     # One text of each class that shares a signature with another.
     chosen = classes.join(recurring.select(F.col("id").alias("label")).distinct(), "label", "left_semi")
     chosen = chosen.groupBy("label").agg(F.min("first").alias("_id"), F.min_by("hash", "first").alias("_hash"))
