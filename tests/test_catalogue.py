@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from tracelake.plans.catalogue import QUERIES
-from tracelake.plans.oracles import ORACLES
+from tracelake.plans import catalogue, oracles, span_oracles, span_queries
+
+QUERIES, ORACLES = catalogue.QUERIES | span_queries.QUERIES, oracles.ORACLES | span_oracles.ORACLES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -82,3 +82,45 @@ def corpus_description(spans: DataFrame, traces: DataFrame) -> DataFrame:
     cases = F.coalesce(F.nullif(F.col("case_id"), F.lit("")), F.col("trace_id"))
     of_traces = traces.agg(F.count("*").alias("trace_count"), F.countDistinct(cases).alias("logical_case_count"))
     return of_traces.crossJoin(spans.agg(F.count_if(F.col("kind") == "TOOL").alias("call_count")))  # one row each
+
+
+def insight_status(insights: DataFrame, saved: DataFrame) -> DataFrame:
+    """insights (name, description) with status: retained if a saved one has the same name and description, else new."""
+    known = saved.select("name", "description").distinct().withColumn("_known", F.lit(True))
+    out = insights.join(known, ["name", "description"], "left")
+    return out.withColumn("status", F.when(F.col("_known"), "retained").otherwise("new")).drop("_known")
+
+
+def problem_traces(problems: DataFrame, traces: DataFrame) -> DataFrame:
+    """(description, trace_id, columns of traces): the traces that support each problem; traces that aren't there are left out."""
+    ids = problems.select("description", F.explode(F.array_distinct("supporting_trace_ids")).alias("trace_id"))
+    return ids.join(traces, "trace_id").select("description", "trace_id", *(c for c in traces.columns if c != "trace_id"))
+
+
+def rejected(before: DataFrame, verdicts: DataFrame, key: str = "description") -> tuple[DataFrame, DataFrame]:
+    """(problems that stay, one row with the number of dropped ones): only a verdict that is false drops a problem."""
+    refused = verdicts.where(~F.col("verdict")).select(key).distinct()
+    stays = before.join(refused, key, "left_anti")
+    return stays, before.join(refused, key, "left_semi").agg(F.count("*").alias("rejected"))
+
+
+def evaluator_problem(data_type: Column, value: Column, string_value: Column) -> Column:
+    """What is wrong with an evaluator's result, NULL if nothing: numbers need a value, texts a string, booleans 0 or 1."""
+    number, text = data_type.isin("NUMERIC", "BOOLEAN"), data_type.isin("CATEGORICAL", "TEXT")
+    return (
+        F.when(~(number | text) | data_type.isNull(), "unknown data type").when(number & value.isNull(), "no value")
+        .when((data_type == "BOOLEAN") & ~value.isin(0.0, 1.0), "a boolean is 0 or 1").when(text & string_value.isNull(), "no string value")
+    )
+
+
+def session_results(results: DataFrame, spans: DataFrame) -> DataFrame:
+    """Results (session_id, span_id, name, value) of the trace whose spans (session_id, span_id) are given; by trace_id, too, if both have it.
+
+    A session holds results of other traces, too; a result of another session or one that is there twice raises ValueError.
+    """
+    keys = [c for c in ("trace_id", "span_id") if c in results.columns and c in spans.columns]
+    own = results.join(spans.select(*keys, F.col("session_id").alias("_session")).distinct(), keys)
+    bad = own.groupBy(*keys, "name").agg(F.count("*").alias("n"), F.max(F.col("session_id") != F.col("_session")).alias("other")).where("n > 1 OR other").limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"result {r.name} of span {r.span_id} {'is of another session' if r.other else 'is there twice'}" for r in bad))
+    return own.drop("_session")

@@ -157,10 +157,10 @@ def orphans(results: DataFrame) -> DataFrame:
     )
 
 
-def findings(calls: DataFrame, orphan_results: DataFrame | None = None) -> DataFrame:
+def findings(calls: DataFrame, orphan_results: DataFrame | None = None, threshold: int = RETRIES) -> DataFrame:
     """All findings with family and a content hash as issue_id, by trace, call index, issue type and id."""
     rows = kept(audited(calls))
-    parts = [per_call(rows), ungrounded(rows), retries(rows)] + ([orphans(orphan_results)] if orphan_results is not None else [])
+    parts = [per_call(rows), ungrounded(rows), retries(rows, threshold)] + ([orphans(orphan_results)] if orphan_results is not None else [])
     found = reduce(DataFrame.unionByName, parts)
     family = F.create_map(*(F.lit(x) for pair in FAMILY.items() for x in pair))
     return found.withColumns({

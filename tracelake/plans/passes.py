@@ -5,12 +5,23 @@ Passes that need a language model are injected: anything with this interface can
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import DataFrame
-
+from pyspark.sql import functions as F
+
+from tracelake.functions.tables import kept
+from tracelake.operators import cards as C
+from tracelake.operators import coverage as V
+from tracelake.operators import features as A
+from tracelake.operators import models as M
+from tracelake.operators import problems as B
+from tracelake.operators import projections as P
+from tracelake.operators import tool_rules as R
+from tracelake.operators.trees import last_agent_excerpt
 from tracelake.sources.common import Snapshot
 
 
@@ -53,7 +64,15 @@ def needs_tool_calls(snapshot: Snapshot) -> str | None:
 
 
 def needs_evaluations(snapshot: Snapshot) -> str | None:
-    return None if snapshot.traces.where("results IS NOT NULL").head(1) else "No evaluator results recorded"
+    recorded = F.try_variant_get("results", "$", "map<string,variant>")
+    some = F.size(F.map_filter(recorded, lambda _, v: ~F.is_variant_null(v))) > 0
+    return None if snapshot.traces.where(some).head(1) else "No evaluator results recorded"
+
+
+def needs(what: object, message: str) -> Callable[[Snapshot], str | None]:
+    """For passes that need something besides traces: a document, a model, a reviewer."""
+    empty = what is None or isinstance(what, str) and not what.strip()
+    return lambda snapshot: message if empty else None
 
 
 class Registry:
@@ -90,4 +109,59 @@ class Registry:
         return result
 
     def analyze_all(self, snapshot: Snapshot) -> list[Result]:
-        return [self.analyze(name, snapshot) for name in self.names]
+        """Results of all passes, in their order; their Spark jobs run side by side."""
+        with ThreadPoolExecutor(max(1, len(self._passes))) as pool:
+            return list(pool.map(lambda name: self.analyze(name, snapshot), self.names))
+
+
+def tool_issues(minimum_cases: int = C.CASES, retry_threshold: int = R.RETRIES, audit: bool = False) -> FunctionPass:
+    """The audit of tool calls: findings, cards, counts of all rules, coverage."""
+
+    def run(snapshot: Snapshot) -> Result:
+        calls = P.audit_calls(snapshot.traces, P.visits(snapshot.spans))
+        found = kept(R.findings(calls, P.orphan_results(snapshot.traces), retry_threshold))
+        cards = C.cards(found, minimum_cases)
+        presence = kept(V.presence(snapshot.traces, snapshot.spans))
+        tables = {"findings": found, "cards": cards, "card_traces": C.card_traces(found), "catalog_coverage": C.catalog_coverage(found), "presence": presence, "rules": V.rules(presence, found)}
+        return Result("tool_issues", B.from_cards(cards, audit), tables, limitations=V.limitations(presence.first()))
+
+    return FunctionPass("tool_issues", run, needs_tool_calls)
+
+
+def anomalies(contamination: float = M.OUTLIERS, recurrence: int = A.RECURRENCE, features: Sequence[str] = (), robust: bool = False) -> FunctionPass:
+    """Features, outliers, recurring failures, verdicts and trajectories. Metrics of traces replace features of their name."""
+
+    def run(snapshot: Snapshot) -> Result:
+        walked = kept(P.visits(snapshot.spans))
+        calls, steps = kept(A.decoded_calls(P.feature_calls(walked))), P.steps(walked)
+        table = A.trace_features(calls, snapshot.traces, steps)
+        metrics = kept(P.caller_metrics(snapshot.traces))
+        names = [r.metric for r in metrics.select("metric").distinct().orderBy("metric").collect()]  # names of features, not of traces
+        if names:
+            own = metrics.groupBy("trace_id").pivot("metric", names).agg(F.first("value"))
+            table = table.drop(*names).join(own, "trace_id", "left")
+        used = list(features) or [f for f in A.FEATURES if f in table.columns]
+        table = kept(table)
+        flagged = kept(M.isolation_forest(table, used, share=contamination, robust=robust))
+        reasons = A.robust_reasons(table, used)
+        events = kept(A.failure_events(calls))
+        failures, shared = A.recurring(events, least=recurrence), A.recurring(events, "message_signature", recurrence, None)
+        weights = kept(M.tfidf(P.trajectory_tokens(snapshot.traces, steps, calls)))
+        groups = M.clusters(M.term_vectors(weights))
+        tables = {
+            "features": table, "anomalies": flagged, "reasons": reasons, "failures": failures, "cross_tool": shared, "verdicts": A.verdict_groups(P.verdicts(snapshot.traces)), "clusters": groups,
+            "cluster_summary": M.cluster_summary(groups, weights), "agent_excerpts": last_agent_excerpt(steps), "failure_traces": A.recurring_traces(events, failures),
+        }
+        problems = B.from_outliers(flagged, reasons).unionByName(B.from_failures(failures)).unionByName(B.from_cross_tool(shared))
+        unread = calls.where("unread_flag").count()
+        return Result("anomalies", problems, tables, limitations=[f"{unread} calls say whether they returned data, but their output is no object."] if unread else [])
+
+    return FunctionPass("anomalies", run)
+
+
+def built_in(options: dict[str, dict[str, object]]) -> Registry:
+    """A registry of the built-in passes that options name."""
+    registry = Registry()
+    for name, own in options.items():
+        registry.register({"tool_issues": tool_issues, "anomalies": anomalies}[name](**own))
+    return registry

@@ -146,6 +146,16 @@ def prompt_tokens(prompt: Column, cached: Column, output: Column) -> Column:
     return F.when(whole, F.struct((prompt - cached).alias("input_tokens"), cached.alias("cached_input_tokens"), output.alias("output_tokens"))).cast(TOKENS)
 
 
+def chosen_cost(*given: Column) -> Column:
+    """The first recorded cost that isn't negative."""
+    return F.coalesce(*(F.when(c >= 0, c) for c in given))
+
+
+def span_latency(start: Column, end: Column) -> Column:
+    """Milliseconds from the first start to the last end; an aggregate."""
+    return (F.unix_micros(F.max(end)) - F.unix_micros(F.min(start))) / 1000.0
+
+
 def within(time: Column, since: str | None, until: str | None, closed: bool = False) -> Column:
     """Whether a time lies from since up to until (itself only if closed); both need an offset and have to be in order."""
     for bound in (since, until):

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.json_values import at, kind, text_at
 from tracelake.functions.text import duration_ms, nanos_to_timestamp
-from tracelake.sources.common import Snapshot, checked, documents_of, kind_of, require, unique
+from tracelake.sources.common import Snapshot, checked, documents_of, kind_of, require, span_latency, unique
 
 ALIASES = {"CHAT_MODEL": "LLM"}
 TYPE_KEYS = ["mlflow.spanType", "openinference.span.kind"]
@@ -16,11 +15,17 @@ TYPE_KEYS = ["mlflow.spanType", "openinference.span.kind"]
 
 def read(spark: SparkSession, path: str, limit: int = 10_000) -> Snapshot:
     """The first traces of the files, in their order. Spans whose parent is missing become roots."""
-    found = documents_of(spark, path)
+    return snapshot(documents_of(spark, path), limit)
+
+
+def snapshot(found: DataFrame, limit: int | None = None) -> Snapshot:
+    """Traces of documents (file, line, value)."""
     require(found, F.concat_ws(":", "file", "line"), F.col("value").isNull())
     many = kind(at(F.col("value"), "$.traces")) == "ARRAY"
     found = found.select("file", "line", F.posexplode(F.when(many, F.try_variant_get("value", "$.traces", "array<variant>")).otherwise(F.array("value"))).alias("pos", "t"))
-    found = found.orderBy("file", "line", "pos").limit(limit).withColumn("position", F.row_number().over(W.orderBy("file", "line", "pos")).cast("long"))  # limit rows
+    if limit is not None:
+        found = found.orderBy("file", "line", "pos").limit(limit)
+    found = found.withColumn("position", F.col("line") * 1_000_000 + F.col("pos"))
     t = F.col("t")
     traces = found.withColumn("trace_id", text_at(t, "$.info.trace_id"))
     require(traces, F.concat_ws(":", "file", "line", F.lit("no trace id")), F.coalesce("trace_id", F.lit("")) == "")
@@ -51,7 +56,7 @@ def read(spark: SparkSession, path: str, limit: int = 10_000) -> Snapshot:
     marks = marks.where("name <> ''")
     unique(marks, ["trace_id", "name"], "assessment")
     results = marks.groupBy("trace_id").agg(F.to_variant_object(F.map_from_entries(F.collect_list(F.struct("name", F.to_json("a").alias("value"))))).alias("results"))
-    times = spans.groupBy("trace_id").agg(((F.unix_micros(F.max("end")) - F.unix_micros(F.min("start"))) / 1000.0).alias("latency_ms"))
+    times = spans.groupBy("trace_id").agg(span_latency(F.col("start"), F.col("end")).alias("latency_ms"))
     case = F.nullif(text_at(t, "$.info.trace_metadata['mlflow.trace.session']"), F.lit(""))
     heads = traces.select("trace_id", "position", case.alias("case_id"), F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("double").alias("cost_usd"), at(t, "$.info").alias("attributes"))
     return checked(heads.join(times, "trace_id", "left").join(results, "trace_id", "left"), spans, detach=True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.json_values import at, kind, text_at
 from tracelake.functions.text import duration_ms
 from tracelake.operators.evidence import newest
-from tracelake.sources.common import Snapshot, checked, documents_of, kind_of, require, text_payload, within, zoned_time
+from tracelake.sources.common import Snapshot, checked, chosen_cost, documents_of, kind_of, require, span_latency, text_payload, within, zoned_time
 
 ALIASES = {"GENERATION": "LLM"}
 
@@ -33,7 +33,11 @@ def catalogs(spans: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, limit: int = 100, since: str | None = None, until: str | None = None) -> Snapshot:
     """The newest traces of the files from since up to until, oldest first. Trees must be complete and observations belong to their trace."""
-    found = documents_of(spark, path)
+    return snapshot(documents_of(spark, path), limit, since, until)
+
+
+def snapshot(found: DataFrame, limit: int | None = None, since: str | None = None, until: str | None = None, detach: bool = False) -> Snapshot:
+    """Traces of documents (file, line, value). Live traces may lack spans: with detach=True spans whose parent is missing become roots."""
     v = F.col("value")
     require(found, F.concat_ws(":", "file", "line", F.lit("malformed JSON")), v.isNull())
     status = F.try_variant_get(v, "$.status", "int")
@@ -44,7 +48,8 @@ def read(spark: SparkSession, path: str, limit: int = 100, since: str | None = N
     rows = rows.select("file", "line", "t", text_at(t, "$.id").alias("trace_id"), zoned_time(text_at(t, "$.timestamp")).alias("ts"))
     require(rows, F.concat_ws(":", "file", "line", F.lit("invalid id or timestamp")), (F.coalesce("trace_id", F.lit("")) == "") | F.col("ts").isNull())
     rows = rows.where(within(F.col("ts"), since, until))
-    rows = rows.join(F.broadcast(newest(rows.select("trace_id", "ts"), limit).select("trace_id")), "trace_id")  # limit rows
+    if limit is not None:
+        rows = rows.join(F.broadcast(newest(rows.select("trace_id", "ts"), limit).select("trace_id")), "trace_id")  # limit rows
     o = F.col("o")
     seen = rows.select("trace_id", F.explode(F.try_variant_get(t, "$.observations", "array<variant>")).alias("o"))
     require(seen, F.concat(F.lit("observation of another trace in "), "trace_id"), text_at(o, "$.traceId") != F.col("trace_id"))
@@ -57,9 +62,9 @@ def read(spark: SparkSession, path: str, limit: int = 100, since: str | None = N
         text_at(o, "$.name").alias("name"), F.when(kinds == "TOOL", text_at(o, "$.name")).alias("tool"), zoned_time(text_at(o, "$.startTime")).alias("start"),
         zoned_time(text_at(o, "$.endTime")).alias("end"), payload("$.input").alias("input"), payload("$.output").alias("output"),
         F.when(failed, F.coalesce(F.nullif(text_at(o, "$.statusMessage"), F.lit("")), F.lit("ERROR"))).alias("error"),
-        F.coalesce(*(F.when(c >= 0, c) for c in costs)).alias("cost_usd"), o.alias("attributes"),
+        chosen_cost(*costs).alias("cost_usd"), o.alias("attributes"),
     ).withColumn("duration_ms", duration_ms(F.lit(None).cast("double"), F.col("start"), F.col("end")))
-    totals = spans.groupBy("trace_id").agg(F.sum("cost_usd").alias("spent"), ((F.unix_micros(F.max("end")) - F.unix_micros(F.min("start"))) / 1000.0).alias("span_ms"))
+    totals = spans.groupBy("trace_id").agg(F.sum("cost_usd").alias("spent"), span_latency(F.col("start"), F.col("end")).alias("span_ms"))
     score = F.col("x")
     scores = rows.select("trace_id", F.explode(F.try_variant_get(t, "$.scores", "array<variant>")).alias("x"))
     scores = scores.groupBy("trace_id", text_at(score, "$.name").alias("name")).agg(F.sort_array(F.collect_list(F.struct(text_at(score, "$.id").alias("id"), F.to_json("x").alias("score")))).alias("list"))
@@ -69,4 +74,4 @@ def read(spark: SparkSession, path: str, limit: int = 100, since: str | None = N
         "trace_id", F.nullif(text_at(t, "$.sessionId"), F.lit("")).alias("case_id"), F.concat("file", F.lit("#L"), "line").alias("source_url"),
         F.coalesce(F.when(given >= 0, given), "spent").alias("cost_usd"), F.coalesce(F.try_variant_get(t, "$.latency", "double") * 1000, "span_ms").alias("latency_ms"), "results", t.alias("attributes"), F.unix_micros("ts").alias("position"),
     )
-    return checked(heads, spans, detach=False)
+    return checked(heads, spans, detach)

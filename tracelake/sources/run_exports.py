@@ -9,7 +9,7 @@ from tracelake.functions.json_values import at, kind, text_at
 from tracelake.functions.tables import kept
 from tracelake.functions.text import duration_ms
 from tracelake.operators.evidence import newest
-from tracelake.sources.common import Snapshot, checked, kind_of, lines_of, require, require_all, zoned_time
+from tracelake.sources.common import Snapshot, checked, kind_of, lines_of, require, require_all, span_latency, zoned_time
 
 #: Keys that each line has to have (fixed by the format).
 REQUIRED = [
@@ -56,7 +56,7 @@ def read(spark: SparkSession, path: str, limit: int = 100) -> Snapshot:
     chosen = newest(roots.select("trace_id", F.col("start").alias("ts")), limit).select("trace_id")
     runs = runs.join(F.broadcast(chosen), "trace_id")  # limit rows
     totals = runs.groupBy("trace_id").agg(
-        F.sum("cost_usd").alias("cost_usd"), ((F.unix_micros(F.max("end")) - F.unix_micros(F.min("start"))) / 1000.0).alias("latency_ms"),
+        F.sum("cost_usd").alias("cost_usd"), span_latency(F.col("start"), F.col("end")).alias("latency_ms"),
         F.to_variant_object(F.map_from_entries(F.collect_list(F.when(kind(F.col("feedback")) == "OBJECT", F.struct("span_id", F.to_json("feedback").alias("stats")))))).alias("results"),
     )
     place = F.concat("file", F.lit("#L"), "line")
