@@ -10,11 +10,13 @@ shards that tell which of them recur; most don't. There are more parts than need
 a set can do without as many of its signatures: those that most classes have are left out (a passage that many texts
 share gives all of them some common signatures).
 
-In a region p the distance of each member x to the pivot is computed, and what x has added to p and dropped from it.
-Members within the radius are linked. By the triangle inequality for symmetric differences, two other members x, y
-without a common addition differ in |dropped(x) - dropped(y)| + added(x) + added(y) elements at least. So a pair can
-only be linked if that is small enough, or if both have some addition. Members in that window, and those with a common
-addition, are replicated into smaller regions that are joined again, recursively, each with its own pivot.
+Small regions are joined at once. In a large one, each member's distance to the pivot is computed, and that to the
+region's centre c: the set of shingles that more than half of the members have. Members within the radius of the member
+that is nearest to the centre are linked with it. By the triangle inequality for symmetric differences, two other members
+x, y differ in |dropped(x) - dropped(y)| + added(x) + added(y) elements at least, counted against the centre, if they add
+nothing in common. So a pair can only be linked if that is small enough, or if both have some addition. Members in that
+window are compared in blocks; those with a common addition, less than half of the members for each addition, are
+replicated into smaller regions that are joined again, recursively, each with its own pivot and centre.
 """
 
 from __future__ import annotations
@@ -227,11 +229,11 @@ def _needed(recurring: DataFrame, percent: int) -> DataFrame:
 
 
 def _distances(regions: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(pivot, id, shared, n, n_pivot, added) of regions (pivot, id): what large regions' members share with the pivot and add to it.
+    """(pivot, id, shared, n, n_pivot, values) of regions (pivot, id): sets of large regions' members, and what they share with the pivot's.
 
     A region with up to REGION_MEMBERS members is joined at once: its rows (shared is NULL) are links that join up what is
     linked in it. Larger ones are dealt into parts of about that size; the pivot's text goes to each part, ahead of the
-    members'.
+    members', and has a row of its own in the first.
     """
     sizes = regions.groupBy("pivot").count().where(F.col("count") > REGION_MEMBERS)
     sizes = small(stored(sizes.select("pivot", F.ceil(F.col("count") / REGION_MEMBERS).cast("int").alias("parts")), "join-sizes"))
@@ -258,23 +260,22 @@ def _distances(regions: DataFrame, members: DataFrame, k: int, percent: int) ->
                 if parts == 1:
                     ids.append(doc)
                     sets.append(own)
-                elif not member:
+                    continue
+                if not member:
                     pivot_set = own
-                else:
-                    added = np.setdiff1d(own, pivot_set, assume_unique=True)
-                    out.append((pivot, doc, len(own) - len(added), len(own), len(pivot_set), added.view(np.int64)))
-            yield pd.DataFrame(out, columns=["pivot", "id", "shared", "n", "n_pivot", "added"])
-        yield pd.DataFrame(joined(), columns=["pivot", "id", "shared", "n", "n_pivot", "added"])
+                if member or part == 0:
+                    both = len(np.intersect1d(own, pivot_set, assume_unique=True))
+                    out.append((pivot, doc, both, len(own), len(pivot_set), own.view(np.int64)))
+            yield pd.DataFrame(out, columns=["pivot", "id", "shared", "n", "n_pivot", "values"])
+        yield pd.DataFrame(joined(), columns=["pivot", "id", "shared", "n", "n_pivot", "values"])
 
-    schema = "pivot long, id long, shared long, n long, n_pivot long, added array<long>"
+    schema = "pivot long, id long, shared long, n long, n_pivot long, values array<long>"
     order = ["pivot", "part", "member"]
     return rows.repartition("pivot", "part").sortWithinPartitions(*order).select(*order, "parts", "id", "text").mapInPandas(work, schema)
 
 
-def _linked_up(ids: list[int], sets: list[np.ndarray], percent: int, others: int = 0, open_ones: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join up what is linked among sets. The last others of them are a side of their own: only pairs across the sides
-    are looked at. Of open_ones, pairs with none are skipped.
-    """
+def _linked_up(ids: list[int], sets: list[np.ndarray], percent: int, others: int = 0) -> list[tuple[int, int]]:
+    """Links that join up what is linked among sets. With others, the last so many are a side of their own: only pairs across the sides count."""
     if len(ids) < 2:
         return []
     n = len(ids) - others
@@ -282,8 +283,6 @@ def _linked_up(ids: list[int], sets: list[np.ndarray], percent: int, others: int
     shared = shared_counts(first, sets[n:] if others else first)
     size = np.asarray([len(x) for x in sets])
     wanted = linked(shared, size[:n, None] + (size[n:] if others else size)[None, :], percent)
-    if open_ones is not None:
-        wanted &= open_ones[:n, None] | (open_ones[n:] if others else open_ones)[None, :]
     root, rows = {}, []
 
     def find(x: int) -> int:
@@ -323,17 +322,14 @@ def shared_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
 
 
 def _closed(groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links that join up what is linked among the members of each group (key, side, id, text, open).
-
-    Members of side 0 are compared with those of side 1 and with each other (both sides hold at most REGION_MEMBERS);
-    pairs of members that aren't open are skipped, as both are linked to their pivot.
-    """
+    """(a, b): links that join up what is linked across the two sides of each group (key, side, id, text); each side is about REGION_MEMBERS at most."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["side", "id"])
         values, starts = shingle_sets(frame["text"], k, WordHashes())
-        sets = [values[a:b] for a, b in zip(starts[:-1], starts[1:])]
-        rows = _linked_up(frame["id"].tolist(), sets, percent, int(frame["side"].sum()), frame["open"].to_numpy())
+        others = int(frame["side"].sum())
+        both = 0 < others < len(frame)
+        rows = _linked_up(frame["id"].tolist(), [values[a:b] for a, b in zip(starts[:-1], starts[1:])], percent, others) if both else []
         return pd.DataFrame(rows, columns=["a", "b"])
 
     return groups.groupBy("key").applyInPandas(work, "a long, b long")
@@ -356,6 +352,49 @@ def _regions_of(recurring: DataFrame, central: DataFrame) -> DataFrame:
     return ranked.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct()
 
 
+def _centred(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members of large regions against their region's centre, and links (a, b) of those near its middle.
+
+    (pivot, id, n, c, delta, added, open): sizes of the set and of the centre, of their symmetric difference, what the set
+    adds, and whether it isn't linked to the member that is nearest to the centre.
+    """
+    sizes = sets.groupBy("pivot").agg(F.count("*").alias("m"))
+    counts = sets.select("pivot", F.explode("values").alias("shingle")).groupBy("pivot", "shingle").agg(F.count("*").alias("times"))
+    # A centre has no more than twice as many shingles as a member has on average.
+    center = counts.join(sizes, "pivot").where(2 * F.col("times") > F.col("m")).groupBy("pivot").agg(F.collect_list("shingle").alias("center"))
+    rows = sets.join(center, "pivot", "left").withColumn("center", F.coalesce("center", F.array().cast("array<long>")))
+    c = F.size("center")
+    rows = rows.select("pivot", "id", "n", "values", c.cast("long").alias("c"), (F.col("n") + c - 2 * F.size(F.array_intersect("values", "center"))).alias("delta"), F.array_except("values", "center").alias("added"))
+    rows = stored(rows, "join-centred")
+    nearest = rows.groupBy("pivot").agg(F.min_by("id", F.struct("delta", "id")).alias("best"))
+    middle = rows.select("pivot", F.col("id").alias("best"), F.col("values").alias("of_best")).join(nearest, ["pivot", "best"])
+    rows = rows.join(middle, "pivot")
+    near = linked(F.size(F.array_intersect("values", "of_best")), F.col("n") + F.size("of_best"), percent)
+    rows = stored(rows.select("pivot", "id", "n", "c", "delta", "added", "best", (~near & (F.col("id") != F.col("best"))).alias("open")), "join-open")
+    return rows.drop("best"), rows.where(~F.col("open") & (F.col("id") != F.col("best"))).select(F.col("best").alias("a"), F.col("id").alias("b"))
+
+
+def _windows(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, side, id): pairs of blocks of members of which some may be linked without a common addition; side 0 is open.
+
+    With excess, by how much a set's distance from the centre exceeds what linked sets of its size and the centre's may
+    differ in, and net, how much smaller than the centre it is, x and y can only be linked if excess(x) <= gain * net(y).
+    """
+    share = (100 - percent) / (100 + percent)
+    rows = rows.withColumns({"excess": F.col("delta") - share * (F.col("n") + F.col("c")), "reach": (1 - share) * (F.col("c") - F.col("n"))})
+    bounds = rows.groupBy("pivot").agg(F.max("reach").alias("most"), F.min(F.when(F.col("open"), F.col("excess"))).alias("least")).where("least IS NOT NULL")
+    rows = rows.join(bounds, "pivot").where((F.col("open") & (F.col("excess") <= F.col("most") + 1e-6)) | (F.col("reach") + 1e-6 >= F.col("least")))
+    rows = rows.select("pivot", "id", (F.col("open") & (F.col("excess") <= F.col("most") + 1e-6)).alias("asks"), (F.col("reach") + 1e-6 >= F.col("least")).alias("answers"))
+    half = max(1, REGION_MEMBERS // 2)
+    blocks = rows.groupBy("pivot").agg(F.ceil(F.count_if("asks") / half).cast("int").alias("i"), F.ceil(F.count_if("answers") / half).cast("int").alias("j")).where("i > 0 AND j > 0")
+    rows = rows.join(blocks, "pivot")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = rows.where("asks").select("pivot", "id", own("i").alias("x"), every("j").alias("y"), F.lit(0).alias("side"))
+    answers = rows.where("answers").select("pivot", "id", own("j").alias("y"), every("i").alias("x"), F.lit(1).alias("side"))
+    return asks.unionByName(answers).select(F.struct("pivot", "x", "y").alias("key"), "side", "id")
+
+
 def _links(recurring: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): enough links to join up everything that is linked, from recurring keys (key, id) and members (id, text)."""
     found: list[DataFrame] = []
@@ -367,30 +406,14 @@ def _links(recurring: DataFrame, members: DataFrame, k: int, percent: int) -> Da
         distances = stored(_distances(regions, members, k, percent), "join-distances")
         found.append(distances.where("shared IS NULL").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
         distances = distances.where("shared IS NOT NULL")
-        distances = distances.withColumn("open", ~linked(F.col("shared"), F.col("n") + F.col("n_pivot"), percent))
-        found.append(distances.where(~F.col("open")).select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        sizes = distances.groupBy("pivot").agg(F.count("*").alias("members"), F.max("open").alias("any_open"), F.sum(F.col("open").cast("int")).alias("n_open"))
-        left = distances.join(sizes.where(F.col("any_open") & (F.col("members") > 1)), "pivot")
-        net = F.col("n_pivot") - F.col("n")  # dropped minus added
-        near = left.where((F.col("members") <= REGION_MEMBERS) | F.col("open") | (net > 0))
-        # Pairs without a common addition: excess is what an open member exceeds the radius by, and a partner must make up for.
-        excess = (F.col("n") + F.col("n_pivot") - 2 * F.col("shared")) - (100 - percent) / (100 + percent) * (F.col("n") + F.col("n_pivot"))
-        reach = near.groupBy("pivot").agg(F.max(net).alias("most_net"), F.min(F.when(F.col("open"), excess)).alias("least_excess"), F.count("*").alias("in_window"))
-        near = near.join(reach, "pivot").withColumn("large", F.col("members") > REGION_MEMBERS)
-        gain = 1 - (100 - percent) / (100 + percent)
-        # In a large region only those stay that have a possible partner.
-        near = near.where(
-            ~F.col("large")
-            | (F.col("open") & (excess <= gain * F.col("most_net") + 1e-6))
-            | (~F.col("open") & (gain * net + 1e-6 >= F.col("least_excess")))
-        )
-        blocks = F.when(F.col("large"), F.ceil(F.col("in_window") * 2 / REGION_MEMBERS)).otherwise(F.lit(1)).cast("int")
-        near = near.select("pivot", "id", "open", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        low, high = F.least("block", "other"), F.greatest("block", "other")
-        near = near.select(F.struct("pivot", low.alias("low"), high.alias("high")).alias("key"), (F.col("block") > low).cast("int").alias("side"), "id", "open")
-        found.append(stored(_closed(near.join(members, "id"), k, percent), "join-closed"))
-        added = left.where(F.col("members") > REGION_MEMBERS).select("pivot", "id", "open", F.explode("added").alias("shingle"))
+        if not distances.head(1):
+            break
+        rows, best = _centred(distances, percent)
+        near_pivot = linked(F.col("shared"), F.col("n") + F.col("n_pivot"), percent) & (F.col("id") != F.col("pivot"))
+        found += [distances.where(near_pivot).select(F.col("pivot").alias("a"), F.col("id").alias("b")), best]
+        found.append(stored(_closed(_windows(rows, percent).join(members, "id"), k, percent), "join-closed"))
+        # The pivot is done: it was compared with all.
+        added = rows.where("id <> pivot").select("pivot", "id", "open", F.explode("added").alias("shingle"))
         regions = stored(_regions_of(_recurring(added.select(F.struct("pivot", "shingle").alias("key"), "id", "open")), central), "join-regions")
     links = recurring.sparkSession.createDataFrame([], "a long, b long")
     for part in found:

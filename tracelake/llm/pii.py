@@ -3,9 +3,10 @@
 Nodes of the field are tokens with a digit or @; all others can't be personal data here. Neighbouring tokens share an
 edge, and so do distant ones that are equal or end in the same digits (a skip edge, from each to the next such token).
 The factors are trained piece by piece on counts over all documents, with the patterns' spans as labels: labels given
-a token's shape, label pairs given an edge of either kind. Loopy message passing then gives each token its marginals, so
-a number that is a phone number in one place is one where it stands alone, too. Spans that are found are added to those
-of the patterns.
+a token's shape, label pairs given an edge of either kind. Secrets (keys, digests, passwords made by machines) have no
+pattern in the base; they are labelled weakly, by their length and mix of signs. Loopy message passing then gives each
+token its marginals, so a number that is a phone number in one place is one where it stands alone, too. Spans that are
+found are added to those of the patterns. A document's result doesn't depend on what else is in its batch.
 """
 
 from __future__ import annotations
@@ -23,7 +24,11 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import slices
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("", *KINDS)
+LABELS = ("", *KINDS, "secret")
+SECRET = len(KINDS) + 1
+#: Weak label of secrets: signs of keys only, long, with digits and letters in turns.
+SECRETS = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TURNS = re.compile(r"[0-9][A-Za-z]|[A-Za-z][0-9]")
 #: Marginal probability from which on a token becomes a span.
 SURE = 0.6
 #: Rounds of message passing at most, and the share of a message that is kept in each.
@@ -106,6 +111,11 @@ class Tokens:
     edges: list[tuple[int, int, int]]
 
 
+def looks_secret(token: str) -> bool:
+    """Whether a token is one long key: no other signs, and digits next to letters in four places at least."""
+    return bool(SECRETS.fullmatch(token)) and len(TURNS.findall(token)) >= 4
+
+
 def shape_of(token: str) -> int:
     """What the field sees of a token: its signs, roughly how many digits, and whether these could be a card's."""
     digits = "".join(c for c in token if c in "0123456789")
@@ -114,7 +124,7 @@ def shape_of(token: str) -> int:
     parts = min(token.count("."), 4) if digits else 0
     letters = any(c.isalpha() for c in token)
     check = 13 <= len(digits) <= 19 and luhn(digits)
-    return int.from_bytes(hashlib.blake2b(f"{size}|{signs}|{parts}|{letters}|{check}".encode(), digest_size=4).digest(), "little") % SHAPES
+    return int.from_bytes(hashlib.blake2b(f"{size}|{signs}|{parts}|{letters}|{check}|{looks_secret(token)}".encode(), digest_size=4).digest(), "little") % SHAPES
 
 
 def keys_of(token: str) -> list[str]:
@@ -147,7 +157,7 @@ def tokens_of(text: str, base: list[list[Span]]) -> Tokens:
         token, i = text[a:b], len(out.spans)
         while nearest < len(marked) and marked[nearest][1] <= a:
             nearest += 1
-        label = next((kind for x, y, kind in marked[nearest : nearest + 4] if x < b and a < y), 0)
+        label = next((kind for x, y, kind in marked[nearest : nearest + 4] if x < b and a < y), SECRET if looks_secret(token) else 0)
         out.spans.append((a, b))
         out.shapes.append(shape_of(token))
         out.labels.append(label)
@@ -178,24 +188,31 @@ class Field:
         edge = np.log(both / both.sum(axis=(1, 2), keepdims=True) / alone[:, :, None] / alone[:, None, :])
         return cls(node, np.clip(edge, -4, 4))
 
-    def marginals(self, shapes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Label probabilities of each node, by sum-product message passing over edges (rows a, b, kind)."""
+    def marginals(self, shapes: np.ndarray, edges: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
+        """Label probabilities of each node, by sum-product message passing over edges (rows a, b, kind).
+
+        owner: the document of each node; each document's messages stop when they have converged.
+        """
         node = self.node[shapes]
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         factor = self.edge[np.concatenate([edges[:, 2], edges[:, 2]])]
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-        sent = np.zeros((len(source), len(LABELS)))
+        sent = np.zeros((len(source), node.shape[1]))
+        owner = np.zeros(len(shapes), np.int64) if owner is None else owner
+        of, moving = owner[source], np.ones(len(source), bool)
         belief = node
         for _ in range(ROUNDS if len(edges) else 0):
             out = (belief[source] - sent[back])[:, :, None] + factor
             top = out.max(axis=1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
             new -= new.max(axis=1, keepdims=True)
-            change = np.abs(new - sent).max()
-            sent = DAMPING * sent + (1 - DAMPING) * new
+            change = np.zeros(int(of.max()) + 1)
+            np.maximum.at(change, of, np.abs(new - sent).max(axis=1))
+            sent = np.where(moving[:, None], DAMPING * sent + (1 - DAMPING) * new, sent)
+            moving &= change[of] >= 1e-4
             belief = node.copy()
             np.add.at(belief, target, sent)
-            if change < 1e-4:
+            if not moving.any():
                 break
         p = np.exp(belief - belief.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
@@ -225,12 +242,13 @@ def train(docs: DataFrame) -> Field:
 
 def added_spans(nodes: list[Tokens], field: Field) -> list[list[tuple[int, int, int]]]:
     """(kind, start, end) that the field adds to each document's patterns; neighbouring tokens of a kind are one span."""
-    shapes, edges, first = [], [], 0
-    for t in nodes:
+    shapes, edges, owner, first = [], [], [], 0
+    for i, t in enumerate(nodes):
         shapes += t.shapes
+        owner += [i] * len(t.spans)
         edges += [(a + first, b + first, kind) for a, b, kind in t.edges]
         first += len(t.spans)
-    p = field.marginals(np.asarray(shapes, np.int64), np.asarray(edges, np.int64).reshape(-1, 3)) if shapes else np.empty((0, len(LABELS)))
+    p = field.marginals(np.asarray(shapes, np.int64), np.asarray(edges, np.int64).reshape(-1, 3), np.asarray(owner, np.int64)) if shapes else np.empty((0, len(LABELS)))
     out, at = [], 0
     for t in nodes:
         found: list[tuple[int, int, int]] = []
@@ -238,7 +256,7 @@ def added_spans(nodes: list[Tokens], field: Field) -> list[list[tuple[int, int,
         previous = None
         for i, (span, label) in enumerate(zip(t.spans, t.labels)):
             best = int(p[at + i].argmax())
-            if label or not best or p[at + i, best] < SURE:
+            if 0 < label < SECRET or not best or p[at + i, best] < SURE:
                 continue
             if previous == i - 1 and (i - 1, i) in close and found[-1][0] == best:
                 found[-1] = (best, found[-1][1], span[1])
@@ -281,7 +299,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    rank = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
+    rank = F.create_map(*(x for i, k in enumerate(LABELS[1:]) for x in (F.lit(k), F.lit(i))))
 
     def text(spans):
         ordered = F.array_sort(F.transform(spans, lambda s: F.struct(rank[s["kind"]].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -289,5 +307,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     return found.select(
         "doc_id", *map(count, KINDS), F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"),
-        F.size("added").cast("long").alias("n_added"),
+        F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
