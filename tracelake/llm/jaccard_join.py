@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import WordHashes, mixed, packed, shingles, slices, small, stored, unpacked, word_hashes
 
 #: Words of texts and members of a region that a single task joins by itself; larger regions are split further first.
-REGION_MEMBERS = 300
+REGION_MEMBERS = 1000
 #: Classes with a signature from which on it is left out where that is allowed.
 LARGE = 50
 ROWS = 500
