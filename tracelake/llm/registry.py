@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tracelake.llm import bpe, decontaminate, jaccard_join, katz, kneser_ney, language_id, line_dedup, media, pii, substring_dedup
+from tracelake.llm import alignment, bpe, decontaminate, jaccard_join, katz, kneser_ney, language_id, line_dedup, media, neighbours, pii, substring_dedup, whitening
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_language_id": language_id.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_alignment": alignment.query,
+    "op12_whitening": whitening.query,
+    "op13_neighbours": neighbours.query,
 }
 
 ORACLES = {
