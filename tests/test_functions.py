@@ -83,10 +83,88 @@ def test_contracts(spark):
         ({"properties": {"a": {"multipleOf": 0.5}}}, {"a": 1.5}, {"a": 1.2}), ({"oneOf": [{"required": ["a"]}, {"required": ["b"]}]}, {"a": 1}, {"a": 1, "b": 2}),
     ):
         assert violations(good, rule) == [] and violations(bad, rule), rule
-    for unknown in ({"$ref": "#/x"}, {"$ref": "http://x"}, {"unevaluatedProperties": False}, {"$ref": "#"}):
+    for unknown in ({"$ref": "#/x"}, {"$ref": "http://x"}, {"$ref": "#nowhere"}, {"$ref": "#"}, {"properties": 3}):
         with pytest.raises(Unevaluable):
-            violations({}, unknown)
+            violations({"a": 1}, unknown)
+    assert violations({"a": 1}, {"x-own": 3, "format": "date"}) == []
     df = spark.createDataFrame([('{"a": "x"}', json.dumps(schema)), (None, "{}"), ("{}", "null"), ("{}", '{"$ref": "#/x"}'), ("{}", "3")], "a string, s string")
-    assert [r[0] for r in df.select(contract_issues("a", "s")).collect()] == [["argument_type_mismatch"], [], [], [UNEVALUABLE], [UNEVALUABLE]]
+    assert [[x.issue for x in r[0]] for r in df.select(contract_issues("a", "s")).collect()] == [["argument_type_mismatch"], [], [], [UNEVALUABLE], [UNEVALUABLE]]
     leaves = df.limit(1).select(string_leaves(F.lit('{"a": {"b": ["x", 1, {"c": "y"}]}}'))).first()[0]
-    assert [tuple(x) for x in leaves] == [("$.a.b[0]", "b", "x"), ("$.a.b[2].c", "c", "y")]
+    assert [tuple(x) for x in leaves] == [("$.a.b[0]", "0", "x"), ("$.a.b[2].c", "c", "y")]
+    leaves = df.limit(1).select(string_leaves(F.lit('{"reference": ["abc"], "user.id": "x", "odd]": "y", "a[b": "z"}'))).first()[0]
+    assert [(x.path, x.name) for x in leaves] == [("$.reference[0]", "0"), ("$.user.id", "id"), ("$.odd]", "odd"), ("$.a[b", "b")]
+
+
+#: (schema, what it holds for, what it doesn't hold for, the keyword that is broken)
+ANNOTATED = [
+    ({"properties": {"a": {}}, "unevaluatedProperties": False}, {"a": 1}, {"a": 1, "b": 2}, "unevaluatedProperties"),
+    ({"properties": {"a": {}}, "unevaluatedProperties": {"type": "string"}}, {"a": 1, "b": "x"}, {"b": 2}, "type"),
+    ({"unevaluatedProperties": False, "allOf": [{"properties": {"a": {}}}, {"patternProperties": {"^x": {}}}]}, {"a": 1, "x1": 2}, {"y": 1}, "unevaluatedProperties"),
+    # Only schemas that hold have looked at something.
+    ({"anyOf": [{"properties": {"a": {"const": 1}}, "required": ["a"]}, {"properties": {"b": {}}, "required": ["b"]}], "unevaluatedProperties": False}, {"a": 1, "b": 2}, {"a": 2, "b": 2}, "unevaluatedProperties"),
+    ({"oneOf": [{"required": ["a"], "properties": {"a": {}}}, {"required": ["b"], "properties": {"b": {}}}], "unevaluatedProperties": False}, {"a": 1}, {"a": 1, "c": 1}, "unevaluatedProperties"),
+    ({"if": {"properties": {"k": {"const": 1}}, "required": ["k"]}, "then": {"properties": {"a": {}}}, "else": {"properties": {"b": {}}}, "unevaluatedProperties": False}, {"k": 1, "a": 2}, {"k": 1, "b": 2}, "unevaluatedProperties"),
+    ({"not": {"properties": {"a": {}}, "required": ["z"]}, "unevaluatedProperties": False}, {}, {"a": 1}, "unevaluatedProperties"),
+    ({"$ref": "#/$defs/x", "$defs": {"x": {"properties": {"a": {}}}}, "unevaluatedProperties": False}, {"a": 1}, {"b": 1}, "unevaluatedProperties"),
+    ({"dependentSchemas": {"a": {"properties": {"a": {}, "b": {}}}}, "unevaluatedProperties": False}, {"a": 1, "b": 1}, {"b": 1}, "unevaluatedProperties"),
+    ({"dependentSchemas": {"a": {"required": ["b"]}}}, {"a": 1, "b": 1}, {"a": 1}, "required"),
+    ({"additionalProperties": True, "unevaluatedProperties": False}, {"b": 1}, None, None),
+    # What a property's own schema looked at says nothing about the object around it.
+    ({"properties": {"a": {"properties": {"b": {}}}}, "unevaluatedProperties": False}, {"a": {"b": 1}}, {"a": {}, "b": 1}, "unevaluatedProperties"),
+    ({"prefixItems": [{}], "unevaluatedItems": False}, [1], [1, 2], "unevaluatedItems"),
+    ({"prefixItems": [{}], "contains": {"type": "string"}, "unevaluatedItems": False}, [1, "x", "y"], [1, "x", 2], "unevaluatedItems"),
+    ({"allOf": [{"prefixItems": [{}, {}]}], "unevaluatedItems": {"type": "null"}}, [1, 2, None], [1, 2, 3], "type"),
+    ({"items": {}, "unevaluatedItems": False}, [1, 2], None, None),
+    ({"$defs": {"x": {"$anchor": "here", "type": "string"}}, "$ref": "#here"}, "s", 1, "type"),
+    ({"$id": "https://h/root", "$defs": {"x": {"$id": "part", "$defs": {"y": {"$anchor": "in", "type": "integer"}}}}, "$ref": "part#in"}, 1, "s", "type"),
+    ({"$id": "https://h/root", "$defs": {"x": {"$id": "part", "$defs": {"y": {"const": 3}}}}, "$ref": "https://h/part#/$defs/y"}, 3, 4, "const"),
+    # A tree whose nodes are extended: the outermost $dynamicAnchor decides what its children are.
+    (
+        {
+            "$id": "https://h/strict", "$dynamicAnchor": "node", "$ref": "tree", "unevaluatedProperties": False,
+            "$defs": {"tree": {"$id": "https://h/tree", "$dynamicAnchor": "node", "properties": {"data": {}, "children": {"items": {"$dynamicRef": "#node"}}}}},
+        },
+        {"data": 1, "children": [{"data": 2, "children": []}]}, {"children": [{"daat": 2}]}, "unevaluatedProperties",
+    ),
+    # Numbers are equal by value, and booleans aren't numbers.
+    ({"enum": [1]}, 1.0, True, "enum"), ({"const": 1.0}, 1, "1", "const"), ({"const": {"a": [1, 0]}}, {"a": [1.0, 0]}, {"a": [1, False]}, "const"),
+    ({"uniqueItems": True}, [1, True, "1", None], [1, 1.0], "uniqueItems"), ({"uniqueItems": True}, [{"a": 1, "b": 2}, {"a": 1}], [{"a": 1, "b": 2}, {"b": 2.0, "a": 1}], "uniqueItems"),
+    ({"multipleOf": 0.1}, 0.3, 0.35, "multipleOf"), ({"multipleOf": 0.01}, 1e20, 0.001, "multipleOf"), ({"multipleOf": 3}, 1e300 - 1e300, 10**30 + 1, "multipleOf"),
+    # Earlier drafts.
+    ({"$schema": "http://json-schema.org/draft-07/schema#", "dependencies": {"a": ["b"]}}, {"a": 1, "b": 1}, {"a": 1}, "dependencies"),
+    ({"$schema": "http://json-schema.org/draft-07/schema#", "items": [{"type": "string"}], "additionalItems": False}, ["x"], ["x", 1], "additionalItems"),
+    ({"$schema": "http://json-schema.org/draft-07/schema#", "properties": {"a": {"$ref": "#/definitions/x", "type": "string"}}, "definitions": {"x": {"type": "integer"}}}, {"a": 1}, {"a": "x"}, "type"),
+    ({"$schema": "http://json-schema.org/draft-04/schema#", "minimum": 2, "exclusiveMinimum": True}, 3, 2, "exclusiveMinimum"),
+    ({"dependencies": {"a": ["b"]}}, {"a": 1}, None, None),
+]
+
+
+@pytest.mark.parametrize("case", range(len(ANNOTATED)))
+def test_contracts_with_annotations(case):
+    schema, good, bad, keyword = ANNOTATED[case]
+    assert violations(good, schema) == []
+    if keyword:
+        assert {k for k, _ in violations(bad, schema)} == {keyword}
+
+
+def test_remembered_issues_are_bounded(monkeypatch):
+    from tracelake.functions import contracts
+
+    monkeypatch.setattr(contracts, "REMEMBERED", 10_000)
+    issues = contracts.Issues()
+    for i in range(2000):
+        assert issues[json.dumps({"a": i, "pad": "x" * (i % 200)}), '{"required": ["b"]}'] == [{"issue": "missing_required_argument", "keyword": "required", "path": "$"}]
+        assert issues.size <= 10_000 and sum(len(v) for v, _ in issues) == issues.size
+
+
+def test_decoders_of_long_codes(spark):
+    texts = ["Process exited with code 99999999999999999999", "Process exited with code -007", "Process exited with code 000", "Process exited with code 0000000000000000000001", "process EXITED with code 0\nError: x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(
+        "i", F.lit("t").alias("tool"), F.parse_json(F.to_json(F.struct("t"))).alias("whole"),
+    )
+    df = df.withColumn("output", F.try_variant_get("whole", "$.t", "variant")).withColumns({"explicit_error": F.lit(None).cast("boolean"), "outcome_marker": F.lit(None).cast("string")})
+    assert [r.marker for r in strictly_decoded(df).orderBy("i").collect()] == ["shell_exit_code_99999999999999999999", "shell_exit_code_-7", None, "shell_exit_code_1", None]
+    codes = ['{"exit_code": 1e300}', '{"returncode": -1e300}', '{"exit_code": 0.5}', '{"exit_code": 123456789012345678901234567890}', '{"exit_code": 0}', '{"exit_code": true}', '{"exit_code": -1.5}']
+    df = spark.createDataFrame(list(enumerate(codes)), "i int, j string").select("i", F.lit("t").alias("tool"), F.parse_json("j").alias("output"), F.lit(None).cast("string").alias("error"))
+    wrong = "nonzero_exit_code"
+    assert [r.marker for r in widely_decoded(df).orderBy("i").collect()] == [wrong, wrong, None, wrong, None, wrong, wrong]

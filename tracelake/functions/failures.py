@@ -55,7 +55,8 @@ def strictly_decoded(rows: DataFrame) -> DataFrame:
         (c("_error").isNotNull() & ~c("_error").isin(NO_ERROR), F.lit("structured_error_value")),
         (c("_status").isin(STATUS_STRICT), F.lit("structured_error_status")),
         (c("_nested"), F.lit("nested_error_flag")),
-        (c("_exit") != "", F.when(c("_exit").cast("long") != 0, F.concat(F.lit("shell_exit_code_"), c("_exit").cast("long")))),
+        # By its digits, as a code may be longer than any number type.
+        (c("_exit") != "", F.when(c("_exit").rlike("[1-9]"), F.concat(F.lit("shell_exit_code_"), F.regexp_replace("_exit", r"^(-?)0+(?=\d)", "$1")))),
         (c("text").rlike(ERROR_PREFIX), F.lit("error_prefix")),
         (c("tool").isin(CODE_TOOLS) & c("text").rlike(TRACEBACK), F.lit("python_traceback")),
     ])})
@@ -77,7 +78,7 @@ def widely_decoded(rows: DataFrame) -> DataFrame:
     rows = settled(rows, {"_code": number})
     rows = settled(rows, {"marker": _verdict([
         (c("error").isNotNull(), F.lit("span_error")), (c("_flag"), F.lit("structured_error_flag")), (c("_failed"), F.lit("structured_unsuccessful")),
-        (c("_status").isin(STATUS_WIDE), F.concat(F.lit("structured_status_"), c("_status"))), (c("_code").cast("long") != 0, F.lit("nonzero_exit_code")),
+        (c("_status").isin(STATUS_WIDE), F.concat(F.lit("structured_status_"), c("_status"))), (F.abs("_code") >= 1, F.lit("nonzero_exit_code")),
         (c("text").rlike(ERROR_PREFIX), F.lit("tool_output_error_prefix")), (c("tool").isin(CODE_TOOLS) & c("text").rlike(TRACEBACK), F.lit("python_traceback")),
     ])})
     return rows.drop("_thing", "_flag", "_failed", "_status", "_code")

@@ -1,28 +1,41 @@
-"""Helpers on whole tables: cutting lineage, columns that are worked out once, exact medians of long columns."""
+"""Helpers on whole tables: cutting lineage, columns that are worked out once, exact quantiles of long columns."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Share of rows on each side of the middle that an exact median looks at, and the accuracy of the quantiles that bound it.
+#: Share of rows on each side of its place that an exact quantile looks at, and the accuracy of the quantiles that bound it.
 MIDDLE, ACCURACY = 0.002, 2000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own where it is unset (local masters only)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tracelake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names: lineage is cut, and lost executors don't matter."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tracelake-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """df as a Parquet table in the shared folder: lineage is cut, lost executors don't matter, later reads prune columns. forget() deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tracelake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all that kept() wrote for this application. Tables that still read it can't be used afterwards."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tracelake-{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def settled(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -35,22 +48,34 @@ def settled(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select(*(c for c in rows.columns if c not in columns), made)
 
 
-def exact_medians(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """(key, name): the median of value per key, nulls left out.
+def exact_quantiles(rows: DataFrame, key: str, value: str, name: str, share: float) -> DataFrame:
+    """(key, name): per key the value below which a share of the values lies, between neighbouring values in proportion; nulls left out.
 
     Approximate quantiles bound it; the exact ranks of the few values between the bounds tell the rest, so no task holds
-    all values of a key. Equal values count as one.
+    all values of a key. Equal values count as one. rows are read twice.
     """
     rows = rows.where(F.col(value).isNotNull()).select(key, value)
-    bounds = rows.groupBy(key).agg(F.percentile_approx(value, [0.5 - MIDDLE, 0.5 + MIDDLE], ACCURACY).alias("b"), F.count("*").alias("n"))
+    ends = [max(0.0, share - MIDDLE), min(1.0, share + MIDDLE)]
+    bounds = rows.groupBy(key).agg(F.percentile_approx(value, ends, ACCURACY).alias("b"), F.count("*").alias("n"))
     bounds = bounds.select(key, F.col("b")[0].alias("low"), F.col("b")[1].alias("high"), "n")
-    near = rows.join(bounds, key).where(F.col(value) <= F.col("high"))
-    # What lies below the bounds counts as one value.
-    counts = near.groupBy(key, "n", F.greatest(value, "low").alias("v"), (F.col(value) < F.col("low")).alias("below")).agg(F.count("*").alias("c"))
-    up_to = F.sum("c").over(W.partitionBy(key).orderBy("v", F.col("below").desc()).rowsBetween(W.unboundedPreceding, 0))
+    # What lies below the bounds counts as one value, the largest of them, and what lies above as the smallest: in short columns
+    # a neighbour of the place can be just outside.
+    x = F.col(value)
+    zone = F.when(x < F.col("low"), -1).when(x > F.col("high"), 1).otherwise(0)
+    zoned = rows.join(bounds, key).groupBy(key, "n", zone.alias("zone"), F.when(zone == 0, x).alias("v")).agg(F.count("*").alias("c"), F.min(x).alias("least"), F.max(x).alias("most"))
+    counts = zoned.withColumn("v", F.when(F.col("zone") < 0, F.col("most")).otherwise(F.col("least")))
+    up_to = F.sum("c").over(W.partitionBy(key).orderBy("zone", "v").rowsBetween(W.unboundedPreceding, 0))
     ranked = counts.withColumn("last", up_to)
-    # Ranks from 1 of the two middle values.
-    first, second = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    # Ranks from 1 of the two values around the place.
+    place = (F.col("n") - 1) * F.lit(share)
     holds = lambda rank: (F.col("last") >= rank) & (F.col("last") - F.col("c") < rank)
-    middle = ranked.groupBy(key).agg(F.max(F.when(holds(first), F.col("v"))).alias("a"), F.max(F.when(holds(second), F.col("v"))).alias("b"))
-    return middle.select(key, ((F.col("a") + F.col("b")) / 2).alias(name))
+    around = ranked.groupBy(key).agg(
+        F.max(F.when(holds(F.floor(place) + 1), F.col("v"))).alias("a"), F.max(F.when(holds(F.ceil(place) + 1), F.col("v"))).alias("b"), F.max(place - F.floor(place)).alias("w")
+    )
+    between = F.when(F.col("w") == 0.5, (F.col("a") + F.col("b")) / 2).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("w"))
+    return around.select(key, between.alias(name))
+
+
+def exact_medians(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, name): the median of value per key; see exact_quantiles()."""
+    return exact_quantiles(rows, key, value, name, 0.5)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.functions.tables import kept
 from tracelake.operators.tool_rules import FAMILY
 
 #: Independent cases from which on a card is eligible, and examples on a card.
@@ -26,10 +27,11 @@ NEEDS = {
 def cards(findings: DataFrame, cases: int = CASES) -> DataFrame:
     """One row per issue type and mechanism, in that order: counts, eligibility and up to three cases' first findings.
 
-    Findings combine per case before they meet, and what is combined is kept, as it is used twice; card_traces() has the traces of each card.
+    An example has its case, place, tool, summary and source pointer. Findings combine per case before they meet, and what
+    is combined is stored, as it is used twice; card_traces() has the traces of each card.
     """
-    at = F.struct("trace_id", "call_index", "call_id")
-    per_case = findings.groupBy("issue_type", "mechanism_key", "case_id").agg(F.count("*").alias("n"), F.min(at).alias("first")).persist()
+    at = F.struct("trace_id", "call_index", "call_id", "tool", "summary", "source_pointer")
+    per_case = kept(findings.groupBy("issue_type", "mechanism_key", "case_id").agg(F.count("*").alias("n"), F.min(at).alias("first")))
     keys = ["issue_type", "mechanism_key"]
     first = per_case.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("first"))).where(F.col("rank") <= EXAMPLES)
     first = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("first", "case_id"))).alias("examples"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -122,8 +124,9 @@ def report(source: str, found: DataFrame, rule_rows: DataFrame, verbose: bool =
     return "\n".join([*lines, *(["", "Notes:", *(f"  {n}" for n in told)] if told else [])])
 
 
-def limitations(p: Row | dict) -> list[str]:
-    """What an audit couldn't look at."""
+def limitations(p: Row | dict, unevaluable: Iterable[Row] = ()) -> list[str]:
+    """What an audit couldn't look at. unevaluable: rows (tool, calls, reason) of tools whose schema can't be checked."""
     out = [f"{p['result_absent']} of {p['total_calls']} calls have no result to judge."] if p["result_absent"] else []
     lacking = p["total_traces"] - p["tool_catalog"]
-    return out + ([f"{lacking} of {p['total_traces']} traces have no tool catalog, so their arguments weren't checked."] if lacking else [])
+    out += [f"{lacking} of {p['total_traces']} traces have no tool catalog, so their arguments weren't checked."] if lacking else []
+    return out + [f"The schema of {r['tool']} can't be checked ({r['reason']}), so the arguments of {r['calls']} calls weren't." for r in unevaluable]

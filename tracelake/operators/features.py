@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.failures import CODE_TOOLS, widely_decoded
-from tracelake.functions.json_values import as_object, is_flag
-from tracelake.functions.tables import exact_medians
+from tracelake.functions.json_values import as_object, is_flag, kind
+from tracelake.functions.tables import exact_medians, kept
 from tracelake.functions.text import error_template, failure_message, head_tail, message_signature, one_line
 
 #: Features and their names in reasons (fixed values).
@@ -31,27 +31,30 @@ def decoded_calls(calls: DataFrame) -> DataFrame:
 def trace_features(calls: DataFrame, traces: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """(trace_id, eleven features) for every row of traces; zeros for traces without calls.
 
-    calls as decoded_calls() gives them. Counts per tool are combined first, so a trace with many calls needs no sort.
+    calls as decoded_calls() gives them, and read once: equal calls of a trace are combined first, then its tools, so a
+    trace with many calls needs no sort.
     """
     size = F.octet_length("text")
     duration = F.col("duration_ms")
     finite = F.when(duration.isNotNull() & ~F.isnan(duration) & (F.abs(duration) != float("inf")), F.greatest(duration, F.lit(0.0)))
-    per_tool = calls.groupBy("trace_id", "tool").agg(
+    given = F.md5(F.coalesce(F.when(kind(F.col("arguments")) == "OBJECT", F.to_json("arguments")), F.lit("{}")))
+    alike = calls.groupBy("trace_id", "tool", given.alias("given")).agg(
         F.count("*").alias("n"), F.count("marker").alias("failed"), F.sum(size).alias("bytes"), F.max(size).alias("largest"), F.sum(finite).alias("ms"),
         F.count_if(is_flag(as_object(F.col("output")), "$.returned_data", False)).alias("empty"),
     )
-    prints = calls.select("trace_id", "tool", F.coalesce(F.when(F.schema_of_variant("arguments").startswith("OBJECT"), F.to_json("arguments")), F.lit("{}")).alias("a"))
-    prints = prints.distinct().groupBy("trace_id").agg(F.count("*").alias("prints"))
+    per_tool = alike.groupBy("trace_id", "tool").agg(
+        F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.sum("bytes").alias("bytes"), F.max("largest").alias("largest"), F.sum("ms").alias("ms"), F.sum("empty").alias("empty"), F.count("*").alias("prints"),
+    )
     n = F.sum("n")
     rates = per_tool.groupBy("trace_id").agg(
         n.cast("double").alias("tool_call_count"), F.count("*").cast("double").alias("distinct_tool_count"), (F.max("n") / n).alias("dominant_tool_share"),
+        (1.0 - F.sum("prints") / n).alias("repeated_identical_call_rate"),
         (F.sum("failed") / n).alias("explicit_failure_rate"), (F.sum("empty") / n).alias("returned_data_false_rate"),
         (F.sum(F.when(F.col("tool").isin(CODE_TOOLS), F.col("n")).otherwise(0)) / n).alias("code_execution_share"),
         (F.sum("bytes") / n / 1024.0).alias("output_kb_per_call"), (F.max("largest") / 1024.0).alias("largest_output_kb"),
         (F.coalesce(F.sum("ms"), F.lit(0.0)) / 1000.0).alias("tool_duration_sec_total"),
     )
-    out = traces.select("trace_id").join(rates, "trace_id", "left").join(prints, "trace_id", "left")
-    out = out.withColumn("repeated_identical_call_rate", 1.0 - F.col("prints") / F.col("tool_call_count")).drop("prints")
+    out = traces.select("trace_id").join(rates, "trace_id", "left")
     if steps is None:
         out = out.withColumn("trajectory_step_count", F.col("tool_call_count"))
     else:
@@ -67,9 +70,9 @@ def _unpivoted(features: DataFrame, names: list[str]) -> DataFrame:
 def robust_z(features: DataFrame, names: list[str] = FEATURES) -> DataFrame:
     """(trace_id, feature, value, center, mad, z): deviation from the corpus median in units of 1.4826 median deviations.
 
-    Medians are exact; their table has one row per feature.
+    Medians are exact; their table has one row per feature. The features are stored, as each median reads them twice.
     """
-    rows = _unpivoted(features, names)
+    rows = kept(_unpivoted(features, names))
     rows = rows.join(F.broadcast(exact_medians(rows, "feature", "value", "center")), "feature")
     off = rows.select("feature", F.abs(F.col("value") - F.col("center")).alias("off"))
     rows = rows.join(F.broadcast(exact_medians(off, "feature", "off", "mad")), "feature").withColumn("mad", F.when(F.col("mad") == 0, 1e-9).otherwise(F.col("mad")))

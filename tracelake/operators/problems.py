@@ -18,11 +18,12 @@ def _ids(traces: Column) -> Column:
 
 
 def from_cards(cards: DataFrame, audit: bool = False) -> DataFrame:
-    """One problem per eligible card (with audit, per card), supported by its examples."""
+    """One problem per eligible card (with audit, per card), supported by its examples, which it tells."""
     rows = cards if audit else cards.where("eligible")
+    seen = F.transform("examples", lambda x: F.concat(F.coalesce(F.nullif(x["first"]["tool"], F.lit("")), F.lit("unknown tool")), F.lit(": "), x["first"]["summary"]))
     told = F.format_string(
-        "Tool calls show %s (%s): %s in %s. This says what was recorded, not what it led to.", F.replace("issue_type", F.lit("_"), F.lit(" ")), F.col("mechanism_key"),
-        _counted("finding_count", "finding", "findings"), _counted("independent_case_count", "case", "cases"),
+        "Tool calls show %s (%s): %s in %s. Seen: %s. This says what was recorded, not what it led to.", F.replace("issue_type", F.lit("_"), F.lit(" ")), F.col("mechanism_key"),
+        _counted("finding_count", "finding", "findings"), _counted("independent_case_count", "case", "cases"), F.array_join(F.array_distinct(seen), "; "),
     )
     return rows.select(told.alias("description"), _ids(F.transform("examples", lambda x: x["first"])))
 

@@ -69,9 +69,12 @@ def catalog(traces: DataFrame) -> DataFrame:
 
 
 def orphan_results(traces: DataFrame) -> DataFrame:
-    """(trace_id, case_id, result_id) of the results that no call asked for."""
-    rows = traces.select("trace_id", "case_id", F.explode(_messages(at(F.col("attributes"), "$.orphan_results"))).alias("r")).where(kind(F.col("r")) == "OBJECT")
-    return rows.select("trace_id", "case_id", F.coalesce(_plain(at(F.col("r"), "$.result_id")), _plain(at(F.col("r"), "$.call_id"))).alias("result_id"))
+    """(trace_id, case_id, result_id, source_pointer) of the results that no call asked for; the pointer is all that was recorded of one, as JSON.
+
+    A trace without a logical case is a case of its own.
+    """
+    rows = traces.select("trace_id", F.coalesce(_filled(F.col("case_id")), F.col("trace_id")).alias("case_id"), F.explode(_messages(at(F.col("attributes"), "$.orphan_results"))).alias("r")).where(kind(F.col("r")) == "OBJECT")
+    return rows.select("trace_id", "case_id", F.coalesce(_plain(at(F.col("r"), "$.result_id")), _plain(at(F.col("r"), "$.call_id"))).alias("result_id"), F.to_json("r").alias("source_pointer"))
 
 
 def _tool_columns() -> dict[str, Column]:

@@ -134,15 +134,15 @@ def verdict_groups(spark, d):
 
 
 def rule_duplicate_call_id(spark, d):
-    return _short(R.per_call(R.audited(audit_calls(order_lines(spark, d)))), "duplicate_call_id")
+    return _short(R.per_call(R.audited(audit_calls(order_lines(spark, d))), ["duplicate_call_id"]), "duplicate_call_id")
 
 
 def rule_missing_and_duplicate_result(spark, d):
-    return _short(R.per_call(R.audited(audit_calls(order_lines(spark, d)))), "missing_tool_result", "duplicate_tool_result")
+    return _short(R.per_call(R.audited(audit_calls(order_lines(spark, d))), ["missing_tool_result", "duplicate_tool_result"]), "missing_tool_result", "duplicate_tool_result")
 
 
 def rule_result_id_mismatch(spark, d):
-    return _short(R.per_call(R.audited(audit_calls(order_lines(spark, d)))), "call_result_id_mismatch")
+    return _short(R.per_call(R.audited(audit_calls(order_lines(spark, d))), ["call_result_id_mismatch"]), "call_result_id_mismatch")
 
 
 def rule_unknown_tool(spark, d):
@@ -177,7 +177,7 @@ def rule_state_failure(spark, d):
         F.when(F.col("k") % 10 == 0, "no active editing session").when(F.col("k") % 10 == 1, "please log in before using it").when(F.col("k") % 10 == 2, "target must be a file")
         .when(F.col("k") % 10 == 3, "you need to sign in first").otherwise("fine")
     )
-    return _short(R.per_call(_audited(spark, d, output=said.cast("variant"))), "explicit_prerequisite_or_state_failure")
+    return _short(R.per_call(_audited(spark, d, output=said.cast("variant")), ["explicit_prerequisite_or_state_failure"]), "explicit_prerequisite_or_state_failure")
 
 
 def rule_repeated_identical(spark, d):

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from tracelake.operators.cards import NEEDS
 from tracelake.operators.features import FEATURES, LABELS
-from tracelake.operators.tool_rules import FAMILY
 from tracelake.plans.catalogue import BIAS, CENTERS, COMPLAINT, WEIGHTS
+from tracelake.plans.expected import FAMILY, NEEDS
 
 EV = """ev AS (
   SELECT user_id AS trace_id, user_id % 50 AS case_id, event_id AS call_id, regexp_extract(props, '[0-9]+')::INT AS k,

@@ -25,6 +25,10 @@ from tracelake.operators.trees import last_agent_excerpt
 from tracelake.sources.common import Snapshot
 
 
+#: Tools with a schema that can't be checked that a result's limitations name; its tables have them all.
+UNEVALUABLE_TOOLS = 20
+
+
 @dataclass
 class Result:
     """problems (description, supporting_trace_ids) of a pass, its tables by name, or why it was skipped."""
@@ -119,11 +123,13 @@ def tool_issues(minimum_cases: int = C.CASES, retry_threshold: int = R.RETRIES,
 
     def run(snapshot: Snapshot) -> Result:
         calls = P.audit_calls(snapshot.traces, P.visits(snapshot.spans))
-        found = kept(R.findings(calls, P.orphan_results(snapshot.traces), retry_threshold))
+        rows = kept(R.audited(calls))
+        found = kept(R.findings_of(rows, P.orphan_results(snapshot.traces), retry_threshold))
         cards = C.cards(found, minimum_cases)
         presence = kept(V.presence(snapshot.traces, snapshot.spans))
-        tables = {"findings": found, "cards": cards, "card_traces": C.card_traces(found), "catalog_coverage": C.catalog_coverage(found), "presence": presence, "rules": V.rules(presence, found)}
-        return Result("tool_issues", B.from_cards(cards, audit), tables, limitations=V.limitations(presence.first()))
+        unevaluable = R.unevaluable(rows)
+        tables = {"findings": R.in_order(found), "unevaluable_schemas": unevaluable, "cards": cards, "card_traces": C.card_traces(found), "catalog_coverage": C.catalog_coverage(found), "presence": presence, "rules": V.rules(presence, found)}
+        return Result("tool_issues", B.from_cards(cards, audit), tables, limitations=V.limitations(presence.first(), unevaluable.orderBy(F.desc("calls"), "tool").limit(UNEVALUABLE_TOOLS).collect()))
 
     return FunctionPass("tool_issues", run, needs_tool_calls)
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from tracelake.operators.cards import NEEDS
-from tracelake.operators.coverage import FIELD, REASONS
-from tracelake.operators.tool_rules import ATTRIBUTION, FAMILY
 from tracelake.plans.catalogue import BIAS
+from tracelake.plans.expected import ATTRIBUTION, FAMILY, NEEDS, REASONS, SUMMARIES
 from tracelake.plans.oracles import EV, FAILS, LI
 
 #: Spans as the adapter makes them, by columns instead of variants; json texts where the query shows them.
@@ -34,23 +32,61 @@ cc AS (SELECT *, has_catalog AND tool IN ('op_0', 'op_1', 'op_2') AS in_catalog
 
 _CONTENT = """CASE WHEN k % 4 = 0 THEN 'sum ' || k WHEN failed THEN 'Error: request ' || event_id WHEN k % 8 = 0 THEN 'c' || k WHEN k % 8 = 1 THEN 'm' || k
   WHEN k % 8 IN (2, 3) THEN '' ELSE '{"v":' || k || '}' END"""
+#: Calls of spans, of which every tenth event's is about an identifier, a placeholder and a schema.
+RICH = SP + """, r0 AS (SELECT *, event_id % 10 = 0 AS rich, user_id % 6 = 0 AS provenance, coalesce(out_json LIKE '"Error%', false) AS failed FROM cc),
+rc AS (SELECT * REPLACE (
+    CASE WHEN rich AND event_id % 30 = 0 THEN 'again' ELSE call_id END AS call_id, CASE WHEN rich THEN 1000 + event_id ELSE call_index END AS call_index, has_catalog OR rich AS has_catalog,
+    in_catalog OR rich AS in_catalog, CASE WHEN rich THEN result_count = 0 ELSE missing END AS missing, CASE WHEN NOT rich THEN explicit_error END AS explicit_error),
+  CASE WHEN k % 12 = 5 THEN '{"p":1}' ELSE '{"span_id":"' || span_id || '","span_path":[' || dfs || '],"trace_id":"' || trace_id || '"}' END AS pointer,
+  CASE WHEN rich THEN 'r' || event_id WHEN k % 5 = 1 THEN 'm' || k WHEN k % 5 = 2 THEN 'q' || k ELSE '' END AS arguments,
+  CASE WHEN result_count = 0 THEN '' WHEN rich THEN 'invalid reference ref' || event_id || 'z, no active editing session' WHEN failed THEN 'Error: request ' || event_id WHEN k % 8 = 0 THEN 'c' || k
+       WHEN k % 8 = 1 THEN '{"messages":[{"content":"m' || k || '"},{"content":3}]}' WHEN k % 8 = 2 THEN 'null' WHEN k % 8 <> 3 THEN '{"v":' || k || '}' ELSE '' END AS text FROM r0),
+rm AS (SELECT *, CASE WHEN rich THEN NULL WHEN explicit_error THEN coalesce(nullif(outcome_marker, ''), 'explicit_error_field') WHEN NOT explicit_error OR missing THEN NULL WHEN failed THEN 'error_prefix' END AS marker,
+    rich OR (has_catalog AND NOT in_catalog) OR k % 5 IN (0, 4) OR (has_catalog AND tool = 'op_0' AND k % 5 = 1) AS contract FROM rc),
+bd AS (SELECT *, coalesce(marker, sha256(CASE WHEN missing THEN 'missing_result' ELSE text END)[:12]) AS failure, (call_index, call_id, pointer) AS place FROM rm
+  WHERE marker IS NOT NULL OR contract OR missing OR result_count > 1)"""
+
+
+def _leaf(name: str, value: str) -> str:
+    return f"""'{{"leaves":[{{"path":"$.{name}","value":"' || {value} || '"}}],"result_excerpt":"' || text || '"}}'"""
+
+
+#: Condition, and evidence as JSON where there is any; mechanism where it isn't the type.
 _ISSUES = {
-    "unknown_tool": "has_catalog AND NOT in_catalog",
-    "malformed_tool_call": "NOT (has_catalog AND NOT in_catalog) AND k % 5 IN (0, 4)",
-    "missing_required_argument": "has_catalog AND tool = 'op_0' AND k % 5 = 1", "unknown_argument": "has_catalog AND tool = 'op_0' AND k % 5 = 1",
-    "missing_tool_result": "missing", "duplicate_tool_result": "result_count > 1", "call_result_id_mismatch": "result_id <> call_id", "mapped_instrumentation_alias": "alias_of IS NOT NULL",
+    "unknown_tool": ("NOT rich AND has_catalog AND NOT in_catalog", "", ""),
+    "malformed_tool_call": ("NOT rich AND NOT (has_catalog AND NOT in_catalog) AND k % 5 IN (0, 4)", "", ""),
+    "missing_required_argument": ("NOT rich AND has_catalog AND tool = 'op_0' AND k % 5 = 1", """'{"path":"$","keyword":"required"}'""", ""),
+    "unknown_argument": ("NOT rich AND has_catalog AND tool = 'op_0' AND k % 5 = 1", """'{"path":"$","keyword":"additionalProperties"}'""", ""),
+    "argument_enum_violation": ("rich", """'{"path":"$.mode","keyword":"enum"}'""", ""), "argument_type_mismatch": ("rich", """'{"path":"$.n","keyword":"type"}'""", ""),
+    "json_schema_violation": ("rich", """'{"path":"$.m","keyword":"maximum"}'""", ""),
+    "duplicate_call_id": ("row_number() OVER (PARTITION BY trace_id, call_id ORDER BY call_index) > 1", "", ""),
+    "missing_tool_result": ("missing", "", ""), "duplicate_tool_result": ("result_count > 1", """'{"result_count":' || result_count || '}'""", ""),
+    "call_result_id_mismatch": ("result_id <> call_id", """'{"result_id":"' || result_id || '"}'""", ""), "mapped_instrumentation_alias": ("alias_of IS NOT NULL", """'{"alias_of":"real"}'""", ""),
+    "explicit_tool_failure": ("marker IS NOT NULL AND NOT contract", """'{"failure_marker":"' || marker || '"}'""", "marker"),
+    "unresolved_placeholder_argument": ("rich AND NOT missing", _leaf("target", "'<user id>'"), ""),
+    "explicitly_rejected_ungrounded_identifier": ("rich AND NOT missing AND provenance AND event_id % 20 <> 0", _leaf("user_id", "'ref' || event_id || 'z'"), ""),
+    "explicit_prerequisite_or_state_failure": ("rich AND NOT missing", """'{"state_class":"no_active_session","result_excerpt":"' || text || '"}'""", "'no_active_session'"),
 }
 
 
 def _cases(column: str, values: dict[str, str]) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"CASE {column} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in values.items()) + " END"
 
 
-_FINDINGS = " UNION ALL ".join(f"SELECT trace_id, call_id, call_index, tool, '{i}' AS issue_type FROM cc WHERE {c}" for i, c in _ISSUES.items())
+_CALLS = "'[' || array_to_string(list_sort(list(call_index)), ',') || ']'"
+_FINDINGS = RICH + ", f AS (" + " UNION ALL ".join(
+    [f"SELECT trace_id, call_id, call_index, tool, '{i}' AS issue_type, {m or repr(i)} AS mechanism_key, {e or repr('{}')} AS evidence, pointer FROM (SELECT *, {c} AS it FROM rm) WHERE it" for i, (c, e, m) in _ISSUES.items()]
+    + [
+        f"""SELECT trace_id, min(place)[2], min(place)[1], tool, 'repeated_identical_failed_call', 'repeated_identical_failed_call', '{{"call_indices":' || {_CALLS} || '}}', min(place)[3] FROM bd GROUP BY trace_id, tool, arguments HAVING count(*) >= 3""",
+        f"""SELECT trace_id, min(place)[2], min(place)[1], tool, 'modified_retry_same_failure', failure, '{{"call_indices":' || {_CALLS} || ',"distinct_arguments":' || count(DISTINCT arguments) || '}}', min(place)[3]
+          FROM bd GROUP BY trace_id, tool, failure HAVING count(*) >= 3 AND count(DISTINCT arguments) > 1""",
+        """SELECT DISTINCT user_id::VARCHAR, 'o' || user_id, -1::BIGINT, '<unknown>', 'orphan_tool_result', 'orphan_tool_result', '{}', '{"result_id":"o' || user_id || '"}' FROM events WHERE user_id % 7 = 0""",
+    ]
+) + ")"
 _RULES = ", ".join(f"('{t}', '{'complete_provenance_context' if 'provenance' in n else n}')" for t, n in sorted(NEEDS.items()))
 _ABLE = "CASE requires WHEN 'always' THEN true WHEN 'tool_catalog' THEN (SELECT count(*) FROM t WHERE u % 3 <> 0) > 0 WHEN 'orphan_results' THEN (SELECT count(*) FROM t WHERE u % 7 = 0) > 0 WHEN 'complete_provenance_context' THEN (SELECT count(*) FROM t WHERE u % 6 = 0) > 0 ELSE false END"
-_REASON = _cases("requires", {k: v for k, v in REASONS.items() if k != "always"})
-assert set(FIELD) | {"always"} == set(REASONS)
+_REASON = _cases("requires", REASONS)
 
 ORACLES = {
     "projected_tool_calls": f"WITH {SP} SELECT trace_id, case_id, call_id, call_index, tool, missing, result_count, result_id, alias_of, explicit_error, outcome_marker, prior_user_text, has_catalog, in_catalog FROM cc",
@@ -60,10 +96,15 @@ ORACLES = {
       coalesce(CASE WHEN k % 31 = 0 AND out_json LIKE '{{"v"%' THEN '{{"returned_data":false,' || out_json[2:] WHEN k % 31 = 0 AND out_json LIKE '{{%' THEN replace(out_json, '}}', '') || ',"returned_data":false}}' ELSE out_json END, 'missing') AS output FROM cc""",
     "source_pointers": f"""WITH {SP} SELECT trace_id, span_id, CASE WHEN k % 12 = 5 THEN '{{"p":1}}' ELSE '{{"span_id":"' || span_id || '","span_path":[' || dfs || '],"trace_id":"' || trace_id || '"}}' END AS pointer FROM sp""",
     "projected_orphan_results": "SELECT DISTINCT user_id::VARCHAR AS trace_id, 'o' || user_id AS call_id, -1::BIGINT AS call_index, '<unknown>' AS tool, 'orphan_tool_result' AS issue_type FROM events WHERE user_id % 7 = 0",
-    "findings_of_spans": f"""WITH {SP}, f AS ({_FINDINGS} UNION ALL SELECT DISTINCT user_id::VARCHAR, 'o' || user_id, -1::BIGINT, '<unknown>', 'orphan_tool_result' FROM events WHERE user_id % 7 = 0)
-      SELECT *, {_cases('issue_type', FAMILY)} AS issue_family, {_cases('issue_type', ATTRIBUTION)} AS attribution FROM f""",
-    "finding_ids": f"""WITH {LI}, f AS (SELECT *, 'missing_tool_result' AS issue_type FROM li WHERE result_count = 0 UNION ALL SELECT *, 'mapped_instrumentation_alias' FROM li WHERE call_id % 3 = 0)
-      SELECT trace_id, call_id, issue_type, sha256('{{"trace_id":' || trace_id || ',"call_id":' || call_id || ',"call_index":' || call_index || ',"tool":"' || tool || '","issue_type":"' || issue_type || '","mechanism_key":"' || issue_type || '"}}')[:24] AS issue_id FROM f""",
+    "findings_of_spans": f"WITH {_FINDINGS} SELECT trace_id, call_id, call_index, tool, issue_type, mechanism_key, {_cases('issue_type', FAMILY)} AS issue_family, {_cases('issue_type', ATTRIBUTION)} AS attribution FROM f",
+    "finding_evidence": f"WITH {_FINDINGS} SELECT trace_id, call_id, call_index, issue_type, mechanism_key, {_cases('issue_type', SUMMARIES)} AS summary, evidence, pointer AS source_pointer FROM f",
+    "card_examples": f"""WITH {_FINDINGS}, p AS (SELECT issue_type, mechanism_key, CASE WHEN trace_id::INT % 2 = 0 THEN 'k' || (trace_id::INT % 9) ELSE trace_id END AS case_id, min((trace_id, call_index, call_id, tool, pointer)) AS e FROM f GROUP BY ALL),
+      n AS (SELECT *, row_number() OVER (PARTITION BY issue_type, mechanism_key ORDER BY e) AS nr FROM p)
+      SELECT issue_type, mechanism_key, case_id, e[1] AS trace_id, e[2] AS call_index, e[4] AS tool, {_cases('issue_type', SUMMARIES)} AS summary, e[5] AS source_pointer FROM n WHERE nr <= 3""",
+    "unevaluable_schemas": f"WITH {SP} SELECT tool, count(*) AS calls, 'nowhere' AS reason FROM cc WHERE in_catalog AND k % 5 IN (1, 2) GROUP BY 1",
+    "finding_ids": f"""WITH {LI}, f AS (SELECT *, 'missing_tool_result' AS issue_type, '{{}}' AS evidence FROM li WHERE result_count = 0 UNION ALL SELECT *, 'mapped_instrumentation_alias', '{{"alias_of":"real"}}' FROM li WHERE call_id % 3 = 0)
+      SELECT trace_id, call_id, issue_type, sha256('{{"trace_id":' || trace_id || ',"case_id":' || trace_id || ',"call_id":' || call_id || ',"call_index":' || call_index || ',"tool":"' || tool || '","issue_type":"' || issue_type || '","mechanism_key":"' || issue_type
+        || '","summary":"' || {_cases('issue_type', {k: v for k, v in SUMMARIES.items() if k in ("missing_tool_result", "mapped_instrumentation_alias")})} || '","evidence":' || evidence || '}}')[:24] AS issue_id FROM f""",
     "presence_counts": f"""WITH {SP}, t AS (SELECT user_id AS u, count(*) AS n FROM events GROUP BY 1), c AS (SELECT *, k % 10 <> 1 AND out_json IS NOT NULL AS there FROM ca)
       SELECT count(*) FILTER (WHERE u % 3 <> 0) AS tool_catalog, count(*) FILTER (WHERE u % 2 = 0) AS logical_case_id, 0::BIGINT AS source_pointer, 0::BIGINT AS observed_verdict, count(*) FILTER (WHERE u % 5 = 0) AS metrics,
       count(*) FILTER (WHERE u % 4 = 0) AS task_text, count(*) FILTER (WHERE u % 7 = 0) AS orphan_results, count(*) FILTER (WHERE u % 8 = 0) AS cost, count(*) FILTER (WHERE u % 6 = 0) AS complete_provenance_context, count(*) AS total_traces,
@@ -95,13 +136,14 @@ ORACLES = {
     "provider_costs": """SELECT l_orderkey AS trace_id, round(sum(CASE WHEN l_linenumber % 3 = 0 AND l_quantity >= 25 THEN l_quantity - 25 ELSE l_suppkey END), 6) AS cost_usd FROM lineitem GROUP BY 1""",
     "provider_latency": "SELECT user_id AS trace_id, (epoch_us(max(ts)) - epoch_us(min(ts)) + 1000000) / 1000.0 AS latency_ms FROM events GROUP BY 1",
     "recurring_failure_traces": f"WITH {FAILS} SELECT DISTINCT signature, trace_id FROM fl WHERE signature IN (SELECT signature FROM fl GROUP BY 1 HAVING count(DISTINCT trace_id) >= 3)",
-    "markdown_cells": r"SELECT doc_id, md5(replace(replace(text[:300] || '|x' || chr(10) || 'y', '|', '\|'), chr(10), ' ')) AS cell_md5 FROM documents",
+    "markdown_cells": r"SELECT doc_id, md5(replace(replace(text || '|x' || chr(10) || 'y', '|', '\|'), chr(10), ' ')) AS cell_md5 FROM documents",
     "text_digests": "SELECT doc_id, sha256(text)[:24] AS id, sha256(text)[:12] AS short FROM documents",
     "outlier_candidates": f"WITH {EV}, s AS (SELECT trace_id, count(*) FILTER (WHERE failed)::DOUBLE AS score FROM ev GROUP BY 1) SELECT * FROM s WHERE score % 3 = 0",
     "outlier_reasons": f"""WITH {EV}, s AS (SELECT trace_id, count(*) FILTER (WHERE failed) AS score FROM ev GROUP BY 1), f AS (SELECT trace_id FROM s WHERE score % 3 = 0),
       r AS (SELECT 'high ' || (trace_id % 7) AS reason FROM f UNION ALL SELECT 'low ' || (trace_id % 3) FROM f) SELECT reason, count(*) AS traces FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""",
-    "cluster_abstention": """SELECT * FROM (VALUES (0::INT, 0::INT, 0::INT, 'fewer than three traces', 0::INT), (2, 5, 2, 'fewer than three traces', 0), (10, 5, 1, 'all trajectories are alike', 0),
-      (10, 0, 2, 'no trajectories', 1), (10, 5, 2, NULL, 1), (3, 5, 3, NULL, 1)) v(traces, tokens, distinct_vectors, reason, candidates)""",
+    "cluster_abstention": f"""WITH {EV}, c AS (SELECT case_id, count(DISTINCT trace_id) AS traces, count(DISTINCT CASE WHEN case_id % 7 <> 0 THEN tool END) AS terms, count(DISTINCT failed::VARCHAR || (case_id % 5)) * (case_id % 3) AS shapes FROM ev GROUP BY 1)
+      SELECT case_id, traces, terms, shapes, CASE WHEN traces < 3 THEN 'fewer than three traces' WHEN terms = 0 THEN 'no trajectories' WHEN shapes < 2 THEN 'all trajectories are alike' END AS reason,
+        greatest(0, least(8, traces - 1, shapes) - 1)::INT AS candidates FROM c""",
 }
 _SCORES = f"""u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
   s AS (SELECT vec_id, 1 / (1 + exp(-(sum(x * (((7 * (i - 1)) % 11 - 5) / 10)) + ({BIAS})))) AS p FROM u GROUP BY 1),

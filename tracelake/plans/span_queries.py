@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import urls as U
 from tracelake.functions.text import digest, markdown_cell
+from tracelake.operators import cards as C
 from tracelake.operators import coverage as V
 from tracelake.operators import evidence as E
 from tracelake.operators import features as A
@@ -102,10 +103,41 @@ def projected_orphan_results(spark, d):
     return R.orphans(P.orphan_results(event_traces(spark, d))).select("trace_id", "call_id", "call_index", "tool", "issue_type")
 
 
+#: Schema of the calls about identifiers.
+RULES = '{"properties":{"mode":{"enum":["a"]},"n":{"type":"integer"},"m":{"maximum":9}}}'
+
+
+def _findings(spark, d) -> DataFrame:
+    """Findings of projected calls; every tenth event's call is about an identifier, a placeholder and a schema, and every thirtieth's id recurs."""
+    event = F.substring("span_id", 2, 20).cast("long")
+    rich, c = event % 10 == 0, F.col
+    ident = F.concat(F.lit("ref"), event, F.lit("z"))
+    given = F.to_variant_object(F.struct(ident.alias("user_id"), F.lit("<user id>").alias("target"), F.lit("z").alias("mode"), F.lit("x").alias("n"), F.lit(500).alias("m")))
+    said = F.concat(F.lit("invalid reference "), ident, F.lit(", no active editing session")).cast("variant")
+    changed = {
+        "call_id": F.when(event % 30 == 0, F.lit("again")).otherwise(c("call_id")), "call_index": 1000 + event, "has_catalog": F.lit(True), "in_catalog": F.lit(True), "schema": F.lit(RULES), "arguments": given,
+        "output": F.when(c("result_count") != 0, said), "explicit_error": F.lit(None).cast("boolean"), "prior_user_text": F.when(event % 20 == 0, F.concat_ws(" ", "prior_user_text", ident)).otherwise(c("prior_user_text")),
+    }
+    calls = _calls(spark, d).withColumns({name: F.when(rich, value).otherwise(c(name)) for name, value in changed.items()})
+    return R.findings(calls, P.orphan_results(event_traces(spark, d)))
+
+
 def findings_of_spans(spark, d):
-    found = R.findings(_calls(spark, d), P.orphan_results(event_traces(spark, d)))
-    kinds = ("unknown_tool", "malformed_tool_call", "missing_required_argument", "unknown_argument", "missing_tool_result", "duplicate_tool_result", "call_result_id_mismatch", "mapped_instrumentation_alias", "orphan_tool_result")
-    return found.where(F.col("issue_type").isin(*kinds)).select("trace_id", "call_id", "call_index", "tool", "issue_type", "issue_family", "attribution")
+    return _findings(spark, d).select("trace_id", "call_id", "call_index", "tool", "issue_type", "mechanism_key", "issue_family", "attribution")
+
+
+def finding_evidence(spark, d):
+    return _findings(spark, d).select("trace_id", "call_id", "call_index", "issue_type", "mechanism_key", "summary", F.to_json("evidence").alias("evidence"), "source_pointer")
+
+
+def card_examples(spark, d):
+    shown = C.cards(_findings(spark, d)).select("issue_type", "mechanism_key", F.explode("examples").alias("e")).select("issue_type", "mechanism_key", "e.case_id", "e.first.*")
+    return shown.select("issue_type", "mechanism_key", "case_id", "trace_id", "call_index", "tool", "summary", "source_pointer")
+
+
+def unevaluable_schemas(spark, d):
+    calls = _calls(spark, d).withColumn("schema", F.lit('{"$ref":"nowhere"}'))
+    return R.unevaluable(R.audited(calls))
 
 
 def finding_ids(spark, d):
@@ -232,7 +264,7 @@ def recurring_failure_traces(spark, d):
 
 
 def markdown_cells(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(markdown_cell(F.concat(F.substring("text", 1, 300), F.lit("|x\ny")))).alias("cell_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(markdown_cell(F.concat("text", F.lit("|x\ny")))).alias("cell_md5"))
 
 
 def text_digests(spark, d):
@@ -240,17 +272,20 @@ def text_digests(spark, d):
 
 
 def cluster_abstention(spark, d):
-    rows = []
-    for n, tokens, distinct in ((0, 0, 0), (2, 5, 2), (10, 5, 1), (10, 0, 2), (10, 5, 2), (3, 5, 3)):
-        ks = [k for k in M.CLUSTERS if k < n and k <= distinct]
-        rows.append((n, tokens, distinct, M.why_not_clustered(n, tokens, distinct, ks), len(ks)))
-    return spark.createDataFrame(rows, "traces int, tokens int, distinct_vectors int, reason string, candidates int")
+    """Whether the traces of each case could be clustered: by their number, terms, and a stand-in for their distinct trajectories."""
+    case = F.col("case_id")
+    shapes = F.count_distinct(F.concat(F.col("failed").cast("string"), case % 5)) * (case % 3)
+    counts = event_calls(spark, d).groupBy("case_id").agg(
+        F.count_distinct("trace_id").alias("traces"), F.count_distinct(F.when(case % 7 != 0, F.col("tool"))).alias("terms"), shapes.alias("shapes")
+    )
+    reason, candidates = M.abstention(F.col("traces"), F.col("terms"), F.col("shapes"))
+    return counts.select("case_id", "traces", "terms", "shapes", reason.alias("reason"), candidates.alias("candidates"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        projected_tool_calls, projected_steps, projected_feature_calls, source_pointers, projected_orphan_results, findings_of_spans, finding_ids, presence_counts, rule_reasons, coverage_notes,
+        projected_tool_calls, projected_steps, projected_feature_calls, source_pointers, projected_orphan_results, findings_of_spans, finding_evidence, card_examples, unevaluable_schemas, finding_ids, presence_counts, rule_reasons, coverage_notes,
         trajectory_tokens, caller_metrics, kind_mapping, token_counts, time_window, valid_urls, provider_pages, insight_status, key_set_differences, problem_traces, evaluator_values,
         provider_costs, provider_latency, screening, screening_coverage, outlier_reasons, outlier_candidates, recurring_failure_traces, markdown_cells, text_digests, cluster_abstention,
     )
