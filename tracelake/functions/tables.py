@@ -24,10 +24,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, lost executors don't matter, later reads prune columns. forget() deletes it."""
+def bucketed(df: DataFrame, path: str, key: str, buckets: int, *order: str) -> DataFrame:
+    """Write df to a new folder as a Parquet table of buckets by key, one sorted file each, and read it."""
+    name = f"tracelake_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, key)
+    rows.write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key, *order).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
+    """A table that bucketed() wrote, maybe in another session: joins, windows and groups by key need no shuffle."""
+    name = f"tracelake_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return spark.table(name)
+
+
+def kept(df: DataFrame, key: str | None = None, buckets: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut, lost executors don't matter, later reads prune columns. forget() deletes it.
+
+    With a key and buckets it is a table of buckets.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tracelake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if key and buckets:
+        return bucketed(df, path, key, buckets)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

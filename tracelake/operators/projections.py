@@ -54,7 +54,12 @@ def source_pointer(span: Column, trace_id: Column, span_id: Column, path: Column
 
 
 def visits(spans: DataFrame) -> DataFrame:
-    """Spans in depth-first order (path, depth, dfs_index), with source_pointer and, for tool spans, their running number."""
+    """Spans in depth-first order (path, depth, dfs_index), with source_pointer and, for tool spans, their running number.
+
+    Spans of a saved snapshot have all that already.
+    """
+    if "dfs_index" in spans.columns:
+        return spans
     rows = preorder(spans)
     number = F.row_number().over(W.partitionBy("trace_id", F.col("kind") == "TOOL").orderBy("dfs_index")) - 1
     pointer = source_pointer(F.col("attributes"), F.col("trace_id"), F.col("span_id"), F.col("path"))
@@ -104,7 +109,10 @@ def audit_calls(traces: DataFrame, walked: DataFrame) -> DataFrame:
         "outcome_marker": F.coalesce(_plain(at(attributes, "$.outcome_marker")), F.col("error")),
         "prior_user_text": F.coalesce(_filled(text_at(call, "$.prior_user_text")), F.col("said"), F.col("task_text")),
     })
-    rows = rows.join(catalog(traces).withColumn("listed", F.lit(True)), ["trace_id", "tool"], "left").withColumn("in_catalog", F.coalesce("listed", F.lit(False)))
+    # A call's tool is looked up within its trace: the join is by trace_id alone, by which both sides lie already.
+    listed = catalog(traces).select(F.col("trace_id").alias("_trace"), F.col("tool").alias("_tool"), "schema")
+    known = (F.col("trace_id") == F.col("_trace")) & F.array_contains(F.array("_tool"), F.col("tool"))
+    rows = rows.join(listed, known, "left").withColumn("in_catalog", F.col("_trace").isNotNull())
     return rows.select(
         "trace_id", "case_id", "call_id", "call_index", "tool", "arguments", "output", "result_count", "result_id", "alias_of", "explicit_error", "outcome_marker",
         "prior_user_text", "complete_provenance", F.coalesce("has_catalog", F.lit(False)).alias("has_catalog"), "in_catalog", "schema", "span_id", "source_pointer",
@@ -152,10 +160,12 @@ def steps(walked: DataFrame) -> DataFrame:
 def trajectory_tokens(traces: DataFrame, step_rows: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """(trace_id, pos, token): a token per step; per call for traces without steps; one fixed token for empty traces."""
     tokens = step_rows.select("trace_id", F.col("step_index").alias("pos"), sequence_token(F.col("step_type"), F.col("name")).alias("token"))
+    stepped, empty = step_rows.select("trace_id"), traces.select("trace_id")
+    empty = empty.join(stepped, "trace_id", "left_anti")
     if calls is not None:
-        extra = calls.join(tokens.select("trace_id").distinct(), "trace_id", "left_anti")
+        extra = calls.join(stepped, "trace_id", "left_anti")
         tokens = tokens.unionByName(extra.select("trace_id", F.col("call_index").alias("pos"), sequence_token(F.lit("tool"), F.col("tool")).alias("token")))
-    empty = traces.select("trace_id").join(tokens.select("trace_id").distinct(), "trace_id", "left_anti")
+        empty = empty.join(calls.select("trace_id"), "trace_id", "left_anti")
     return tokens.unionByName(empty.select("trace_id", F.lit(0).cast("long").alias("pos"), F.lit("trajectory:empty").alias("token")))
 
 

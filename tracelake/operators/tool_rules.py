@@ -112,6 +112,8 @@ def audited(calls: DataFrame) -> DataFrame:
     if "in_catalog" not in calls.columns:
         calls = calls.withColumn("in_catalog", c("schema").isNotNull())
     calls = calls.withColumn("source_pointer", F.to_json("source_pointer") if "source_pointer" in calls.columns else F.lit(None).cast("string"))
+    # Before anything that Spark can't see through, so that rows that lie by trace needn't move.
+    calls = calls.withColumn("repeat", F.row_number().over(W.partitionBy("trace_id", "call_id").orderBy("call_index", "call_id")))
     rows = strictly_decoded(calls)
     rows = settled(rows, {
         "missing": c("output").isNull() | (F.coalesce("result_count", F.lit(1)) == 0), "rejected": c("text").rlike(REJECTION), "state": state_class(c("text")),
@@ -130,7 +132,6 @@ def audited(calls: DataFrame) -> DataFrame:
     )
     return rows.withColumns({
         "contract": contract, "unevaluable": F.get(F.filter("broken", lambda x: x["issue"] == UNEVALUABLE), F.lit(0))["keyword"],
-        "repeat": F.row_number().over(W.partitionBy("trace_id", "call_id").orderBy("call_index", "call_id")),
     }).drop("broken")
 
 
@@ -178,12 +179,11 @@ def ungrounded(rows: DataFrame) -> DataFrame:
     suspect = suspect.withColumn("value", F.col("x.value")).where(
         F.col("x.name").rlike(ID_FIELD) & value.rlike(ID_VALUE) & F.contains("text", value) & ~F.coalesce(F.contains("prior_user_text", value), F.lit(False))
     )
-    keys = ["trace_id", "call_index", "call_id", "value"]
     before = rows.where(F.col("complete_provenance") & ~F.col("missing")).select(
         F.col("trace_id").alias("_t"), F.struct("call_index", "call_id").alias("_at"), F.col("text").alias("_text")
     )
-    known = suspect.select(*keys).join(before, (F.col("trace_id") == F.col("_t")) & (F.col("_at") < F.struct("call_index", "call_id")) & F.contains("_text", value), "left_semi").distinct()
-    lost = suspect.join(known, keys, "left_anti")
+    # One join and one grouping, both by trace.
+    lost = suspect.join(before, (F.col("trace_id") == F.col("_t")) & (F.col("_at") < F.struct("call_index", "call_id")) & F.contains("_text", value), "left_anti")
     leaves = F.sort_array(F.collect_list(F.struct("place", F.col("x.path").alias("path"), "value")))
     found = lost.groupBy(*own).agg(leaves.alias("leaves"), F.first(compact(F.col("text"))).alias("excerpt"))
     issue = F.lit("explicitly_rejected_ungrounded_identifier")

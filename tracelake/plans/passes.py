@@ -123,7 +123,7 @@ def tool_issues(minimum_cases: int = C.CASES, retry_threshold: int = R.RETRIES,
 
     def run(snapshot: Snapshot) -> Result:
         calls = P.audit_calls(snapshot.traces, P.visits(snapshot.spans))
-        rows = kept(R.audited(calls))
+        rows = snapshot.kept(R.audited(calls))
         found = kept(R.findings_of(rows, P.orphan_results(snapshot.traces), retry_threshold))
         cards = C.cards(found, minimum_cases)
         presence = kept(V.presence(snapshot.traces, snapshot.spans))
@@ -138,8 +138,8 @@ def anomalies(contamination: float = M.OUTLIERS, recurrence: int = A.RECURRENCE,
     """Features, outliers, recurring failures, verdicts and trajectories. Metrics of traces replace features of their name."""
 
     def run(snapshot: Snapshot) -> Result:
-        walked = kept(P.visits(snapshot.spans))
-        calls, steps = kept(A.decoded_calls(P.feature_calls(walked))), P.steps(walked)
+        walked = P.visits(snapshot.spans) if snapshot.buckets else kept(P.visits(snapshot.spans))
+        calls, steps = snapshot.kept(A.decoded_calls(P.feature_calls(walked))), P.steps(walked)
         table = A.trace_features(calls, snapshot.traces, steps)
         metrics = kept(P.caller_metrics(snapshot.traces))
         names = [r.metric for r in metrics.select("metric").distinct().orderBy("metric").collect()]  # names of features, not of traces
