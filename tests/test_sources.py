@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators.trees import preorder
-from tracelake.sinks.files import markdown_table, write_insights, write_json
+from tracelake.sinks.files import markdown_table, write_json
 from tracelake.sources import atif_exports, canonical, mlflow_exports, observation_exports, rollout_exports, run_exports
 from tracelake.sources.common import Snapshot, TraceLoadError
 
@@ -95,8 +95,6 @@ def test_sinks(spark, tmp_path):
     assert "a\\|b" in markdown_table("T", table, 5) and "c d" in markdown_table("T", table, 5)
     write_json(table, str(tmp_path / "j"))
     assert sorted(str(r.x) for r in spark.read.json(str(tmp_path / "j")).collect()) == ["1.0", "None"]
-    path = tmp_path / "i.yml"
-    assert write_insights(table, str(path)) and not write_insights(table.limit(0), str(path)) and "a|b" in path.read_text()
 
 
 def test_lines_have_numbers_in_splits(spark, tmp_path):

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake import config
+from tracelake.functions.tables import forget
 from tracelake.operators import coverage
+from tracelake.plans.insights import merged
 from tracelake.plans.passes import built_in
 from tracelake.sinks.files import report, write_insights, write_json
+from tracelake.sinks.insights import LEAST_TRACES, Insights, InsightStore, read_file
 from tracelake.sources import atif_exports, canonical, live_rows, mlflow_exports, observation_exports, rollout_exports, run_exports
 from tracelake.sources.common import Snapshot
 
+#: Endings of files; other places of insights are folders.
+FILES = (".yml", ".yaml", ".json")
 READERS = {
     "canonical": canonical.read, "runs": run_exports.read, "observations": observation_exports.read, "mlflow": mlflow_exports.read, "atif": atif_exports.read,
     "rollouts": lambda spark, path: rollout_exports.read(spark, path)[0],
@@ -30,8 +36,18 @@ def load(spark: SparkSession, settings: config.Config) -> Snapshot:
     return READERS[settings.source](spark, options["path"], **numbers, **texts)
 
 
+def saved_insights(spark: SparkSession, path: str | None) -> Insights:
+    """What earlier runs found: a YAML or JSON file, or the folder of an InsightStore."""
+    if not path:
+        return Insights.none(spark)
+    return read_file(spark, path) if path.endswith(FILES) else InsightStore(spark, path).read()
+
+
 def run(spark: SparkSession, settings: config.Config) -> str:
-    """Run the passes, write problems and artifacts, and give the report."""
+    """Run the passes, merge their problems into the saved insights, write insights and artifacts, and give the report."""
+    store = None if settings.output == "-" or settings.output.endswith(FILES) else InsightStore(spark, settings.output)
+    version = store.current() if store else None
+    saved = store.read(version) if store and version and not settings.existing else saved_insights(spark, settings.existing)
     snapshot = load(spark, settings)
     results = built_in(settings.passes).analyze_all(snapshot)
     problems: DataFrame | None = None
@@ -40,9 +56,17 @@ def run(spark: SparkSession, settings: config.Config) -> str:
             problems = r.problems if problems is None else problems.unionByName(r.problems)
         for name, table in r.tables.items() if settings.artifacts else ():
             write_json(table, f"{settings.artifacts}/{r.name}/{name}")
-    if problems is not None:
-        write_insights(problems, settings.output)
-    return report(results)
+    if problems is None:
+        problems = spark.createDataFrame([], "name string, description string, supporting_trace_ids array<string>")
+    found = merged(snapshot, problems, saved, datetime.now(UTC).isoformat(timespec="seconds"))
+    if store:
+        store.write(found.insights, version)
+    else:
+        write_insights(found.insights, settings.output)
+    few = [f"{found.too_few} problems have fewer than {LEAST_TRACES} traces and are no insights."] if found.too_few else []
+    text = report(results, found.new, found.extended + found.unchanged, extended=found.extended)
+    forget(spark)
+    return "\n".join([text, *few])
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -51,10 +75,11 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("settings")
     parser.add_argument("--output")
     parser.add_argument("--artifacts")
+    parser.add_argument("--existing", help="insights of earlier runs: a file, or a folder that a run wrote")
     parser.add_argument("--verbose", action="store_true")
     given = parser.parse_args(arguments)
     try:
-        settings = config.read(given.settings, {"output": given.output, "artifacts": given.artifacts})
+        settings = config.read(given.settings, {"output": given.output, "artifacts": given.artifacts, "existing": given.existing})
         spark = SparkSession.builder.appName("tracelake").getOrCreate()
         if given.what == "run":
             text = run(spark, settings)

@@ -1,4 +1,4 @@
-"""Candidate problems (description, supporting_trace_ids) from cards, outliers and recurring failures."""
+"""Candidate problems (name, description, supporting_trace_ids) from cards, outliers and recurring failures."""
 
 from __future__ import annotations
 
@@ -25,24 +25,24 @@ def from_cards(cards: DataFrame, audit: bool = False) -> DataFrame:
         "Tool calls show %s (%s): %s in %s. Seen: %s. This says what was recorded, not what it led to.", F.replace("issue_type", F.lit("_"), F.lit(" ")), F.col("mechanism_key"),
         _counted("finding_count", "finding", "findings"), _counted("independent_case_count", "case", "cases"), F.array_join(F.array_distinct(seen), "; "),
     )
-    return rows.select(told.alias("description"), _ids(F.transform("examples", lambda x: x["first"])))
+    return rows.select(F.col("card_id").alias("name"), told.alias("description"), _ids(F.transform("examples", lambda x: x["first"])))
 
 
-def _recurrence(groups: DataFrame, name: str, where: Column) -> DataFrame:
+def _recurrence(groups: DataFrame, name: str, prefix: str, where: Column) -> DataFrame:
     told = F.format_string(
         "Tools fail again and again with \"%s\": %s in %s, %s.", F.col(name), _counted("event_count", "failure", "failures"), _counted("independent_trace_count", "trace", "traces"), where
     )
-    return groups.select(told.alias("description"), _ids(F.col("representatives")))
+    return groups.select(F.concat(F.lit(prefix), F.col(name)).alias("name"), told.alias("description"), _ids(F.col("representatives")))
 
 
 def from_failures(groups: DataFrame) -> DataFrame:
     """One problem per recurring failure signature."""
-    return _recurrence(groups, "signature", F.concat(F.lit("by "), F.array_join("tools", " and ")))
+    return _recurrence(groups, "signature", "failure:", F.concat(F.lit("by "), F.array_join("tools", " and ")))
 
 
 def from_cross_tool(groups: DataFrame) -> DataFrame:
     """One problem per failure message that several tools share; groups list all tools."""
-    return _recurrence(groups.where(F.size("tools") >= 2), "message_signature", F.concat(F.lit("whichever of these is called: "), F.array_join(F.sort_array("tools"), ", ")))
+    return _recurrence(groups.where(F.size("tools") >= 2), "message_signature", "failure_across_tools:", F.concat(F.lit("whichever of these is called: "), F.array_join(F.sort_array("tools"), ", ")))
 
 
 def outlier_summary(flagged: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -68,4 +68,4 @@ def from_outliers(flagged: DataFrame, reasons: DataFrame) -> DataFrame:
         "%s from the rest of the corpus; what sets them apart most often: %s. Look at them before calling it a fault.",
         F.concat(_counted("n", "trace differs", "traces differ")), F.coalesce(F.nullif("told", F.lit("")), F.lit("no feature in particular")),
     )
-    return n.crossJoin(support).crossJoin(told).select(text.alias("description"), "supporting_trace_ids")  # one row each
+    return n.crossJoin(support).crossJoin(told).select(F.lit("outliers").alias("name"), text.alias("description"), "supporting_trace_ids")  # one row each

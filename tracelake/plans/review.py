@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.tables import kept
 from tracelake.operators.evidence import key_differences, merge_evidence, rejected, uncited, updated_insights
 from tracelake.sources.common import Snapshot
 
@@ -33,29 +34,39 @@ def _some(rows: DataFrame, column: str) -> list[str]:
 Predicate = Callable[[pd.DataFrame], tuple[str, Iterable[str]]]
 
 
-def scan_traces(spans: DataFrame, predicate: Predicate) -> DataFrame:
-    """(trace_id, state, witnesses) of a predicate over each trace's spans, in depth-first order if spans have dfs_index.
+def scan_all(spans: DataFrame, predicates: dict[str, Predicate]) -> DataFrame:
+    """(name, trace_id, state, witnesses, error) of predicates over each trace's spans, in depth-first order if spans have dfs_index.
 
-    The predicate gets the spans of one trace (variants as JSON text) and gives match, no_match or unknown, and the span
-    ids that show it. Another state, or a match without a witness in that trace, raises GuardError.
+    All predicates look at a trace while it is in hand, so the spans are scanned once, however many there are. A
+    predicate gets the spans of one trace (variants as JSON text) and gives match, no_match or unknown, and the span ids that
+    show it. error tells another state, a match without a witness in that trace, or what a predicate raised; state is null then.
     """
     columns = [F.to_json(c).alias(c) if t == "variant" else F.col(c) for c, t in spans.dtypes]
 
+    def told(predicate: Predicate, part: pd.DataFrame) -> tuple[str | None, list[str], str | None]:
+        trace = part["trace_id"].iloc[0]
+        try:
+            state, witnesses = predicate(part.copy(deep=False))
+            witnesses = list(dict.fromkeys(witnesses))
+        except Exception as error:  # noqa: BLE001 - whatever a predicate raises is its own failure
+            return None, [], f"trace {trace}: {str(error).strip() or type(error).__name__}"
+        lost = set(witnesses) - set(part["span_id"])
+        wrong = f"{state!r} is no state" if state not in STATES else "a match needs a witness" if state == "match" and not witnesses else f"no span {', '.join(sorted(map(str, lost)))}" if lost else None
+        return (state, witnesses, None) if wrong is None else (None, [], f"trace {trace}: {wrong}")
+
     def judge(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("dfs_index") if "dfs_index" in part else part
-        trace, (state, witnesses) = part["trace_id"].iloc[0], predicate(part)
-        witnesses = list(dict.fromkeys(witnesses))
-        if state not in STATES:
-            raise GuardError(f"trace {trace}: {state!r} is no state")
-        if state == "match" and not witnesses:
-            raise GuardError(f"trace {trace}: a match needs a witness")
-        lost = set(witnesses) - set(part["span_id"])
-        if lost:
-            raise GuardError(f"trace {trace}: no span {', '.join(sorted(lost))}")
-        return pd.DataFrame([(trace, state, witnesses)], columns=["trace_id", "state", "witnesses"])
+        rows = [(name, part["trace_id"].iloc[0], *told(predicate, part)) for name, predicate in predicates.items()]
+        return pd.DataFrame(rows, columns=["name", "trace_id", "state", "witnesses", "error"])
 
     kind = dict(spans.dtypes)["trace_id"]
-    return spans.select(*columns).groupBy("trace_id").applyInPandas(judge, f"trace_id {kind}, state string, witnesses array<string>")
+    return spans.select(*columns).groupBy("trace_id").applyInPandas(judge, f"name string, trace_id {kind}, state string, witnesses array<string>, error string")
+
+
+def scan_traces(spans: DataFrame, predicate: Predicate) -> DataFrame:
+    """(trace_id, state, witnesses) of one predicate: see scan_all(). An error raises GuardError."""
+    refused = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("GuardError: "), "error")).cast("string")).otherwise(F.col("state"))
+    return scan_all(spans, {"": predicate}).select("trace_id", refused.alias("state"), "witnesses")
 
 
 def check_predicate(predicate: Predicate, examples: dict[str, pd.DataFrame]) -> None:
@@ -78,24 +89,24 @@ class Compiled:
 
 
 def compile_insights(snapshot: Snapshot, walked: DataFrame, saved: DataFrame, predicates: dict[str, tuple[Predicate, dict[str, pd.DataFrame]]], today: str) -> Compiled:
-    """Scan all traces with each insight's predicate and merge what matches into its saved evidence.
+    """Scan all traces once, with each insight's predicate, and merge what matches into its saved evidence.
 
     A predicate that fails its examples, a guard, or matches nothing leaves its insight unchanged.
     """
-    spark, failed = saved.sparkSession, {}
-    new = spark.createDataFrame([], "insight_id string, trace_id string, url string, spans array<string>")
-    urls = snapshot.traces.select("trace_id", F.col("source_url").alias("url"))
+    failed, ready = {}, {}
     for name, (predicate, examples) in predicates.items():
         try:
             check_predicate(predicate, examples)
-            matches = scan_traces(walked, predicate).where("state = 'match'").persist()
-            if not matches.head(1):
-                raise GuardError("nothing matches")
+            ready[name] = predicate
         except Exception as error:  # noqa: BLE001 - whatever a predicate raises, its insight stays
             failed[name] = str(error).strip().splitlines()[-1] if str(error).strip() else type(error).__name__
-            continue
-        rows = matches.join(urls, "trace_id").select(F.lit(name).alias("insight_id"), "trace_id", "url", F.col("witnesses").alias("spans"))
-        new = new.unionByName(rows)
+    found = kept(scan_all(walked, ready).where("state = 'match' OR error IS NOT NULL"))
+    told = found.groupBy("name").agg(F.min("error").alias("error"), F.count_if(F.col("state") == "match").alias("n")).collect()  # a row for each predicate
+    matches = {r.name: r.n for r in told}
+    failed |= {r.name: r.error for r in told if r.error is not None} | {name: "nothing matches" for name in ready if name not in matches}
+    good = F.col("name").isin(*(n for n in ready if n not in failed)) if set(ready) - set(failed) else F.lit(False)
+    urls = snapshot.traces.select("trace_id", F.col("source_url").alias("url"))
+    new = found.where(good).join(urls, "trace_id").select(F.col("name").alias("insight_id"), "trace_id", "url", F.col("witnesses").alias("spans"))
     merged = merge_evidence(saved, new)
     return Compiled(merged, updated_insights(merged, today), failed)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import itertools
-import json
 import os
 import sys
 
@@ -13,55 +12,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from tracelake.functions.text import markdown_cell
+from tracelake.sinks.insights import Insights, yaml_lines
 
 #: Rows of a digest's tables (fixed by its format).
 ANOMALIES, GROUPS = 50, 24
 
 
-def write_insights(insights: DataFrame, path: str) -> bool:
-    """Write insights (name, description, evidence ...) as a list; an empty result leaves an existing file untouched. `-` is standard output.
-
-    Rows are written as they come, so their number isn't bounded by the driver. Without a YAML library the file is JSON,
-    which YAML readers read too.
-    """
-    try:
-        import yaml
-    except ImportError:
-        yaml = None
-    rows = insights.toLocalIterator()
-    first = next(rows, None)
+def write_insights(saved: Insights, path: str) -> bool:
+    """Write insights as YAML; without any, an existing file stays as it is. `-` is standard output. A file is replaced once it is whole."""
+    lines = yaml_lines(saved)
+    first = next(lines, None)
     if first is None:
         return False
     partial = f"{path}.partial"
     with open(partial, "w", encoding="utf-8") if path != "-" else contextlib.nullcontext(sys.stdout) as file:
-        for i, row in enumerate(itertools.chain([first], rows)):
-            values = row.asDict(recursive=True)
-            if yaml:
-                file.write(yaml.safe_dump([values], allow_unicode=True, sort_keys=False))
-            else:
-                file.write(("[\n" if i == 0 else ",\n") + json.dumps(values, ensure_ascii=False, default=str))
-        if not yaml:
-            file.write("\n]\n")
+        file.writelines(itertools.chain([first], lines))
     if path != "-":
         os.replace(partial, path)
     return True
 
 
-def read_insights(spark, path: str, schema: str) -> DataFrame:
-    """Saved insights, checked against the schema."""
-    with open(path, encoding="utf-8") as file:
-        text = file.read()
-    try:
-        rows = json.loads(text)
-    except ValueError:
-        import yaml
-
-        rows = yaml.safe_load(text)
-    if not isinstance(rows, list):
-        raise ValueError(f"{path}: not a list of insights")
-    return spark.createDataFrame(rows, schema)
-
-
 def _json_ready(value: Column, of: DataType) -> Column:
     """A value whose numbers JSON lacks, at any depth, are null."""
     if isinstance(of, (DoubleType, FloatType)):
@@ -115,12 +85,12 @@ def digest(
     return "\n".join(["# Evidence digest", "", *counts, *([""] if counts else []), *sections])
 
 
-def report(results: list, insights: int = 0, kept_insights: int = 0, rejected: int = 0) -> str:
+def report(results: list, insights: int = 0, kept_insights: int = 0, rejected: int = 0, extended: int = 0) -> str:
     """What a run found, for a terminal: each pass with its problems, or why it was skipped; limitations; insights."""
     lines = []
     for r in results:
         n = 0 if r.problems is None else r.problems.count()
         lines.append(f"{r.name}: skipped, {r.skip_reason}" if r.skip_reason else f"{r.name}: {n} problem{'s' * (n != 1)}")
         lines += [f"  note: {text}" for text in r.limitations]
-    lines.append(f"insights: {insights} new, {kept_insights} retained" + (f"; {rejected} problems refused by code" if rejected else ""))
+    lines.append(f"insights: {insights} new, {kept_insights} retained" + (f", {extended} of them with new traces" if extended else "") + (f"; {rejected} problems refused by code" if rejected else ""))
     return "\n".join(lines)
