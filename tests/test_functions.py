@@ -168,3 +168,23 @@ def test_decoders_of_long_codes(spark):
     df = spark.createDataFrame(list(enumerate(codes)), "i int, j string").select("i", F.lit("t").alias("tool"), F.parse_json("j").alias("output"), F.lit(None).cast("string").alias("error"))
     wrong = "nonzero_exit_code"
     assert [r.marker for r in widely_decoded(df).orderBy("i").collect()] == [wrong, wrong, None, wrong, None, wrong, wrong]
+
+
+CANONICAL = [
+    '{"b":1,"a":1.0}', '{"a":[1,1.0,1.50,1e2,0.1,12345678901234567890,-0.5,1E5]}', "[1.0,1]", "[1,1.0]", "3", "3.0", '"1.0"', "null", "true", '{"é":"中 \\u2028 \\"q\\" \\\\ \\n"}', "{}", "[]", '{"z":{"y":[{"x":2.0}]}}',
+    '{"\\ud83d\\ude00":1,"\\uff5e":2,"a":3}', "123456789012345678901234567890", "0.000001", "1e-7", "1234567.25",
+]
+
+
+def test_canonical_json(spark):
+    """Against Python's own reading and writing of the text."""
+    df = spark.createDataFrame(list(enumerate([*CANONICAL, None])), "i int, j string").withColumn("v", F.parse_json("j"))
+    got = [r.c for r in df.select("i", T.canonical_json(F.col("v")).alias("c")).orderBy("i").collect()]
+    assert got == [json.dumps(json.loads(j), ensure_ascii=False, sort_keys=True, separators=(",", ":")) for j in CANONICAL] + [None]
+
+
+def test_fingerprints_tell_number_forms(spark):
+    texts = ['{"a":1}', '{"a":1.0}', '{"a":"1"}', '{"a":[1]}', '{"a":[1.0]}', '{"b":1}', '{"a":1,"b":1.0}', '{"a":1.0,"b":1}', '{"a":1.5}', '{ "a" : 1.50 }']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, j string")
+    prints = [r.f for r in df.select("i", T.fingerprint(F.parse_json("j")).alias("f")).orderBy("i").collect()]
+    assert len(set(prints)) == len(texts) - 1 and prints[-1] == prints[-2]

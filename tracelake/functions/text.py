@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from decimal import Decimal, localcontext
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode has it; absolute paths with at least one folder; long identifiers; numbers not glued to letters.
 SPACE = r"(?U)\s+"
@@ -69,9 +74,39 @@ def markdown_cell(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
+def _plain(value: object) -> object:
+    """A variant's value with integers as int and all other numbers as float, however they were stored."""
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    if isinstance(value, Decimal):
+        return int(value) if value.as_tuple().exponent >= 0 else float(value)
+    return value
+
+
+@F.pandas_udf(StringType())
+def _canonical(values: pd.Series) -> pd.Series:
+    with localcontext(prec=40):  # variants hold up to 38 digits
+        return pd.Series([None if v is None else json.dumps(_plain(v.toPython()), ensure_ascii=False, sort_keys=True, separators=(",", ":"), default=str) for v in values], dtype=object)
+
+
 def canonical_json(value: Column) -> Column:
-    """JSON text of a variant with sorted keys and no spaces. Numbers are printed by value, so 1.0 and 1 are the same."""
-    return F.to_json(value)
+    """JSON text of a variant with keys sorted by code point and no spaces. Numbers keep their form: 1 isn't 1.0, 1.50 is 1.5, 1e2 is 100.0.
+
+    Spark's own text serves where it says the same: values without fractions, and without characters beyond 16 bits, by which
+    Spark sorts differently. The others are written in Python, a batch at a time. Integers of more than 38 digits were
+    read as floating-point numbers, and the sign of -0.0 was lost, before they get here.
+    """
+    differs = F.schema_of_variant(value).rlike("DECIMAL|DOUBLE|FLOAT") | F.to_json(value).rlike(r"[\x{10000}-\x{10FFFF}]")
+    return F.coalesce(_canonical(F.when(differs, value)), F.to_json(value))
+
+
+def fingerprint(value: Column) -> Column:
+    """A digest under which equal values are equal and others differ, worked out by Spark alone: of the text, and of the types where they
+    tell 1 from 1.0. Lists that hold the same numbers in other forms, such as [1, 1.0] and [1.0, 1], are one."""
+    types = F.schema_of_variant(value)
+    return F.md5(F.concat(F.to_json(value), F.when(types.contains("DECIMAL"), types).otherwise(F.lit(""))))
 
 
 def digest(text: Column, size: int = 64) -> Column:

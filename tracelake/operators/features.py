@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.failures import CODE_TOOLS, widely_decoded
 from tracelake.functions.json_values import as_object, is_flag, kind
 from tracelake.functions.tables import exact_medians, kept
-from tracelake.functions.text import error_template, failure_message, head_tail, message_signature, one_line
+from tracelake.functions.text import error_template, failure_message, fingerprint, head_tail, message_signature, one_line
 
 #: Features and their names in reasons (fixed values).
 LABELS = {
@@ -37,7 +37,7 @@ def trace_features(calls: DataFrame, traces: DataFrame, steps: DataFrame | None
     size = F.octet_length("text")
     duration = F.col("duration_ms")
     finite = F.when(duration.isNotNull() & ~F.isnan(duration) & (F.abs(duration) != float("inf")), F.greatest(duration, F.lit(0.0)))
-    given = F.md5(F.coalesce(F.when(kind(F.col("arguments")) == "OBJECT", F.to_json("arguments")), F.lit("{}")))
+    given = F.coalesce(F.when(kind(F.col("arguments")) == "OBJECT", fingerprint(F.col("arguments"))), fingerprint(F.parse_json(F.lit("{}"))))
     alike = calls.groupBy("trace_id", "tool", given.alias("given")).agg(
         F.count("*").alias("n"), F.count("marker").alias("failed"), F.sum(size).alias("bytes"), F.max(size).alias("largest"), F.sum(finite).alias("ms"),
         F.count_if(is_flag(as_object(F.col("output")), "$.returned_data", False)).alias("empty"),

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.json_values import as_object, at, is_flag, kind, plain_text, text_at
-from tracelake.functions.text import canonical_json, duration_ms, sequence_token
+from tracelake.functions.text import duration_ms, sequence_token
 from tracelake.operators.trees import carried_text, preorder
 
 #: Step types of kinds; other kinds are their own name in lower case (fixed values).
@@ -43,7 +43,7 @@ def user_text(value: Column) -> Column:
 def output_text(value: Column) -> Column:
     """Text of a span's output: a string, its content, the content of its last message that has one, else JSON."""
     told = F.filter(_messages(at(value, "$.messages")), lambda m: _content(m).isNotNull())
-    other = F.when(kind(value) != "VOID", canonical_json(value))
+    other = F.when(kind(value) != "VOID", F.to_json(value))
     return F.coalesce(plain_text(value), _content(value), _content(F.try_element_at(told, F.lit(-1))), other, F.lit(""))
 
 

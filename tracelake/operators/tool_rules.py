@@ -20,7 +20,7 @@ from tracelake.functions.contracts import UNEVALUABLE, contract_issues, string_l
 from tracelake.functions.failures import strictly_decoded
 from tracelake.functions.json_values import kind
 from tracelake.functions.tables import kept, settled
-from tracelake.functions.text import compact, digest
+from tracelake.functions.text import canonical_json, compact, digest
 
 RETRIES = 3
 #: Issue types and their families (fixed values).
@@ -117,8 +117,9 @@ def audited(calls: DataFrame) -> DataFrame:
     rows = strictly_decoded(calls)
     rows = settled(rows, {
         "missing": c("output").isNull() | (F.coalesce("result_count", F.lit(1)) == 0), "rejected": c("text").rlike(REJECTION), "state": state_class(c("text")),
-        "is_object": F.coalesce(kind(c("arguments")) == "OBJECT", F.lit(False)), "argument_text": F.coalesce(F.when(kind(c("arguments")) == "OBJECT", F.to_json("arguments")), F.lit("{}")),
+        "is_object": F.coalesce(kind(c("arguments")) == "OBJECT", F.lit(False)), "given": F.when(kind(c("arguments")) == "OBJECT", c("arguments")),
     })
+    rows = rows.withColumn("argument_text", F.coalesce(canonical_json(c("given")), F.lit("{}"))).drop("given")
     catalog = F.coalesce("has_catalog", F.lit(False))
     checked = F.when(catalog & c("in_catalog") & c("is_object"), c("schema"))
     # Only rejected or failed calls need their arguments' strings.

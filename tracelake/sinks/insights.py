@@ -18,7 +18,7 @@ LEAST_TRACES = 2
 INSIGHTS = "insight_id string, id string, name string, description string, updated_date string"
 EVIDENCE = "insight_id string, trace_id string, url string, spans array<string>, span_urls map<string,string>"
 #: Characters that a double-quoted YAML text can't hold as they are, though JSON's can.
-ODD = re.compile("[\x7f-\x9f  ﻿]")
+ODD = re.compile("[\x7f-\x9f\u2028\u2029\ufeff]")
 
 
 @dataclass
