@@ -355,6 +355,17 @@ def test_skip_edge_adds_span(spark):
     assert added == {**{i: [] for i in texts}, 90: [("phone", start, start + 3)]}
 
 
+def test_values_side_by_side_stay_apart(spark):
+    """A card number twice in a row is two values, and so is one beside a secret; the parts of one value are one."""
+    card, key = "4465758382889437", "a1B2c3D4e5F6g7H8i9J0kLmN"
+    texts = {i: f"pay {card[:4]} {card[4:8]} {card[8:12]} {card[12:]} now, {card}. token {key} end" for i in range(30)}
+    texts[90] = f"and {card} {card} too"
+    texts[91] = f"key {key} {key} end"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    added = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.added] for r in pii.find_personal_data(docs).collect()}
+    assert added[90] == [("card", card)] * 2 and added[91] == [("secret", key)] * 2 and added[0] == [("secret", key)]
+
+
 # op7
 
 

@@ -29,6 +29,8 @@ SECRET = len(KINDS) + 1
 #: Weak label of secrets: signs of keys only, long, with digits and letters in turns.
 SECRETS = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 TURNS = re.compile(r"[0-9][A-Za-z]|[A-Za-z][0-9]")
+#: Fewest and most digits of a value that white space may cut into several tokens; values of other kinds are one token.
+CUT = {KINDS.index("card") + 1: (13, 19), KINDS.index("phone") + 1: (9, 15)}
 #: Marginal probability from which on a token becomes a span.
 SURE = 0.6
 #: Rounds of message passing at most, and the share of a message that is kept in each.
@@ -103,12 +105,13 @@ def base_spans(text: str) -> list[list[Span]]:
 
 @dataclass
 class Tokens:
-    """Nodes of a document: spans without outer punctuation, shapes, labels by pattern, and edges (a, b, kind)."""
+    """Nodes of a document: spans without outer punctuation, shapes, labels by pattern, edges (a, b, kind), and numbers of digits."""
 
     spans: list[Span]
     shapes: list[int]
     labels: list[int]
     edges: list[tuple[int, int, int]]
+    digits: list[int]
 
 
 def looks_secret(token: str) -> bool:
@@ -137,7 +140,7 @@ def keys_of(token: str) -> list[str]:
 
 def tokens_of(text: str, base: list[list[Span]]) -> Tokens:
     """The nodes and edges of a text. A null-free text of any length takes time in proportion to it."""
-    out, end = Tokens([], [], [], []), 0
+    out, end = Tokens([], [], [], [], []), 0
     marked = sorted((a, b, kind) for kind, spans in enumerate(base, 1) for a, b in spans)
     last: dict[str, int] = {}
     previous_end, nearest = -1, 0
@@ -161,6 +164,7 @@ def tokens_of(text: str, base: list[list[Span]]) -> Tokens:
         out.spans.append((a, b))
         out.shapes.append(shape_of(token))
         out.labels.append(label)
+        out.digits.append(sum(c in "0123456789" for c in token))
         if i and text[previous_end:start].isspace():
             out.edges.append((i - 1, i, 0))
         keys = keys_of(token)
@@ -241,7 +245,11 @@ def train(docs: DataFrame) -> Field:
 
 
 def added_spans(nodes: list[Tokens], field: Field) -> list[list[tuple[int, int, int]]]:
-    """(kind, start, end) that the field adds to each document's patterns; neighbouring tokens of a kind are one span."""
+    """(kind, start, end) that the field adds to each document's patterns.
+
+    Neighbouring tokens of a kind are one span if they are parts of one value: neither is whole by itself, and together they
+    aren't too long. Two numbers side by side stay two.
+    """
     shapes, edges, owner, first = [], [], [], 0
     for i, t in enumerate(nodes):
         shapes += t.shapes
@@ -253,15 +261,18 @@ def added_spans(nodes: list[Tokens], field: Field) -> list[list[tuple[int, int,
     for t in nodes:
         found: list[tuple[int, int, int]] = []
         close = {(a, b) for a, b, kind in t.edges if kind == 0}
-        previous = None
-        for i, (span, label) in enumerate(zip(t.spans, t.labels)):
+        previous, so_far = None, 0
+        for i, (span, label, digits) in enumerate(zip(t.spans, t.labels, t.digits)):
             best = int(p[at + i].argmax())
             if 0 < label < SECRET or not best or p[at + i, best] < SURE:
                 continue
-            if previous == i - 1 and (i - 1, i) in close and found[-1][0] == best:
-                found[-1] = (best, found[-1][1], span[1])
+            least, most = CUT.get(best, (0, 0))
+            part = max(so_far, digits) < least and so_far + digits <= most
+            if previous == i - 1 and (i - 1, i) in close and found[-1][0] == best and part:
+                found[-1], so_far = (best, found[-1][1], span[1]), so_far + digits
             else:
                 found.append((best, *span))
+                so_far = digits
             previous = i
         at += len(t.spans)
         out.append(found)
