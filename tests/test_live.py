@@ -1,7 +1,10 @@
 """Live providers against a local server: selection page by page, early stop, batches, and refusals."""
 
+import base64
 import json
 import threading
+import urllib.error
+import urllib.request
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlparse
 
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from tracelake.sources import live, live_rows
 
 SEEN: list = []
+KEYS_SEEN: list = []
 TIME = "2026-01-01T00:00:{:02d}Z"
 
 
@@ -40,6 +44,7 @@ class Handler(BaseHTTPRequestHandler):
         self.wfile.write(data)
 
     def do_GET(self):
+        KEYS_SEEN.append(self.headers.get("Authorization"))
         url = urlparse(self.path)
         query = {k: v[0] for k, v in parse_qs(url.query).items()}
         SEEN.append(url.path)
@@ -99,6 +104,61 @@ def test_langfuse(spark, url):
     assert sum(p == "/api/public/traces" for p in SEEN) == 4  # the fifth page isn't asked for
 
 
+def test_keys_reach_tasks_without_an_environment(spark, url, monkeypatch):
+    """Workers' environments have no key (this session started before it was set), and neither options nor plan show it."""
+    monkeypatch.setenv("LANGFUSE_PUBLIC_KEY", "public-1")
+    monkeypatch.setenv("LANGFUSE_SECRET_KEY", "hidden-2")
+    in_worker = spark.range(1).mapInPandas(lambda frames: (f.assign(k=__import__("os").environ.get("LANGFUSE_SECRET_KEY", "none")) for f in frames), "id long, k string").first().k
+    assert in_worker == "none"
+    KEYS_SEEN.clear()
+    rows = live_rows.load(spark, "langfuse", url=url, since=TIME.format(0), until=TIME.format(50), limit="2", batch="1")
+    assert rows.traces.count() == 2
+    expected = "Basic " + base64.b64encode(b"public-1:hidden-2").decode()
+    assert len(KEYS_SEEN) >= 3 and set(KEYS_SEEN) == {expected}  # selection and both tasks
+    frame = spark.read.format("trace_pages").options(provider="langfuse", url=url, since="a", until="b")
+    assert "hidden-2" not in str(frame.load()._jdf.queryExecution().toString())
+
+
+def test_failures_that_pass_are_tried_again(monkeypatch):
+    monkeypatch.setattr(live, "PAUSES", (0, 0))
+    answers = [urllib.error.HTTPError("u", 503, "", {}, None), urllib.error.URLError("reset"), None]
+
+    class Answer:
+        headers = {"X-A": "b"}
+        read = staticmethod(lambda: b'{"ok": 1}')
+        __enter__, __exit__ = lambda self: self, lambda self, *a: None
+
+    def once(request, timeout):
+        error = answers.pop(0)
+        if error:
+            raise error
+        return Answer()
+
+    monkeypatch.setattr(urllib.request, "urlopen", once)
+    assert live.call("http://x/y", {}) == ({"ok": 1}, {"x-a": "b"}) and not answers
+    answers[:] = [urllib.error.HTTPError("u", 404, "", {}, None)]
+    with pytest.raises(live.ProviderError, match="/y: status 404"):
+        live.call("http://x/y?key=1", {})
+    answers[:] = [urllib.error.URLError("reset")] * 3
+    with pytest.raises(live.ProviderError, match="reset"):
+        live.call("http://x/y", {})
+
+
+def test_selection_keeps_places_alone(url):
+    """What the driver holds of a trace doesn't grow with the trace, and spans are asked for by tasks alone."""
+    SEEN.clear()
+    intake = live.Intake({"url": url, "workspace": "w s", "since": TIME.format(0), "until": TIME.format(9), "page_size": "1", "experiment": "e"})
+    assert all(len(json.loads(i)) == 3 and len(i) < 40 for i in intake.select())
+    flow = live.MLflow({"url": url, "experiment": "1", "limit": "3"})
+    places = flow.select()
+    asked = [x[1]["include_spans"] for x in SEEN if isinstance(x, tuple) and x[0].endswith("/search")]
+    assert asked and not any(asked)
+    assert [i for i, _, _ in flow.fetch(places)] == ["m0", "m1", "m2"]
+    token, size, listed = json.loads(places[0])
+    with pytest.raises(live.ProviderError, match="other traces"):
+        list(flow.fetch([json.dumps([token, size, listed[::-1]])]))
+
+
 def test_mlflow(spark, url):
     got = live_rows.load(spark, "mlflow", url=url, experiment="1", limit="3")
     assert sorted(r.trace_id for r in got.traces.select("trace_id").collect()) == ["m0", "m1", "m2"]

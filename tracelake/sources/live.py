@@ -4,24 +4,36 @@
     spark.read.format("trace_pages").options(provider="langfuse", url=..., since=..., until=..., limit=100).load()
 
 gives (trace_id, position, part, body): what the provider returned, as JSON text. Selection runs on the driver and keeps
-ids alone; it stops as soon as there are enough traces. Each partition fetches the details of one batch of ids.
+ids and their places alone; it stops as soon as there are enough traces. Each partition fetches the details of one batch of
+ids, and an answer without one of them is refused.
+
+Keys are no options, as these are shown in plans, and executors' environments have none: source_with(keys) makes a data
+source that carries them to the tasks within itself.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import itertools
 import json
 import os
+import time
+import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tracelake.functions.urls import sql_literal
 
 SECONDS, BATCH = 60, 50
+#: Requests that are tried again after so many seconds: when the connection fails, and by status.
+PAUSES, AGAIN = (0.5, 2.0, 8.0), {429, 500, 502, 503, 504}
+#: Names of keys in the environment or in an .env file.
+KEYS = ("LANGFUSE_PUBLIC_KEY", "LANGFUSE_SECRET_KEY", "MLFLOW_TRACKING_TOKEN", "LANGSMITH_API_KEY", "LANGCHAIN_API_KEY", "BRAINTRUST_API_KEY", "NMP_ACCESS_TOKEN")
 
 
 class ProviderError(ValueError):
@@ -29,13 +41,23 @@ class ProviderError(ValueError):
 
 
 def call(url: str, headers: dict[str, str], query: dict | None = None, body: dict | None = None) -> tuple[dict, dict]:
-    """(JSON body, headers) of a request; a body makes it a POST."""
+    """(JSON body, headers) of a request; a body makes it a POST. Failures that may pass are tried again, a few times."""
     if query:
         url += "?" + urllib.parse.urlencode({k: v for k, v in query.items() if v is not None})
     data = None if body is None else json.dumps(body).encode()
     request = urllib.request.Request(url, data, {"Content-Type": "application/json", **headers})
-    with urllib.request.urlopen(request, timeout=SECONDS) as answer:
-        return json.loads(answer.read()), {k.lower(): v for k, v in answer.headers.items()}
+    for pause in (*PAUSES, None):
+        try:
+            with urllib.request.urlopen(request, timeout=SECONDS) as answer:
+                return json.loads(answer.read()), {k.lower(): v for k, v in answer.headers.items()}
+        except urllib.error.HTTPError as error:
+            if pause is None or error.code not in AGAIN:
+                raise ProviderError(f"{urllib.parse.urlsplit(url).path}: status {error.code}") from error
+        except OSError as error:
+            if pause is None:
+                raise ProviderError(f"{urllib.parse.urlsplit(url).path}: {error}") from error
+        time.sleep(pause)
+    raise AssertionError
 
 
 @dataclass
@@ -43,6 +65,7 @@ class Provider:
     """Options of a run; select() gives the ids of whole traces, fetch() (trace_id, part, body) of a batch of them."""
 
     options: dict[str, str]
+    keys: dict[str, str] = field(default_factory=dict, repr=False)
 
     @property
     def url(self) -> str:
@@ -53,8 +76,8 @@ class Provider:
         return int(self.options.get("limit", 100))
 
     def secret(self, *names: str) -> str:
-        """The first of the environment's values; keys never are options, as these are shown in plans."""
-        return next((os.environ[n] for n in names if n in os.environ), "")
+        """The first of the keys that were handed over, else of the environment's."""
+        return next((where[n] for where in (self.keys, os.environ) for n in names if where.get(n)), "")
 
     def bearer(self, *names: str) -> dict[str, str]:
         key = self.secret(*names)
@@ -96,13 +119,13 @@ class Langfuse(Provider):
 
 
 class MLflow(Provider):
-    """First traces of an experiment by time; a search page has whole traces, so a partition is a page token and its limit."""
+    """First traces of an experiment by time. Pages are selected without spans; a task asks for its page with them, which has to hold the same traces."""
 
     def select(self) -> list[str]:
         ids, seen, token, total = [], set(), None, 0
         while total < self.limit:
             size = min(self.limit - total, 500)
-            answer = self._page(token, size)
+            answer = self._page(token, size, spans=False)
             found = [t["info"]["trace_id"] for t in answer.get("traces", [])]
             following = answer.get("next_page_token") or None
             if not found:
@@ -115,7 +138,7 @@ class MLflow(Provider):
             if again:
                 raise ProviderError("a trace came twice")
             seen.update(found)
-            ids.append(json.dumps([token, size]))
+            ids.append(json.dumps([token, size, found]))
             total += len(found)
             if not following:
                 break
@@ -124,14 +147,18 @@ class MLflow(Provider):
             token = following
         return ids
 
-    def _page(self, token: str | None, size: int) -> dict:
+    def _page(self, token: str | None, size: int, spans: bool) -> dict:
         place = {"type": "MLFLOW_EXPERIMENT", "mlflow_experiment": {"experiment_id": self.options["experiment"]}}
-        body = {"locations": [place], "filter": self.options.get("filter"), "max_results": size, "order_by": ["timestamp_ms ASC"], "page_token": token, "include_spans": True}
+        body = {"locations": [place], "filter": self.options.get("filter"), "max_results": size, "order_by": ["timestamp_ms ASC"], "page_token": token, "include_spans": spans}
         return call(f"{self.url}/api/3.0/mlflow/traces/search", self.bearer("MLFLOW_TRACKING_TOKEN"), body={k: v for k, v in body.items() if v is not None})[0]
 
     def fetch(self, ids):
         for i in ids:
-            for trace in self._page(*json.loads(i)).get("traces", []):
+            token, size, listed = json.loads(i)
+            traces = self._page(token, size, spans=True).get("traces", [])
+            if [t["info"]["trace_id"] for t in traces] != listed:
+                raise ProviderError("a page has other traces than when it was selected")
+            for trace in traces:
                 yield trace["info"]["trace_id"], "trace", trace
 
 
@@ -221,11 +248,19 @@ class Braintrust(Provider):
 class Intake(Provider):
     """First traces in the requested order, those of an experiment's evaluations merged; then spans and results of each."""
 
-    def _pages(self, what: str, **query) -> Iterator[dict]:
+    def _page(self, what: str, page: int, **query) -> dict:
         base = f"{self.url}/apis/intake/v2/workspaces/{urllib.parse.quote(self.options['workspace'], safe='')}/{what}"
+        return call(base, self.bearer("NMP_ACCESS_TOKEN"), {**query, "page": page, "page_size": int(self.options.get("page_size", 100))})[0]
+
+    def _pages(self, what: str, **query) -> Iterator[dict]:
+        for _, rows in self._numbered(what, **query):
+            yield from rows
+
+    def _numbered(self, what: str, **query) -> Iterator[tuple[int, list[dict]]]:
+        """(number, rows) of all pages, which have to agree with what they say about themselves."""
         page, received, first = 1, 0, None
         while True:
-            answer, _ = call(base, self.bearer("NMP_ACCESS_TOKEN"), {**query, "page": page, "page_size": int(self.options.get("page_size", 100))})
+            answer = self._page(what, page, **query)
             told, rows = answer["pagination"], answer["data"]
             totals = told["total_results"], told["total_pages"]
             first = first or totals
@@ -237,35 +272,40 @@ class Intake(Provider):
             ):
                 if wrong:
                     raise ProviderError(f"{what}, page {page}: {why}")
-            yield from rows
+            yield page, rows
             if last:
                 return
             page += 1
 
+    def _query(self, evaluation: str | None) -> dict[str, str]:
+        query = {"filter[started_at][gte]": self.options["since"], "filter[started_at][lte]": self.options["until"], "sort": self.options.get("sort", "started_at"), "mode": "detailed"}
+        return query | ({} if evaluation is None else {"filter[experiment_id]": self.options["experiment"], "filter[evaluation_name]": evaluation})
+
+    def _places(self, evaluation: str | None) -> Iterator[tuple[str, str, int, str]]:
+        for page, rows in self._numbered("traces", **self._query(evaluation)):
+            yield from ((r["started_at"], evaluation, page, r["id"]) for r in rows)
+
     def select(self) -> list[str]:
-        sort = self.options.get("sort", "started_at")
-        query = {"filter[started_at][gte]": self.options["since"], "filter[started_at][lte]": self.options["until"], "sort": sort, "mode": "detailed"}
-        if "experiment" not in self.options:
-            parts = [self._pages("traces", **query)]
-        else:
-            names = {e["name"] for e in self._pages("evaluations", **{"filter[experiment_id]": self.options["experiment"], "sort": "name"})}
-            names &= {self.options["evaluation"]} if "evaluation" in self.options else names
-            parts = [self._pages("traces", **query, **{"filter[experiment_id]": self.options["experiment"], "filter[evaluation_name]": n}) for n in sorted(names)]
-        import heapq
-
-        merged = heapq.merge(*parts, key=lambda t: t["started_at"], reverse=sort.startswith("-"))
-        out: list[str] = []
-        for trace in merged:
-            out.append(json.dumps(trace))
-            if len(out) == int(self.options.get("limit", 1 << 31)):
-                break
+        """The evaluation, page and id of each trace; bodies stay where they are."""
+        names: list[str | None] = [None]
+        if "experiment" in self.options:
+            found = {e["name"] for e in self._pages("evaluations", **{"filter[experiment_id]": self.options["experiment"], "sort": "name"})}
+            names = sorted(found & {self.options["evaluation"]} if "evaluation" in self.options else found)
+        merged = heapq.merge(*map(self._places, names), key=lambda t: t[0], reverse=self.options.get("sort", "").startswith("-"))
+        out = [json.dumps(place[1:]) for place in itertools.islice(merged, int(self.options.get("limit", 1 << 31)))]
         if not out:
             raise ProviderError("no traces")
         return out
 
     def fetch(self, ids):
+        pages: dict[tuple[str | None, int], dict[str, dict]] = {}
         for text in ids:
-            trace = json.loads(text)
+            evaluation, page, i = json.loads(text)
+            if (evaluation, page) not in pages:  # each page of this batch once
+                pages[evaluation, page] = {t["id"]: t for t in self._page("traces", page, **self._query(evaluation))["data"]}
+            trace = pages[evaluation, page].get(i)
+            if trace is None:
+                raise ProviderError(f"trace {i} isn't on page {page} any more")
             yield trace["id"], "trace", trace
             for span in self._pages("spans", **{"filter[trace_id]": trace["id"], "sort": "started_at", "mode": "detailed"}):
                 yield trace["id"], "span", span
@@ -277,11 +317,11 @@ PROVIDERS: dict[str, type[Provider]] = {"langfuse": Langfuse, "mlflow": MLflow,
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.options = dict(options)
+    def __init__(self, options: dict[str, str], keys: dict[str, str]):
+        self.options, self.keys = dict(options), keys
 
     def provider(self) -> Provider:
-        return PROVIDERS[self.options["provider"]](self.options)
+        return PROVIDERS[self.options["provider"]](self.options, self.keys)
 
     def partitions(self) -> list[InputPartition]:
         ids = self.provider().select()
@@ -299,6 +339,8 @@ class _Reader(DataSourceReader):
 class TracePages(DataSource):
     """Options: provider, url, limit, batch, and what the provider needs (since, until, project, experiment, workspace ...)."""
 
+    keys: dict[str, str] = {}
+
     @classmethod
     def name(cls) -> str:
         return "trace_pages"
@@ -308,4 +350,14 @@ class TracePages(DataSource):
 
     def reader(self, schema) -> _Reader:
         # Option names lose their case on the way here.
-        return _Reader({k.lower(): v for k, v in self.options.items()})
+        return _Reader({k.lower(): v for k, v in self.options.items()}, self.keys)
+
+
+def source_with(keys: dict[str, str]) -> type[TracePages]:
+    """The data source with keys. It is pickled with what it holds, so the keys reach the tasks though no plan shows them."""
+
+    class KeyedTracePages(TracePages):
+        pass
+
+    KeyedTracePages.keys = {k: v for k, v in keys.items() if v}
+    return KeyedTracePages

@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.config import secret
 from tracelake.functions.json_values import at, kind, text_at
 from tracelake.functions.tables import kept
 from tracelake.functions.text import duration_ms
 from tracelake.operators.evidence import evaluator_problem, session_results
 from tracelake.sources import mlflow_exports, observation_exports
 from tracelake.sources.common import Snapshot, checked, kind_of, require, require_all, span_latency, text_payload, unique, zoned_time
-from tracelake.sources.live import PROVIDERS, TracePages
+from tracelake.sources.live import KEYS, PROVIDERS, source_with
 
 #: Kinds that providers name differently (fixed values).
 BRAINTRUST_KINDS = {"LLM": "LLM", "TOOL": "TOOL", "SCORE": "EVALUATOR", "FUNCTION": "CHAIN", "TASK": "CHAIN", "EVAL": "CHAIN"}
 
 
 def load(spark: SparkSession, provider: str, **options: str) -> Snapshot:
-    """Select, fetch and normalise traces of a provider; see the data source for options."""
+    """Select, fetch and normalise traces of a provider; see the data source for options. Keys come from the driver's environment or .env file."""
     if provider not in PROVIDERS:
         raise ValueError(f"no provider {provider!r}; there are: {', '.join(PROVIDERS)}")
-    spark.dataSource.register(TracePages)
+    spark.dataSource.register(source_with({name: secret(name) or "" for name in KEYS}))
     # Kept, so that a provider is asked once.
     rows = kept(spark.read.format("trace_pages").options(provider=provider, **options).load())
     return SNAPSHOTS[provider](rows)
