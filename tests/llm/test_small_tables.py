@@ -189,7 +189,7 @@ def kneser_ney_log_probs(train, text):
 def test_kneser_ney(docs, texts, nothing):
     train = [texts[i] for i in range(8)]
     model = kneser_ney.train(docs.where("doc_id < 8").dropDuplicates(["doc_id"]))
-    got = by_id(kneser_ney.score(docs.dropDuplicates(["doc_id"]).where("doc_id <> 34"), model, ["doc_id"]), len([t for i, t in texts.items() if t and t.strip() and i != 34]))
+    got = by_id(kneser_ney.score(docs.dropDuplicates(["doc_id"]), model, ["doc_id"]), len([t for t in texts.values() if t and t.strip()]))
     for i, r in got.items():
         n, value = kneser_ney_log_probs(train, texts[i])
         assert r["n_words"] == n and math.isclose(r["log_prob"], value, rel_tol=1e-6)
