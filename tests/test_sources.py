@@ -208,3 +208,43 @@ def test_rollouts(spark, tmp_path):
 def test_rollout_refusals(spark, tmp_path, row, said):
     with pytest.raises(TraceLoadError, match=said):
         rollout_exports.read(spark, write(tmp_path, "a.jsonl", [row]))
+
+
+def jobs_of(spark, work):
+    spark.sparkContext.setJobGroup("counted", "")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    result = work()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return result, jobs
+
+
+@pytest.mark.parametrize("reader", ["canonical", "atif"])
+def test_trees_are_walked_in_one_plan(spark, reader):
+    """All nodes of trees of any depth, with their parents and places, in as many jobs as a flat one takes."""
+    from tracelake.sources import atif_exports
+
+    def nested(depth, wide):
+        kept, node = ("root_spans", "children") if reader == "canonical" else ("subagent_trajectories",) * 2, None
+        for d in range(depth, 0, -1):
+            own = {"id": f"n{d}", "trajectory_id": f"n{d}", "text": '"children":[1', kept[1]: [node, *({"id": f"n{d}-{i}", "trajectory_id": f"n{d}-{i}", kept[1]: []} for i in range(wide))] if node else []}
+            node = own
+        return json.dumps({"id": "t", kept[0]: [node]})
+
+    def found(depth, wide):
+        rows = spark.createDataFrame([("t", nested(depth, wide)), ("empty", "{}")], "trace_id string, j string").select("trace_id", F.parse_json("j").alias("value"))
+        if reader == "canonical":
+            out = canonical.spans_of(rows).select("parent_id", "sibling", F.try_variant_get("span", "$.id", "string").alias("id"))
+        else:
+            out = atif_exports._trajectories(rows.withColumnRenamed("value", "v")).where("above IS NOT NULL").select("above", (F.col("sibling") - atif_exports.AFTER).alias("sibling"), "own_id")
+        got, jobs = jobs_of(spark, out.collect)
+        return sorted(tuple(r) for r in got) if reader == "atif" else sorted(((r[0] or "", *r[1:]) for r in got)), jobs
+
+    flat, few = found(1, 0)
+    deep, jobs = found(70, 2)
+    assert jobs == few and len(flat) == 1 and len(deep) == 70 + 2 * 69
+    if reader == "canonical":
+        assert deep == sorted([("", 0, "n1")] + [(f"n{d}", 0, f"n{d + 1}") for d in range(1, 70)] + [(f"n{d}", i + 1, f"n{d}-{i}") for d in range(1, 70) for i in range(2)])
+    else:
+        assert {r[2] for r in deep} == {f"n{d}" for d in range(1, 71)} | {f"n{d}-{i}" for d in range(1, 70) for i in range(2)}
+        assert max(r[0].count("/subagent/") for r in deep) == 69

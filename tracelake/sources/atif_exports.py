@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.json_values import at, kind, plain_text, text_at
 from tracelake.functions.tables import kept
 from tracelake.functions.urls import file_page
-from tracelake.sources.common import Snapshot, TraceLoadError, checked, lines_of, prompt_tokens, require, require_all, unique, zoned_time
+from tracelake.sources.common import Snapshot, TraceLoadError, all_nodes, checked, filled_lists, lines_of, prompt_tokens, require, require_all, unique, zoned_time
 
 VERSION = r"^ATIF-v1\.[0-8]$"
 #: What only an agent's steps may have, and what a step without a model call may not.
@@ -52,17 +52,18 @@ def _token_problems(metrics: Column, prefix: str = "") -> dict[str, Column]:
 
 
 def _trajectories(lines: DataFrame) -> DataFrame:
-    """(trace_id, span_id, above, own_id, sibling, v): all trajectories, by the span of the one that holds them; a level at a time."""
-    v = F.col("v")
-    level = lines.select("trace_id", F.lit("trajectory").alias("span_id"), F.lit(None).cast("string").alias("above"), F.lit(None).cast("string").alias("own_id"), F.lit(0).alias("sibling"), "v")
-    out = level = kept(level)
-    while True:
-        inner = level.select("trace_id", F.col("span_id").alias("above"), F.posexplode(_array(v, "$.subagent_trajectories")).alias("sibling", "v"))
-        inner = inner.select("trace_id", F.concat("above", F.lit("/subagent/"), "sibling").alias("span_id"), "above", text_at(v, "$.trajectory_id").alias("own_id"), (F.col("sibling") + AFTER).alias("sibling"), "v")
-        level = kept(inner)
-        if not level.head(1):
-            return out
-        out = out.unionByName(level)
+    """(trace_id, span_id, above, own_id, sibling, v): all trajectories, by the span of the one that holds them, walked in their row."""
+    none = F.lit(None).cast("string")
+    first = F.array(F.struct(F.lit("trajectory").alias("span_id"), none.alias("above"), none.alias("own_id"), F.lit(0).alias("sibling"), F.col("v").alias("v")))
+    empty = F.array().cast("array<struct<span_id:string,above:string,own_id:string,sibling:int,v:variant>>")
+
+    def inner(n: Column) -> Column:
+        made = F.transform(_array(n["v"], "$.subagent_trajectories"), lambda v, i: F.struct(
+            F.concat(n["span_id"], F.lit("/subagent/"), i).alias("span_id"), n["span_id"].alias("above"), text_at(v, "$.trajectory_id").alias("own_id"), (i + AFTER).alias("sibling"), v.alias("v"),
+        ))
+        return F.coalesce(made, empty)
+
+    return lines.select("trace_id", F.explode(all_nodes(first, inner, filled_lists(F.col("v"), "subagent_trajectories"))).alias("n")).select("trace_id", "n.*")
 
 
 def read(spark: SparkSession, path: str) -> Snapshot:

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.json_values import at, kind, text_at
 from tracelake.functions.tables import kept
 from tracelake.functions.text import duration_ms
 from tracelake.functions.urls import file_page
-from tracelake.sources.common import KINDS, TOKENS, Snapshot, TraceLoadError, checked, lines_of, require_all, zoned_time
+from tracelake.sources.common import KINDS, TOKENS, Snapshot, TraceLoadError, all_nodes, checked, filled_lists, lines_of, require_all, zoned_time
 
 
-def _level(parents: DataFrame, children: str) -> DataFrame:
-    """(trace_id, parent_id, sibling, span) of the spans in an array of each row's value."""
-    return parents.select("trace_id", "parent_id", F.posexplode(F.try_variant_get("value", children, "array<variant>")).alias("sibling", "span"))
+def spans_of(rows: DataFrame) -> DataFrame:
+    """(trace_id, parent_id, sibling, span): the spans of each row's tree (trace_id, value), walked in the row."""
+
+    def nodes(parent: Column, spans: Column) -> Column:
+        made = F.transform(spans, lambda span, i: F.struct(parent.cast("string").alias("parent_id"), i.alias("sibling"), span.alias("span")))
+        return F.coalesce(made, F.array().cast("array<struct<parent_id:string,sibling:int,span:variant>>"))
+
+    listed = lambda value, path: F.try_variant_get(value, path, "array<variant>")
+    found = all_nodes(
+        nodes(F.lit(None), listed(F.col("value"), "$.root_spans")), lambda n: nodes(text_at(n["span"], "$.id"), listed(n["span"], "$.children")), filled_lists(F.col("value"), "children")
+    )
+    return rows.select("trace_id", F.explode(found).alias("n")).select("trace_id", "n.*")
 
 
 def read(spark: SparkSession, path: str) -> Snapshot:
@@ -32,14 +41,7 @@ def read(spark: SparkSession, path: str) -> Snapshot:
         F.try_variant_get(value, "$.aggregate.token_counts", TOKENS).alias("tokens"), at(value, "$.evaluator_results").alias("results"), at(value, "$.attributes").alias("attributes"),
         F.col("line").alias("position"),
     )
-    # A level of all trees at a time: as many steps as the deepest tree has levels, each written once.
-    level, levels = kept(_level(rows.withColumn("parent_id", F.lit(None).cast("string")), "$.root_spans")), []
-    while level.head(1):
-        levels.append(level)
-        level = kept(_level(level.select("trace_id", text_at(F.col("span"), "$.id").alias("parent_id"), F.col("span").alias("value")), "$.children"))
-    flat = levels[0] if levels else level
-    for more in levels[1:]:
-        flat = flat.unionByName(more)
+    flat = kept(spans_of(rows))
     s = F.col("span")
     spans = flat.select(
         "trace_id", "parent_id", F.col("sibling").cast("long").alias("sibling"), text_at(s, "$.id").alias("span_id"), text_at(s, "$.kind").alias("kind"),

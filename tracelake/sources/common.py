@@ -9,6 +9,7 @@ attributes (variants), sibling (place among its siblings where the source has an
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -141,6 +142,26 @@ def documents_of(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", F.col("line").cast("long").alias("line"), "text", "value").unionByName(single).unionByName(split)
 
 
+def all_nodes(first: Column, following: Callable[[Column], Column], rounds: Column) -> Column:
+    """All nodes of a row's tree as an array: the first ones, and level after level what follows from each (nodes of the same fields).
+
+    rounds is no less than the number of levels below the first. A tree stays in its row, so however deep it is, one plan
+    walks it; rounds after the last level do nothing.
+    """
+    start = F.struct(first.alias("all"), first.alias("last"))
+
+    def step(state: Column, _: Column) -> Column:
+        level = F.flatten(F.transform(state["last"], following))
+        return F.when(F.size(level) > 0, F.struct(F.concat(state["all"], level).alias("all"), level.alias("last"))).otherwise(F.struct(state["all"].alias("all"), F.slice(state["last"], 1, 0).alias("last")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(rounds, F.lit(0))), start, step, lambda state: state["all"])
+
+
+def filled_lists(value: Column, name: str) -> Column:
+    """How many lists of this name a variant holds that aren't empty: no fewer than it has levels of them."""
+    return F.regexp_count(F.to_json(value), F.lit(f'"{name}":\\[[^\\]]'))
+
+
 def require(rows: DataFrame, message: Column, problem: Column) -> None:
     """Raise with up to five messages if a row has the problem."""
     bad = rows.where(F.coalesce(problem, F.lit(False))).select(message.alias("m")).limit(5).collect()
