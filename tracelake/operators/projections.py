@@ -54,14 +54,15 @@ def source_pointer(span: Column, trace_id: Column, span_id: Column, path: Column
 
 
 def visits(spans: DataFrame) -> DataFrame:
-    """Spans in depth-first order (path, depth, dfs_index), with source_pointer and, for tool spans, their running number.
+    """Spans in depth-first order (path, depth, dfs_index), with source_pointer and, for tool spans, their running number (by clock_index where spans have one).
 
     Spans of a saved snapshot have all that already.
     """
     if "dfs_index" in spans.columns:
         return spans
     rows = preorder(spans)
-    number = F.row_number().over(W.partitionBy("trace_id", F.col("kind") == "TOOL").orderBy("dfs_index")) - 1
+    by = "clock_index" if "clock_index" in spans.columns else "dfs_index"
+    number = F.row_number().over(W.partitionBy("trace_id", F.col("kind") == "TOOL").orderBy(by)) - 1
     pointer = source_pointer(F.col("attributes"), F.col("trace_id"), F.col("span_id"), F.col("path"))
     return rows.withColumns({"source_pointer": pointer, "tool_number": F.when(F.col("kind") == "TOOL", number)})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,26 +22,49 @@ def detach_orphans(spans: DataFrame) -> DataFrame:
     return out.withColumns({"unresolved_parent": F.when(lost, F.col("parent_id")), "parent_id": F.when(~lost, F.col("parent_id"))}).drop("_trace", "_id")
 
 
-def preorder(spans: DataFrame) -> DataFrame:
-    """spans with path (child numbers from the root, by place among siblings where that is known, start and id), depth and dfs_index in depth-first order.
+def _chained(spans: DataFrame, name: str, own: Column, joined: Callable[[Column, Column], Column]) -> DataFrame:
+    """spans with a column for what leads to each from its root: own of the span itself, joined(above, below) for two parts of a way.
 
-    Ancestors are found by doubling: a round joins each span's known chain with that of its top, so a tree of depth d
-    takes log2(d) joins that shuffle by trace and span. A round that finishes no chain ends them: spans in or below a
-    cycle have no path and are left out; cyclic() lists them.
+    Ancestors are found by doubling: a round joins each span's known way with that of its top, so a tree of depth d
+    takes log2(d) joins that shuffle by trace and span. A round that finishes no way ends them: spans in or below a
+    cycle are left out; cyclic() lists them.
     """
-    order = ["sibling"] if "sibling" in spans.columns else []
-    sibling = W.partitionBy("trace_id", "parent_id").orderBy(*order, "start", "span_id")
-    chains = spans.withColumn("path", F.array(F.row_number().over(sibling) - 1)).withColumn("top", F.col("parent_id"))
-    chains = kept(chains)
+    chains = kept(spans.withColumn(name, own).withColumn("top", F.col("parent_id")))
     before, left = None, chains.where(F.col("top").isNotNull()).count()
     while left and left != before:
-        above = chains.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("path").alias("_p"), F.col("top").alias("_top"))
+        above = chains.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col(name).alias("_above"), F.col("top").alias("_top"))
         chains = chains.join(above, (F.col("trace_id") == F.col("_t")) & (F.col("top") == F.col("_s")), "left")
-        chains = chains.withColumns({"path": F.when(F.col("_p").isNull(), F.col("path")).otherwise(F.concat("_p", "path")), "top": F.col("_top")}).drop("_t", "_s", "_p", "_top")
-        chains = kept(chains)
+        both = F.when(F.col("_above").isNull(), F.col(name)).otherwise(joined(F.col("_above"), F.col(name)))
+        chains = kept(chains.withColumns({name: both, "top": F.col("_top")}).drop("_t", "_s", "_above", "_top"))
         before, left = left, chains.where(F.col("top").isNotNull()).count()
+    return chains.where(F.col("top").isNull()).drop("top")
+
+
+def _clock(spans: DataFrame) -> list[str]:
+    """Columns by which spans follow each other in time: start, the source's own tie-break if there is one, id."""
+    return ["start", *(["tie"] if "tie" in spans.columns else []), "span_id"]
+
+
+def preorder(spans: DataFrame) -> DataFrame:
+    """spans with path (child numbers from the root, by place among siblings where that is known, start, tie and id), depth and dfs_index in depth-first order."""
+    order = (["sibling"] if "sibling" in spans.columns else []) + _clock(spans)
+    sibling = W.partitionBy("trace_id", "parent_id").orderBy(*order)
+    paths = _chained(spans, "path", F.array(F.row_number().over(sibling) - 1), F.concat)
     ordered = W.partitionBy("trace_id").orderBy("path")
-    return chains.where(F.col("top").isNull()).drop("top").withColumns({"depth": F.size("path") - 1, "dfs_index": F.row_number().over(ordered) - 1})
+    return paths.withColumns({"depth": F.size("path") - 1, "dfs_index": F.row_number().over(ordered) - 1})
+
+
+def clock_order(spans: DataFrame) -> DataFrame:
+    """spans with clock_index: their order in time over all branches, but none before its parent.
+
+    It is the order in which spans come out of a queue that always gives the earliest one whose parent is out. A span
+    waits for the latest span on its way from the root, then for the latest after that one, and so on: these, latest
+    first, are its sorting key. Of two parts of a way, the lower one's hide what is earlier in the upper one's. A missing start comes first.
+    """
+    key = F.array(F.struct(*_clock(spans)))
+    waits = _chained(spans, "_waits", key, lambda above, below: F.concat(F.filter(above, lambda x: x > F.get(below, F.lit(0))), below))
+    ordered = W.partitionBy("trace_id").orderBy("_waits")
+    return waits.withColumn("clock_index", F.row_number().over(ordered) - 1).drop("_waits")
 
 
 def cyclic(spans: DataFrame) -> DataFrame:

@@ -61,6 +61,13 @@ def tree_preorder_paths(spark, d):
     return out.select("trace_id", "span_id", F.array_join("path", ".").alias("path"), F.col("depth").cast("long").alias("depth"), F.col("dfs_index").cast("long").alias("dfs_index"))
 
 
+def clock_order(spark, d):
+    """Turns whose clock runs wild: many start before the turn that they answer."""
+    parent = F.when(F.col("span_id") > 0, F.floor((F.col("span_id") - 1) / 2))
+    spans = turns(spark, d).withColumns({"start": (F.col("span_id") * 7 + F.col("trace_id")) % 5, "parent_id": F.when(F.col("span_id") % 4 != 3, parent)})
+    return S.clock_order(spans).select("trace_id", "span_id", F.col("clock_index").cast("long").alias("clock_index"))
+
+
 def orphan_parent_detach(spark, d):
     spans = turns(spark, d).withColumn("parent_id", F.when(F.col("parent_id").isNotNull() & (F.col("span_id") % 5 == 0), F.col("parent_id") + 100000).otherwise(F.col("parent_id")))
     return S.detach_orphans(spans).select("trace_id", "span_id", "parent_id", "unresolved_parent")
@@ -342,7 +349,7 @@ def pca_projection(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_description, tree_preorder_paths, orphan_parent_detach, cycle_detection, carry_prior_user_text, prior_results_concat, last_agent_excerpt,
+        corpus_description, tree_preorder_paths, clock_order, orphan_parent_detach, cycle_detection, carry_prior_user_text, prior_results_concat, last_agent_excerpt,
         sequence_tokens, trace_features, trace_features_empty_traces, robust_zscores, robust_reasons, failure_signatures, recurring_failures,
         cross_tool_failures, verdict_groups, rule_duplicate_call_id, rule_missing_and_duplicate_result, rule_result_id_mismatch, rule_unknown_tool,
         rule_argument_contract, rule_explicit_failure, rule_placeholder, rule_ungrounded_identifier, rule_state_failure, rule_repeated_identical,

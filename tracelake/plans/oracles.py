@@ -70,6 +70,9 @@ ORACLES = {
     "tree_preorder_paths": f"""WITH RECURSIVE {CV}, nm AS (SELECT *, row_number() OVER (PARTITION BY trace_id, parent_id ORDER BY span_id) - 1 AS nr FROM cv),
       tr AS (SELECT trace_id, span_id, [nr] AS p FROM nm WHERE parent_id IS NULL UNION ALL SELECT nm.trace_id, nm.span_id, list_append(tr.p, nm.nr) FROM nm JOIN tr ON nm.trace_id = tr.trace_id AND nm.parent_id = tr.span_id)
       SELECT trace_id, span_id, array_to_string(p, '.') AS path, len(p) - 1 AS depth, row_number() OVER (PARTITION BY trace_id ORDER BY p) - 1 AS dfs_index FROM tr""",
+    "clock_order": """WITH RECURSIVE n AS (SELECT conv_id AS trace_id, turn AS span_id, CASE WHEN turn > 0 AND turn % 4 <> 3 THEN (turn - 1) // 2 END AS parent_id, ((turn * 7 + conv_id) % 5) * 1000000 + turn AS k FROM conversations),
+      w AS (SELECT trace_id, span_id, [k] AS waits FROM n WHERE parent_id IS NULL UNION ALL SELECT n.trace_id, n.span_id, list_append(list_filter(w.waits, lambda x: x > n.k), n.k) FROM n JOIN w ON n.trace_id = w.trace_id AND n.parent_id = w.span_id)
+      SELECT trace_id, span_id, row_number() OVER (PARTITION BY trace_id ORDER BY waits) - 1 AS clock_index FROM w""",
     "orphan_parent_detach": f"""WITH {CV}, b AS (SELECT trace_id, span_id, CASE WHEN parent_id IS NOT NULL AND span_id % 5 = 0 THEN parent_id + 100000 ELSE parent_id END AS p FROM cv)
       SELECT b.trace_id, b.span_id, CASE WHEN c.span_id IS NOT NULL THEN b.p END AS parent_id, CASE WHEN c.span_id IS NULL THEN b.p END AS unresolved_parent
       FROM b LEFT JOIN cv c ON b.trace_id = c.trace_id AND b.p = c.span_id""",

@@ -3,7 +3,8 @@
 A reader gives a Snapshot of two DataFrames. traces: trace_id, case_id, source_url, cost_usd, latency_ms, tokens, results
 and attributes (variants). spans: trace_id, span_id, parent_id, kind, subtype, name, tool, start, end, input, output
 (variants; NULL is `not recorded`, JSON null is a recorded null), error, cost_usd, duration_ms, model, tokens, tool_call and
-attributes (variants), sibling (place among its siblings where the source has an order, else NULL: by start and id).
+attributes (variants), sibling (place among its siblings where the source has an order, else NULL: by start, tie and id),
+tie (the source's own order of spans that start together). Readers of sources that number no calls add clock_index.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from tracelake.functions.json_values import kind
 from tracelake.functions.tables import bucketed, kept, read_bucketed
 from tracelake.operators.evidence import corpus_description
 from tracelake.operators.projections import visits
-from tracelake.operators.trees import cyclic, detach_orphans
+from tracelake.operators.trees import clock_order, cyclic, detach_orphans
 
 KINDS = ["LLM", "TOOL", "AGENT", "CHAIN", "RETRIEVER", "EMBEDDING", "RERANKER", "EVALUATOR", "GUARDRAIL", "UNKNOWN"]
 #: A time with an offset; times without one are refused.
@@ -31,7 +32,7 @@ TOKENS = "struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bi
 SPANS = {
     "trace_id": "string", "span_id": "string", "parent_id": "string", "kind": "string", "subtype": "string", "name": "string", "tool": "string", "start": "timestamp",
     "end": "timestamp", "input": "variant", "output": "variant", "error": "string", "cost_usd": "double", "duration_ms": "double", "model": "string", "tokens": TOKENS,
-    "tool_call": "variant", "sibling": "long", "attributes": "variant",
+    "tool_call": "variant", "sibling": "long", "tie": "string", "attributes": "variant",
 }
 TRACES = {
     "trace_id": "string", "case_id": "string", "source_url": "string", "cost_usd": "double", "latency_ms": "double", "tokens": TOKENS, "results": "variant",
@@ -232,8 +233,11 @@ def text_payload(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text), text.cast("variant"))
 
 
-def checked(traces: DataFrame, spans: DataFrame, detach: bool) -> Snapshot:
-    """Unique ids, existing parents (or detached ones, if allowed), no cycles, no span that ends before it starts."""
+def checked(traces: DataFrame, spans: DataFrame, detach: bool, clock: bool = False) -> Snapshot:
+    """Unique ids, existing parents (or detached ones, if allowed), no cycles, no span that ends before it starts.
+
+    clock: calls are numbered by time over all branches, not depth first.
+    """
     traces, spans = completed(traces, TRACES), kept(completed(spans, SPANS))
     unique(traces, ["trace_id"], "trace")
     unique(spans, ["trace_id", "span_id"], "span")
@@ -247,4 +251,5 @@ def checked(traces: DataFrame, spans: DataFrame, detach: bool) -> Snapshot:
         problems["parent not found"] = F.col("unresolved_parent").isNotNull()
     require_all(attached, who, problems)
     require(cyclic(attached), F.concat(F.lit("parent cycle at "), "span_id"), F.lit(True))
-    return Snapshot(traces, attached.select(*SPANS, "unresolved_parent"))
+    attached = attached.select(*SPANS, "unresolved_parent")
+    return Snapshot(traces, clock_order(attached) if clock else attached)

@@ -61,12 +61,12 @@ def langsmith(rows: DataFrame) -> Snapshot:
         "trace_id", text_at(v, "$.id").alias("span_id"), _filled(v, "$.parent_run_id").alias("parent_id"), kinds.alias("kind"), subtype.alias("subtype"), _filled(v, "$.name").alias("name"),
         F.when(kinds == "TOOL", _filled(v, "$.name")).alias("tool"), zoned_time(text_at(v, "$.start_time")).alias("start"), zoned_time(text_at(v, "$.end_time")).alias("end"),
         _recorded(v, "$.inputs").alias("input"), _recorded(v, "$.outputs").alias("output"),
-        F.coalesce(_filled(v, "$.error"), F.when(F.lower(text_at(v, "$.status")) == "error", F.lit("LangSmith Run status ERROR"))).alias("error"), F.try_variant_get(v, "$.total_cost", "double").alias("cost_usd"), v.alias("attributes"),
+        F.coalesce(_filled(v, "$.error"), F.when(F.lower(text_at(v, "$.status")) == "error", F.lit("LangSmith Run status ERROR"))).alias("error"), F.try_variant_get(v, "$.total_cost", "double").alias("cost_usd"), F.coalesce(text_at(v, "$.dotted_order"), F.lit("")).alias("tie"), v.alias("attributes"),
     ).withColumn("duration_ms", duration_ms(F.lit(None).cast("double"), F.col("start"), F.col("end")))
     metadata = lambda k: _filled(v, f"$.extra.metadata.{k}")
     roots = runs.where(text_at(v, "$.id") == F.col("trace_id")).select("trace_id", "position", F.coalesce(*map(metadata, ("thread_id", "session_id", "conversation_id"))).alias("case_id"), at(v, "$.feedback_stats").alias("results"), v.alias("attributes"))
     totals = spans.groupBy("trace_id").agg(F.sum("cost_usd").alias("cost_usd"), span_latency(F.col("start"), F.col("end")).alias("latency_ms"))
-    return checked(roots.join(totals, "trace_id"), spans, detach=True)
+    return checked(roots.join(totals, "trace_id"), spans, detach=True, clock=True)
 
 
 def braintrust(rows: DataFrame) -> Snapshot:
@@ -98,7 +98,7 @@ def braintrust(rows: DataFrame) -> Snapshot:
         text_at(v, "$.metadata.model").alias("model"), call.alias("tool_call"), F.to_variant_object(F.struct(name.alias("name"), text_at(v, "$.span_attributes.type").alias("subtype"), v.alias("braintrust"))).alias("attributes"),
     ).withColumn("duration_ms", duration_ms(F.lit(None).cast("double"), F.col("start"), F.col("end")))
     times = spans.groupBy("trace_id").agg(span_latency(F.col("start"), F.col("end")).alias("latency_ms"))
-    return checked(found.where(is_root).select("trace_id", "position", at(v, "$.scores").alias("results")).join(times, "trace_id"), spans, detach=False)
+    return checked(found.where(is_root).select("trace_id", "position", at(v, "$.scores").alias("results")).join(times, "trace_id"), spans, detach=False, clock=True)
 
 
 def unwrapped(v: Column) -> dict[str, Column]:
@@ -149,7 +149,7 @@ def intake(rows: DataFrame) -> Snapshot:
         "trace_id", "position", F.coalesce(_filled(v, "$.evaluation_context.test_case_id"), _filled(v, "$.session_id")).alias("case_id"), F.try_variant_get(v, "$.cost_usd", "double").alias("cost_usd"),
         F.try_variant_get(v, "$.duration_ms", "double").alias("latency_ms"), v.alias("attributes"),
     )
-    return checked(traces.join(by_name, "trace_id", "left"), spans, detach=False)
+    return checked(traces.join(by_name, "trace_id", "left"), spans, detach=False, clock=True)
 
 
 SNAPSHOTS = {"langfuse": langfuse, "mlflow": mlflow, "langsmith": langsmith, "braintrust": braintrust, "intake": intake}

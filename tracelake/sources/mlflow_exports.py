@@ -59,7 +59,7 @@ def snapshot(found: DataFrame, limit: int | None = None) -> Snapshot:
     times = spans.groupBy("trace_id").agg(span_latency(F.col("start"), F.col("end")).alias("latency_ms"))
     case = F.nullif(text_at(t, "$.info.trace_metadata['mlflow.trace.session']"), F.lit(""))
     heads = traces.select("trace_id", "position", case.alias("case_id"), F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("double").alias("cost_usd"), at(t, "$.info").alias("attributes"))
-    return checked(heads.join(times, "trace_id", "left").join(results, "trace_id", "left"), spans, detach=True)
+    return checked(heads.join(times, "trace_id", "left").join(results, "trace_id", "left"), spans, detach=True, clock=True)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

@@ -74,4 +74,4 @@ def snapshot(found: DataFrame, limit: int | None = None, since: str | None = Non
         "trace_id", F.nullif(text_at(t, "$.sessionId"), F.lit("")).alias("case_id"), F.concat("file", F.lit("#L"), "line").alias("source_url"),
         F.coalesce(F.when(given >= 0, given), "spent").alias("cost_usd"), F.coalesce(F.try_variant_get(t, "$.latency", "double") * 1000, "span_ms").alias("latency_ms"), "results", t.alias("attributes"), F.unix_micros("ts").alias("position"),
     )
-    return checked(heads, spans, detach)
+    return checked(heads, spans, detach, clock=True)

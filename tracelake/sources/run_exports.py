@@ -47,7 +47,7 @@ def read(spark: SparkSession, path: str, limit: int = 100) -> Snapshot:
         zoned_time(text_at(v, "$.end_time")).alias("end"), recorded("$.inputs").alias("input"), recorded("$.outputs").alias("output"),
         F.coalesce(error, F.when(status == "error", F.lit("LangSmith Run status ERROR"))).alias("error"), F.try_variant_get(v, "$.costs.total_cost", "double").alias("cost_usd"),
         F.coalesce(*(F.nullif(text_at(v, f"$.custom_metadata.{k}"), F.lit("")) for k in ("thread_id", "session_id", "conversation_id"))).alias("case_id"),
-        at(v, "$.feedback_stats").alias("feedback"), v.alias("attributes"),
+        at(v, "$.feedback_stats").alias("feedback"), F.coalesce(text_at(v, "$.dotted_order"), F.lit("")).alias("tie"), v.alias("attributes"),
     ).withColumn("tool", F.when(F.col("kind") == "TOOL", F.col("name"))).withColumn("duration_ms", duration_ms(F.lit(None).cast("double"), F.col("start"), F.col("end")))
     require(runs, F.concat(place, F.lit(": invalid cost")), (F.col("cost_usd") < 0) | F.isnan("cost_usd"))
     roots = runs.where("parent_id IS NULL")
@@ -61,4 +61,4 @@ def read(spark: SparkSession, path: str, limit: int = 100) -> Snapshot:
     )
     place = F.concat("file", F.lit("#L"), "line")
     traces = roots.select("trace_id", "case_id", place.alias("source_url"), "attributes").join(totals, "trace_id")
-    return checked(traces, runs, detach=False)
+    return checked(traces, runs, detach=False, clock=True)
