@@ -151,3 +151,17 @@ _SCORES = f"""u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subs
   b AS (SELECT *, CASE WHEN messages = 0 THEN 'no_user_messages' WHEN complaints > 0 THEN 'complaint' ELSE 'no_complaint' END AS label FROM l)"""
 ORACLES["screening"] = f"WITH {_SCORES} SELECT trace_id, label, messages, complaints, highest FROM b"
 ORACLES["screening_coverage"] = f"WITH {_SCORES} SELECT count(*) AS traces, count(*) FILTER (WHERE messages > 0) AS with_messages, count(*) FILTER (WHERE label = 'complaint') AS candidates FROM b"
+_P = ORACLES["presence_counts"]
+_NOTES = [
+    ("total_traces < 3", "'There are ' || total_traces || ' traces; trajectories are clustered from 3 on.'"),
+    ("distinct_cases < 3", "'There are ' || distinct_cases || ' logical cases; a card counts from 3 independent cases on, so none can.'"),
+    ("total_traces > 0 AND distinct_cases = total_traces AND logical_case_id = 0", "'No trace names its logical case, so each counts as its own; retries of one task would be counted several times.'"),
+    ("result_present > 0 AND result_empty >= 0.95 * result_present", "result_empty || ' of ' || result_present || ' results hold nothing, so rules that read results find nothing; the export may lack payloads.'"),
+    ("total_calls > 0 AND arguments_empty >= 0.95 * total_calls", "arguments_empty || ' of ' || total_calls || ' calls have no arguments, so rules about arguments find nothing; is the right field read?'"),
+    ("total_calls > 0 AND explicit_error_false > 0.9 * total_calls", "'Almost every call says explicit_error is false, which rules out reading failures from results.'"),
+    ("total_calls > 0 AND result_absent = 0", "'Every call has a result; lost results can''t be told.'"), ("steps = 0", "'No trace has steps; trajectories are made of tool calls.'"),
+    ("steps > 0 AND steps < total_traces", "steps || ' of ' || total_traces || ' traces have steps; trajectories of the others aren''t comparable with theirs.'"),
+    ("result_absent > 0", "result_absent || ' of ' || total_calls || ' calls have no result to judge.'"),
+    ("total_traces > tool_catalog", "(total_traces - tool_catalog) || ' of ' || total_traces || ' traces have no tool catalog, so their arguments weren''t checked.'"),
+]
+ORACLES["coverage_notes"] = f"WITH p AS ({_P}) " + " UNION ALL ".join(f"SELECT {text} AS note FROM p WHERE {condition}" for condition, text in _NOTES)
