@@ -162,3 +162,91 @@ def test_predicates_share_one_scan(spark, tmp_path):
     saved = spark.createDataFrame([("good", "z", "u", ["s9"])], "insight_id string, trace_id string, url string, spans array<string>")
     got = review.compile_insights(snapshot, spans, saved, {"good": (one, examples), "dies": (dies, examples)}, "2026-01-01")
     assert got.failed == {"dies": "trace a: division by zero"} and {r.trace_id for r in got.evidence.collect()} == {"a", "b", "c", "z"}
+
+
+def steppers():
+    """Made in a function, so that workers, which can't import tests, get them by value."""
+
+    class FailureThenRetry:
+        """Matches a trace in which a failed span is followed by one with the same input; unknown if there is a single span."""
+
+        def __init__(self):
+            self.n, self.failed, self.found = 0, {}, []
+
+        def step(self, span):
+            self.n += 1
+            if span["error"] == "die":
+                raise RuntimeError("can't go on")
+            if span["input"] in self.failed:
+                self.found.append(span["span_id"])
+            if span["error"]:
+                self.failed[span["input"]] = span["span_id"]
+
+        def result(self):
+            return ("match", self.found) if self.found else ("no_match" if self.n > 1 else "unknown", [])
+
+    class Odd(FailureThenRetry):
+        def result(self):
+            return "match", ["nobody"] if self.n > 1 else []
+
+    return {"retry": FailureThenRetry, "odd": Odd}
+
+
+def test_streamed_predicates_agree_with_gathered_ones(spark):
+    rows = [("a", "s1", 0, "x", "boom"), ("a", "s2", 1, "y", None), ("a", "s3", 2, "x", None), ("b", "s1", 0, "x", None), ("b", "s2", 1, "x", "late"), ("c", "s1", 0, "x", "boom"), ("d", "s1", 0, "x", "die"), ("d", "s2", 1, "x", None)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, dfs_index int, input string, error string").repartition(3)
+
+    def gathered(make):
+        def predicate(part):
+            one = make()
+            for row in part.where(part.notna(), None).to_dict("records"):
+                one.step(row)
+            return one.result()
+
+        return predicate
+
+    as_set = lambda df: {(r.name, r.trace_id, r.state, tuple(r.witnesses), r.error) for r in df.collect()}
+    makers = steppers()
+    got = as_set(review.stream_all(spans, makers))
+    assert got == as_set(review.scan_all(spans, {n: gathered(m) for n, m in makers.items()}))
+    assert ("retry", "a", "match", ("s3",), None) in got and ("retry", "d", None, (), "trace d: can't go on") in got and ("odd", "b", None, (), "trace b: no span nobody") in got
+
+
+def test_insights_may_be_steppers(spark):
+    rows = [("a", "s1", 0, "x", "boom"), ("a", "s2", 1, "x", None), ("b", "s1", 0, "x", None), ("b", "s2", 1, "x", None)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, dfs_index int, input string, error string")
+    snapshot = snapshot_of(spark, ["a", "b"])
+    example = lambda *errors: pd.DataFrame({"trace_id": "x", "span_id": [f"s{i}" for i in range(len(errors))], "input": "q", "error": errors})
+    examples = {"match": example("e", None), "no_match": example(None, None), "unknown": example(None)}
+    anything = lambda part: ("match", ["s1"]) if part["error"].notna().any() else ("unknown" if len(part) == 1 else "no_match", [])
+    saved = spark.createDataFrame([], "insight_id string, trace_id string, url string, spans array<string>")
+    retry = steppers()["retry"]
+    got = review.compile_insights(snapshot, spans, saved, {"streamed": (retry, examples), "gathered": (anything, examples | {"match": example(None, "e")})}, "2026-01-01")
+    assert got.failed == {} and sorted((r.insight_id, r.trace_id, r.spans) for r in got.evidence.collect()) == [("gathered", "a", ["s1"]), ("streamed", "a", ["s2"])]
+    alone = review.compile_insights(snapshot, spans, saved, {"streamed": (retry, examples)}, "2026-01-01")
+    assert alone.evidence.count() == 1 and review.compile_insights(snapshot, spans, saved, {}, "2026-01-01").evidence.count() == 0
+
+
+def test_a_long_trace_is_streamed(spark):
+    """A trace of 300,000 spans, about 150 MB of text, passes a worker that grows by much less."""
+
+    class Weighs:
+        def __init__(self):
+            self.first = self.last = None
+
+        def step(self, span):
+            if self.first is None:
+                import resource
+
+                self.first = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+            self.last = span["dfs_index"]
+
+        def result(self):
+            import resource
+
+            return f"{self.last} {(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - self.first) // 1024}", []
+
+    spans = spark.range(300_000).select(F.lit("t").alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.col("id").alias("dfs_index"), F.repeat(F.col("id").cast("string"), 100).alias("input"))
+    (row,) = review.stream_all(spans, {"w": Weighs}).collect()
+    last, grown = row.error.split("'")[1].split()
+    assert int(last) == 299_999 and int(grown) < 100

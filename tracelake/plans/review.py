@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tracelake.functions.tables import kept
@@ -63,12 +64,87 @@ def scan_all(spans: DataFrame, predicates: dict[str, Predicate]) -> DataFrame:
     return spans.select(*columns).groupBy("trace_id").applyInPandas(judge, f"name string, trace_id {kind}, state string, witnesses array<string>, error string")
 
 
+class Stepper(Protocol):
+    """A predicate that sees a trace's spans one after the other."""
+
+    def step(self, span: Row) -> None: ...
+
+    def result(self) -> tuple[str, Iterable[str]]: ...
+
+
+def stream_all(spans: DataFrame, steppers: dict[str, Callable[[], Stepper]]) -> DataFrame:
+    """The same as scan_all() for steppers, of which each trace gets new ones: no trace is gathered, so it may have any number of spans.
+
+    Spark sorts the spans by trace and dfs_index and streams them through a table function; whether witnesses exist is checked by
+    a join afterwards.
+    """
+    columns = [F.to_json(c).alias(c) if t == "variant" else F.col(c) for c, t in spans.dtypes]
+    kind = dict(spans.dtypes)["trace_id"]
+
+    @F.udtf(returnType=f"name string, trace_id {kind}, state string, witnesses array<string>, error string")
+    class Scan:
+        def __init__(self):
+            self.trace, self.running, self.broken = None, {}, {}
+
+        def eval(self, span: Row):
+            if not self.running and not self.broken:
+                self.trace = span["trace_id"]
+                for name, new in steppers.items():
+                    self._guarded(name, lambda name=name, new=new: self.running.__setitem__(name, new()))
+            for name, stepper in list(self.running.items()):
+                self._guarded(name, lambda stepper=stepper: stepper.step(span))
+
+        def _guarded(self, name, work):
+            try:
+                return work()
+            except Exception as error:  # noqa: BLE001 - whatever a stepper raises is its own failure
+                self.running.pop(name, None)
+                self.broken[name] = f"trace {self.trace}: {str(error).strip() or type(error).__name__}"
+
+        def _judged(self, stepper):
+            state, witnesses = stepper.result()
+            witnesses = list(dict.fromkeys(map(str, witnesses)))
+            wrong = f"{state!r} is no state" if state not in STATES else "a match needs a witness" if state == "match" and not witnesses else None
+            if wrong:
+                raise GuardError(wrong)
+            return state, witnesses
+
+        def terminate(self):
+            for name in steppers:
+                found = self._guarded(name, lambda name=name: self._judged(self.running[name])) if name in self.running else None
+                yield (name, self.trace, *found, None) if found else (name, self.trace, None, [], self.broken.get(name))
+
+    order = ["dfs_index"] if "dfs_index" in spans.columns else ["span_id"]
+    found = kept(Scan(spans.select(*columns).asTable().partitionBy("trace_id").orderBy(*order)))
+    ids = spans.select("trace_id", F.col("span_id").alias("witness"))
+    cited = found.select("name", "trace_id", F.explode("witnesses").alias("witness"))
+    lost = cited.join(ids, ["trace_id", "witness"], "left_anti").groupBy("name", "trace_id").agg(F.array_join(F.sort_array(F.collect_set("witness")), ", ").alias("_lost"))
+    out = found.join(lost, ["name", "trace_id"], "left")
+    error = F.coalesce("error", F.when(F.col("_lost").isNotNull(), F.concat(F.lit("trace "), "trace_id", F.lit(": no span "), "_lost")))
+    bad = F.col("_lost").isNotNull()
+    return out.select("name", "trace_id", F.when(~bad, F.col("state")).alias("state"), F.when(bad, F.array().cast("array<string>")).otherwise(F.col("witnesses")).alias("witnesses"), error.alias("error"))
+
+
 def scan_traces(spans: DataFrame, predicate: Predicate) -> DataFrame:
     """(trace_id, state, witnesses) of one predicate: see scan_all(). An error raises GuardError."""
     refused = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("GuardError: "), "error")).cast("string")).otherwise(F.col("state"))
     return scan_all(spans, {"": predicate}).select("trace_id", refused.alias("state"), "witnesses")
 
 
+def _whole(predicate: Predicate | type) -> Predicate:
+    """A stepper's class as a predicate on the spans of one trace; predicates as they are."""
+    if not isinstance(predicate, type):
+        return predicate
+
+    def judge(part: pd.DataFrame) -> tuple[str, Iterable[str]]:
+        one = predicate()
+        for span in part.astype(object).where(part.notna(), None).to_dict("records"):
+            one.step(Row(**span))
+        return one.result()
+
+    return judge
+
+
 def check_predicate(predicate: Predicate, examples: dict[str, pd.DataFrame]) -> None:
     """Run a predicate on an example of each state; it has to cover all three and give each its state."""
     if set(examples) != set(STATES):
@@ -88,19 +164,21 @@ class Compiled:
     failed: dict[str, str] = field(default_factory=dict)
 
 
-def compile_insights(snapshot: Snapshot, walked: DataFrame, saved: DataFrame, predicates: dict[str, tuple[Predicate, dict[str, pd.DataFrame]]], today: str) -> Compiled:
-    """Scan all traces once, with each insight's predicate, and merge what matches into its saved evidence.
+def compile_insights(snapshot: Snapshot, walked: DataFrame, saved: DataFrame, predicates: dict[str, tuple[Predicate | type, dict[str, pd.DataFrame]]], today: str) -> Compiled:
+    """Scan all traces once, with each insight's predicate or stepper's class, and merge what matches into its saved evidence.
 
     A predicate that fails its examples, a guard, or matches nothing leaves its insight unchanged.
     """
     failed, ready = {}, {}
     for name, (predicate, examples) in predicates.items():
         try:
-            check_predicate(predicate, examples)
+            check_predicate(_whole(predicate), examples)
             ready[name] = predicate
         except Exception as error:  # noqa: BLE001 - whatever a predicate raises, its insight stays
             failed[name] = str(error).strip().splitlines()[-1] if str(error).strip() else type(error).__name__
-    found = kept(scan_all(walked, ready).where("state = 'match' OR error IS NOT NULL"))
+    gathered, streamed = ({n: p for n, p in ready.items() if isinstance(p, type) == kind} for kind in (False, True))
+    scans = ([scan_all(walked, gathered)] if gathered or not streamed else []) + ([stream_all(walked, streamed)] if streamed else [])
+    found = kept(reduce(DataFrame.unionByName, scans).where("state = 'match' OR error IS NOT NULL"))
     told = found.groupBy("name").agg(F.min("error").alias("error"), F.count_if(F.col("state") == "match").alias("n")).collect()  # a row for each predicate
     matches = {r.name: r.n for r in told}
     failed |= {r.name: r.error for r in told if r.error is not None} | {name: "nothing matches" for name in ready if name not in matches}
