@@ -97,6 +97,26 @@ def test_command_line(corpus, tmp_path, capsys):
     assert main(["run", str(settings)]) == 2 and "source" in capsys.readouterr().err
 
 
+def test_plugins_add_sources(corpus, tmp_path, monkeypatch, capsys):
+    """A module that settings name registers a reader; a run with it writes a digest beside its tables."""
+    (tmp_path / "own_source_plugin.py").write_text(
+        "from tracelake.sources import canonical, readers\n"
+        "readers.register('own', lambda spark, folder, name, limit=None: canonical.read(spark, folder + '/' + name), 'folder', 'name')\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    settings, values = tmp_path / "s.json", {"plugins": ["own_source_plugin"], "source": {"own": {"folder": str(corpus.parent), "name": corpus.name, "limit": 3}}}
+    settings.write_text(json.dumps(values | {"passes": {"anomalies": {}}, "artifacts": str(tmp_path / "art")}))
+    assert main(["run", str(settings), "--output", str(tmp_path / "out.yml")]) == 0
+    text = "".join(p.read_text() for p in (tmp_path / "art/anomalies/digest").glob("*.txt"))
+    assert "# Evidence digest" in text and "- trace_count: 6" in text and "find: boom" in text and "## Trajectories" in text
+    settings.write_text(json.dumps(values | {"source": {"own": {"folder": "x"}}}))
+    assert main(["run", str(settings)]) == 2 and "name missing" in capsys.readouterr().err
+    settings.write_text(json.dumps(values | {"plugins": ["no_such_module"]}))
+    assert main(["run", str(settings)]) == 2 and "no_such_module" in capsys.readouterr().err
+    with pytest.raises(config.ConfigError, match="already"):
+        config.register_source("atif", ["path"])
+
+
 @pytest.mark.parametrize(("values", "why"), [
     ({}, "exactly one"), ({"source": {"atif": {"path": "a"}, "runs": {"path": "b"}}}, "exactly one"), ({"source": {"x": {}}}, "no source"), ({"source": {"atif": {}}}, "path missing"),
     ({"source": {"atif": {"path": "a", "odd": 1}}}, "no option odd"), ({"source": {"atif": {"path": "a"}}, "more": 1}, "no setting"), ({"source": {"atif": {"path": "a", "limit": 0}}}, "limit"),

@@ -13,17 +13,14 @@ from tracelake.functions.tables import forget
 from tracelake.operators import coverage
 from tracelake.plans.insights import merged
 from tracelake.plans.passes import built_in
-from tracelake.sinks.files import report, write_insights, write_json
+from tracelake.sinks.files import digest, report, write_insights, write_json
 from tracelake.sinks.insights import LEAST_TRACES, Insights, InsightStore, read_file
-from tracelake.sources import atif_exports, canonical, live_rows, mlflow_exports, observation_exports, rollout_exports, run_exports
+from tracelake.sources import live_rows
 from tracelake.sources.common import Snapshot
+from tracelake.sources.readers import READERS
 
 #: Endings of files; other places of insights are folders.
 FILES = (".yml", ".yaml", ".json")
-READERS = {
-    "canonical": canonical.read, "runs": run_exports.read, "observations": observation_exports.read, "mlflow": mlflow_exports.read, "atif": atif_exports.read,
-    "rollouts": lambda spark, path: rollout_exports.read(spark, path)[0],
-}
 
 
 def load(spark: SparkSession, settings: config.Config) -> Snapshot:
@@ -33,7 +30,9 @@ def load(spark: SparkSession, settings: config.Config) -> Snapshot:
         return live_rows.load(spark, settings.source.removesuffix("_live"), **{k: str(v) for k, v in options.items()})
     numbers = {"limit": int(options["limit"])} if "limit" in options else {}
     texts = {k: v for k, v in options.items() if k not in ("path", "limit")}
-    return READERS[settings.source](spark, options["path"], **numbers, **texts)
+    needs = config.SOURCES[settings.source]
+    given = [options[k] for k in needs]
+    return READERS[settings.source](spark, *given, **numbers, **{k: v for k, v in texts.items() if k not in needs})
 
 
 def saved_insights(spark: SparkSession, path: str | None) -> Insights:
@@ -56,6 +55,10 @@ def run(spark: SparkSession, settings: config.Config) -> str:
             problems = r.problems if problems is None else problems.unionByName(r.problems)
         for name, table in r.tables.items() if settings.artifacts else ():
             write_json(table, f"{settings.artifacts}/{r.name}/{name}")
+        if settings.artifacts and "anomalies" in r.tables:
+            t, counts = r.tables, snapshot.describe().first().asDict()
+            text = digest(t["anomalies"], t["failures"], t["cross_tool"], t["verdicts"], t["cluster_summary"], snapshot.traces, counts)
+            spark.createDataFrame([(text,)], "text string").coalesce(1).write.mode("overwrite").text(f"{settings.artifacts}/{r.name}/digest")
     if problems is None:
         problems = spark.createDataFrame([], "name string, description string, supporting_trace_ids array<string>")
     found = merged(snapshot, problems, saved, datetime.now(UTC).isoformat(timespec="seconds"))

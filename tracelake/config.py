@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
 from dataclasses import dataclass, field
@@ -23,6 +24,12 @@ class ConfigError(ValueError):
     """A configuration that can't be run; the message names what is wrong."""
 
 
+def register_source(name: str, needs: list[str]) -> None:
+    """Allow a source of this name with the options that it needs, besides those of OPTIONAL."""
+    _refuse(not name or name in SOURCES, f"source {name!r} is already there" if name else "a source needs a name")
+    SOURCES[name] = list(needs)
+
+
 @dataclass
 class Config:
     source: str
@@ -63,7 +70,7 @@ def _passes(given: dict[str, object]) -> dict[str, dict[str, object]]:
 
 
 def parse(values: dict[str, object]) -> Config:
-    unknown = set(values) - {"source", "passes", "output", "existing", "artifacts"}
+    unknown = set(values) - {"source", "passes", "output", "existing", "artifacts", "plugins"}
     _refuse(bool(unknown), f"no setting {', '.join(sorted(unknown))}")
     source = values.get("source")
     _refuse(not isinstance(source, dict) or len(source) != 1, "exactly one source has to be given")
@@ -83,7 +90,7 @@ def parse(values: dict[str, object]) -> Config:
 
 
 def read(path: str, overrides: dict[str, object] | None = None) -> Config:
-    """A file's settings, with those of the command line in their place."""
+    """A file's settings, with those of the command line in their place. Its plugins are modules that are imported first and register sources."""
     text = Path(path).read_text(encoding="utf-8")
     try:
         values = json.loads(text)
@@ -94,6 +101,11 @@ def read(path: str, overrides: dict[str, object] | None = None) -> Config:
             raise ConfigError(f"{path}: no JSON, and no YAML library is installed") from None
         values = yaml.safe_load(text)
     _refuse(not isinstance(values, dict), f"{path}: no settings")
+    for module in values.get("plugins", []):
+        try:
+            importlib.import_module(module)
+        except ImportError as error:
+            raise ConfigError(f"plugin {module}: {error}") from None
     return parse(values | {k: v for k, v in (overrides or {}).items() if v is not None})
 
 
