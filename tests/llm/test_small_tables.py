@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -494,3 +495,28 @@ def test_line_dedup(spark, nothing, least):
         n = len(t.split("\n")) if t is not None else 0
         assert (got[i]["n_lines"], got[i]["n_removed"], got[i]["text"]) == (n, n - len(kept), "\n".join(kept) if t is not None else None)
     assert line_dedup.remove_boilerplate(nothing).count() == 0
+
+
+def test_join_lets_go_of_chance_agreement(spark):
+    """Texts that share a passage but aren't linked have too few common signatures: none of them travels. Linked ones do."""
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage, near = words(40), words(200)
+    rows = [(i, " ".join([*words(160), *passage])) for i in range(30)] + [(100, " ".join(near)), (101, " ".join([*near[:-2], "x", "y"]))]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    found = jaccard_join._recurring_signatures(texts, 5, 80, 3).withColumnRenamed("label", "id")
+    assert found.select("id").distinct().count() > 20
+    assert jaccard_join._enough(found, 80).select("id").distinct().count() == 2
+    got = {r.id: r.component for r in jaccard_join.link_sets(texts, 5, 80).collect()}
+    assert got == {i: i for i in range(30)} | {100: 100, 101: 100}
+
+
+def test_pieces_are_bounded():
+    """Long texts don't add up: runs end at so many rows or characters; a text above the bound is alone."""
+    lengths = np.asarray([5, 5, 5, 50, 1, 1, 1, 1, 0])
+    assert list(jaccard_join.pieces(lengths, 3, 12)) == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 9)]
+    assert list(jaccard_join.pieces(lengths[:0], 3, 12)) == []
+    long = "a b c e f g h i j k l m n"
+    texts = pd.Series([long, long, "", long + " o p q"])
+    whole = jaccard_join._own_signatures(texts, 2, 80, jaccard_join.WordHashes())
+    assert len(whole[0]) == 2 and set(whole[3]) == {0, 1}

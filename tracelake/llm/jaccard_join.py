@@ -6,9 +6,10 @@ therefore found by signatures: the universe of shingles is dealt into more parts
 elements, so linked sets agree on a whole part. Per part and content, the class that agrees with most others is the
 pivot of a region, and the classes with that part are its members (a class can be in several regions). Two linked
 classes have a common signature, so they share its pivot's region: no link is lost. Signatures travel once, packed, to
-shards that tell which of them recur; most don't. There are more parts than need be, so linked sets agree on several, and
-a set can do without as many of its signatures: those that most classes have are left out (a passage that many texts
-share gives all of them some common signatures).
+shards that tell which of them recur; most don't. There are more parts than need be, so linked sets agree on several: a
+set with fewer signatures that recur is linked with nothing and goes before any text travels (a passage that many texts
+share gives all of them some common signatures, but few). Others can do without as many of their signatures: those that
+most classes have are left out.
 
 Small regions are joined at once. In a large one, each member's distance to the pivot is computed, and that to the
 region's centre c: the set of shingles that more than half of the members have. Members within the radius of the member
@@ -27,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,6 +41,10 @@ LARGE = 50
 ROWS = 500
 #: Texts whose signatures are packed together, and shingles of all texts per shard.
 BLOCK_ROWS, SHARD_SHINGLES = 2000, 2_500_000
+#: Characters of texts whose sets are made at a time (one text at least), and of a block.
+CHARS, BLOCK_CHARS = 1_000_000, 6_000_000
+#: Bits of a signature that travel to its shard. What agrees by chance, a few pairs per shard, is compared for nothing.
+KEY_BITS = 40
 #: Marks signatures that recur in their own block.
 MARK = 1 << 15
 #: Signatures that a set can do without, as a share of those it needs; the seed of families that can do without none.
@@ -151,24 +156,48 @@ def _profiles(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInPandas(work, "id long, hash long, n_shingles long, digest binary, label long")
 
 
+def pieces(lengths: np.ndarray, rows: int, chars: int):
+    """(start, stop) of runs of texts of these lengths: up to so many rows and characters, one text at least."""
+    ends, start = np.cumsum(lengths), 0
+    while start < len(lengths):
+        before = ends[start - 1] if start else 0
+        stop = int(np.searchsorted(ends, before + chars, side="right"))
+        stop = min(max(stop, start + 1), start + rows)
+        yield start, stop
+        start = stop
+
+
+def _own_signatures(texts: pd.Series, k: int, percent: int, memo: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of the classes of a block of texts (empty sets have none); signatures, their families and the numbers of their labels.
+
+    Sets are made of a few texts at a time, and what stays of them is signatures.
+    """
+    known: dict[int, int] = {}
+    out = [(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint16))]
+    for start, stop in pieces(texts.str.len().to_numpy(np.int64), ROWS, CHARS):
+        values, starts = shingle_sets(texts.iloc[start:stop], k, memo)
+        sizes, new, numbers = np.diff(starts), np.zeros(stop - start, bool), []
+        for i in np.flatnonzero(sizes):
+            label = int.from_bytes(_digest(values[starts[i] : starts[i + 1]])[:8], "little", signed=True)
+            if label not in known:
+                known[label] = len(known)
+                new[i] = True
+                numbers.append(known[label])
+        keys, family, of = signatures(values[np.repeat(new, sizes)], np.concatenate([[0], np.cumsum(sizes[new])]), percent)
+        out.append((keys, family, np.asarray(numbers, np.uint16)[of]))
+    return np.fromiter(known, np.int64, len(known)), *map(np.concatenate, zip(*out))
+
+
 def _recurring_signatures(texts: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
     """(key, label, family): signatures that several classes have."""
 
     def ship(frames):
         memo, block = WordHashes(), TaskContext.get().partitionId()
-        for frame in slices(frames, BLOCK_ROWS):
-            values, starts = shingle_sets(frame["text"], k, memo)
-            names = np.asarray([int.from_bytes(_digest(values[a:b])[:8], "little", signed=True) for a, b in zip(starts[:-1], starts[1:])], np.int64)
-            # Equal sets once, and no empty ones.
-            labels, first = np.unique(names, return_index=True)
-            use = np.diff(starts)[first] > 0
-            labels, first = labels[use], first[use]
-            number = np.full(len(names), -1)
-            number[first] = np.arange(len(first))
-            inside = np.repeat(number >= 0, np.diff(starts))
-            order = np.sort(first)
-            keys, family, place = signatures(values[inside], np.concatenate([[0], np.cumsum(np.diff(starts)[order])]), percent)
-            keys, place = keys.view(np.int64), number[order][place]
+        blocks = (frame["text"].iloc[a:b] for frame in frames for a, b in pieces(frame["text"].str.len().to_numpy(np.int64), BLOCK_ROWS, BLOCK_CHARS))
+        for block_texts in blocks:
+            labels, keys, family, place = _own_signatures(block_texts, k, percent, memo)
+            # The shard and some bits are all that is kept of a signature; sorted, each shard's lie together.
+            keys = (mixed(keys) % np.uint64(shards) << np.uint64(KEY_BITS) | keys & np.uint64((1 << KEY_BITS) - 1)).view(np.int64)
             order = np.argsort(keys, kind="stable")
             keys, place, family = keys[order], place[order], family[order]
             # Of a key that recurs here one is shipped, marked; the others need no comparison.
@@ -176,15 +205,13 @@ def _recurring_signatures(texts: DataFrame, k: int, percent: int, shards: int) -
             known = np.concatenate([again[1:], [False]])[: len(keys)]
             rows = [(block % shards, 1, packed(keys[again], family[again]), labels[place[again]].tobytes())] if again.any() else []
             block += 7919
-            keys, place, family = keys[~again], place[~again] | np.where(known[~again], MARK, 0), family[~again]
-            shard = (mixed(keys.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            keys, place, family = keys[~again], place[~again] | np.where(known[~again], MARK, 0).astype(np.uint16), family[~again]
+            bounds = np.searchsorted(keys, np.arange(shards + 1) << KEY_BITS)
             for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
                 if a < b:
-                    at = place[order[a:b]]
-                    own, at_own = np.unique(at & ~MARK, return_inverse=True)
-                    rows.append((s, 0, packed(keys[order[a:b]], (at_own | at & MARK).astype(np.uint16), family[order[a:b]]), labels[own].tobytes()))
+                    at = place[a:b]
+                    own, at_own = np.unique(at & (MARK - 1), return_inverse=True)
+                    rows.append((s, 0, packed(keys[a:b], (at_own | at & MARK).astype(np.uint16), family[a:b]), labels[own].tobytes()))
             yield pd.DataFrame(rows, columns=["shard", "ready", "keys", "labels"])
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -210,21 +237,31 @@ def _recurring_signatures(texts: DataFrame, k: int, percent: int, shards: int) -
         return pd.concat(out) if out else pd.DataFrame({"key": keys, "label": labels, "family": family.astype(np.int32)})
 
     shipped = texts.select("text").mapInPandas(ship, "shard int, ready int, keys binary, labels binary")
-    return shipped.groupBy("shard").applyInPandas(compare, "key long, label long, family int").distinct()
+    return shipped.groupBy("shard").applyInPandas(compare, "key long, label long, family int")
+
+
+def _slack(percent: int) -> Column:
+    """The slack of a row's family."""
+    slacks = F.array(*(F.lit(parts_of(i, percent)[2]) for i in range(len(bands(percent)) - 1)))
+    return F.when(F.col("family").bitwiseAND(F.lit(255)) == LAST_SEED, 0).otherwise(F.get(slacks, F.shiftright("family", 8)))
+
+
+def _enough(recurring: DataFrame, percent: int) -> DataFrame:
+    """Distinct rows of recurring (key, id, family) of classes that have more of a family than its slack: linked classes share that many."""
+    rows = recurring.repartition("id", "family").distinct()
+    own = F.count("*").over(W.partitionBy("id", "family"))
+    return rows.withColumn("own", own).where(F.col("own") > _slack(percent)).drop("own")
 
 
 def _needed(recurring: DataFrame, percent: int) -> DataFrame:
-    """recurring (key, id, family) without signatures that a class can do without: of each family as many as its slack, those that most classes have.
+    """(key, id) of recurring (key, id, family) without signatures that a class can do without: of each family as many as its slack, those that most classes have.
 
     Two linked classes share slack + 1 signatures of a family. The rarest of them is left out in neither, as the others
     are more frequent in both. Only signatures of large regions are left out.
     """
     often = small(stored(recurring.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE), "join-frequent"))
     rank = F.row_number().over(W.partitionBy("id", "family").orderBy(F.desc("n"), F.desc("key")))
-    band = F.shiftright("family", 8)
-    slacks = F.array(*(F.lit(parts_of(i, percent)[2]) for i in range(len(bands(percent)) - 1)))
-    slack = F.when(F.col("family").bitwiseAND(F.lit(255)) == LAST_SEED, 0).otherwise(F.get(slacks, band))
-    spared = recurring.join(often, "key").withColumn("rank", rank).where(F.col("rank") <= slack).select("key", "id")
+    spared = recurring.join(often, "key").withColumn("rank", rank).where(F.col("rank") <= _slack(percent)).select("key", "id")
     return recurring.join(spared, ["key", "id"], "left_anti").select("key", "id")
 
 
@@ -469,7 +506,8 @@ def link_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
     classes = stored(classes, "join-classes")
     total = profiles.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_SHINGLES))
-    recurring = stored(_recurring_signatures(texts, k, percent, shards).withColumnRenamed("label", "id"), "join-signatures")
+    recurring = _recurring_signatures(texts, k, percent, shards).withColumnRenamed("label", "id")
+    recurring = stored(_enough(recurring, percent), "join-signatures")
     recurring = stored(_needed(recurring, percent), "join-needed")
     # One text of each class that shares a signature with another.
     chosen = classes.join(recurring.select(F.col("id").alias("label")).distinct(), "label", "left_semi")
