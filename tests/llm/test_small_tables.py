@@ -520,3 +520,19 @@ def test_pieces_are_bounded():
     texts = pd.Series([long, long, "", long + " o p q"])
     whole = jaccard_join._own_signatures(texts, 2, 80, jaccard_join.WordHashes())
     assert len(whole[0]) == 2 and set(whole[3]) == {0, 1}
+
+
+def test_kneser_ney_learns_from_all_text(spark, monkeypatch):
+    """A language's trusted text beyond 2.5 million characters counts; rows of the model beyond what is broadcast are joined by a shuffle."""
+    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", 6)
+    ids = [i for i in range(40)]
+    docs = spark.createDataFrame([(i, "en", f"a b c a b own{i} " + "pad " * 120_000) for i in ids] + [(99, "en", "a b c a b")] * 2, "doc_id long, lang string, text string")
+    trained, train = [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda d: trained.append(sorted(r.doc_id for r in d.select("doc_id").collect())) or train(d))
+    trusted = spark.range(40).withColumnRenamed("id", "doc_id")
+    rows = {r.doc_id: r for r in kneser_ney.classify(docs, trusted).collect()}
+    half = spark.range(40).where(F.pmod(F.xxhash64("id"), F.lit(kneser_ney._SLICES)) * 2 < kneser_ney._SLICES)
+    assert trained == [sorted(r.id for r in half.collect())] and len(trained[0]) * 480_000 > 2_500_000
+    texts = [r.text for r in docs.where(F.col("doc_id").isin(trained[0])).collect()]
+    n, want = kneser_ney_log_probs(texts, "a b c a b")
+    assert rows[99].n_words == 2 * n and rows[99].log_prob - kneser_ney.SLACK / np.sqrt(2 * n) == pytest.approx(want - kneser_ney.SLACK / np.sqrt(n), abs=1e-9)

@@ -1,10 +1,11 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is trained on a bounded sample of documents that are labelled good; its tables (counts, continuation counts,
-context totals) are built by aggregations and joins that are sharded by n-gram. Scoring joins every pair of words of
-every document with the tables. These have no more rows than the sample has words, so within a checked bound they are
-broadcast; beyond it the same joins are shuffled. Each language has its own threshold, a quantile of the perplexity of
-all its trusted documents.
+The model is trained on the whole texts of half of the documents that are labelled good, dealt by a hash of doc_id; the
+other half, which it hasn't seen, gives the thresholds, so that each trusted document counts. Its tables (counts,
+continuation counts, context totals) are built by aggregations and joins that are sharded by n-gram. Scoring needs each
+pair of words of every document: a word's and a context's part come from tables with a row per word, and what a listed pair
+adds to them from one with a row per pair. Within a checked bound these are broadcast; beyond it the same joins are
+shuffled, by the pair alone. Each language has its own threshold, a quantile of the perplexity of its trusted documents.
 
     p(w | v) = max(c(v w) - D(c), 0) / c(v .) + gamma(v) p(w),   D(c) one of three discounts for counts 1, 2, 3 or more
     p(w)     = max(n(. w) - D'(n), 0) / n(. .) + gamma' / V,     n(. w): distinct words seen before w
@@ -13,14 +14,15 @@ all its trusted documents.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import small, stored
 
-#: Characters of trusted text to train on, for each language; never more than half of its trusted documents.
-TRAIN_CHARS = 2_500_000
+#: Characters of trusted text to train on, for each language: no bound but half of its trusted documents.
+TRAIN_CHARS = float("inf")
 #: Rows of model tables up to which they are broadcast.
 MODEL_ROWS = 2_000_000
 #: Share of each language's other trusted documents that has to stay, and how far below them the threshold lies.
@@ -64,11 +66,16 @@ def discounts(n: dict[int, int]) -> list[float]:
 
 @dataclass
 class Model:
-    #: (pair, kept): discounted probability of listed pairs.
+    """Tables (key, value, c): a text's log10 probability is what `unknown` gives its words, plus the values of its keys that are listed.
+
+    A token has three keys, its pair, the word before it and itself. c: how often the key occurs in what was learned from.
+    """
+
+    #: Pairs: what they have beyond the parts of their context and of their word.
     pairs: DataFrame
-    #: (v, back): log10-free weight gamma(v) that a context gives to single words.
+    #: Contexts: log10 of the weight gamma(v) that they give to single words.
     contexts: DataFrame
-    #: (w, p): probability of single words.
+    #: Words: log10 of their probability, less that of a word that the model lacks.
     words: DataFrame
     #: Probability of a word that the model lacks.
     unknown: float
@@ -80,33 +87,69 @@ def _histogram(counts: DataFrame, column: str) -> dict[int, int]:
 
 def train(docs: DataFrame) -> Model:
     """Learn from all texts of docs (column text)."""
-    counts = stored(_pairs(docs, []).groupBy("v", "w", "pair").agg(F.count("*").alias("c")), "kn-pairs")
+    counts = stored(_pairs(docs, []).groupBy("v", "w").agg(F.count("*").alias("c")), "kn-pairs")
     before = stored(counts.groupBy("w").agg(F.count("*").alias("n")), "kn-words")
     d, dw = discounts(_histogram(counts, "c")), discounts(_histogram(before, "n"))
     total, distinct, spared = before.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(_discount(F.col("n"), dw)), F.lit(0.0))).first()
     total, size = max(total, 1), distinct + 1
     rest = spared / total if distinct else 1.0
-    words = before.select("w", ((F.col("n") - _discount(F.col("n"), dw)) / total + rest / size).alias("p"))
+    words = before.select("w", "n", ((F.col("n") - _discount(F.col("n"), dw)) / total + rest / size).alias("p"))
     by_context = counts.groupBy("v").agg(F.sum("c").alias("size"), F.sum(_discount(F.col("c"), d)).alias("spared"))
-    pairs = counts.join(by_context, "v").select("pair", ((F.col("c") - _discount(F.col("c"), d)) / F.col("size")).alias("kept"))
-    contexts = by_context.select("v", (F.col("spared") / F.col("size")).alias("back"))
-    tables = (stored(pairs, "kn-model-pairs"), stored(contexts, "kn-model-contexts"), stored(words, "kn-model-words"))
-    return Model(*(small(t, MODEL_ROWS) for t in tables), rest / size)
+    contexts = stored(by_context.select("v", "size", (F.col("spared") / F.col("size")).alias("back")), "kn-contexts")
+    pairs = counts.join(small(contexts, MODEL_ROWS), "v").join(small(words, MODEL_ROWS), "w")
+    kept = (F.col("c") - _discount(F.col("c"), d)) / F.col("size")
+    own = F.log10(kept + F.col("back") * F.col("p")) - F.log10("back") - F.log10("p")
+    pairs = stored(pairs.select(F.xxhash64("v", "w").alias("key"), own.alias("value"), "c"), "kn-model-pairs")
+    contexts = contexts.select(F.col("v").alias("key"), F.log10("back").alias("value"), F.col("size").alias("c"))
+    words = words.select(F.col("w").alias("key"), (F.log10("p") - F.log10(F.lit(rest / size))).alias("value"), F.col("n").alias("c"))
+    return Model(pairs, contexts, words, rest / size)
+
+
+def _parted(table: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent rows of a table, up to a limit, and the others (None: there are none)."""
+    bucket = F.floor(4 * F.log2("c")).cast("int")
+    room = limit
+    # Counts fall into 256 buckets at most.
+    for r in sorted(table.groupBy(bucket.alias("b")).count().collect(), key=lambda r: -r["b"]):
+        room -= r["count"]
+        if room < 0:
+            return table.where(bucket > r["b"]), table.where(bucket <= r["b"])
+    return table, None
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """(keep..., n_words, log_prob): words of each row's text, and their mean log10 probability with the slack."""
-    pairs = _pairs(docs, keep).join(model.pairs, "pair", "left").join(model.contexts, "v", "left").join(model.words, "w", "left")
-    p = F.coalesce("kept", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.coalesce("p", F.lit(model.unknown))
-    sums = pairs.groupBy(*keep).agg(F.count("*").alias("n_words"), F.avg(F.log10(p)).alias("log_prob"))
-    return sums.withColumn("log_prob", F.col("log_prob") + SLACK / F.sqrt("n_words"))
+    """(keep..., n_words, log_prob): words of each row's text, and their mean log10 probability with the slack.
 
-
-def classify(docs: DataFrame, trusted: DataFrame, train_chars: int = TRAIN_CHARS, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+    The most frequent rows of the model are broadcast, MODEL_ROWS of each table at most. Keys that aren't among them travel
+    with the hash of their text and meet the other rows in a shuffled join. Columns beginning with `_kn_` are reserved.
+    """
+    joined, missed, others = _pairs(docs.withColumn("_kn_text", F.xxhash64("text")), [*keep, "_kn_text"]), [], []
+    # Contexts and words are told apart by their bits.
+    for table, column, key in ((model.pairs, "pair", F.col("pair")), (model.contexts, "v", F.bitwise_not("v")), (model.words, "w", F.col("w"))):
+        top, rest = _parted(table, MODEL_ROWS)
+        joined = joined.join(F.broadcast(top.select(F.col("key").alias(column), F.col("value").alias(f"of_{column}"))), column, "left")
+        if rest is not None:
+            missed.append(F.when(F.col(f"of_{column}").isNull(), key))
+            others.append(rest.select((F.bitwise_not("key") if column == "v" else F.col("key")).alias("key"), "value"))
+    value = sum((F.coalesce(f"of_{c}", F.lit(0.0)) for c in ("pair", "v", "w")), F.lit(0.0))
+    sums = joined.groupBy(*keep, "_kn_text").agg(F.count("*").alias("n_words"), F.avg(value).alias("log_prob"))
+    if others:
+        sums = stored(sums, "kn-sums")
+        travels = joined.select("_kn_text", F.explode(F.array_compact(F.array(*missed))).alias("key"))
+        found = travels.join(reduce(DataFrame.unionByName, others), "key").groupBy("_kn_text").agg(F.sum("value").alias("more"))
+        # Equal texts have the same mean: what all of them add by the words of all of them.
+        words = sums.groupBy("_kn_text").agg(F.sum("n_words").alias("all"))
+        more = found.join(words, "_kn_text").select("_kn_text", (F.col("more") / F.col("all")).alias("more"))
+        sums = sums.join(more, "_kn_text", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    log_prob = F.log10(F.lit(model.unknown)) + F.col("log_prob") + SLACK / F.sqrt("n_words")
+    return sums.select(*keep, "n_words", log_prob.alias("log_prob"))
+
+
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """(doc_id, lang, n_words, log_prob, perplexity, threshold, keep, text_hash) per doc_id, lang and text of docs.
 
-    trusted: doc_id of documents known to be good. By a hash of doc_id, half of them can be learned from, up to
-    train_chars characters of each language; the others give the languages' thresholds. log_prob is the mean log10
+    trusted: doc_id of documents known to be good. By a hash of doc_id, half of them are learned from, with all of their
+    text; the others give the languages' thresholds. log_prob is the mean log10
     probability of a document's words, with SLACK / sqrt(n_words) added.
 
     A null text and one without words have null log_prob and perplexity, and are rejected. A language without trusted
@@ -117,12 +160,7 @@ def classify(docs: DataFrame, trusted: DataFrame, train_chars: int = TRAIN_CHARS
     texts = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_hash"))
     good = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_good")).distinct()
     slice_of = lambda c: F.pmod(F.xxhash64(c), F.lit(_SLICES))
-    sizes = docs.where("text IS NOT NULL").select("doc_id", "lang", F.length("text").alias("chars"))
-    sizes = sizes.join(good, F.col("doc_id") == F.col("_good"), "left_semi").groupBy("lang").agg(F.sum("chars").alias("chars"))
-    # One row per language.
-    share = sizes.select(F.col("lang").alias("_lang"), (F.least(F.lit(0.5), F.lit(float(train_chars)) / F.greatest("chars", F.lit(1))) * _SLICES).alias("share"))
-    share = small(stored(share, "kn-share"))
-    pool = texts.where(slice_of("doc_id") * 2 < _SLICES).join(share, F.col("lang").eqNullSafe(F.col("_lang"))).where(slice_of("doc_id") < F.col("share"))
+    pool = texts.where(slice_of("doc_id") * 2 < _SLICES)
     model = train(pool.join(good, F.col("doc_id") == F.col("_good"), "left_semi"))
     scores = stored(score(texts, model, ["doc_id", "lang", "text_hash"]), "kn-scores")
     other = scores.where(slice_of("doc_id") * 2 >= _SLICES).join(good, F.col("doc_id") == F.col("_good"), "left_semi")
