@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -536,3 +537,24 @@ def test_kneser_ney_learns_from_all_text(spark, monkeypatch):
     texts = [r.text for r in docs.where(F.col("doc_id").isin(trained[0])).collect()]
     n, want = kneser_ney_log_probs(texts, "a b c a b")
     assert rows[99].n_words == 2 * n and rows[99].log_prob - kneser_ney.SLACK / np.sqrt(2 * n) == pytest.approx(want - kneser_ney.SLACK / np.sqrt(n), abs=1e-9)
+
+
+def test_kneser_ney_travels_packed(spark, monkeypatch):
+    """A shard's pairs are one row, what is broadcast takes few bytes a word; small blocks, shards, parts and bounds change no value."""
+    texts = [" ".join(f"w{(i * i + 7 * j * j + i * j) % 400}" for j in range(100)) + f" own{i}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learned = docs.where("doc_id < 20")
+    model = kneser_ney.train(learned)
+    assert model.pairs.count() == model.shards == 1 and model.others is None
+    words = len(model.vocabulary.value.hashes)
+    assert len(pickle.dumps(model.tables.value)) + len(pickle.dumps(model.vocabulary.value)) < 2000 + 24 * words
+    want = {i: kneser_ney_log_probs(texts[:20], t) for i, t in enumerate(texts)}
+    for name, value in (("MODEL_ROWS", 50), ("SHARD_TOKENS", 1000), ("PART_CHARS", 2000), ("BLOCK_TOKENS", 500), ("BLOCK_ROWS", 3)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    few = kneser_ney.train(learned)
+    assert few.shards > 1 and few.others is not None and len(few.vocabulary.value.hashes) <= 50
+    for m in (model, few):
+        got = {r.doc_id: r for r in kneser_ney.score(docs, m, ["doc_id"]).collect()}
+        assert len(got) == 30
+        for i, (n, value) in want.items():
+            assert got[i].n_words == n and got[i].log_prob == pytest.approx(value, abs=1e-9)
