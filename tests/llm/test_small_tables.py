@@ -7,16 +7,18 @@ import math
 import random
 import pickle
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.llm import bpe, decontaminate, jaccard_join, katz, kneser_ney, language_id, line_dedup, media, pii, substring_dedup
-from tracelake.llm.common import WordHashes
+from tracelake.llm.common import WordHashes, arrow_batches
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, row long, hash long, shard int, first long, anchor long"
@@ -558,3 +560,28 @@ def test_kneser_ney_travels_packed(spark, monkeypatch):
         assert len(got) == 30
         for i, (n, value) in want.items():
             assert got[i].n_words == n and got[i].log_prob == pytest.approx(value, abs=1e-9)
+
+
+def test_kneser_ney_tasks_hold_little(spark, monkeypatch):
+    """Words reach tasks in small batches; a task's copy of the model is made array by array and keeps no more than scores take."""
+    n = 300_000
+    stats = [kneser_ney.packed(np.arange(n), np.arange(n) * k % 97) for k in (1, 3, 5, 7, 11)]
+    tables = kneser_ney.Tables(stats, np.asarray([0.5, 1.0, 1.5]), np.asarray([0.4, 0.9, 1.4]), 10**6, 1e-9, np.arange(3), np.arange(1, 4))
+    data = pickle.dumps(tables)
+    packed = sum(map(len, stats))
+    tracemalloc.start()
+    copy = pickle.loads(data)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert all((x == y).all() for x, y in ((copy.size, tables.size), (copy.back, tables.back), (copy.p, tables.p), (copy.hot, tables.hot)))
+    assert kept < 28 * n + packed and peak < 70 * n + packed
+    conf, seen, stored = "spark.sql.execution.arrow.maxBytesPerBatch", {}, kneser_ney.stored
+    monkeypatch.setattr(kneser_ney, "stored", lambda df, name, *a: seen.update({name: spark.conf.get(conf)}) or stored(df, name, *a))
+    before = spark.conf.get(conf)
+    docs = spark.createDataFrame([(i, "en", f"a b c own{i}") for i in range(20)], "doc_id long, lang string, text string")
+    assert kneser_ney.classify(docs, docs.select("doc_id")).count() == 20
+    assert (seen["kn-counted"], seen["kn-sums"], seen["kn-scores"]) == (kneser_ney.BATCH, kneser_ney.BATCH, before) and spark.conf.get(conf) == before
+    sizes = docs.sparkSession.range(200, numPartitions=1).select(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long")).alias("w"))
+    with arrow_batches(spark, "100k"):
+        rows = sizes.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in rows) == 200 and max(r.n for r in rows) < 20

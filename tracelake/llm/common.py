@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,18 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """Actions within it send Python workers Arrow batches of about this size at most, of one row at least."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def same_row(left: Column, right: Column) -> Column:
     """Equality for join keys under which nulls are equal too."""
     return left.eqNullSafe(right)

@@ -22,7 +22,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import mixed, packed, small, stored, unpacked
+from tracelake.llm.common import arrow_batches, mixed, packed, small, stored, unpacked
 
 #: Characters of trusted text to train on, for each language: no bound but half of its trusted documents.
 TRAIN_CHARS = float("inf")
@@ -34,7 +34,9 @@ TRUSTED_ROWS = 1_000_000
 #: Trained tokens per shard, and characters that are scored per shard and part of the documents.
 SHARD_TOKENS, PART_CHARS = 1_000_000, 500_000_000
 #: Documents and tokens of a block; it has one text at least. Numbers of documents fit into DOC_BITS.
-BLOCK_ROWS, BLOCK_TOKENS, DOC_BITS = 4096, 2_000_000, 12
+BLOCK_ROWS, BLOCK_TOKENS, DOC_BITS = 4096, 1_000_000, 12
+#: Hashes of words that a task gets at once; a text's stay together.
+BATCH = "8m"
 #: Bits of the filter of words without a number, 1 << FILTER_BITS of them.
 FILTER_BITS = 26
 #: Share of each language's other trusted documents that has to stay, and how far below them the threshold lies.
@@ -105,8 +107,9 @@ class Vocabulary:
 class Tables:
     """What tasks know of the model; it travels packed."""
 
-    #: By number: how many pairs with counts 1, 2 and more have it as context, its occurrences as a context, distinct words before it.
-    stats: list[np.ndarray]
+    #: By number: how many pairs with counts 1, 2 and more have it as context, its occurrences as a context, distinct words
+    #: before it; each packed.
+    stats: list[bytes]
     #: Discounts of pairs, and of words; number of distinct pairs; probability of a word that the model lacks.
     d: np.ndarray
     dw: np.ndarray
@@ -117,17 +120,23 @@ class Tables:
     hot_counts: np.ndarray
 
     def __post_init__(self):
-        n1, n2, n3, self.size, before = self.stats
+        # One after the other: tasks hold one of them unpacked at a time.
+        stats = (unpacked(x, ["i8", "i8"])[1] for x in self.stats)
+        spared = 0.0
+        for d in self.d:
+            spared = spared + next(stats) * d
+        self.size = next(stats)
         #: By number: gamma of it as a context (1: it is none), and its probability.
-        self.back = np.where(self.size > 0, (n1 * self.d[0] + n2 * self.d[1] + n3 * self.d[2]) / np.maximum(self.size, 1), 1.0)
+        self.back = np.where(self.size > 0, spared / np.maximum(self.size, 1), 1.0)
+        del spared
+        before = next(stats)
         self.p = np.where(before > 0, (before - self.dw[np.clip(before, 1, 3) - 1]) / self.total, 0.0) + self.unknown
 
     def __getstate__(self):
-        return packed(np.arange(len(self.size)), *self.stats), self.d, self.dw, self.total, self.unknown, packed(self.hot, self.hot_counts)
+        return self.stats, self.d, self.dw, self.total, self.unknown, packed(self.hot, self.hot_counts)
 
     def __setstate__(self, state):
-        stats, self.d, self.dw, self.total, self.unknown, hot = state
-        self.stats = unpacked(stats, ["i8"] * 6)[1:]
+        self.stats, self.d, self.dw, self.total, self.unknown, hot = state
         self.hot, self.hot_counts = unpacked(hot, ["i8", "i8"])
         self.__post_init__()
 
@@ -290,7 +299,8 @@ def _count_pairs(words: DataFrame, vocabulary: Broadcast, shards: int) -> DataFr
         return pd.concat(out)
 
     schema = "kind int, shard int, a long, b long, " + "".join(f"{x} long, " for x in _STATS) + "packed binary"
-    return stored(words.mapInArrow(ship, _MESSAGE).groupBy("shard").applyInPandas(count, schema), "kn-counted", "kind")
+    with arrow_batches(words.sparkSession, BATCH):
+        return stored(words.mapInArrow(ship, _MESSAGE).groupBy("shard").applyInPandas(count, schema), "kn-counted", "kind")
 
 
 def _all(rows: pd.DataFrame, kind: int, types: list[str]) -> list[np.ndarray]:
@@ -397,7 +407,7 @@ def train(docs: DataFrame) -> Model:
     pairs = of_kind(COUNTED).select("shard", "packed")
     keys, c = _frequent(pairs, {b: n for a, b, n in histograms if a == 1})
     order = np.argsort(keys)
-    tables = Tables(stats, np.asarray(d), np.asarray(dw), total, unknown, keys[order], c[order])
+    tables = Tables([packed(np.arange(len(x)), x) for x in stats], np.asarray(d), np.asarray(dw), total, unknown, keys[order], c[order])
     shared = context.broadcast(tables)
     others = None
     if rare is not None:
@@ -538,7 +548,9 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     found = messages.groupBy("shard", "part").cogroup(own.groupBy("shard", "part")).applyInPandas(evaluate, "kind int, block long, packed binary")
     sums = found.groupBy("block").applyInPandas(finish, "_kn_text long, _kn_words long, _kn_sum double")
     # Equal texts have equal sums, but for the order of adding up.
-    sums = stored(sums.groupBy("_kn_text").agg(F.max("_kn_words").alias("_kn_words"), F.max("_kn_sum").alias("_kn_sum")), "kn-sums")
+    sums = sums.groupBy("_kn_text").agg(F.max("_kn_words").alias("_kn_words"), F.max("_kn_sum").alias("_kn_sum"))
+    with arrow_batches(docs.sparkSession, BATCH):
+        sums = stored(sums, "kn-sums")
     rows = docs.where("text IS NOT NULL").select(*keep, F.xxhash64("text").alias("_kn_text")).join(sums, "_kn_text")
     out = rows.groupBy(*keep).agg(F.sum("_kn_words").alias("n_words"), F.sum("_kn_sum").alias("_kn_sum"))
     log_prob = F.log10(F.lit(model.unknown)) + F.col("_kn_sum") / F.col("n_words") + SLACK / F.sqrt("n_words")
