@@ -585,3 +585,15 @@ def test_kneser_ney_tasks_hold_little(spark, monkeypatch):
     with arrow_batches(spark, "100k"):
         rows = sizes.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
     assert sum(r.n for r in rows) == 200 and max(r.n for r in rows) < 20
+
+
+def test_bpe_digests_take_one_worker(spark):
+    """Texts are encoded and decoded in one Python node: two in a task leave an executor with twice as many workers."""
+    texts = ["a b", None, "", "caf\u00e9 \U0001f600  x", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    done = bpe.digests(docs, bpe.default_tokenizer())
+    assert done._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    plain = bpe.decode(bpe.encode(docs, bpe.default_tokenizer()), bpe.default_tokenizer())
+    want = {(r.doc_id, hashlib.sha256(r.ids).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()) for r in plain.collect()}
+    assert {(r.doc_id, r.ids_sha256, r.decoded_sha256) for r in done.collect()} == want and len(want) == 5
+    assert {r.text for r in plain.collect()} == {t or "" for t in texts}

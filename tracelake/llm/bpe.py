@@ -303,25 +303,19 @@ def ship_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) ->
     return name
 
 
-def encode(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -> DataFrame:
-    """(doc_id, ids): ids are little-endian unsigned 32-bit integers in a binary column.
-
-    Special tokens that appear in a text get their ids, none are added. A null text counts as empty and has no ids.
-    Repeated rows stay; an empty table gives an empty table; other columns are not read, whatever their names.
-    """
-    name = ship_lexicon(docs, tokenizer, size)
+def _encoding(tokenizer: str, lexicon: str):
+    """Work of a task: frames (doc_id, text) to frames (doc_id, ids)."""
 
     def work(frames):
-        encoder = encoder_of(tokenizer, SparkFiles.get(name))
+        encoder = encoder_of(tokenizer, SparkFiles.get(lexicon))
         for frame in slices(frames, ROWS):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [encoder.encode(t) for t in frame["text"]]})
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(work, "doc_id long, ids binary")
+    return work
 
 
-def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, ids, text) of a table as encode() returns it; bytes that aren't UTF-8 become U+FFFD. Null ids: null text."""
+def _decoding(tokenizer: str):
+    """Work of a task: frames (doc_id, ids) to frames (doc_id, ids, text)."""
 
     def work(frames):
         of = vocabulary(tokenizer).bytes_of.__getitem__
@@ -329,7 +323,25 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = [None if i is None else b"".join(map(of, np.frombuffer(i, "<u4").tolist())).decode(errors="replace") for i in frame["ids"]]
             yield frame.assign(text=texts)
 
-    return encoded.select("doc_id", "ids").mapInPandas(work, "doc_id long, ids binary, text string")
+    return work
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def encode(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -> DataFrame:
+    """(doc_id, ids): ids are little-endian unsigned 32-bit integers in a binary column.
+
+    Special tokens that appear in a text get their ids, none are added. A null text counts as empty and has no ids.
+    Repeated rows stay; an empty table gives an empty table; other columns are not read, whatever their names.
+    """
+    return _texts(docs).mapInPandas(_encoding(tokenizer, ship_lexicon(docs, tokenizer, size)), "doc_id long, ids binary")
+
+
+def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, ids, text) of a table as encode() returns it; bytes that aren't UTF-8 become U+FFFD. Null ids: null text."""
+    return encoded.select("doc_id", "ids").mapInPandas(_decoding(tokenizer), "doc_id long, ids binary, text string")
 
 
 def default_tokenizer() -> str:
@@ -339,7 +351,9 @@ def default_tokenizer() -> str:
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    done = decode(encode(docs, tokenizer), tokenizer)
+    # Both in one Python worker: of two, each would hold a vocabulary, and both stay with the executor for later jobs.
+    encoding, decoding = _encoding(tokenizer, ship_lexicon(docs, tokenizer)), _decoding(tokenizer)
+    done = _texts(docs).mapInPandas(lambda frames: decoding(encoding(frames)), "doc_id long, ids binary, text string")
     return done.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
