@@ -254,6 +254,56 @@ def test_katz_single_pairs(spark, tmp_path):
     assert all(math.isclose(scores[i], math.log10(0.5 / 2 * 0.5 * 0.5)) for i in (1, 2))
 
 
+def test_katz_takes_little_memory(spark, monkeypatch):
+    """A shard unpacks and evaluates parts of its tokens, gives out small frames, and tasks get small batches of texts."""
+    rng, n, words = np.random.default_rng(1), 100_000, 500
+    hashes = np.sort(rng.integers(-(2**62), 2**62, words))
+    vocabulary = katz.Vocabulary(hashes, rng.integers(1000, 5000, words), 40 * n, 10 * words, n // 100, np.empty(0, np.int64))
+    rare = rng.integers(-(2**62), 2**62, 10 * words) | katz.RARE
+    tokens, messages = Counter(), []
+    for block, kind in itertools.product(range(8), (katz.PAIR, katz.BY_V, katz.BY_U)):
+        docs = rng.integers(0, 1900, n).astype(np.uint16)
+        tokens.update((block, d) for d in docs.tolist())
+        docs |= np.where(docs % 10 == 0, katz.OUT, 0).astype(np.uint16)
+        u, v = (1 + (words * rng.random(n) ** 2).astype(np.int64) for _ in range(2))
+        arrays = (u << katz.BITS | v, docs) if kind == katz.PAIR else (rare[(10 * words * rng.random(n) ** 2).astype(int)], docs, v)
+        order = np.lexsort((arrays[-1], arrays[0]))
+        messages.append((0, kind, block, katz.packed(*(x[order] for x in arrays))))
+    rows = pd.DataFrame(messages, columns=["shard", "kind", "block", "packed"])
+    monkeypatch.setattr(katz, "OUT_ROWS", 20_000)
+    size, asked, seen = 0, 0, 0
+    tracemalloc.start()
+    for frame in katz._Shard(vocabulary).work(iter([rows])):
+        size = max(size, len(frame))
+        asks = frame[frame["kind"] == katz.ASKS]
+        asked += (asks["x2"] + asks["x3"]).sum()
+        seen += (frame["kind"] == katz.SUMS).sum()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < size <= 20_000 and seen >= 8 and 0 < asked <= sum(tokens.values()) == 24 * n
+    assert peak < 32 * 24 * n
+
+    conf, found, stored = "spark.sql.execution.arrow.maxBytesPerBatch", {}, katz.stored
+    monkeypatch.setattr(katz, "stored", lambda df, name, *a: found.update({name: spark.conf.get(conf)}) or stored(df, name, *a))
+    before = spark.conf.get(conf)
+    docs = spark.createDataFrame([(i, f"a b c own{i}") for i in range(20)], "doc_id long, text string")
+    assert katz.score_documents(docs).count() == 20
+    assert found == {"lm-words": katz.BATCH, "lm-resolved": katz.BATCH} and spark.conf.get(conf) == before
+
+
+@pytest.mark.parametrize(("part", "rows"), [(1, 1), (50, 7)])
+def test_katz_parts_make_no_difference(spark, docs, texts, monkeypatch, part, rows):
+    """However a shard's tokens and rows are cut, scores are the same."""
+    monkeypatch.setattr(katz, "SHARE", 0.003)
+    monkeypatch.setattr(katz, "HOT_TOKENS", 3)
+    few = docs.where("doc_id NOT IN (31, 33)")
+    want = by_id(katz.score_documents(few), len(texts) - 1)
+    monkeypatch.setattr(katz, "PART_TOKENS", part)
+    monkeypatch.setattr(katz, "OUT_ROWS", rows)
+    monkeypatch.setattr(katz, "SHARD_TOKENS", 900)
+    assert by_id(katz.score_documents(few), len(texts) - 1) == want
+
+
 # op5
 
 

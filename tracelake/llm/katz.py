@@ -12,13 +12,16 @@ their counts need:
 
     both words numbered: the shard of the pair;  v without a number: that of v;  else: that of u.
 
-A shard counts its pairs from the training tokens and evaluates all its tokens. What a shard can't know alone is left to
-ordinary joins by context: backoff weights (for unseen pairs), and sizes of contexts whose pairs lie elsewhere. Pairs
-that make up a large part of all tokens (HOT_PAIRS at most) don't travel as tokens but as counts.
+A shard counts its pairs from the training tokens and then evaluates all its tokens, about PART_TOKENS of them at a time;
+messages stay packed until they are looked at. What a shard can't know alone is left to ordinary joins by context: backoff
+weights (for unseen pairs), and sizes of contexts whose pairs lie elsewhere. Pairs that make up a large part of all tokens
+(HOT_PAIRS at most) don't travel as tokens but as counts.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WordHashes, mixed, packed, stored, unpacked
+from tracelake.llm.common import WordHashes, arrow_batches, mixed, packed, stored, unpacked
 
 #: Share of all tokens from which on words have numbers; there can be 1 / SHARE of them at most.
 SHARE = 1e-6
@@ -37,8 +40,12 @@ ADDED = 0.1
 DISCOUNTED = 5
 #: Tokens per shard.
 SHARD_TOKENS = 3_000_000
+#: Tokens that a shard evaluates at a time, and rows that it gives out at a time.
+PART_TOKENS, OUT_ROWS = 250_000, 100_000
 #: Documents and characters per block; a block has one text at least. Numbers of documents fit into DOC_BITS.
 BLOCK_ROWS, BLOCK_CHARS, DOC_BITS = 4000, 6_000_000, 12
+#: Texts that a task gets at once: a block's, or one text.
+BATCH = "5m"
 #: Distinct words that a task counts before it passes them on.
 TALLY = 1_500_000
 #: Pairs with this share of a block's tokens, and of all tokens, are hot; there can be so many at most.
@@ -205,7 +212,8 @@ def discounts(n: dict[int, int]) -> list[float]:
 
 def vocabulary_of(texts: DataFrame) -> Vocabulary:
     """Counts over all rows of texts (column text, no nulls)."""
-    counted = stored(_count_words(texts), "lm-words")
+    with arrow_batches(texts.sparkSession, BATCH):
+        counted = stored(_count_words(texts), "lm-words")
     words = counted.where("kind = 0")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_texts = words.where(F.col("a") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -238,11 +246,12 @@ def _shipped(texts: DataFrame, shared, shards: int) -> DataFrame:
             block, n = partition + i, len(frame)
             out_of = frame["held_out"].to_numpy(bool)
             tokens, sizes = _tokens(frame["text"], memo)
-            doc = np.repeat(np.arange(n), sizes)
+            doc = np.repeat(np.arange(n, dtype=np.uint16), sizes)
             v = vocabulary.codes(tokens)
+            del tokens
             u = vocabulary.before(v, sizes)
             u_known, v_known = numbered(u), numbered(v)
-            marked = (doc | np.where(out_of, OUT, 0)[doc]).astype(np.uint16)
+            marked = doc | np.where(out_of, OUT, 0).astype(np.uint16)[doc]
             both = u_known & v_known
             keys = u << BITS | v
             rows = []
@@ -256,7 +265,9 @@ def _shipped(texts: DataFrame, shared, shards: int) -> DataFrame:
                     rows.append((int(s), HOT, block, packed(found[own], count[own])))
                 found, count = np.unique(at[hot] * n + doc[hot], return_counts=True)
                 rows.append((block % shards, HOT_DOCS, block, packed(found // n, found % n, count)))
+                del at, hot
             rows += messages(PAIR, block, keys[both], marked[both])
+            del keys
             rows += messages(BY_V, block, v[~v_known], marked[~v_known], u[~v_known])
             by_u = v_known & ~u_known
             rows += messages(BY_U, block, u[by_u], marked[by_u], v[by_u])
@@ -271,112 +282,207 @@ def _shipped(texts: DataFrame, shared, shards: int) -> DataFrame:
     return texts.mapInPandas(work, "shard int, kind int, block long, packed binary")
 
 
-def _gathered(rows: pd.DataFrame, kind: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Arrays of all messages of a kind, and the number of each element's message."""
-    parts = [unpacked(x, ARRAYS[kind]) for x in rows.loc[rows["kind"] == kind, "packed"]]
-    if not parts:
-        return [np.empty(0, t) for t in ARRAYS[kind]], np.empty(0, np.int64)
-    return [np.concatenate(x) for x in zip(*parts)], np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, and how often each occurs."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
+    return values[starts], np.diff(starts, append=len(values))
 
 
-def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of one element of each distinct row of keys, number of each element's row)."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0) if len(order) > 1 else True
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return order[new], number
+def _distinct(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """Distinct values of all parts, sorted."""
+    out = np.concatenate([np.empty(0, np.int64), *parts])
+    out.sort()
+    return _runs(out)[0]
+
+
+def _tally(parts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts, sorted, and how often each occurs."""
+    keys, more = [np.empty(0, np.int64)], []
+    for part in parts:
+        own, n = _runs(np.sort(part))
+        keys.append(own)
+        more.append((own[n > 1], n[n > 1] - 1))
+    keys = np.concatenate(keys)
+    keys.sort()
+    keys, n = _runs(keys)
+    for own, times in more:
+        n[np.searchsorted(keys, own)] += times
+    return keys, n
+
+
+@dataclass
+class _Pairs:
+    """Training pairs of a kind, by key (sorted): what a token of a pair adds to its document, before it is discounted."""
+
+    keys: np.ndarray
+    value: np.ndarray
+    #: Its count, if that is discounted, or 0.
+    few: np.ndarray
+    #: Whether the size of its context is in the value.
+    decided: np.ndarray
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(seen, value, few, decided) of each key."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys)), np.zeros(len(keys), np.uint8), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        seen = self.keys[at] == keys
+        return seen, np.where(seen, self.value[at], 0.0), np.where(seen, self.few[at], 0), seen & self.decided[at]
 
 
 class _Shard:
-    """Counts and evaluates the tokens of a shard, a kind at a time."""
+    """Counts and evaluates the tokens of a shard; frames and what is unpacked at a time stay small."""
 
-    def __init__(self, vocabulary: Vocabulary, rows: pd.DataFrame):
-        self.vocabulary, self.rows, self.out = vocabulary, rows, []
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.held, self.pairs = vocabulary, defaultdict(list), {}
         self.base, self.contexts = vocabulary.of_numbers(), vocabulary.contexts()
         self.counts = np.zeros(DISCOUNTED + 1, np.int64)
+        #: Words without a number whose tokens are here, those that are contexts here, and contexts of tokens of the former.
+        self.words = self.starts = self.before = np.empty(0, np.int64)
 
-    def emit(self, kind: int, **columns) -> None:
-        self.out.append(pd.DataFrame({"kind": kind, **columns}))
-
-    def evaluate(self, kind, blocks, message, docs, pair, u, p1, size, listed, known=None) -> None:
-        """Tokens by the number of their pair; of each pair u, P1 of v, how often u occurs (0: not known), counts from elsewhere.
-
-        known: for words that only this shard knows, the base distribution and how often the word of each token occurs.
-        """
-        train = docs < OUT
-        n = np.bincount(pair[train], minlength=len(u)) + listed
-        self.counts += np.bincount(n[n > 0], minlength=DISCOUNTED + 2)[1 : DISCOUNTED + 2]
-        context, of = np.unique(u, return_inverse=True)
-        add = lambda rows, weights=None: np.bincount(of[rows], None if weights is None else weights[rows], len(context))
-        few = [add(n == r) for r in range(1, DISCOUNTED + 1)]
-        many, mass = add(n > DISCOUNTED, n.astype(float)).astype(np.int64), add(n > 0, p1)
+    def emit(self, kind: int, **columns) -> Iterator[pd.DataFrame]:
+        whole = ["kind", "block", "u", *X]
+        for start in range(0, max(map(len, columns.values())), OUT_ROWS):
+            out = pd.DataFrame({"kind": kind, **{k: x[start : start + OUT_ROWS] for k, x in columns.items()}})
+            yield out.reindex(columns=[*whole, "p", "packed"]).astype({c: "Int64" for c in whole})
+
+    def messages(self, kind: int) -> Iterator[list[np.ndarray]]:
+        """Arrays of all messages of a kind, about PART_TOKENS elements at a time."""
+        held, size = [], 0
+        for _, data in self.held[kind]:
+            held.append(unpacked(data, ARRAYS[kind]))
+            size += len(held[-1][0])
+            if size >= PART_TOKENS:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held, size = [], 0
+        if held:
+            yield [np.concatenate(x) for x in zip(*held)]
+
+    def keys(self, kind: int, first: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+        """Keys of pairs, in the order of their tokens."""
+        if kind == PAIR:
+            return first
+        if kind == BY_U:
+            return np.searchsorted(self.starts, first) << 32 | other
+        return np.searchsorted(self.words, first) << 32 | np.searchsorted(self.before, other)
+
+    def tally(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        def trained():
+            for first, docs, *other in self.messages(kind):
+                train = docs < OUT
+                yield self.keys(kind, first[train], *(x[train] for x in other))
+
+        return _tally(trained())
+
+    def learn(self, kind: int, keys, n, of, context, p1, size) -> Iterator[pd.DataFrame]:
+        """Of each training pair, its count, the number of its context and P1 of v; of each context, how often it occurs (0: not known)."""
+        self.counts += np.bincount(n[n <= DISCOUNTED + 1], minlength=DISCOUNTED + 2)[1:]
+        few = [np.bincount(of[n == r], minlength=len(context)) for r in range(1, DISCOUNTED + 1)]
+        many = np.bincount(of, np.where(n > DISCOUNTED, n, 0), len(context)).astype(np.int64)
+        mass = np.bincount(of, p1, len(context))
         some = sum(few) + many > 0
-        self.emit(CONTEXTS, u=context[some], **{x: c[some] for x, c in zip(X, [*few, many])}, p=mass[some])
+        yield from self.emit(CONTEXTS, u=context[some], **{x: c[some] for x, c in zip(X, [*few, many])}, p=mass[some])
         # A context with a discounted pair has its count as size; for others all pairs must be known.
-        decided = ((sum(few) > 0)[of] & (size > 0))[pair]
-        n, seen = n[pair], n[pair] > 0
-        with np.errstate(divide="ignore"):
-            value = np.log10(n) - np.log10(p1)[pair] - np.where(decided, np.log10(size)[pair], 0)
-        at = message << DOC_BITS | docs.astype(np.int64) & (OUT - 1)
+        known = (sum(few) > 0) & (size > 0)
+        del few, many, mass, some
+        value = np.log10(n)
+        value -= np.log10(p1)
+        value -= np.where(known, np.log10(np.maximum(size, 1)), 0)[of]
+        self.pairs[kind] = _Pairs(keys, value, np.where(n <= DISCOUNTED, n, 0).astype(np.uint8), known[of])
+
+    def parts(self) -> Iterator[list[tuple]]:
+        """Up to about PART_TOKENS tokens at a time: (kind, block, arrays of a message or of a piece of one); those of a block lie together."""
+        found = sorted((block, kind, i) for kind in (PAIR, BY_V, BY_U) for i, (block, _) in enumerate(self.held[kind]))
+        part, size = [], 0
+        for block, kind, i in found:
+            arrays = unpacked(self.held[kind][i][1], ARRAYS[kind])
+            for start in range(0, len(arrays[0]), PART_TOKENS):
+                piece = [x[start : start + PART_TOKENS] for x in arrays]
+                if part and size + len(piece[0]) > PART_TOKENS:
+                    yield part
+                    part, size = [], 0
+                part.append((kind, block, piece))
+                size += len(piece[0])
+        if part:
+            yield part
+
+    def evaluate(self, part: list[tuple]) -> Iterator[pd.DataFrame]:
+        blocks = sorted({block for _, block, _ in part})
+        place, tokens = {block: i for i, block in enumerate(blocks)}, []
+        for kind in sorted({kind for kind, _, _ in part}):
+            own = [(place[block], arrays) for k, block, arrays in part if k == kind]
+            at = np.repeat([i for i, _ in own], [len(arrays[0]) for _, arrays in own]) << DOC_BITS
+            first, docs, *other = (np.concatenate(x) for x in zip(*(arrays for _, arrays in own)))
+            at |= docs.astype(np.int64) & (OUT - 1)
+            base, known = np.zeros(len(at)), np.zeros(len(at), bool)
+            if kind == BY_V:
+                # The base distribution of words that only this shard knows.
+                word = np.searchsorted(self.words, first)
+                base, known = self.own_base[word], self.own_counts[word] > 0
+            u = {PAIR: lambda: first >> BITS, BY_V: lambda: other[0], BY_U: lambda: first}[kind]()
+            tokens.append((at, u, base, known, *self.pairs[kind].of(self.keys(kind, first, *other))))
+        at, u, base, known, seen, value, few, decided = (np.concatenate(x) for x in zip(*tokens))
+        del tokens
         touched, row = np.unique(at, return_inverse=True)
-        total = lambda rows, weights=None: np.bincount(row[rows], None if weights is None else weights[rows], len(touched))
-        every = np.ones(len(row), bool)
-        base, found = (total(every, known[0]), total(known[1] > 0)) if known else (np.zeros(len(touched)), np.zeros(len(touched)))
-        sums = [total(seen, value), base, found.astype(np.uint32), *(total(n == r).astype(np.uint32) for r in range(1, DISCOUNTED + 1))]
+        total = lambda weights: np.bincount(row, weights, len(touched))
+        sums = [total(value), total(base), total(known).astype(np.uint32)]
+        sums += [np.bincount(row[few == r], minlength=len(touched)).astype(np.uint32) for r in range(1, DISCOUNTED + 1)]
         bounds = np.searchsorted(touched, np.arange(len(blocks) + 1) << DOC_BITS)
-        for block, a, b in zip(blocks, bounds[:-1], bounds[1:]):
-            if a < b:
-                self.emit(SUMS, block=[block], packed=[packed(touched[a:b] & ((1 << DOC_BITS) - 1), *(x[a:b] for x in sums))])
+        data = [packed(touched[a:b] & ((1 << DOC_BITS) - 1), *(x[a:b] for x in sums)) for a, b in zip(bounds[:-1], bounds[1:])]
+        yield from self.emit(SUMS, block=blocks, packed=data)
         ask = ~seen | ~decided
-        key, place = np.unique(of[pair[ask]] << 40 | at[ask], return_inverse=True)
+        context, of = np.unique(u[ask], return_inverse=True)
+        key, place = np.unique(of << 40 | at[ask], return_inverse=True)
         at = key & ((1 << 40) - 1)
-        self.emit(
+        yield from self.emit(
             ASKS, u=context[key >> 40], block=np.asarray(blocks, np.int64)[at >> DOC_BITS], x1=at & ((1 << DOC_BITS) - 1),
             x2=np.bincount(place, seen[ask], len(key)).astype(np.int64), x3=np.bincount(place, ~seen[ask], len(key)).astype(np.int64),
         )
 
-    def messages(self, kind: int):
-        return self.rows.loc[self.rows["kind"] == kind, "block"].tolist(), *reversed(_gathered(self.rows, kind))
+    def work(self, frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for kind, block, data in zip(frame["kind"].tolist(), frame["block"].tolist(), frame["packed"]):
+                if kind in (BLOCK, HOT_DOCS):
+                    yield from self.emit(kind, block=[block], packed=[data])
+                else:
+                    self.held[kind].append((block, data))
 
-    def work(self) -> pd.DataFrame:
-        blocks, message, (keys, docs) = self.messages(PAIR)
-        (hot, times), _ = _gathered(self.rows, HOT)
+        hot, times = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*self.messages(HOT)) if self.held[HOT] else ((), ())))
         hot, place = np.unique(hot, return_inverse=True)
         times = np.bincount(place, times, len(hot)).astype(np.int64)
-        self.emit(HOT, u=hot, x1=times)
-        pairs, pair = np.unique(np.concatenate([keys, hot]), return_inverse=True)
-        listed = np.zeros(len(pairs), np.int64)
-        listed[pair[len(keys) :]] = times
-        u, v = pairs >> BITS, pairs & MASK
-        self.evaluate(PAIR, blocks, message, docs, pair[: len(keys)], u, self.base[v], self.contexts[u], listed)
-
-        blocks, message, (x, docs, u) = self.messages(BY_V)
-        words, word = np.unique(x, return_inverse=True)
-        counts = np.bincount(word[docs < OUT], minlength=len(words))
-        first, pair = _distinct(x, u)
-        base = self.vocabulary.base(counts)
-        own = numbered(u[first])
-        size = np.where(own, self.contexts[np.where(own, u[first], 0)], 0)
-        self.evaluate(BY_V, blocks, message, docs, pair, u[first], base[word[first]], size, 0, (np.log10(base)[word], counts[word]))
-
-        blocks, message, (x, docs, v) = self.messages(BY_U)
-        first, pair = _distinct(x, v)
-        if len(words):
-            at = np.minimum(np.searchsorted(words, x[first]), len(words) - 1)
-            size = np.where(words[at] == x[first], counts[at], 0)
-        else:
-            size = np.zeros(len(first))
-        self.evaluate(BY_U, blocks, message, docs, pair, x[first], self.base[v[first]], size, 0)
-
-        self.emit(COUNTS, **{x: [n] for x, n in zip(X, self.counts)})
-        for kind in (BLOCK, HOT_DOCS):
-            through = self.rows[self.rows["kind"] == kind]
-            self.emit(kind, block=through["block"].to_numpy(), packed=through["packed"].to_numpy())
-        out = pd.concat([f for f in self.out if len(f)]).reindex(columns=["kind", "block", "u", *X, "p", "packed"])
-        whole = ["kind", "block", "u", *X]
-        return out.astype({c: "Int64" for c in whole})
+        yield from self.emit(HOT, u=hot, x1=times)
+        keys, n = self.tally(PAIR)
+        at = np.searchsorted(keys, hot)
+        keys, n = np.insert(keys, at, hot), np.insert(n, at, times)
+        context, of = _runs(keys >> BITS)
+        yield from self.learn(PAIR, keys, n, np.repeat(np.arange(len(context)), of), context, self.base[keys & MASK], self.contexts[context])
+
+        found = [(np.unique(x), np.unique(u)) for x, _, u in self.messages(BY_V)]
+        self.words, self.before = _distinct(x for x, _ in found), _distinct(u for _, u in found)
+        del found
+        keys, n = self.tally(BY_V)
+        word, of = keys >> 32, keys & 0xFFFFFFFF
+        self.own_counts = np.bincount(word, n, len(self.words)).astype(np.int64)
+        base = self.vocabulary.base(self.own_counts)
+        self.own_base = np.log10(base)
+        own = numbered(self.before)
+        size = np.where(own, self.contexts[np.where(own, self.before, 0)], 0)
+        yield from self.learn(BY_V, keys, n, of, self.before, base[word], size)
+
+        self.starts = _distinct(np.unique(x) for x, _, _ in self.messages(BY_U))
+        keys, n = self.tally(BY_U)
+        size = np.zeros(len(self.starts), np.int64)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, self.starts), len(self.words) - 1)
+            size = np.where(self.words[at] == self.starts, self.own_counts[at], 0)
+        yield from self.learn(BY_U, keys, n, keys >> 32, self.starts, self.base[keys & 0xFFFFFFFF], size)
+
+        yield from self.emit(COUNTS, **{x: [n] for x, n in zip(X, self.counts)})
+        del keys, n, of, word, base, own, size
+        for part in self.parts():
+            yield from self.evaluate(part)
 
 
 def score(texts: DataFrame) -> DataFrame:
@@ -386,11 +492,12 @@ def score(texts: DataFrame) -> DataFrame:
     shards = max(1, -(-vocabulary.tokens // SHARD_TOKENS))
     shared = spark.sparkContext.broadcast(vocabulary)
 
-    def resolve(rows: pd.DataFrame) -> pd.DataFrame:
-        return _Shard(shared.value, rows).work()
+    def resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _Shard(shared.value).work(frames)
 
     schema = "kind int, block long, u long, " + "".join(f"{x} long, " for x in X) + "p double, packed binary"
-    resolved = stored(_shipped(texts, shared, shards).groupBy("shard").applyInPandas(resolve, schema), "lm-resolved", "kind")
+    with arrow_batches(spark, BATCH):
+        resolved = stored(_shipped(texts, shared, shards).groupBy("shard").applyInPandas(resolve, schema), "lm-resolved", "kind")
     of_kind = lambda kind: resolved.where(F.col("kind") == kind)
     n = of_kind(COUNTS).agg(*(F.sum(x).alias(x) for x in X)).first()
     d = discounts({r: n[x] or 0 for r, x in enumerate(X, 1)})
