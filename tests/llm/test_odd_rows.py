@@ -148,3 +148,47 @@ def test_join_ends_soon_on_large_families(spark, monkeypatch):
                 root[high] = low
     assert got == {i: find(i) for i in sets} and len(set(got.values())) > 5
     assert len(rounds) <= 6
+
+
+def test_join_ends_regions_in_one_pass(spark, monkeypatch):
+    """Copies of copies, each with edits of its own that its copies keep: texts reach the regions once and the shells once, whatever they share."""
+    rng = np.random.default_rng(7)
+    texts = [[f"b{i}" for i in range(90)]]
+    for _ in range(139):
+        words = list(texts[int(rng.integers(len(texts)))])
+        for at in rng.integers(0, 90, 1 + len(texts) % 2):
+            words[at] = f"e{rng.integers(10**6)}"
+        texts.append(words)
+    sets = [{tuple(w[j : j + 5]) for j in range(86)} for w in texts]
+    want, shared = list(range(140)), lambda a, b: len(sets[a] & sets[b])
+    for a in range(140):
+        for b in range(a):
+            if want[a] != want[b] and 100 * shared(a, b) >= 80 * (172 - shared(a, b)):
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    plain, tables = jaccard_join.stored, []
+    keep = lambda df, name, *a: tables.append(name) or plain(df, name, *a)
+    monkeypatch.setattr(jaccard_join, "stored", keep)
+    monkeypatch.setattr(jaccard_join, "LARGE", 5)
+    for members, shingles in ((16, None), (320, 5)):  # so many members, or members that weigh as much
+        monkeypatch.setattr(jaccard_join, "REGION_MEMBERS", members)
+        if shingles:
+            monkeypatch.setattr(jaccard_join, "MEMBER_SHINGLES", shingles)
+        tables.clear()
+        assert [r.component_id for r in jaccard_join.link_documents(docs, 5, 80).orderBy("doc_id").collect()] == want and 5 < len(set(want)) < 130
+        assert [tables.count(f"join-{x}") for x in ("distances", "shells", "closed")] == [1, 1, 1]
+
+
+def test_join_windows_keep_linked_pairs(spark, monkeypatch):
+    """Shells of a region whose distances to the pivot differ by more than linked sets can aren't joined; nor are those of the pivot's links."""
+    monkeypatch.setattr(jaccard_join, "REGION_MEMBERS", 8)
+    members = [(i, 100, d, d > 20) for i, d in enumerate([0, 3, 9, 15, 20, 20, 30, 31, 40, 44, 60, 70, 95, 96, 140, 150, 180, 181, 182, 183])]
+    rows = spark.createDataFrame([(1, *m) for m in members], "pivot long, id long, n long, d long, open boolean")
+    groups = {}
+    for r in jaccard_join._shells(rows, 80).collect():
+        groups.setdefault((r.key.x, r.key.y), ([], []))[r.side].append(r.id)
+    joined = {tuple(sorted((a, b))) for (x, y), (left, right) in groups.items() for a in left for b in (left if x == y else right) if a != b}
+    wanted = {(a, b) for a, _, da, oa in members for b, _, db, ob in members if a < b and (oa or ob) and abs(da - db) <= 200 / 9}
+    assert wanted <= joined and all(oa or ob for a, _, _, oa in members for b, _, _, ob in members if (a, b) in joined)
+    assert len(joined) < 120 and max(len(left) + len(right) for left, right in groups.values()) <= 16

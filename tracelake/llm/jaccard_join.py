@@ -11,13 +11,11 @@ set with fewer signatures that recur is linked with nothing and goes before any
 share gives all of them some common signatures, but few). Others can do without as many of their signatures: those that
 most classes have are left out.
 
-Small regions are joined at once. In a large one, each member's distance to the pivot is computed, and that to the
-region's centre c: the set of shingles that more than half of the members have. Members within the radius of the member
-that is nearest to the centre are linked with it. By the triangle inequality for symmetric differences, two other members
-x, y differ in |dropped(x) - dropped(y)| + added(x) + added(y) elements at least, counted against the centre, if they add
-nothing in common. So a pair can only be linked if that is small enough, or if both have some addition. Members in that
-window are compared in blocks; those with a common addition, less than half of the members for each addition, are
-replicated into smaller regions that are joined again, recursively, each with its own pivot and centre.
+Small regions are joined at once. In a large one, each member's distance to the pivot is computed: the number of elements
+that the two sets don't share. Members are dealt into shells by that distance, those that are linked with the pivot apart
+from the others. By the triangle inequality, two sets differ in the difference of their distances at least, so a shell is
+only joined with those within the window that linked sets of their sizes leave, and linked members of the pivot aren't
+joined with each other, as they are connected. That ends each region in one pass, however alike its members are.
 """
 
 from __future__ import annotations
@@ -32,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WordHashes, mixed, packed, shingles, slices, small, stored, unpacked, word_hashes
+from tracelake.llm.common import WordHashes, arrow_batches, mixed, packed, shingles, slices, small, stored, unpacked, word_hashes
 
-#: Words of texts and members of a region that a single task joins by itself; larger regions are split further first.
-REGION_MEMBERS = 1000
+#: Members that a single task joins by itself, of a region or of two of its shells. A set counts as a member for every so many shingles begun.
+REGION_MEMBERS, MEMBER_SHINGLES = 1000, 1000
 #: Classes with a signature from which on it is left out where that is allowed.
 LARGE = 50
 ROWS = 500
@@ -43,6 +41,8 @@ ROWS = 500
 BLOCK_ROWS, SHARD_SHINGLES = 2000, 2_500_000
 #: Characters of texts whose sets are made at a time (one text at least), and of a block.
 CHARS, BLOCK_CHARS = 1_000_000, 6_000_000
+#: Bytes of texts that reach a Python task at a time.
+BATCH = "6m"
 #: Bits of a signature that travel to its shard. What agrees by chance, a few pairs per shard, is compared for nothing.
 KEY_BITS = 40
 #: Marks signatures that recur in their own block.
@@ -240,6 +240,11 @@ def _recurring_signatures(texts: DataFrame, k: int, percent: int, shards: int) -
     return shipped.groupBy("shard").applyInPandas(compare, "key long, label long, family int")
 
 
+def _weight(size: str = "size") -> Column:
+    """Members that a set of so many shingles counts as."""
+    return F.greatest(F.lit(1), F.ceil(F.col(size) / MEMBER_SHINGLES)).cast("long")
+
+
 def _slack(percent: int) -> Column:
     """The slack of a row's family."""
     slacks = F.array(*(F.lit(parts_of(i, percent)[2]) for i in range(len(bands(percent)) - 1)))
@@ -266,25 +271,25 @@ def _needed(recurring: DataFrame, percent: int) -> DataFrame:
 
 
 def _distances(regions: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(pivot, id, shared, n, n_pivot, values) of regions (pivot, id): sets of large regions' members, and what they share with the pivot's.
+    """(pivot, id, shared, n, n_pivot) of regions (pivot, id) and members (id, size, text): what large regions' members share with the pivot.
 
-    A region with up to REGION_MEMBERS members is joined at once: its rows (shared is NULL) are links that join up what is
-    linked in it. Larger ones are dealt into parts of about that size; the pivot's text goes to each part, ahead of the
-    members', and has a row of its own in the first.
+    A region that counts as up to REGION_MEMBERS members is joined at once: its rows (shared is NULL) are links that join
+    up what is linked in it. Larger ones are dealt into parts of about that size; the pivot's text goes to each part,
+    ahead of the members'.
     """
-    sizes = regions.groupBy("pivot").count().where(F.col("count") > REGION_MEMBERS)
-    sizes = small(stored(sizes.select("pivot", F.ceil(F.col("count") / REGION_MEMBERS).cast("int").alias("parts")), "join-sizes"))
+    sizes = regions.join(members.select("id", _weight().alias("weight")), "id").groupBy("pivot").agg(F.sum("weight").alias("weight")).where(F.col("weight") > REGION_MEMBERS)
+    sizes = small(stored(sizes.select("pivot", F.ceil(F.col("weight") / REGION_MEMBERS).cast("int").alias("parts")), "join-sizes"))
     dealt = lambda rows: rows.join(sizes, "pivot", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = dealt(regions).select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "parts")
     own = dealt(regions.select("pivot").distinct())
     rows = rows.unionByName(own.select("pivot", F.col("pivot").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts"))
-    rows = rows.join(members, "id").withColumn("member", F.col("id") != F.col("pivot"))
+    rows = rows.join(members.select("id", "text"), "id").withColumn("member", F.col("id") != F.col("pivot"))
 
     def work(frames):
         memo, region, ids, sets = WordHashes(), None, [], []
 
         def joined() -> list[tuple]:
-            return [(a, b, None, None, None, None) for a, b in _linked_up(ids, sets, percent)]
+            return [(a, b, None, None, None) for a, b in _linked_up(ids, sets, percent)]
 
         for frame in slices(frames, ROWS):
             values, starts = shingle_sets(frame["text"], k, memo)
@@ -297,16 +302,14 @@ def _distances(regions: DataFrame, members: DataFrame, k: int, percent: int) ->
                 if parts == 1:
                     ids.append(doc)
                     sets.append(own)
-                    continue
-                if not member:
+                elif member:
+                    out.append((pivot, doc, len(np.intersect1d(own, pivot_set, assume_unique=True)), len(own), len(pivot_set)))
+                else:
                     pivot_set = own
-                if member or part == 0:
-                    both = len(np.intersect1d(own, pivot_set, assume_unique=True))
-                    out.append((pivot, doc, both, len(own), len(pivot_set), own.view(np.int64)))
-            yield pd.DataFrame(out, columns=["pivot", "id", "shared", "n", "n_pivot", "values"])
-        yield pd.DataFrame(joined(), columns=["pivot", "id", "shared", "n", "n_pivot", "values"])
+            yield pd.DataFrame(out, columns=["pivot", "id", "shared", "n", "n_pivot"])
+        yield pd.DataFrame(joined(), columns=["pivot", "id", "shared", "n", "n_pivot"])
 
-    schema = "pivot long, id long, shared long, n long, n_pivot long, values array<long>"
+    schema = "pivot long, id long, shared long, n long, n_pivot long"
     order = ["pivot", "part", "member"]
     return rows.repartition("pivot", "part").sortWithinPartitions(*order).select(*order, "parts", "id", "text").mapInPandas(work, schema)
 
@@ -359,103 +362,67 @@ def shared_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
 
 
 def _closed(groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links that join up what is linked across the two sides of each group (key, side, id, text); each side is about REGION_MEMBERS at most."""
+    """(a, b): links that join up what is linked across the two sides of each group (key, side, id, text), or within one of a single side.
+
+    Both sides together count as about REGION_MEMBERS members.
+    """
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["side", "id"])
         values, starts = shingle_sets(frame["text"], k, WordHashes())
-        others = int(frame["side"].sum())
-        both = 0 < others < len(frame)
-        rows = _linked_up(frame["id"].tolist(), [values[a:b] for a, b in zip(starts[:-1], starts[1:])], percent, others) if both else []
-        return pd.DataFrame(rows, columns=["a", "b"])
+        sets = [values[a:b] for a, b in zip(starts[:-1], starts[1:])]
+        return pd.DataFrame(_linked_up(frame["id"].tolist(), sets, percent, int(frame["side"].sum())), columns=["a", "b"])
 
     return groups.groupBy("key").applyInPandas(work, "a long, b long")
 
 
-def _recurring(keys: DataFrame) -> DataFrame:
-    """keys (key, id, open) whose key has several ids, an open one among them, with n, the number of its rows."""
-    groups = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("open").alias("any_open"))
-    return keys.join(groups.where("low < high AND any_open").select("key", "n"), "key")
-
-
 def _regions_of(recurring: DataFrame, central: DataFrame) -> DataFrame:
-    """(pivot, id): the most central member of each key is the pivot of the others.
-
-    central: (id, rank), the same in all rounds; small ranks are central. So a region's members all come after its
-    pivot, and the pivots that a pair of members meets one after the other do, too: rounds come to an end.
-    """
+    """(pivot, id): the most central member of each key is the pivot of the others. central: (id, rank); small ranks are central."""
     ranked = recurring.select("key", "id").join(central, "id")
     pivots = ranked.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("p")).select("key", F.col("p.id").alias("pivot"))
     return ranked.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct()
 
 
-def _centred(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members of large regions against their region's centre, and links (a, b) of those near its middle.
+def _shells(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, side, id): pairs of shells of which some members may be linked, and single ones; key is (pivot, x, y), equal x and y for a single one.
 
-    (pivot, id, n, c, delta, added, open): sizes of the set and of the centre, of their symmetric difference, what the set
-    adds, and whether it isn't linked to the member that is nearest to the centre.
-    """
-    sizes = sets.groupBy("pivot").agg(F.count("*").alias("m"))
-    counts = sets.select("pivot", F.explode("values").alias("shingle")).groupBy("pivot", "shingle").agg(F.count("*").alias("times"))
-    # A centre has no more than twice as many shingles as a member has on average.
-    center = counts.join(sizes, "pivot").where(2 * F.col("times") > F.col("m")).groupBy("pivot").agg(F.collect_list("shingle").alias("center"))
-    rows = sets.join(center, "pivot", "left").withColumn("center", F.coalesce("center", F.array().cast("array<long>")))
-    c = F.size("center")
-    rows = rows.select("pivot", "id", "n", "values", c.cast("long").alias("c"), (F.col("n") + c - 2 * F.size(F.array_intersect("values", "center"))).alias("delta"), F.array_except("values", "center").alias("added"))
-    rows = stored(rows, "join-centred")
-    nearest = rows.groupBy("pivot").agg(F.min_by("id", F.struct("delta", "id")).alias("best"))
-    middle = rows.select("pivot", F.col("id").alias("best"), F.col("values").alias("of_best")).join(nearest, ["pivot", "best"])
-    rows = rows.join(middle, "pivot")
-    near = linked(F.size(F.array_intersect("values", "of_best")), F.col("n") + F.size("of_best"), percent)
-    rows = stored(rows.select("pivot", "id", "n", "c", "delta", "added", "best", (~near & (F.col("id") != F.col("best"))).alias("open")), "join-open")
-    return rows.drop("best"), rows.where(~F.col("open") & (F.col("id") != F.col("best"))).select(F.col("best").alias("a"), F.col("id").alias("b"))
-
-
-def _windows(rows: DataFrame, percent: int) -> DataFrame:
-    """(key, side, id): pairs of blocks of members of which some may be linked without a common addition; side 0 is open.
-
-    With excess, by how much a set's distance from the centre exceeds what linked sets of its size and the centre's may
-    differ in, and net, how much smaller than the centre it is, x and y can only be linked if excess(x) <= gain * net(y).
+    rows: (pivot, id, n, d, open), the size of a set, its distance to the pivot and whether it isn't linked with it. Sets
+    of x and y elements that are linked differ in share * (x + y) at most.
     """
-    share = (100 - percent) / (100 + percent)
-    rows = rows.withColumns({"excess": F.col("delta") - share * (F.col("n") + F.col("c")), "reach": (1 - share) * (F.col("c") - F.col("n"))})
-    bounds = rows.groupBy("pivot").agg(F.max("reach").alias("most"), F.min(F.when(F.col("open"), F.col("excess"))).alias("least")).where("least IS NOT NULL")
-    rows = rows.join(bounds, "pivot").where((F.col("open") & (F.col("excess") <= F.col("most") + 1e-6)) | (F.col("reach") + 1e-6 >= F.col("least")))
-    rows = rows.select("pivot", "id", (F.col("open") & (F.col("excess") <= F.col("most") + 1e-6)).alias("asks"), (F.col("reach") + 1e-6 >= F.col("least")).alias("answers"))
-    half = max(1, REGION_MEMBERS // 2)
-    blocks = rows.groupBy("pivot").agg(F.ceil(F.count_if("asks") / half).cast("int").alias("i"), F.ceil(F.count_if("answers") / half).cast("int").alias("j")).where("i > 0 AND j > 0")
-    rows = rows.join(blocks, "pivot")
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asks = rows.where("asks").select("pivot", "id", own("i").alias("x"), every("j").alias("y"), F.lit(0).alias("side"))
-    answers = rows.where("answers").select("pivot", "id", own("j").alias("y"), every("i").alias("x"), F.lit(1).alias("side"))
-    return asks.unionByName(answers).select(F.struct("pivot", "x", "y").alias("key"), "side", "id")
+    share, half = (100 - percent) / (100 + percent), max(1, REGION_MEMBERS // 2)
+    # Of a distance that many have, members are spread over as many shells as these fill.
+    per_distance = rows.groupBy("pivot", "open", "d").agg(F.sum(_weight("n")).alias("weight"))
+    before = F.sum("weight").over(W.partitionBy("pivot", "open").orderBy("d")) - F.col("weight")
+    place = F.col("before") + F.pmod(F.xxhash64("id"), F.col("weight"))
+    rows = rows.join(per_distance.withColumn("before", before), ["pivot", "open", "d"])
+    rows = stored(rows.select("pivot", "id", "n", "d", "open", (F.floor(place / half) * 2 + F.col("open").cast("long")).alias("shell")), "join-shells")
+    shells = rows.groupBy("pivot", "shell", "open").agg(F.min("d").alias("near"), F.max("d").alias("far"), F.min("n").alias("least"), F.max("n").alias("most"))
+    x, y = (shells.select("pivot", *(F.col(c).alias(f"{c}_{side}") for c in shells.columns[1:])) for side in "xy")
+    gap = F.greatest(F.col("near_y") - F.col("far_x"), F.col("near_x") - F.col("far_y"))
+    sized = (100 * F.col("most_x") >= percent * F.col("least_y")) & (100 * F.col("most_y") >= percent * F.col("least_x"))
+    pairs = x.join(y, "pivot").where((F.col("shell_x") <= F.col("shell_y")) & (F.col("open_x") | F.col("open_y")) & sized & (gap <= share * (F.col("most_x") + F.col("most_y")) + 1e-6))
+    sides = F.when(F.col("shell_x") == F.col("shell_y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    pairs = pairs.select(F.struct("pivot", F.col("shell_x").alias("x"), F.col("shell_y").alias("y")).alias("key"), F.explode(sides).alias("side"))
+    pairs = pairs.select("key", "side", F.col("key.pivot").alias("pivot"), F.when(F.col("side") == 0, F.col("key.x")).otherwise(F.col("key.y")).alias("shell"))
+    return pairs.join(rows.select("pivot", "shell", "id"), ["pivot", "shell"]).select("key", "side", "id")
 
 
 def _links(recurring: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): enough links to join up everything that is linked, from recurring keys (key, id) and members (id, text)."""
-    found: list[DataFrame] = []
-    # A class that agrees with many others is near the middle of its group, and what others add to it is their own.
+    """(a, b): enough links to join up everything that is linked, from recurring keys (key, id) and members (id, size, text)."""
+    # A class that agrees with many others is near the middle of its group.
     sizes = recurring.groupBy("key").agg(F.count("*").alias("n"))
     central = stored(recurring.join(sizes, "key").groupBy("id").agg((-F.sum("n")).alias("rank")), "join-central")
     regions = stored(_regions_of(recurring, central), "join-regions")
-    while regions.head(1):
-        distances = stored(_distances(regions, members, k, percent), "join-distances")
-        found.append(distances.where("shared IS NULL").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        distances = distances.where("shared IS NOT NULL")
-        if not distances.head(1):
-            break
-        rows, best = _centred(distances, percent)
-        near_pivot = linked(F.col("shared"), F.col("n") + F.col("n_pivot"), percent) & (F.col("id") != F.col("pivot"))
-        found += [distances.where(near_pivot).select(F.col("pivot").alias("a"), F.col("id").alias("b")), best]
-        found.append(stored(_closed(_windows(rows, percent).join(members, "id"), k, percent), "join-closed"))
-        # The pivot is done: it was compared with all.
-        added = rows.where("id <> pivot").select("pivot", "id", "open", F.explode("added").alias("shingle"))
-        regions = stored(_regions_of(_recurring(added.select(F.struct("pivot", "shingle").alias("key"), "id", "open")), central), "join-regions")
-    links = recurring.sparkSession.createDataFrame([], "a long, b long")
-    for part in found:
-        links = links.unionByName(part)
-    return links
+    distances = stored(_distances(regions, members, k, percent), "join-distances")
+    links = distances.where("shared IS NULL").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    large = distances.where("shared IS NOT NULL")
+    if not large.head(1):
+        return links
+    total = F.col("n") + F.col("n_pivot")
+    large = large.select("pivot", "id", "n", (total - 2 * F.col("shared")).alias("d"), (~linked(F.col("shared"), total, percent)).alias("open"))
+    near = large.where(~F.col("open")).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    closed = stored(_closed(_shells(large, percent).join(members.select("id", "text"), "id"), k, percent), "join-closed")
+    return links.unionByName(near).unionByName(closed)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -500,9 +467,14 @@ def link_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
     hash is that of the text, component the smallest id that is reached, group a number of its own for all that are
     connected; null for empty sets.
     """
-    texts = texts.select("id", "text", F.xxhash64("text").alias("hash"))
+    with arrow_batches(texts.sparkSession, BATCH):
+        return _link_sets(texts.select("id", "text", F.xxhash64("text").alias("hash")), k, percent)
+
+
+def _link_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """As link_sets(), of (id, text, hash)."""
     profiles = stored(_profiles(texts, k), "join-profiles")
-    classes = profiles.where("n_shingles > 0").groupBy("digest", "label").agg(F.min("id").alias("first"), F.min_by("hash", "id").alias("hash"), F.count("*").alias("n"))
+    classes = profiles.where("n_shingles > 0").groupBy("digest", "label").agg(F.min("id").alias("first"), F.min_by("hash", "id").alias("hash"), F.count("*").alias("n"), F.max("n_shingles").alias("size"))
     classes = stored(classes, "join-classes")
     total = profiles.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     shards = max(1, -(-total // SHARD_SHINGLES))
@@ -511,9 +483,9 @@ def link_sets(texts: DataFrame, k: int, percent: int) -> DataFrame:
     recurring = stored(_needed(recurring, percent), "join-needed")
     # One text of each class that shares a signature with another.
     chosen = classes.join(recurring.select(F.col("id").alias("label")).distinct(), "label", "left_semi")
-    chosen = chosen.groupBy("label").agg(F.min("first").alias("_id"), F.min_by("hash", "first").alias("_hash"))
+    chosen = chosen.groupBy("label").agg(F.min("first").alias("_id"), F.min_by("hash", "first").alias("_hash"), F.max("size").alias("size"))
     chosen = small(stored(chosen, "join-members"))
-    members = texts.join(chosen, (F.col("id") == F.col("_id")) & (F.col("hash") == F.col("_hash"))).select(F.col("label").alias("id"), "text")
+    members = texts.join(chosen, (F.col("id") == F.col("_id")) & (F.col("hash") == F.col("_hash"))).select(F.col("label").alias("id"), "size", "text")
     members = stored(members.dropDuplicates(["id"]), "join-texts")
     reached = stored(components(_links(recurring, members, k, percent)), "join-reached")
     # Labels aren't ids: a component goes by the smallest id of its classes.
